@@ -226,8 +226,6 @@ def structural_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         ]
     row = df.agg(*aggs)
     recs = []
-    for i, x in enumera    row = df.agg(*aggs)
-    recs = []
     for i, x in enumerate(cols):
         numeric = (F.col(f"bad{i}") == 0) | ((F.col(f"lbad{i}") == 0) & (F.col(f"lok{i}") > 0))
         recs.append(F.struct(F.lit(x).alias("column"), F.col(f"nn{i}").alias("non_null"),
@@ -248,7 +246,7 @@ def structural_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return per.select("column", kind.alias("type"), "non_null", "distinct")
 
 
-ataFrame:
+def date_like_columns(df: DataFrame, share: float = 0.7) -> DataFrame:
     """Text / date / timestamp columns where every value parses as a
     timestamp, or more than ``share`` match one of the statistics module's
     date patterns.  Numeric columns are never dates (unlike the reference,

@@ -36,6 +36,7 @@ def build_session(master: str | None = None, cores: int | None = None,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("GRIDSCOPE_DRIVER_MEMORY", "8g"),
         "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     }
