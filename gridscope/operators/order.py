@@ -30,14 +30,15 @@ from gridscope.functions.columns import c, q
 ROWS_PER_BUCKET = 2_000_000
 
 
-def _n_buckets(df: DataFrame, n_buckets: int | None, weight: str | None = None) -> int:
+def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
+    """Buckets per group: one per shuffle partition unless given.  A cluster
+    sizes ``spark.sql.shuffle.partitions`` so that a partition fits one task;
+    a bucket never holds more than a group's share of that, plus the sketch
+    error.  No extra counting job is needed."""
     if n_buckets:
         return n_buckets
-    if weight:
-        total = df.agg(F.sum(c(weight))).first()[0] or 0
-    else:
-        total = df.count()
-    return int(min(100_000, max(4, math.ceil(total / ROWS_PER_BUCKET))))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return int(min(100_000, max(4, parts)))
 
 
 def _bucket_expr(value: Column, bounds: Column) -> Column:
@@ -68,34 +69,40 @@ def cumulative(df: DataFrame, order: list[str], by: list[str] | None = None,
     """
     by = list(by or [])
     w = c(weight) if weight else F.lit(1)
-    nb = _n_buckets(df, n_buckets, weight)
+    nb = _n_buckets(df, n_buckets)
     main = order[0]
+    string_main = dict(df.dtypes)[main] == "string"
     key = "_gs_k"
     base = df.withColumn(key, _sort_key(df, main))
     probs = [i / nb for i in range(1, nb)]
-    if probs:
-        bounds = base.groupBy(*[c(b) for b in by]).agg(
-            F.percentile_approx(c(key), probs, 10000).alias("_gs_bounds"))
-        base = base.join(bounds, by, "inner") if by else base.crossJoin(F.broadcast(bounds))
-        bucket = _bucket_expr(c(key), F.col("_gs_bounds"))
-        hot = F.size(F.filter(F.col("_gs_bounds"), lambda b: b == c(key))) > 1
-        if dict(df.dtypes)[main] == "string":
-            hot = F.lit(False)  # a prefix key is not exact, so no sub-buckets
-        base = base.withColumn("_gs_b", bucket * 2 + hot.cast("int"))
-        if len(order) > 1:
-            # hot keys get sub-buckets on the next order column
-            tie = order[1]
-            hot_rows = base.filter(F.col("_gs_b") % 2 == 1).withColumn("_gs_t", _sort_key(base, tie))
-            sub = hot_rows.groupBy(*[c(b) for b in by], c(key)).agg(
-                F.percentile_approx(F.col("_gs_t"), probs, 10000).alias("_gs_sb"))
-            base = base.join(sub, by + [key], "left").withColumn(
-                "_gs_s", F.when(F.col("_gs_sb").isNull(), F.lit(0)).otherwise(
-                    _bucket_expr(_sort_key(base, tie), F.col("_gs_sb")))).drop("_gs_sb")
-        else:
-            base = base.withColumn("_gs_s", F.lit(0))
-        base = base.drop("_gs_bounds")
+    sub_needed = len(order) > 1 and not string_main
+    if not by:
+        # one group: the bounds are a short list of literals
+        row = base.agg(F.percentile_approx(c(key), probs, 10000).alias("b")).first()
+        bl = [float(v) for v in (row["b"] or [])]
+        bounds = F.array(*[F.lit(v) for v in bl]) if bl else F.array().cast("array<double>")
+        base = base.withColumn("_gs_bounds", bounds)
+        sub_needed = sub_needed and len(set(bl)) < len(bl)
+    else:
+        bt = base.groupBy(*[c(b) for b in by]).agg(F.percentile_approx(c(key), probs, 10000).alias("_gs_bounds"))
+        base = base.join(bt, by, "inner")
+    bucket = _bucket_expr(c(key), F.col("_gs_bounds"))
+    hot = F.size(F.filter(F.col("_gs_bounds"), lambda b: b == c(key))) > 1
+    if string_main:
+        hot = F.lit(False)  # a prefix key is not exact, so no sub-buckets
+    base = base.withColumn("_gs_b", bucket * 2 + hot.cast("int"))
+    if sub_needed:
+        # a hot key (several bounds equal to it) gets sub-buckets on the next order column
+        tie = order[1]
+        hot_rows = base.filter(F.col("_gs_b") % 2 == 1).withColumn("_gs_t", _sort_key(base, tie))
+        sub = hot_rows.groupBy(*[c(b) for b in by], c(key)).agg(
+            F.percentile_approx(F.col("_gs_t"), probs, 10000).alias("_gs_sb"))
+        base = base.join(F.broadcast(sub) if not by else sub, by + [key], "left").withColumn(
+            "_gs_s", F.when(F.col("_gs_sb").isNull(), F.lit(0)).otherwise(
+                _bucket_expr(_sort_key(base, tie), F.col("_gs_sb")))).drop("_gs_sb")
     else:
-        base = base.withColumn("_gs_b", F.lit(0)).withColumn("_gs_s", F.lit(0))
+        base = base.withColumn("_gs_s", F.lit(0))
+    base = base.drop("_gs_bounds")
     part = [c(b) for b in by] + [F.col("_gs_b"), F.col("_gs_s")]
     totals = base.groupBy(*part).agg(F.sum(w).alias("_gs_tot"))
     ow = Window.partitionBy(*[c(b) for b in by]).orderBy("_gs_b", "_gs_s").rowsBetween(
