@@ -98,27 +98,32 @@ def pattern_scores(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return row.select(F.inline(F.array(*recs)))
 
 
-def numeric_candidates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def numeric_candidates(df: DataFrame, cols: list[str] | None = None, rows: int | None = None,
+                       with_median: bool = True) -> DataFrame:
     """Per column the share of all rows that parse as numbers; when above
     0.8 the confidence, statistics and subtype (integer / float, then
     scale_0_10 or scale_0_100 when the range fits)."""
     cols = cols or df.columns
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(x).alias("column"), _num(df, x).alias("value")) for x in cols])))
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     st = long.groupBy("column").agg(
         F.count("value").alias("parsed"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
         F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"),
         F.count_if(F.col("value") != F.floor("value")).alias("_frac"))
-    med = quantiles(long.filter(F.col("value").isNotNull()), "value", [0.5], by=["column"]).select(
-        "column", F.col("q").alias("median"))
+    if with_median:
+        med = quantiles(long.filter(F.col("value").isNotNull()), "value", [0.5], by=["column"]).select(
+            "column", F.col("q").alias("median"))
+        st = st.join(med, "column", "left")
+    else:
+        st = st.withColumn("median", F.lit(None).cast("double"))
     conf = F.col("parsed") / F.lit(rows)
     sub = (F.when((F.col("min") >= 0) & (F.col("max") <= 10), "scale_0_10")
            .when((F.col("min") >= 0) & (F.col("max") <= 100), "scale_0_100")
            .when(F.col("_frac") == 0, "integer").otherwise("float"))
     ok = (conf > 0.8) & (F.col("parsed") > 0)
-    return st.join(med, "column", "left").select(
+    return st.select(
         "column", F.lit(rows).alias("rows"), "parsed",
         F.when(ok, conf).otherwise(F.lit(0.0)).alias("confidence"),
         F.when(ok, sub).alias("subtype"), "mean", "median", "std", "min", "max",
@@ -134,13 +139,20 @@ def _num(df: DataFrame, x: str):
     return to_double(c(x))
 
 
-def categorical_candidates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def text_value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, value, count) of the columns as text: one shuffle, shared by
+    the categorical, quality and profile operators."""
+    return long_value_counts(df.select(*[as_text(df, x).alias(x) for x in cols]), cols)
+
+
+def categorical_candidates(df: DataFrame, cols: list[str] | None = None, rows: int | None = None,
+                           vc: DataFrame | None = None) -> DataFrame:
     """Distinct / rows ratio; below 0.5 the confidence is 1 - ratio, with
     the top value, its count and a cardinality class (<=10, <=50, more).
     Uses the long value-count table: one shuffle for all columns."""
     cols = cols or df.columns
-    rows = df.count()
-    vc = long_value_counts(df.select(*[as_text(df, x).alias(x) for x in cols]), cols)
+    rows = df.count() if rows is None else rows
+    vc = text_value_counts(df, cols) if vc is None else vc
     agg = vc.groupBy("column").agg(
         F.count("value").alias("distinct"),
         F.min_by("value", F.struct(F.negative("count"), F.col("value"))).alias("top_value"),
@@ -154,12 +166,13 @@ def categorical_candidates(df: DataFrame, cols: list[str] | None = None) -> Data
         .otherwise("high_cardinality").alias("subtype"))
 
 
-def quality_scores(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def quality_scores(df: DataFrame, cols: list[str] | None = None, rows: int | None = None,
+                   vc: DataFrame | None = None) -> DataFrame:
     """max(0, 1 - 0.5 * null share - 0.3 * duplicate share), where
     duplicates = rows - distinct values (NULL counted as one value)."""
     cols = cols or df.columns
-    rows = df.count()
-    vc = long_value_counts(df.select(*[as_text(df, x).alias(x) for x in cols]), cols)
+    rows = df.count() if rows is None else rows
+    vc = text_value_counts(df, cols) if vc is None else vc
     agg = vc.groupBy("column").agg(F.count("value").alias("distinct"), F.sum("count").alias("non_null"))
     allc = df.sparkSession.createDataFrame([(x,) for x in cols], "column string")
     agg = allc.join(agg, "column", "left").fillna(0, ["distinct", "non_null"])
@@ -175,22 +188,24 @@ def semantic_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     numeric, then categorical, and a later one wins only when strictly higher.
     Returns ``(column, type, subtype, confidence, quality_score)``."""
     cols = cols or df.columns
+    rows = df.count()
+    vc = text_value_counts(df, cols)
     pats = pattern_scores(df, cols)
     fams = list(PATTERNS)
     order = {f: i for i, f in enumerate(fams + ["numeric", "categorical"])}
     p = pats.filter(F.col("matches") > 0).select("column", F.col("family").alias("type"),
                                                  F.lit(None).cast("string").alias("subtype"),
                                                  F.col("score").alias("confidence"))
-    n = numeric_candidates(df, cols).filter(F.col("confidence") > 0).select(
+    n = numeric_candidates(df, cols, rows, with_median=False).filter(F.col("confidence") > 0).select(
         "column", F.lit("numeric").alias("type"), "subtype", "confidence")
-    k = categorical_candidates(df, cols).filter(F.col("confidence") > 0).select(
+    k = categorical_candidates(df, cols, rows, vc).filter(F.col("confidence") > 0).select(
         "column", F.lit("categorical").alias("type"), "subtype", "confidence")
     allc = p.unionByName(n).unionByName(k)
     rank = F.create_map(*[x for f, i in order.items() for x in (F.lit(f), F.lit(i))])
     best = allc.withColumn("_o", rank[F.col("type")]).groupBy("column").agg(
         F.min_by(F.struct("type", "subtype", "confidence"),
                  F.struct(F.negative("confidence"), F.col("_o"))).alias("b"))
-    q = quality_scores(df, cols)
+    q = quality_scores(df, cols, rows, vc)
     base = df.sparkSession.createDataFrame([(x,) for x in cols], "column string")
     return (base.join(best, "column", "left").join(q.select("column", "quality_score"), "column", "left")
             .select("column", F.coalesce(F.col("b.type"), F.lit("unknown")).alias("type"),
