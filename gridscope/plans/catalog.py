@@ -46,4 +46,4 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 # import the query groups so that they register themselves
-from gridscope.plans import q_scores, q_aggregates, q_clean, q_types, q_time, q_relations, q_models, q_charts, q_rules, q_history, q_sources  # noqa: E402,F401
+from gridscope.plans import q_scores, q_aggregates, q_clean, q_types, q_time, q_relations, q_models, q_charts, q_rules, q_history, q_sources, q_plans  # noqa: E402,F401

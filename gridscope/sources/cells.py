@@ -196,3 +196,16 @@ def cells_to_table(cells: DataFrame, file: str, sheet: str | None = None) -> Dat
         sub = sub.filter(F.col("sheet") == sheet)
     heads = [r["header"] for r in sub.select("col", "header").distinct().orderBy("col").collect()]
     return sub.groupBy("pos").pivot("header", heads).agg(F.first("value")).orderBy("pos").drop("pos")
+
+
+def table_to_cells(df: DataFrame, file_col: str, order: list[str], cols: list[str]) -> DataFrame:
+    """A typed table as a cell table: one sheet per value of ``file_col``,
+    rows numbered in ``order`` inside each sheet (range-bucketed positions),
+    every value as text under its column name."""
+    from gridscope.operators.order import dense_position
+    pos = dense_position(df.select(F.col(file_col).alias("file"), *[F.col(f"`{o}`") for o in order],
+                                   *[F.col(f"`{c}`") for c in cols if c not in order]), order, by=["file"], out="pos")
+    arr = F.array(*[F.struct(F.lit(i).alias("col"), F.lit(c).alias("header"),
+                             F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(cols)])
+    return pos.select("file", F.col("file").alias("sheet"), F.lit(0).alias("sheet_index"),
+                      F.col("pos").cast("int").alias("pos"), F.inline(arr))
