@@ -27,18 +27,19 @@ from pyspark.sql import functions as F
 
 from gridscope.functions.columns import c, q
 
-ROWS_PER_BUCKET = 2_000_000
+# A group (or bucket) of at most this many rows is ordered by one task.
+ROWS_PER_BUCKET = 1_000_000
+# Upper limit of range buckets per group (each row tests every bound once).
+MAX_BUCKETS = 1024
 
 
-def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
-    """Buckets per group: one per shuffle partition unless given.  A cluster
-    sizes ``spark.sql.shuffle.partitions`` so that a partition fits one task;
-    a bucket never holds more than a group's share of that, plus the sketch
-    error.  No extra counting job is needed."""
+def _n_buckets(largest: int, n_buckets: int | None, rows_per_bucket: int) -> int:
+    """Buckets per large group: enough that a bucket holds about
+    ``rows_per_bucket`` rows of the largest group (twice that many, for the
+    sketch error), at most ``MAX_BUCKETS``."""
     if n_buckets:
         return n_buckets
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return int(min(100_000, max(4, parts)))
+    return int(min(MAX_BUCKETS, max(4, 2 * math.ceil(largest / max(1, rows_per_bucket)))))
 
 
 def _bucket_expr(value: Column, bounds: Column) -> Column:
@@ -60,16 +61,32 @@ def _sort_key(df: DataFrame, col: str) -> Column:
 
 def cumulative(df: DataFrame, order: list[str], by: list[str] | None = None,
                weight: str | None = None, n_buckets: int | None = None,
-               out: str = "_cum") -> DataFrame:
+               out: str = "_cum", rows_per_bucket: int | None = None) -> DataFrame:
     """Running total of ``weight`` (1 per row when None) in the total order
     ``(by..., order...)``, restarting per ``by`` group.
 
     Adds ``{out}`` (inclusive running total).  ``order`` must make rows unique
     inside each group for the result to be deterministic.
+
+    One small job measures the largest group.  When every group fits one task
+    (``rows_per_bucket`` rows) the running total is a plain window partitioned
+    by the groups.  Otherwise groups are split into range buckets as described
+    in the module docstring.
     """
     by = list(by or [])
     w = c(weight) if weight else F.lit(1)
-    nb = _n_buckets(df, n_buckets)
+    rpb = rows_per_bucket or ROWS_PER_BUCKET
+    if by:
+        largest = df.groupBy(*[c(b) for b in by]).count().agg(F.max("count")).first()[0] or 0
+    else:
+        largest = df.count()
+    if largest <= rpb and n_buckets is None:
+        # every group fits one task: the window is partitioned by the groups only
+        # (no groups: a single bounded partition of at most ``rpb`` rows)
+        win = Window.partitionBy(*[c(b) for b in by]) if by else Window.partitionBy(F.lit(0))
+        win = win.orderBy(*[c(o) for o in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(out, F.sum(w).over(win))
+    nb = _n_buckets(largest, n_buckets, rpb)
     main = order[0]
     string_main = dict(df.dtypes)[main] == "string"
     key = "_gs_k"
@@ -116,9 +133,9 @@ def cumulative(df: DataFrame, order: list[str], by: list[str] | None = None,
 
 
 def dense_position(df: DataFrame, order: list[str], by: list[str] | None = None,
-                   out: str = "pos", n_buckets: int | None = None) -> DataFrame:
+                   out: str = "pos", n_buckets: int | None = None, rows_per_bucket: int | None = None) -> DataFrame:
     """0-based position of every row in the order ``order`` (per ``by`` group)."""
-    return cumulative(df, order, by, None, n_buckets, out="_gs_c").withColumn(
+    return cumulative(df, order, by, None, n_buckets, out="_gs_c", rows_per_bucket=rows_per_bucket).withColumn(
         out, F.col("_gs_c") - 1).drop("_gs_c")
 
 
