@@ -16,12 +16,35 @@ def c(name: str) -> Column:
     return F.col(q(name))
 
 
+# Numeric text accepted by the parsers: optional sign, digits with an optional
+# decimal point (or a leading point), optional exponent, surrounding blanks.
+NUMBER_RX = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def to_double(col: Column) -> Column:
-    """Lenient numeric parse: text that is not a number becomes NULL, NaN too."""
+    """Lenient numeric parse of a numeric or text column: NaN becomes NULL.
+    Prefer ``text_to_double`` for text (no failed casts)."""
     d = col.try_cast("double")
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
+def text_to_double(col: Column) -> Column:
+    """Parse numeric text; anything else is NULL.  The regex gate keeps the
+    cast from failing (a failed ANSI cast costs an exception per row)."""
+    return F.when(col.rlike(NUMBER_RX), col.try_cast("double"))
+
+
+def num(df, name: str) -> Column:
+    """A column of ``df`` as a double: numbers cast, text parsed, other types NULL."""
+    t = dict(df.dtypes)[name]
+    if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"):
+        d = c(name).cast("double")
+        return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d) if t in ("float", "double") else d
+    if t == "string":
+        return text_to_double(c(name))
+    return F.lit(None).cast("double")
+
+
 def parse_percent(col: Column) -> Column:
     """Score text such as ``'75,5 +'`` -> 75.5.
 
@@ -30,13 +53,13 @@ def parse_percent(col: Column) -> Column:
     turns a decimal comma into a point and parses; anything else is NULL.
     """
     s = F.trim(F.translate(col.cast("string"), "+-=", ""))
-    return to_double(F.regexp_replace(s, ",", "."))
+    return text_to_double(F.regexp_replace(s, ",", "."))
 
 
 def loose_numeric(col: Column) -> Column:
     """Keep only digits, ``.``, ``,``, ``+``, ``-``; comma -> point; parse."""
     s = F.regexp_replace(col.cast("string"), r"[^0-9.,+\-]", "")
-    return to_double(F.regexp_replace(s, ",", "."))
+    return text_to_double(F.regexp_replace(s, ",", "."))
 
 
 def rnd(col: Column, digits: int = 6) -> Column:

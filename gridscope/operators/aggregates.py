@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridscope.functions.columns import c, to_double
+from gridscope.functions.columns import c, num
 from gridscope.operators.order import quantile_columns, quantiles
 
 
@@ -17,7 +17,7 @@ def to_long(df: DataFrame, cols: list[str], value_type: str = "double",
             keep: list[str] | None = None) -> DataFrame:
     """Unpivot ``cols`` to ``(keep..., column, value)``; NULL values dropped."""
     keep = list(keep or [])
-    cast = (lambda x: to_double(c(x))) if value_type == "double" else (lambda x: c(x).cast(value_type))
+    cast = (lambda x: num(df, x)) if value_type == "double" else (lambda x: c(x).cast(value_type))
     arr = F.array(*[F.struct(F.lit(x).alias("column"), cast(x).alias("value")) for x in cols])
     return (df.select(*[c(k) for k in keep], F.inline(arr))
             .filter(F.col("value").isNotNull()))
@@ -161,7 +161,7 @@ def row_mean(df: DataFrame, cols: list[str], keep: list[str],
              mean_name: str = "Media", count_name: str = "Valores_Utilizados") -> DataFrame:
     """Per row: mean and count of the parsable values in ``cols``; rows with
     none are dropped (D22).  Pure row-wise expressions, no shuffle."""
-    vals = F.filter(F.array(*[to_double(c(x)) for x in cols]), lambda v: v.isNotNull())
+    vals = F.filter(F.array(*[num(df, x) for x in cols]), lambda v: v.isNotNull())
     return (df.select(*[c(k) for k in keep], vals.alias("_vals"))
             .filter(F.size("_vals") > 0)
             .select(*[c(k) for k in keep],

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridscope.functions.columns import c, to_double
+from gridscope.functions.columns import c, num
 from gridscope.operators.aggregates import describe, to_long
 from gridscope.operators.order import quantile_columns, quantiles
 from gridscope.operators.relations import pearson_pairs, scatter_fit, strongest_pair
@@ -28,7 +28,7 @@ def auto_bins(n: int) -> int:
 def histogram(df: DataFrame, col: str, bins: int | None = None, by: str | None = None) -> DataFrame:
     """K1: equal-width bins between the min and the max (per ``by`` group when
     given); the max falls in the last bin.  ``(by?, bin, lower, upper, count)``."""
-    x = to_double(c(col))
+    x = num(df, col)
     keys = [c(by).alias("group")] if by else []
     base = df.select(*keys, x.alias("x")).filter(F.col("x").isNotNull())
     gk = ["group"] if by else []
@@ -50,7 +50,7 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, by: str | None =
 
 def histogram_insights(df: DataFrame, col: str) -> DataFrame:
     """Mean, median, std, pandas skew and 'normal' when |skew| < 0.5."""
-    x = df.select(to_double(c(col)).alias("x")).filter(F.col("x").isNotNull())
+    x = df.select(num(df, col).alias("x")).filter(F.col("x").isNotNull())
     n = F.count("x")
     st = x.agg(n.alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.skewness("x").alias("g1"))
     med = quantiles(x, "x", [0.5]).select(F.col("q").alias("median"))
@@ -63,7 +63,7 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, top: int = 10) ->
     """K2: quartiles, whiskers (the most extreme values inside the 1.5 IQR
     fences), outlier count and %; grouped by the ``top`` most frequent
     categories when ``by`` is given, with the highest-median flag."""
-    x = to_double(c(col))
+    x = num(df, col)
     if by:
         cats = (df.filter(c(by).isNotNull()).groupBy(c(by).alias("group")).count()
                 .orderBy(F.desc("count"), F.asc("group")).limit(top).select("group"))
@@ -140,7 +140,7 @@ def density(df: DataFrame, col: str, grid: int = 500, fine_bins: int = 4096) ->
     summed over bins x grid points - a broadcast nested-loop join whose size
     is fixed by the two constants, not by the data."""
     spark = df.sparkSession
-    x = df.select(to_double(c(col)).alias("x")).filter(F.col("x").isNotNull())
+    x = df.select(num(df, col).alias("x")).filter(F.col("x").isNotNull())
     st = x.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
                F.stddev_samp("x").alias("sd")).first()
     n, lo, hi, sd = st["n"], st["lo"], st["hi"], st["sd"]
@@ -158,7 +158,7 @@ def density(df: DataFrame, col: str, grid: int = 500, fine_bins: int = 4096) ->
 def radar(df: DataFrame, cols: list[str], max_cols: int = 6) -> DataFrame:
     """Column means, min-max normalized across the columns."""
     cols = cols[:max_cols]
-    means = df.agg(*[F.avg(to_double(c(x))).alias(f"m{i}") for i, x in enumerate(cols)])
+    means = df.agg(*[F.avg(num(df, x)).alias(f"m{i}") for i, x in enumerate(cols)])
     long = means.select(F.inline(F.array(*[F.struct(F.lit(x).alias("column"), F.col(f"m{i}").alias("mean"))
                                            for i, x in enumerate(cols)])))
     w = Window.partitionBy(F.lit(1))  # over <= 6 rows
@@ -185,7 +185,7 @@ def distribution_comparison(df: DataFrame, num: str, cat: str, top: int = 5, bin
 def line_points(df: DataFrame, x: str, y: str, max_points: int = 1000) -> DataFrame:
     """K4: points sorted by x; above ``max_points`` rows the series is
     pre-aggregated into ``max_points`` equal-width time buckets (mean)."""
-    base = df.select(c(x).alias("x"), to_double(c(y)).alias("y")).dropna()
+    base = df.select(c(x).alias("x"), num(df, y).alias("y")).dropna()
     st = base.agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_micros(F.col("x").cast("timestamp"))).alias("lo"),
                   F.max(F.unix_micros(F.col("x").cast("timestamp"))).alias("hi")).first()
     if st["n"] <= max_points or st["hi"] == st["lo"]:
@@ -201,8 +201,8 @@ def line_points(df: DataFrame, x: str, y: str, max_points: int = 1000) -> DataFr
 def scaled_sample(df: DataFrame, cols: list[str], key: str, max_rows: int = 1000) -> DataFrame:
     """A bounded, deterministic sample (hash of ``key``) of
     the rows, with each column min-max scaled over the whole table."""
-    st = df.agg(F.count(F.lit(1)).alias("_n"), *[F.min(to_double(c(x))).alias(f"lo{i}") for i, x in enumerate(cols)],
-                *[F.max(to_double(c(x))).alias(f"hi{i}") for i, x in enumerate(cols)]).first()
+    st = df.agg(F.count(F.lit(1)).alias("_n"), *[F.min(num(df, x)).alias(f"lo{i}") for i, x in enumerate(cols)],
+                *[F.max(num(df, x)).alias(f"hi{i}") for i, x in enumerate(cols)]).first()
     frac = min(1.0, max_rows / max(1, st["_n"]))
     h = (F.abs(F.xxhash64(c(key))) % 1_000_000) / 1_000_000.0
     sampled = df.filter(h < frac)
@@ -210,7 +210,7 @@ def scaled_sample(df: DataFrame, cols: list[str], key: str, max_rows: int = 1000
     for i, x in enumerate(cols):
         lo, hi = st[f"lo{i}"], st[f"hi{i}"]
         rngv = (hi - lo) if hi is not None and hi != lo else 1.0
-        out.append(((to_double(c(x)) - F.lit(lo)) / F.lit(rngv)).alias(x))
+        out.append(((num(df, x) - F.lit(lo)) / F.lit(rngv)).alias(x))
     return sampled.select(*out)
 
 
@@ -218,7 +218,7 @@ def frames_sample(df: DataFrame, x: str, y: str, frame: str, per_frame: int = 20
     """K14 animated scatter: at most ``per_frame`` points per frame, chosen by
     a hash rank inside each frame (frames are bounded groups of the sample)."""
     k = key or x
-    ranked = df.select(c(frame).alias("frame"), to_double(c(x)).alias("x"), to_double(c(y)).alias("y"),
+    ranked = df.select(c(frame).alias("frame"), num(df, x).alias("x"), num(df, y).alias("y"),
                        F.xxhash64(c(k)).alias("_h"))
     # two-step top-n: salted slices first, so a hot frame is ranked by many tasks
     salted = ranked.withColumn("_s", F.abs(F.col("_h")) % 64)

@@ -16,18 +16,18 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridscope.functions.columns import c, to_double
+from gridscope.functions.columns import c, num
 from gridscope.operators.order import dense_position, lag_join
 
 
 def centred_cross_products(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     """Means and centred cross-products with mean imputation (a missing value
     contributes 0 after centring, exactly as filling it with the mean)."""
-    num = df.select(*[to_double(c(x)).alias(x) for x in cols])
-    m = num.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c(x)).alias(x) for x in cols]).first()
+    nd = df.select(*[num(df, x).alias(x) for x in cols])
+    m = nd.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c(x)).alias(x) for x in cols]).first()
     n = m["_n"]
     means = np.array([m[x] if m[x] is not None else 0.0 for x in cols])
-    cen = num.select(*[F.coalesce(c(x) - F.lit(float(means[i])), F.lit(0.0)).alias(x) for i, x in enumerate(cols)])
+    cen = nd.select(*[F.coalesce(c(x) - F.lit(float(means[i])), F.lit(0.0)).alias(x) for i, x in enumerate(cols)])
     idx = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     row = cen.agg(*[F.sum(c(cols[i]) * c(cols[j])).alias(f"s{i}_{j}") for i, j in idx]).first()
     S = np.zeros((len(cols), len(cols)))
@@ -39,10 +39,10 @@ def centred_cross_products(df: DataFrame, cols: list[str]) -> tuple[np.ndarray,
 def standardized_vectors(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> DataFrame:
     """Mean-imputed, population-std-scaled features assembled into ``features``."""
     keep = list(keep or [])
-    num = df.select(*[c(k) for k in keep], *[to_double(c(x)).alias(x) for x in cols])
-    st = num.agg(*[F.avg(c(x)).alias(f"m{i}") for i, x in enumerate(cols)],
+    nd = df.select(*[c(k) for k in keep], *[num(df, x).alias(x) for x in cols])
+    st = nd.agg(*[F.avg(c(x)).alias(f"m{i}") for i, x in enumerate(cols)],
                  *[F.stddev_pop(c(x)).alias(f"s{i}") for i, x in enumerate(cols)]).first()
-    scaled = num.select(*[c(k) for k in keep], *[c(x) for x in cols], *[
+    scaled = nd.select(*[c(k) for k in keep], *[c(x) for x in cols], *[
         ((F.coalesce(c(x), F.lit(st[f"m{i}"])) - F.lit(st[f"m{i}"])) /
          F.lit(st[f"s{i}"] if st[f"s{i}"] else 1.0)).alias(f"_z{i}") for i, x in enumerate(cols)])
     va = VectorAssembler(inputCols=[f"_z{i}" for i in range(len(cols))], outputCol="features")
@@ -164,11 +164,11 @@ def regress_each(df: DataFrame, cols: list[str], min_rows: int = 10) -> DataFram
 def residuals(df: DataFrame, target: str, predictors: list[str], coefficients: list[float], intercept: float,
               keep: list[str]) -> DataFrame:
     """Residuals y - (b0 + b x) with the coefficients as literals (mean-imputed x)."""
-    means = df.agg(*[F.avg(to_double(c(x))).alias(x) for x in predictors + [target]]).first()
+    means = df.agg(*[F.avg(num(df, x)).alias(x) for x in predictors + [target]]).first()
     fit = F.lit(intercept)
     for x, b in zip(predictors, coefficients):
-        fit = fit + F.lit(b) * F.coalesce(to_double(c(x)), F.lit(means[x]))
-    y = F.coalesce(to_double(c(target)), F.lit(means[target]))
+        fit = fit + F.lit(b) * F.coalesce(num(df, x), F.lit(means[x]))
+    y = F.coalesce(num(df, target), F.lit(means[target]))
     return df.select(*[c(k) for k in keep], (y - fit).alias("resid"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridscope.functions.columns import c, to_double
+from gridscope.functions.columns import c, num
 from gridscope.operators.aggregates import long_value_counts, to_long
 from gridscope.operators.order import quantile_columns
 from gridscope.operators.semantic import TIME_TYPES, as_text, structural_types
@@ -153,4 +153,4 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def to_numeric_frame(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(*[to_double(c(x)).alias(x) for x in cols])
+    return df.select(*[num(df, x).alias(x) for x in cols])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridscope.functions import special
-from gridscope.functions.columns import c, to_double
+from gridscope.functions.columns import c, num
 from gridscope.operators.order import average_ranks, cumulative
 
 
@@ -26,7 +26,7 @@ def _pairs(cols):
 
 def pearson_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """``(var1, var2, corr, n)`` for every pair i < j, pairwise-complete."""
-    num = df.select(*[to_double(c(x)).alias(x) for x in cols])
+    nd = df.select(*[num(df, x).alias(x) for x in cols])
     recs = []
     for a, b in _pairs(cols):
         recs.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
@@ -34,7 +34,7 @@ def pearson_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
                              F.count(F.when(c(a).isNotNull() & c(b).isNotNull(), 1)).alias("n")))
     if not recs:
         return df.sparkSession.createDataFrame([], "var1 string, var2 string, corr double, n long")
-    return num.agg(F.array(*recs).alias("r")).select(F.inline("r"))
+    return nd.agg(F.array(*recs).alias("r")).select(F.inline("r"))
 
 
 def matrix_form(pairs: DataFrame, cols: list[str], value: str = "corr") -> DataFrame:
@@ -49,7 +49,7 @@ def matrix_form(pairs: DataFrame, cols: list[str], value: str = "corr") -> DataF
 def _ranked(df: DataFrame, cols: list[str]) -> DataFrame:
     """Replace each column by its average rank (ties share the mean rank).
     Each rank table is over distinct values and joins back on the value."""
-    out = df.select(*[to_double(c(x)).alias(x) for x in cols]).withColumn("_rid", F.monotonically_increasing_id())
+    out = df.select(*[num(df, x).alias(x) for x in cols]).withColumn("_rid", F.monotonically_increasing_id())
     for x in cols:
         r = average_ranks(out, x).select(c(x), F.col("avg_rank").alias(f"_r_{x}"))
         out = out.join(r, x, "left")
@@ -60,16 +60,16 @@ def spearman_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson over average ranks, pairwise-complete.  Columns without
     NULLs are ranked once; a pair involving NULLs is ranked on its complete
     rows only (as pandas does)."""
-    num = df.select(*[to_double(c(x)).alias(x) for x in cols])
-    nulls = num.agg(*[F.count_if(c(x).isNull()).alias(x) for x in cols]).first().asDict()
+    nd = df.select(*[num(df, x).alias(x) for x in cols])
+    nulls = nd.agg(*[F.count_if(c(x).isNull()).alias(x) for x in cols]).first().asDict()
     clean = [x for x in cols if nulls[x] == 0]
     parts = []
     if len(clean) >= 2:
-        parts.append(pearson_pairs(_ranked(num, clean), clean))
+        parts.append(pearson_pairs(_ranked(nd, clean), clean))
     for a, b in _pairs(cols):
         if a in clean and b in clean:
             continue
-        sub = num.select(a, b).dropna()
+        sub = nd.select(a, b).dropna()
         parts.append(pearson_pairs(_ranked(sub, [a, b]), [a, b]))
     out = parts[0]
     for p in parts[1:]:
@@ -93,7 +93,7 @@ def kendall_tau_b(df: DataFrame, x: str, y: str) -> DataFrame:
     smaller x-rank and its discordant partners those with a larger x-rank:
     running sums over x inside each group (range-bucketed, never one task).
     """
-    p = df.select(to_double(c(x)).alias("x"), to_double(c(y)).alias("y")).dropna()
+    p = df.select(num(df, x).alias("x"), num(df, y).alias("y")).dropna()
     p = p.join(_dense_codes(p, "x", "rx"), "x").join(_dense_codes(p, "y", "ry"), "y")
     joint = p.groupBy("rx", "ry").agg(F.count(F.lit(1)).alias("w"))
     maxr = joint.agg(F.max("ry")).first()[0]
@@ -146,12 +146,12 @@ def strong_pairs(pairs: DataFrame, value: str = "corr", threshold: float = 0.7,
 def cross_products(df: DataFrame, cols: list[str], fill_zero: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
     """Means and the centred cross-product matrix of ``cols`` from one
     aggregate (k(k+1)/2 sums; centring by the means first for stability)."""
-    num = df.select(*[(F.coalesce(to_double(c(x)), F.lit(0.0)) if fill_zero else to_double(c(x))).alias(x)
+    nd = df.select(*[(F.coalesce(num(df, x), F.lit(0.0)) if fill_zero else num(df, x)).alias(x)
                       for x in cols])
-    m = num.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c(x)).alias(x) for x in cols]).first()
+    m = nd.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c(x)).alias(x) for x in cols]).first()
     n = m["_n"]
     means = np.array([m[x] or 0.0 for x in cols])
-    cen = num.select(*[(c(x) - F.lit(float(means[i]))).alias(x) for i, x in enumerate(cols)])
+    cen = nd.select(*[(c(x) - F.lit(float(means[i]))).alias(x) for i, x in enumerate(cols)])
     idx = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     row = cen.agg(*[F.sum(c(cols[i]) * c(cols[j])).alias(f"s{i}_{j}") for i, j in idx]).first()
     S = np.zeros((len(cols), len(cols)))
@@ -225,7 +225,7 @@ def functional_dependencies(df: DataFrame, cols: list[str] | None = None, rsd: f
 def scatter_fit(df: DataFrame, x: str, y: str, min_abs_r: float = 0.3) -> DataFrame:
     """F8: correlation, slope, intercept (line shown only when |r| > 0.3) and
     the strength words used by the chart annotations."""
-    xv, yv = to_double(c(x)), to_double(c(y))
+    xv, yv = num(df, x), num(df, y)
     ok = xv.isNotNull() & yv.isNotNull()
     agg = df.agg(F.corr(F.when(ok, xv), F.when(ok, yv)).alias("correlation"),
                  F.regr_slope(yv, xv).alias("slope"), F.regr_intercept(yv, xv).alias("intercept"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridscope.functions.columns import c, to_double
+from gridscope.functions.columns import c, num
 from gridscope.operators.aggregates import row_mean
 from gridscope.operators.order import dense_position
 
@@ -43,7 +43,7 @@ def keyword_columns(df: DataFrame, words: list[str] = SCORE_WORDS) -> list[str]:
     cands = [x for x in df.columns if any(w in x.lower() for w in words)]
     if not cands:
         return []
-    row = df.agg(*[F.count(to_double(c(x))).alias(f"_{i}") for i, x in enumerate(cands)]).first()
+    row = df.agg(*[F.count(num(df, x)).alias(f"_{i}") for i, x in enumerate(cands)]).first()
     return [x for i, x in enumerate(cands) if row[f"_{i}"] > 0]
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridscope.functions.columns import c, loose_numeric, to_double
+from gridscope.functions.columns import c, loose_numeric, text_to_double
 from gridscope.operators.aggregates import long_value_counts
 from gridscope.operators.order import quantiles
 
@@ -136,7 +136,7 @@ def _num(df: DataFrame, x: str):
         return c(x).cast("double")
     if t == "boolean" or t in TIME_TYPES:
         return F.lit(None).cast("double")
-    return to_double(c(x))
+    return text_to_double(c(x))
 
 
 def text_value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -228,7 +228,7 @@ def structural_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         s = F.trim(as_text(df, x))
         t = dict(df.dtypes)[x]
         is_num_type = t in NUMERIC_TYPES or t.startswith("decimal")
-        d = c(x).cast("double") if is_num_type else to_double(as_text(df, x))
+        d = c(x).cast("double") if is_num_type else text_to_double(as_text(df, x))
         cleaned = F.regexp_replace(as_text(df, x), r"[^0-9.,+\-]", "")
         ld = loose_numeric(as_text(df, x))
         aggs += [

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridscope.functions.columns import parse_percent, to_double
+from gridscope.functions.columns import parse_percent, text_to_double
 from gridscope.operators.scores import ENTITY, ENTITY_WORDS, MEAN, SCORE_WORDS, SHEET, USED
 
 SHEET_KEY = ["file", "sheet"]
@@ -131,7 +131,7 @@ def cell_column_roles(cells: DataFrame) -> DataFrame:
     entity column, and whether it is a score column (score word in the header
     and at least one numeric value)."""
     low = F.lower("header")
-    num = to_double(F.col("value"))
+    num = text_to_double(F.col("value"))
     per = cells.groupBy(*SHEET_KEY, "col", "header").agg(
         F.count_if(F.col("value").isNotNull() & num.isNull()).alias("_text"),
         F.count(num).alias("_nums"))
@@ -157,8 +157,8 @@ def cell_sheet_scores(cells: DataFrame) -> DataFrame:
     tagged = cells.join(roles.select(*SHEET_KEY, "col", "is_score", "is_entity"), SHEET_KEY + ["col"])
     per_row = tagged.groupBy(*SHEET_KEY, "pos").agg(
         F.max(F.when(F.col("is_entity"), F.col("value"))).alias(ENTITY),
-        F.avg(F.when(F.col("is_score"), to_double(F.col("value")))).alias(MEAN),
-        F.count(F.when(F.col("is_score"), to_double(F.col("value")))).alias(USED))
+        F.avg(F.when(F.col("is_score"), text_to_double(F.col("value")))).alias(MEAN),
+        F.count(F.when(F.col("is_score"), text_to_double(F.col("value")))).alias(USED))
     return per_row.filter(F.col(ENTITY).isNotNull() & (F.col(USED) > 0)).select(
         F.col("file").alias(SHEET), ENTITY, MEAN, USED, "pos")
 

@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridscope.functions import special
-from gridscope.functions.columns import c, to_double
+from gridscope.functions.columns import c, num
 from gridscope.operators.order import cumulative, value_counts_long
 
 
 def _values(df: DataFrame, col: str) -> DataFrame:
-    return df.select(to_double(c(col)).alias("x")).filter(F.col("x").isNotNull())
+    return df.select(num(df, col).alias("x")).filter(F.col("x").isNotNull())
 
 
 def dagostino_expr(n, g1, b2):
@@ -213,7 +213,7 @@ def two_groups(df: DataFrame, value: str, cat: str, min_size: int = 5) -> tuple[
     top = (df.filter(c(cat).isNotNull()).groupBy(c(cat).alias("g")).count()
            .orderBy(F.desc("count"), F.asc("g")).limit(2).collect())
     groups = [r["g"] for r in top]
-    sub = df.filter(c(cat).isin(groups)).select(c(cat).alias("g"), to_double(c(value)).alias("x")).dropna()
+    sub = df.filter(c(cat).isin(groups)).select(c(cat).alias("g"), num(df, value).alias("x")).dropna()
     return sub, groups
 
 

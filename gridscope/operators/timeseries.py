@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridscope.functions import special
-from gridscope.functions.columns import c, epoch_seconds, to_double
+from gridscope.functions.columns import c, epoch_seconds, num
 from gridscope.operators.order import dense_position, lag_join
 
 DAY = 86_400.0
@@ -34,7 +34,7 @@ def linear_trend(df: DataFrame, ts: str, ycols: list[str], min_rows: int = 10) -
     x = epoch_seconds(c(ts)) / DAY
     rows = []
     for y in ycols:
-        yy = to_double(c(y))
+        yy = num(df, y)
         ok = c(ts).isNotNull() & yy.isNotNull()
         xv, yv = F.when(ok, x), F.when(ok, yy)
         rows.append(F.struct(
@@ -75,7 +75,7 @@ def add_p_values(df: DataFrame, t_col: str = "t_statistic", n_col: str = "n", al
 
 def positions(df: DataFrame, ts: str, tie: str, value: str) -> DataFrame:
     """Rows with a non-null time and value, numbered 0.. in (ts, tie) order."""
-    base = df.select(c(ts).alias("_ts"), c(tie).alias("_tie"), to_double(c(value)).alias("_y")).dropna()
+    base = df.select(c(ts).alias("_ts"), c(tie).alias("_tie"), num(df, value).alias("_y")).dropna()
     return dense_position(base, ["_ts", "_tie"], out="pos")
 
 
@@ -93,7 +93,7 @@ def resample_daily(df: DataFrame, ts: str, value: str) -> DataFrame:
     """Mean per calendar day, every day between the first and the last
     present (missing days have a NULL mean).  The calendar is generated by
     ``sequence`` from the two bounds and left-joined."""
-    d = df.select(F.to_date(c(ts)).alias("day"), to_double(c(value)).alias("_y")).filter(
+    d = df.select(F.to_date(c(ts)).alias("day"), num(df, value).alias("_y")).filter(
         F.col("day").isNotNull() & F.col("_y").isNotNull())
     daily = d.groupBy("day").agg(F.avg("_y").alias("mean"), F.count("_y").alias("n"))
     cal = daily.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
@@ -107,7 +107,7 @@ def seasonal_strength(df: DataFrame, ts: str, value: str, period: int = 7,
     position mod ``period``.  Strengths = population variance of the part /
     population variance of the raw values.  A missing calendar day makes the
     decomposition undefined: strengths NULL and ``note`` says why."""
-    raw = df.select(to_double(c(value)).alias("_y"), c(ts).alias("_t")).dropna()
+    raw = df.select(num(df, value).alias("_y"), c(ts).alias("_t")).dropna()
     raw_stats = raw.agg(F.count(F.lit(1)).alias("rows"), F.var_pop("_y").alias("raw_var"))
     days = resample_daily(df, ts, value)
     first = days.agg(F.min("day").alias("_d0"))
@@ -140,7 +140,7 @@ def series_summary(df: DataFrame, ts: str, ycols: list[str], min_rows: int = 20)
     pairwise drop) for each value column with at least ``min_rows`` rows."""
     out = None
     for y in ycols:
-        ok = c(ts).isNotNull() & to_double(c(y)).isNotNull()
+        ok = c(ts).isNotNull() & num(df, y).isNotNull()
         part = df.agg(F.lit(y).alias("column"), F.count_if(ok).alias("length"),
                       F.min(F.when(ok, c(ts))).alias("start"), F.max(F.when(ok, c(ts))).alias("end"),
                       F.lit(0).cast("long").alias("missing_values"))
