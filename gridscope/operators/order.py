@@ -160,16 +160,28 @@ def average_ranks(df: DataFrame, value: str, by: list[str] | None = None,
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-              n_buckets: int | None = None) -> DataFrame:
+              n_buckets: int | None = None, rows_per_bucket: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas ``quantile`` / ``quantile_cont``).
 
-    Returns ``(by..., p, q)``.  Works on value counts, so each group is split
-    across range buckets instead of being held by one task.
+    Returns ``(by..., p, q)``.  When every group has few distinct values
+    (HLL estimate <= ``rows_per_bucket``) Spark's exact ``percentile``
+    aggregate is used: its buffer is one (value, count) map per group, so it
+    is bounded by that check.  Otherwise the quantiles come from value counts
+    with range-bucketed running counts, so no group is held by one task.
     """
     by = list(by or [])
+    rpb = rows_per_bucket or ROWS_PER_BUCKET
+    vals = df.filter(c(value).isNotNull())
+    g = vals.groupBy(*[c(b) for b in by]) if by else vals.groupBy()
+    widest = g.agg(F.approx_count_distinct(c(value)).alias("_d")).agg(F.max("_d")).first()[0] or 0
+    if widest <= rpb and n_buckets is None:
+        arr = F.percentile(c(value), [float(p) for p in probs]).alias("_q")
+        res = g.agg(arr)
+        return res.select(*[c(b) for b in by], F.inline(F.arrays_zip(
+            F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("_q").alias("q"))))
     vc = value_counts_long(df, value, by)
-    cum = cumulative(vc, [value], by, "cnt", n_buckets, out="_cum")
-    n = vc.groupBy(*[c(b) for b in by]).agg(F.sum("cnt").alias("_n"))
+    cum = cumulative(vc, [value], by, "cnt", n_buckets, out="_cum", rows_per_bucket=rows_per_bucket)
+    n = cum.groupBy(*[c(b) for b in by]).agg(F.max("_cum").alias("_n"))
     targets = n.select(*[c(b) for b in by], "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
     targets = (targets.withColumn("_h", (F.col("_n") - 1) * F.col("p"))
                .withColumn("_lo", F.floor("_h")).withColumn("_frac", F.col("_h") - F.col("_lo"))
@@ -178,13 +190,12 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
                          F.explode(F.array(
                              F.struct(F.lit(0).alias("side"), F.col("_lo").alias("at")),
                              F.struct(F.lit(1).alias("side"), F.col("_hi").alias("at")))).alias("t"))
-    pos = pos.select(*[c(b) for b in by], "p", "_frac", "t.side", "t.at")
-    cond = [(F.col("_at") >= F.col("_cum") - F.col("cnt")), (F.col("_at") < F.col("_cum"))]
-    pos = pos.withColumnRenamed("at", "_at")
+    pos = pos.select(*[c(b) for b in by], "p", "_frac", "t.side", F.col("t.at").alias("_at"))
+    cond = (F.col("_at") >= F.col("_cum") - F.col("cnt")) & (F.col("_at") < F.col("_cum"))
     if by:
-        joined = cum.join(pos, by, "inner").filter(cond[0] & cond[1])
+        joined = cum.join(pos, by, "inner").filter(cond)
     else:
-        joined = cum.crossJoin(F.broadcast(pos)).filter(cond[0] & cond[1])
+        joined = cum.crossJoin(F.broadcast(pos)).filter(cond)
     picked = joined.groupBy(*[c(b) for b in by], "p").agg(
         F.max("_frac").alias("_frac"),
         F.max(F.when(F.col("side") == 0, c(value))).alias("_vlo"),

@@ -77,53 +77,66 @@ def spearman_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
-def _dense_codes(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Dense 0-based integer code of each distinct value in value order."""
-    vc = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    pos = cumulative(vc, [col], weight="_one", out="_c")
-    return pos.select(col, (F.col("_c") - 1).cast("long").alias(out))
+def _dense_codes(df: DataFrame, col: str, out: str, by: list[str]) -> DataFrame:
+    """Distinct values (per ``by`` group) with their count ``_n`` and dense
+    0-based code in value order."""
+    vc = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
+    pos = cumulative(vc, [col], by=by, weight="_one", out="_c")
+    return pos.select(*by, col, "_n", (F.col("_c") - 1).cast("long").alias(out))
+
+
+def kendall_pairs(df: DataFrame, cols: list[str] | None = None, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """exact tau-b for every pair, all pairs in one set of jobs
+    (O(n log n) rows per pair, pairwise-complete).
+
+    Pairs of rows that differ in y-rank diverge at exactly one highest bit
+    level L.  Within a group (L, ry >> (L + 1)), a row with bit L = 1 is
+    above every row with bit 0, so its concordant partners are the bit-0 rows
+    with a smaller x-rank and its discordant partners those with a larger
+    x-rank: running sums over x inside each group (range-bucketed when a
+    group is large, never one task for everything)."""
+    spark = df.sparkSession
+    pairs = pairs or _pairs(cols or [])
+    schema = "var1 string, var2 string, tau_b double, n long"
+    if not pairs:
+        return spark.createDataFrame([], schema)
+    arr = F.array(*[F.struct(F.lit(i).alias("pair"), num(df, a).alias("x"), num(df, b).alias("y"))
+                    for i, (a, b) in enumerate(pairs)])
+    p = df.select(F.inline(arr)).dropna()
+    cx, cy = _dense_codes(p, "x", "rx", ["pair"]), _dense_codes(p, "y", "ry", ["pair"])
+    sx = cx.groupBy("pair").agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * (F.col("_n") - 1) / 2).alias("tx"))
+    sy = cy.groupBy("pair").agg(F.sum(F.col("_n") * (F.col("_n") - 1) / 2).alias("ty"), F.max("ry").alias("maxr"))
+    stats = {r["pair"]: r for r in sx.join(sy, "pair").collect()}
+    maxr = max([r["maxr"] for r in stats.values()] + [0])
+    levels = max(1, int(maxr).bit_length())
+    joint = (p.join(cx.select("pair", "x", "rx"), ["pair", "x"]).join(cy.select("pair", "y", "ry"), ["pair", "y"])
+             .groupBy("pair", "rx", "ry").agg(F.count(F.lit(1)).alias("w")))
+    ex = joint.select("pair", "rx", "w", "ry", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("L"))
+    ex = ex.select(
+        "pair", "L", F.expr("ry >> (L + 1)").alias("g"), "rx", F.expr("(ry >> L) & 1").alias("bit"), "w")
+    grid = ex.groupBy("pair", "L", "g", "rx").agg(
+        F.sum(F.when(F.col("bit") == 0, F.col("w")).otherwise(0)).alias("n0"),
+        F.sum(F.when(F.col("bit") == 1, F.col("w")).otherwise(0)).alias("n1"))
+    cum = cumulative(grid, ["rx"], by=["pair", "L", "g"], weight="n0", out="c0")
+    tot = grid.groupBy("pair", "L", "g").agg(F.sum("n0").alias("t0"))
+    sums = {r["pair"]: r for r in cum.join(tot, ["pair", "L", "g"]).groupBy("pair").agg(
+        F.sum(F.col("n1") * (F.col("c0") - F.col("n0"))).alias("conc"),
+        F.sum(F.col("n1") * (F.col("t0") - F.col("c0"))).alias("disc")).collect()}
+    rows = []
+    for i, (a, b) in enumerate(pairs):
+        st = stats.get(i)
+        n_row = int(st["n"]) if st else 0
+        sm = sums.get(i)
+        n0 = n_row * (n_row - 1) / 2
+        den = math.sqrt(max(n0 - st["tx"], 0) * max(n0 - st["ty"], 0)) if st else 0.0
+        s_val = ((sm["conc"] or 0) - (sm["disc"] or 0)) if sm else 0
+        rows.append((a, b, float(s_val / den) if den > 0 else None, n_row))
+    return spark.createDataFrame(rows, schema)
 
 
 def kendall_tau_b(df: DataFrame, x: str, y: str) -> DataFrame:
-    """exact tau-b for one pair in O(n log n) rows.
-
-    Pairs that differ in y-rank diverge at exactly one highest bit level L.
-    Within a group (L, ry >> (L + 1)), a row with bit L = 1 is above every
-    row with bit 0, so its concordant partners are the bit-0 rows with a
-    smaller x-rank and its discordant partners those with a larger x-rank:
-    running sums over x inside each group (range-bucketed, never one task).
-    """
-    p = df.select(num(df, x).alias("x"), num(df, y).alias("y")).dropna()
-    p = p.join(_dense_codes(p, "x", "rx"), "x").join(_dense_codes(p, "y", "ry"), "y")
-    joint = p.groupBy("rx", "ry").agg(F.count(F.lit(1)).alias("w"))
-    maxr = joint.agg(F.max("ry")).first()[0]
-    if maxr is None:
-        return df.sparkSession.createDataFrame([(x, y, None, 0)], "var1 string, var2 string, tau_b double, n long")
-    levels = max(1, int(maxr).bit_length())
-    ex = joint.select("rx", "w", "ry", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("L"))
-    ex = ex.select("L", F.expr("ry >> (L + 1)").alias("g"), "rx", F.expr("(ry >> L) & 1").alias("bit"), "w")
-    grid = ex.groupBy("L", "g", "rx").agg(F.sum(F.when(F.col("bit") == 0, F.col("w")).otherwise(0)).alias("n0"),
-                                          F.sum(F.when(F.col("bit") == 1, F.col("w")).otherwise(0)).alias("n1"))
-    cum = cumulative(grid, ["rx"], by=["L", "g"], weight="n0", out="c0")
-    tot = grid.groupBy("L", "g").agg(F.sum("n0").alias("t0"))
-    s = cum.join(tot, ["L", "g"]).agg(
-        F.sum(F.col("n1") * (F.col("c0") - F.col("n0"))).alias("conc"),
-        F.sum(F.col("n1") * (F.col("t0") - F.col("c0"))).alias("disc")).first()
-    n_row = p.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    tx = p.groupBy("rx").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
-    ty = p.groupBy("ry").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
-    n0 = n_row * (n_row - 1) / 2
-    den = math.sqrt(max(n0 - tx, 0) * max(n0 - ty, 0))
-    tau = ((s["conc"] or 0) - (s["disc"] or 0)) / den if den > 0 else None
-    return df.sparkSession.createDataFrame([(x, y, tau, n_row)], "var1 string, var2 string, tau_b double, n long")
-
-
-def kendall_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
-    out = None
-    for a, b in _pairs(cols):
-        k = kendall_tau_b(df, a, b)
-        out = k if out is None else out.unionByName(k)
-    return out
+    """F3 for one pair."""
+    return kendall_pairs(df, pairs=[(x, y)])
 
 
 def strong_pairs(pairs: DataFrame, value: str = "corr", threshold: float = 0.7,
@@ -183,7 +196,7 @@ def partial_correlations(df: DataFrame, cols: list[str], alpha: float = 0.05) ->
     return spark.createDataFrame(rows, schema)
 
 
-def functional_dependencies(df: DataFrame, cols: list[str] | None = None, rsd: float = 0.01) -> DataFrame:
+def functional_dependencies(df: DataFrame, cols: list[str] | None = None, rsd: float = 0.05) -> DataFrame:
     """ordered pairs a -> b where every non-null a value has exactly one
     distinct non-null b (a group whose b is all NULL fails).
 
@@ -211,11 +224,20 @@ def functional_dependencies(df: DataFrame, cols: list[str] | None = None, rsd: f
             if pair <= est[f"d{i}"] * (1 + 6 * rsd) + 2:
                 cands.append((a, b))
     rows = []
-    for a, b in cands:
-        g = txt.filter(c(a).isNotNull()).groupBy(c(a)).agg(F.count_distinct(c(b)).alias("nb"))
-        r = g.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("nb") != 1).alias("bad")).first()
-        if r["bad"] == 0:
-            rows.append((a, b, "functional_dependency", "complete", int(r["groups"])))
+    if cands:
+        # every candidate verified by the same two aggregates: rows carry one
+        # (candidate, a, b) triple per candidate whose determinant is present
+        trip = F.array(*[F.when(c(a).isNotNull(), F.struct(F.lit(i).alias("k"), c(a).alias("a"), c(b).alias("b")))
+                         for i, (a, b) in enumerate(cands)])
+        long = txt.select(F.explode(F.filter(trip, lambda s: s.isNotNull())).alias("t")).select("t.k", "t.a", "t.b")
+        per_a = long.groupBy("k", "a").agg(F.count_distinct("b").alias("nb"))
+        res = per_a.groupBy("k").agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("nb") != 1).alias("bad"))
+        found = {r["k"]: r for r in res.collect()}
+        for i, (a, b) in enumerate(cands):
+            r = found.get(i)
+            groups, bad = (r["groups"], r["bad"]) if r else (0, 0)
+            if bad == 0:
+                rows.append((a, b, "functional_dependency", "complete", int(groups)))
     out = spark.createDataFrame(rows, "determinant string, dependent string, type string, strength string, groups long")
     nn = txt.agg(*[F.count(c(x)).alias(x) for x in cols]).first().asDict()
     keys = spark.createDataFrame([(x, nn[x]) for x in cols], "determinant string, _nn long")

@@ -175,49 +175,32 @@ def recommend_charts(types: DataFrame) -> DataFrame:
     """Chart recommendations from the semantic type table
     ``(column, type, distinct, ord)``: the composition of numeric /
     categorical / date columns picks the rule set; output
-    ``(chart_type, columns, relevance, ord)`` by relevance desc (stable)."""
-    types = materialize_small(types)
-    num = types.filter(F.col("type") == "numeric")
-    cat = types.filter(F.col("type") == "categorical")
-    dat = types.filter(F.col("type") == "date")
-    counts = types.agg(F.count_if(F.col("type") == "numeric").alias("nn"),
-                       F.count_if(F.col("type") == "categorical").alias("nc"))
-    r = []
-    # one numeric, no categorical
-    one_num = num.crossJoin(counts).filter((F.col("nn") == 1) & (F.col("nc") == 0))
-    r.append(one_num.select(F.lit("histogram").alias("chart_type"), F.array("column").alias("columns"),
-                            F.lit(0.9).alias("relevance"), (F.col("ord") * 10).alias("ord")))
-    r.append(one_num.select(F.lit("box_plot"), F.array("column"), F.lit(0.8), F.col("ord") * 10 + 1))
-    # several numeric, no categorical
-    many = counts.filter((F.col("nn") > 1) & (F.col("nc") == 0))
-    allnum = num.agg(F.sort_array(F.collect_list(F.struct("ord", "column"))).alias("l"))
-    r.append(many.crossJoin(allnum).select(F.lit("correlation_matrix"), F.transform("l", lambda s: s["column"]),
-                                           F.lit(0.95), F.lit(0)))
-    a, b = num.alias("a"), num.alias("b")
-    pairs = a.join(b, F.col("a.ord") < F.col("b.ord")).crossJoin(many.select())
-    r.append(pairs.select(F.lit("scatter_plot"), F.array("a.column", "b.column"), F.lit(0.7),
-                          F.col("a.ord") * 1000 + F.col("b.ord") + 1))
-    # one categorical, no numeric
-    one_cat = cat.crossJoin(counts).filter((F.col("nc") == 1) & (F.col("nn") == 0))
-    r.append(one_cat.select(F.lit("bar_chart"), F.array("column"), F.lit(0.9), F.col("ord") * 10))
-    r.append(one_cat.filter(F.col("distinct") <= 8).select(F.lit("pie_chart"), F.array("column"), F.lit(0.8),
-                                                           F.col("ord") * 10 + 1))
-    # several categorical, no numeric: contingency of the first two
-    manyc = counts.filter((F.col("nc") > 1) & (F.col("nn") == 0))
-    firstc = cat.agg(F.slice(F.sort_array(F.collect_list(F.struct("ord", "column"))), 1, 2).alias("l"))
-    r.append(manyc.crossJoin(firstc).select(F.lit("contingency_heatmap"), F.transform("l", lambda s: s["column"]),
-                                            F.lit(0.85), F.lit(0)))
-    # mixed: grouped box for each numeric x categorical with <= 10 categories
-    mixed = counts.filter((F.col("nn") >= 1) & (F.col("nc") >= 1))
-    nb = num.alias("n").join(cat.alias("c").filter(F.col("distinct") <= 10), how="inner", on=F.lit(True))
-    r.append(nb.crossJoin(mixed.select()).select(F.lit("grouped_box_plot"), F.array("n.column", "c.column"), F.lit(0.85),
-                                                 F.col("n.ord") * 1000 + F.col("c.ord")))
-    # time series for each date x numeric
-    ts = dat.alias("d").join(num.alias("n"), how="inner", on=F.lit(True))
-    r.append(ts.select(F.lit("time_series"), F.array("d.column", "n.column"), F.lit(0.9),
-                       F.lit(10_000_000) + F.col("d.ord") * 1000 + F.col("n.ord")))
-    out = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=False), [x.toDF("chart_type", "columns", "relevance", "ord") for x in r])
-    return out.orderBy(F.desc("relevance"), "ord")
+    ``(chart_type, columns, relevance, ord)`` by relevance desc (stable).
+    The input has one row per column, so the rule table is applied on the
+    driver to the collected metadata."""
+    spark = types.sparkSession
+    rows = sorted(types.select("column", "type", "distinct", "ord").collect(), key=lambda r: r["ord"])
+    num = [r for r in rows if r["type"] == "numeric"]
+    cat = [r for r in rows if r["type"] == "categorical"]
+    dat = [r for r in rows if r["type"] == "date"]
+    out = []
+    if len(num) == 1 and not cat:
+        out += [("histogram", [num[0]["column"]], 0.9), ("box_plot", [num[0]["column"]], 0.8)]
+    elif len(num) > 1 and not cat:
+        out.append(("correlation_matrix", [r["column"] for r in num], 0.95))
+        out += [("scatter_plot", [a["column"], b["column"]], 0.7) for i, a in enumerate(num) for b in num[i + 1:]]
+    elif len(cat) == 1 and not num:
+        out.append(("bar_chart", [cat[0]["column"]], 0.9))
+        if cat[0]["distinct"] <= 8:
+            out.append(("pie_chart", [cat[0]["column"]], 0.8))
+    elif len(cat) > 1 and not num:
+        out.append(("contingency_heatmap", [r["column"] for r in cat[:2]], 0.85))
+    elif num and cat:
+        out += [("grouped_box_plot", [n["column"], k["column"]], 0.85) for n in num for k in cat if k["distinct"] <= 10]
+    out += [("time_series", [d["column"], n["column"]], 0.9) for d in dat for n in num]
+    ranked = sorted(enumerate(out), key=lambda t: (-t[1][2], t[0]))
+    return spark.createDataFrame([(r[0], r[1], float(r[2]), i) for i, (_, r) in enumerate(ranked)],
+                                 "chart_type string, columns array<string>, relevance double, ord int")
 
 
 def recommend_visualizations(types: DataFrame) -> DataFrame:
@@ -226,30 +209,27 @@ def recommend_visualizations(types: DataFrame) -> DataFrame:
     (medium) per categorical column with <= 20 values; a line (high) for each
     datetime x numeric; a correlation heatmap (high) and scatter pairs
     (medium) for >= 2 numerics; box by category (high) for categorical
-    columns with <= 10 values x numerics.  Stable sort by priority."""
-    types = materialize_small(types)
-    num = types.filter(F.col("type") == "numeric")
-    cat = types.filter(F.col("type") == "categorical")
-    dat = types.filter(F.col("type") == "datetime")
-    nnum = num.agg(F.count(F.lit(1)).alias("nn"))
-    r = [
-        num.select(F.lit("histogram"), F.array("column"), F.lit("high"), F.lit(0), F.col("ord") * 2),
-        num.select(F.lit("box"), F.array("column"), F.lit("medium"), F.lit(0), F.col("ord") * 2 + 1),
-        cat.filter(F.col("distinct") <= 20).select(F.lit("bar"), F.array("column"), F.lit("high"), F.lit(1), F.col("ord") * 2),
-        cat.filter(F.col("distinct") <= 20).select(F.lit("pie"), F.array("column"), F.lit("medium"), F.lit(1),
-                                                   F.col("ord") * 2 + 1),
-        dat.alias("d").join(num.alias("n"), how="inner", on=F.lit(True)).select(
-            F.lit("line"), F.array("d.column", "n.column"), F.lit("high"), F.lit(2), F.col("d.ord") * 1000 + F.col("n.ord")),
-    ]
-    allnum = num.agg(F.sort_array(F.collect_list(F.struct("ord", "column"))).alias("l"))
-    r.append(nnum.filter(F.col("nn") >= 2).crossJoin(allnum).select(
-        F.lit("correlation_heatmap"), F.transform("l", lambda s: s["column"]), F.lit("high"), F.lit(3), F.lit(0)))
-    a, b = num.alias("a"), num.alias("b")
-    r.append(a.join(b, F.col("a.ord") < F.col("b.ord")).select(
-        F.lit("scatter"), F.array("a.column", "b.column"), F.lit("medium"), F.lit(3), F.col("a.ord") * 1000 + F.col("b.ord") + 1))
-    r.append(cat.alias("c").filter(F.col("distinct") <= 10).join(num.alias("n"), how="inner", on=F.lit(True)).select(
-        F.lit("box_by_category"), F.array("c.column", "n.column"), F.lit("high"), F.lit(4),
-        F.col("c.ord") * 1000 + F.col("n.ord")))
-    out = reduce(lambda x, y: x.unionByName(y), [x.toDF("type", "columns", "priority", "grp", "ord") for x in r])
-    pr = F.when(F.col("priority") == "high", 3).when(F.col("priority") == "medium", 2).otherwise(1)
-    return out.orderBy(F.desc(pr), "grp", "ord")
+    columns with <= 10 values x numerics.  Stable sort by priority.  Applied
+    on the driver to the collected per-column metadata."""
+    spark = types.sparkSession
+    rows = sorted(types.select("column", "type", "distinct", "ord").collect(), key=lambda r: r["ord"])
+    num = [r["column"] for r in rows if r["type"] == "numeric"]
+    cat = [r for r in rows if r["type"] == "categorical"]
+    dat = [r["column"] for r in rows if r["type"] == "datetime"]
+    out = []
+    for x in num:
+        out += [("histogram", [x], "high"), ("box", [x], "medium")]
+    for k in cat:
+        if k["distinct"] <= 20:
+            out += [("bar", [k["column"]], "high"), ("pie", [k["column"]], "medium")]
+    if dat and num:
+        out += [("line", [d, x], "high") for d in dat for x in num]
+    if len(num) >= 2:
+        out.append(("correlation_heatmap", list(num), "high"))
+        out += [("scatter", [a, b], "medium") for i, a in enumerate(num) for b in num[i + 1:]]
+    if cat and num:
+        out += [("box_by_category", [k["column"], x], "high") for k in cat for x in num if k["distinct"] <= 10]
+    pr = {"high": 3, "medium": 2, "low": 1}
+    ranked = sorted(enumerate(out), key=lambda t: (-pr[t[1][2]], t[0]))
+    return spark.createDataFrame([(r[0], r[1], r[2], 0, i) for i, (_, r) in enumerate(ranked)],
+                                 "type string, columns array<string>, priority string, grp int, ord int")

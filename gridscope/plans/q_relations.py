@@ -45,12 +45,7 @@ FROM (SELECT sum(sign(x.{a} - y.{a}) * sign(x.{b} - y.{b})) AS s FROM part x JOI
      (SELECT sum(c * (c - 1) / 2) AS ty FROM (SELECT count(*) AS c FROM part GROUP BY {b}))""" for a, b in KP))
 def kendall_pairs(spark, sf):
     """exact tau-b over the whole part table (O(n log n) per pair)."""
-    p = t(spark, sf, "part")
-    out = None
-    for a, b in KP:
-        k = R.kendall_tau_b(p, a, b)
-        out = k if out is None else out.unionByName(k)
-    return round_cols(out)
+    return round_cols(R.kendall_pairs(t(spark, sf, "part"), pairs=KP))
 
 
 DOC_NUM = ["doc_id", "n_chars", "text_len", "n_words"]
