@@ -56,14 +56,26 @@ def moments(df: DataFrame, cols: list[str]) -> DataFrame:
                       cv.alias("cv"), "range", "geometric_mean", "harmonic_mean")
 
 
+def literal_map(rows, key: str, value: str):
+    """A small collected result (one row per column) as a map literal, so a
+    later pass uses it as a constant instead of re-running its aggregate."""
+    pairs = [x for r in rows if r[value] is not None for x in (F.lit(r[key]), F.lit(float(r[value])))]
+    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
+
+
 def robust_spread(df: DataFrame, cols: list[str]) -> DataFrame:
-    """IQR and MAD (median of |x - median|, unscaled), exact, per column."""
+    """IQR and MAD (median of |x - median|, unscaled), exact, per column.
+    The medians (one per column) are collected and used as literals by the
+    second pass."""
+    spark = df.sparkSession
     long = to_long(df, cols)
-    qs = quantile_columns(long, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}, by=["column"])
-    dev = long.join(qs.select("column", "median"), "column").select(
-        "column", F.abs(F.col("value") - F.col("median")).alias("dev"))
+    qs = quantile_columns(long, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}, by=["column"]).collect()
+    med = literal_map(qs, "column", "median")
+    dev = long.select("column", F.abs(F.col("value") - med[F.col("column")]).alias("dev"))
     mad = quantiles(dev, "dev", [0.5], by=["column"]).select("column", F.col("q").alias("mad"))
-    return qs.join(mad, "column", "left").select(
+    qdf = spark.createDataFrame([(r["column"], r["q25"], r["median"], r["q75"]) for r in qs],
+                                "column string, q25 double, median double, q75 double")
+    return qdf.join(mad, "column", "left").select(
         "column", "q25", "median", "q75", (F.col("q75") - F.col("q25")).alias("iqr"), "mad")
 
 

@@ -173,7 +173,11 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
     rpb = rows_per_bucket or ROWS_PER_BUCKET
     vals = df.filter(c(value).isNotNull())
     g = vals.groupBy(*[c(b) for b in by]) if by else vals.groupBy()
-    widest = g.agg(F.approx_count_distinct(c(value)).alias("_d")).agg(F.max("_d")).first()[0] or 0
+    # rows bound the distinct values; only when a group is large is the
+    # (costlier) distinct-value sketch consulted
+    widest = g.agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
+    if widest > rpb:
+        widest = g.agg(F.approx_count_distinct(c(value)).alias("_d")).agg(F.max("_d")).first()[0] or 0
     if widest <= rpb and n_buckets is None:
         arr = F.percentile(c(value), [float(p) for p in probs]).alias("_q")
         res = g.agg(arr)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridscope.functions.columns import c, to_double
-from gridscope.operators.aggregates import to_long
+from gridscope.operators.aggregates import literal_map, to_long
 from gridscope.operators.order import quantile_columns, quantiles
 
 
@@ -71,10 +71,13 @@ def zscore_outliers(df: DataFrame, cols: list[str], threshold: float = 3.0, min_
 def modified_z_outliers(df: DataFrame, cols: list[str], threshold: float = 3.5, min_rows: int = 10,
                         k_examples: int = 10) -> DataFrame:
     """0.6745 |x - median| / MAD > 3.5; nothing is flagged when MAD = 0."""
+    spark = df.sparkSession
     long = to_long(df, cols)
-    med = quantiles(long, "value", [0.5], by=["column"]).select("column", F.col("q").alias("_med"))
-    dev = long.join(F.broadcast(med), "column").withColumn("_dev", F.abs(F.col("value") - F.col("_med")))
+    med_rows = quantiles(long, "value", [0.5], by=["column"]).collect()  # one row per column
+    medmap = literal_map(med_rows, "column", "q")
+    dev = long.withColumn("_dev", F.abs(F.col("value") - medmap[F.col("column")]))
     mad = quantiles(dev, "_dev", [0.5], by=["column"]).select("column", F.col("q").alias("_mad"))
+    med = spark.createDataFrame([(r["column"], r["q"]) for r in med_rows], "column string, _med double")
     n = long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
     st = n.join(med, "column").join(mad, "column")
     mz = 0.6745 * F.col("_dev") / F.col("_mad")
