@@ -132,10 +132,14 @@ def distribution_comparison(spark, sf):
 
 
 @query("line_chart", """
-WITH r AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+WITH pts AS (SELECT ts, value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+r AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi, count(*) AS n FROM pts),
 b AS (SELECT CAST(least(floor((epoch_us(ts) - lo) / ((hi - lo) / 1000)), 999) AS BIGINT) AS bk, value, lo, hi
-      FROM events, r WHERE ts IS NOT NULL AND value IS NOT NULL)
-SELECT CAST(floor(lo + bk * ((hi - lo) / 1000)) AS BIGINT) AS x_us, round(avg(value), 6) AS y, count(*) AS n FROM b GROUP BY bk, lo, hi""")
+      FROM pts, r WHERE n > 1000 AND hi > lo)
+SELECT CAST(floor(lo + bk * ((hi - lo) / 1000)) AS BIGINT) AS x_us, round(avg(value), 6) AS y, count(*) AS n
+FROM b GROUP BY bk, lo, hi
+UNION ALL
+SELECT epoch_us(ts) AS x_us, round(value, 6) AS y, CAST(1 AS BIGINT) AS n FROM pts, r WHERE r.n <= 1000 OR hi = lo""")
 def line_chart(spark, sf):
     """K4: the event value over time, pre-aggregated to 1000 time buckets."""
     pts = K.line_points(t(spark, sf, "events"), "ts", "value", 1000)

@@ -51,17 +51,22 @@ def regress_each(spark, sf):
 
 @query("durbin_watson", """
 WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem),
-r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice - (a + b * l_quantity) AS e FROM lineitem, f),
-l AS (SELECT e, lag(e) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS p FROM r)
+r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+             l_extendedprice - (a + b * l_quantity) AS e FROM lineitem, f),
+l AS (SELECT e, lag(e) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS p FROM r)
 SELECT round(sum((e - p) * (e - p)) / sum(e * e), 6) AS durbin_watson FROM l""")
 def durbin_watson(spark, sf):
     """H6 on the residuals of price ~ quantity in (orderkey, linenumber,
-    partkey, suppkey) order (the first two alone are not unique)."""
+    partkey, suppkey, quantity, price) order (the first two alone are not
+    unique; rows equal on all six have equal residuals)."""
     li = t(spark, sf, "lineitem")
     fit = H.regress_each(li, ["l_extendedprice", "l_quantity"]).filter("target = 'l_extendedprice'").first()
     res = H.residuals(li, "l_extendedprice", ["l_quantity"], fit["coefficients"], fit["intercept"],
-                      keep=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    return round_cols(H.durbin_watson(res, "resid", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]))
+                      keep=DW_ORDER)
+    return round_cols(H.durbin_watson(res, "resid", DW_ORDER))
+
+
+DW_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
 def _dagostino_sql(tbl, col):
