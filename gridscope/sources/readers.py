@@ -24,10 +24,16 @@ EXTENSIONS = {
 }
 
 
+# Spark's CSV reader names for the Python codecs we sniff (cp1252 has no Spark
+# charset; its nearest is ISO-8859-1)
+SPARK_CHARSETS = {"utf-8": "utf-8", "latin-1": "iso-8859-1", "iso-8859-1": "iso-8859-1", "cp1252": "iso-8859-1"}
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8",
               header: bool = True) -> DataFrame:
     """A1: delimited text, every column read as text (types are inferred
     afterwards with one aggregate, see clean.infer_types)."""
+    encoding = SPARK_CHARSETS.get(encoding.lower(), encoding)
     df = (spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
           .option("multiLine", False).option("mode", "PERMISSIVE").csv(path))
     first = df.columns[0] if df.columns else None
