@@ -179,3 +179,11 @@ def row_mean(df: DataFrame, cols: list[str], keep: list[str],
             .select(*[c(k) for k in keep],
                     (F.aggregate("_vals", F.lit(0.0), lambda a, v: a + v) / F.size("_vals")).alias(mean_name),
                     F.size("_vals").cast("long").alias(count_name)))
+
+
+def top_k(df: DataFrame, by: list[str], k: int, ascending: bool = False,
+          tiebreak: list[str] | None = None) -> DataFrame:
+    """The first ``k`` rows by ``by`` (a bounded top-k sort:
+    TakeOrderedAndProject), ties broken by ``tiebreak`` ascending."""
+    order = [c(x).asc() if ascending else c(x).desc() for x in by] + [c(x).asc() for x in tiebreak or []]
+    return df.orderBy(*order).limit(k)

@@ -232,3 +232,61 @@ def scatter(df: DataFrame, x: str, y: str, key: str, max_rows: int = 1000):
     """K3: sampled points and the fit over all rows (F8)."""
     pts = scaled_sample(df, [x, y], key, max_rows)
     return pts, scatter_fit(df, x, y)
+
+
+def _as_json_rows(df: DataFrame) -> DataFrame:
+    """A bounded chart dataset as one JSON array (one row)."""
+    return df.agg(F.to_json(F.collect_list(F.struct(*[F.col(f"`{x}`") for x in df.columns]))).alias("data"))
+
+
+def chart_data(df: DataFrame, chart_type: str, columns: list[str], key: str | None = None) -> DataFrame | None:
+    """Dataset of one recommended chart (K1-K8, with the recommendation
+    names that have no chart of their own mapped to the nearest one)."""
+    from gridscope.operators.aggregates import crosstab
+    t = chart_type
+    if t in ("histogram",):
+        return histogram(df, columns[0])
+    if t in ("box_plot", "box"):
+        return box_stats(df, columns[0])
+    if t in ("grouped_box_plot",):
+        return box_stats(df, columns[0], by=columns[1])
+    if t in ("box_by_category",):
+        return box_stats(df, columns[1], by=columns[0])
+    if t in ("correlation_matrix", "correlation_heatmap"):
+        return correlation_heatmap(df, columns)[0]
+    if t in ("scatter_plot", "scatter"):
+        return scatter_fit(df, columns[0], columns[1])
+    if t in ("bar_chart", "bar"):
+        return bar(df, columns[0])
+    if t in ("pie_chart", "pie"):
+        return pie(df, columns[0])
+    if t in ("contingency_heatmap",):
+        return crosstab(df, columns[0], columns[1])
+    if t in ("time_series", "line"):
+        return line_points(df, columns[0], columns[1])
+    return None
+
+
+def dashboard(df: DataFrame, recommendations: list[tuple[str, list[str]]], n: int = 6) -> DataFrame:
+    """Datasets of the first ``n`` recommendations (6 for the dashboard,
+    12 for "all charts"); recommendations whose columns are missing are
+    skipped.  Long rows ``(chart_id, chart_type, columns, data)`` where data
+    is the chart's (bounded) dataset as JSON."""
+    spark = df.sparkSession
+    out = None
+    shown = 0
+    for chart_type, cols in recommendations:
+        if shown >= n:
+            break
+        if any(x not in df.columns for x in cols):
+            continue
+        data = chart_data(df, chart_type, cols)
+        if data is None:
+            continue
+        part = _as_json_rows(data).select(F.lit(shown).alias("chart_id"), F.lit(chart_type).alias("chart_type"),
+                                          F.array(*[F.lit(x) for x in cols]).alias("columns"), "data")
+        out = part if out is None else out.unionByName(part)
+        shown += 1
+    if out is None:
+        return spark.createDataFrame([], "chart_id int, chart_type string, columns array<string>, data string")
+    return out

@@ -135,6 +135,20 @@ def seasonal_strength(df: DataFrame, ts: str, value: str, period: int = 7,
                     note.alias("note"))
 
 
+def sort_by_time(df: DataFrame, ts: str, tie: str | None = None) -> DataFrame:
+    """Rows in time order (a range-partitioned global sort)."""
+    return df.orderBy(c(ts), *([c(tie)] if tie else []))
+
+
+def centred_moving_average(daily: DataFrame, day: str = "day", value: str = "mean", width: int = 7) -> DataFrame:
+    """E6 over a calendar table: the centred mean of ``width`` days, NULL
+    unless the whole window has values.  The input is one row per day."""
+    half = width // 2
+    w = Window.orderBy(day).rowsBetween(-half, half)  # days: a small, aggregated table
+    return daily.withColumn("_cnt", F.count(value).over(w)).withColumn(
+        "moving_average", F.when(F.col("_cnt") == width, F.avg(value).over(w))).drop("_cnt")
+
+
 def series_summary(df: DataFrame, ts: str, ycols: list[str], min_rows: int = 20) -> DataFrame:
     """G5 + G10: length, first and last time, missing values (0 after the
     pairwise drop) for each value column with at least ``min_rows`` rows."""
@@ -249,3 +263,127 @@ def durbin_watson_from_positions(p: DataFrame, resid: str) -> DataFrame:
     """H6 on any positioned residual table: sum (e_t - e_{t-1})^2 / sum e_t^2."""
     j = lag_join(p, "pos", [resid])
     return j.agg((F.sum((F.col(resid) - F.col(resid + "_prev")) ** 2) / F.sum(F.col(resid) ** 2)).alias("durbin_watson"))
+
+
+# ------------------------------------------------------------------ ADF test
+
+# MacKinnon (1994) p-value surface and MacKinnon (2010) critical
+# value polynomials for the constant-only regression with one series.
+ADF_TAU_MAX, ADF_TAU_MIN, ADF_TAU_STAR = 2.74, -18.83, -1.61
+ADF_SMALL_P = [2.1659, 1.4412, 0.038269]
+ADF_LARGE_P = [1.7339, 0.93202, -0.12745, -0.010368]
+ADF_CRIT = {"1%": [-3.43035, -6.5393, -16.786, -79.433],
+            "5%": [-2.86154, -2.8903, -4.234, -40.040],
+            "10%": [-2.56677, -1.5384, -2.809, 0.0]}
+
+
+def _mackinnon_p(stat: float) -> float:
+    if stat > ADF_TAU_MAX:
+        return 1.0
+    if stat < ADF_TAU_MIN:
+        return 0.0
+    coef = ADF_SMALL_P if stat <= ADF_TAU_STAR else ADF_LARGE_P
+    return special.norm_cdf(sum(c * stat ** i for i, c in enumerate(coef)))
+
+
+def _gram_partitions(it, k_lags):
+    """Partial cross-product matrix of z = [1, x_{t-1}, d_{t-1..t-k}, d_t]
+    for the rows of one partition (numpy inside the task)."""
+    import pandas as pd
+    k = k_lags + 3
+    acc = np.zeros((k, k))
+    n = 0
+    for pdf in it:
+        if pdf.empty:
+            continue
+        z = np.column_stack([np.ones(len(pdf)), pdf["lvl"].to_numpy(float),
+                             np.vstack(pdf["lags"].to_numpy()).astype(float) if k_lags else np.zeros((len(pdf), 0)),
+                             pdf["d"].to_numpy(float)])
+        acc += z.T @ z
+        n += len(pdf)
+    yield pd.DataFrame({"n": [n], "g": [acc.ravel().tolist()]})
+
+
+def adf_test(df: DataFrame, ts: str, tie: str, value: str, max_lag: int | None = None) -> DataFrame:
+    """Augmented Dickey-Fuller with a constant and the lag chosen by AIC.
+
+    Rows are positioned in (ts, tie) order.  Every row t meets its level
+    x_{t-1} and the differences d_{t-1..t-K} through one exploded equi-join
+    on position (K = 12 (n/100)^(1/4), as the reference's library does).
+    The cross-product matrix of the design over the rows with all K lags is
+    summed per partition with numpy and added on the driver ((K+3)^2
+    numbers per partition); the first K rows, which only the shorter-lag
+    fits use, are collected (at most K rows).  The AIC search over 0..K lags
+    and the final t statistic are driver-side algebra on those matrices."""
+    spark = df.sparkSession
+    schema = ("column string, adf_statistic double, p_value double, used_lag int, nobs long, "
+              "crit_1 double, crit_5 double, crit_10 double, is_stationary boolean")
+    p = positions(df, ts, tie, value).select("pos", F.col("_y").alias("x"))
+    n = p.count()
+    if n < 4:
+        return spark.createDataFrame([], schema)
+    K = int(math.ceil(12.0 * (n / 100.0) ** 0.25)) if max_lag is None else max_lag
+    K = max(0, min(n // 2 - 2, K))
+    d = lag_join(p, "pos", ["x"]).filter(F.col("x_prev").isNotNull()).select(
+        "pos", (F.col("x") - F.col("x_prev")).alias("d"), F.col("x_prev").alias("lvl"))
+    # row t receives d_{t-j} for j = 1..K
+    shifted = d.select(F.explode(F.sequence(F.lit(1), F.lit(max(K, 1)))).alias("j"), "pos", "d").select(
+        "j", (F.col("pos") + F.col("j")).alias("pos"), F.col("d").alias("dl"))
+    if K > 0:
+        lags = shifted.filter(F.col("j") <= K).groupBy("pos").agg(
+            F.sort_array(F.collect_list(F.struct("j", "dl"))).alias("_l"))
+        rows = d.join(lags, "pos", "left").select(
+            "pos", "lvl", "d", F.transform(F.coalesce("_l", F.array().cast("array<struct<j:int,dl:double>>")),
+                                           lambda s: s["dl"]).alias("lags"))
+        full = rows.filter(F.size("lags") == K)
+        edge = [r for r in rows.filter(F.size("lags") < K).collect()]  # at most K rows
+    else:
+        full = d.select("pos", "lvl", "d", F.array().cast("array<double>").alias("lags"))
+        edge = []
+    parts = full.select("lvl", "d", "lags").mapInPandas(
+        lambda it: _gram_partitions(it, K), "n long, g array<double>").collect()
+    k = K + 3
+    G = np.zeros((k, k))
+    n_full = 0
+    for r in parts:
+        G += np.array(r["g"]).reshape(k, k)
+        n_full += r["n"]
+
+    def ols(Gm, cols, nobs):
+        xx = Gm[np.ix_(cols, cols)]
+        xy = Gm[cols, k - 1]
+        beta = np.linalg.solve(xx, xy)
+        ssr = float(Gm[k - 1, k - 1] - beta @ xy)
+        return beta, max(ssr, 1e-300), xx
+
+    # AIC search on the common sample (rows with all K lags)
+    best, best_aic = 0, float("inf")
+    for lag in range(0, K + 1):
+        cols = [0, 1] + list(range(2, 2 + lag))
+        try:
+            _, ssr, _ = ols(G, cols, n_full)
+        except np.linalg.LinAlgError:
+            continue
+        aic = n_full * (math.log(2 * math.pi) + math.log(ssr / n_full) + 1) + 2 * len(cols)
+        if aic < best_aic - 1e-12:
+            best, best_aic = lag, aic
+    # final fit with the chosen lag on its own (longer) sample: add the edge rows that have it
+    Gp = G.copy()
+    nobs = n_full
+    for r in edge:
+        lv = list(r["lags"])
+        if len(lv) >= best:
+            z = np.zeros(k)
+            z[0], z[1], z[k - 1] = 1.0, r["lvl"], r["d"]
+            z[2:2 + best] = lv[:best]
+            Gp += np.outer(z, z)
+            nobs += 1
+    cols = [0, 1] + list(range(2, 2 + best))
+    beta, ssr, xx = ols(Gp, cols, nobs)
+    s2 = ssr / (nobs - len(cols))
+    se = math.sqrt(s2 * np.linalg.inv(xx)[1, 1])
+    stat = float(beta[1] / se)
+    pval = _mackinnon_p(stat)
+    crit = {key: sum(cc / nobs ** i for i, cc in enumerate(v)) for key, v in ADF_CRIT.items()}
+    return spark.createDataFrame([(value, stat, pval, best, nobs, crit["1%"], crit["5%"], crit["10%"], pval < 0.05)],
+                                 schema)

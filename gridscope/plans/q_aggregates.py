@@ -110,3 +110,11 @@ def group_median(spark, sf):
 SELECT event_type, round(avg(value), 6) AS mean, count(value) AS count FROM events GROUP BY 1""")
 def group_mean_count(spark, sf):
     return round_cols(A.group_mean(t(spark, sf, "events"), ["event_type"], "value"))
+
+
+@query("top_k_orders", """
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10""")
+def top_k_orders(spark, sf):
+    """The ten largest orders (a top-k is the feature)."""
+    return A.top_k(t(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], 10,
+                   tiebreak=["o_orderkey"])

@@ -127,3 +127,24 @@ def acf(spark, sf):
 def pacf(spark, sf):
     """G8 (Yule-Walker on Spark-computed autocovariances; rows-only check)."""
     return round_cols(G.pacf(t(spark, sf, "events"), "ts", "event_id", "value"))
+
+
+@query("adf_test")
+def adf_test(spark, sf):
+    """G9 on the event value in (ts, event_id) order (rows-only: the p-value
+    surface is not expressible in SQL)."""
+    return round_cols(G.adf_test(t(spark, sf, "events"), "ts", "event_id", "value"))
+
+
+@query("moving_average", """
+WITH daily AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS mean FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1),
+cal AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM daily),
+s AS (SELECT cal.day, mean FROM cal LEFT JOIN daily USING (day))
+SELECT strftime(day, '%Y-%m-%d') AS day, round(mean, 6) AS mean,
+  round(CASE WHEN count(mean) OVER w = 7 THEN avg(mean) OVER w END, 6) AS moving_average
+FROM s WINDOW w AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
+def moving_average(spark, sf):
+    """Centred 7-day mean of the daily event value."""
+    d = G.resample_daily(t(spark, sf, "events"), "ts", "value").select("day", "mean")
+    m = G.centred_moving_average(d)
+    return round_cols(m.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "mean", "moving_average"))

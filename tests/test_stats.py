@@ -108,3 +108,38 @@ def test_kendall_small_brute_force(spark):
     tx = sum(c * (c - 1) / 2 for c in np.unique([r[0] for r in rows], return_counts=True)[1])
     ty = sum(c * (c - 1) / 2 for c in np.unique([r[1] for r in rows], return_counts=True)[1])
     assert got == pytest.approx(s / math.sqrt((n0 - tx) * (n0 - ty)))
+
+
+def test_adf_matches_direct_regression(spark):
+    import datetime
+    from gridscope.operators import timeseries as G
+    rng = np.random.default_rng(0)
+    n = 300
+    rw = np.cumsum(rng.normal(size=n))
+    rows = [(datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=i), i, float(rw[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "ts timestamp, id long, v double")
+    r = G.adf_test(df, "ts", "id", "v").first()
+
+    # the same procedure written directly with numpy on the whole series
+    K = min(n // 2 - 2, int(np.ceil(12 * (n / 100) ** 0.25)))
+    d = np.diff(rw)
+
+    def design(lag, start):
+        X = [[1.0, rw[t]] + [d[t - j] for j in range(1, lag + 1)] for t in range(start, len(d))]
+        return np.array(X), d[start:]
+
+    best, best_aic = 0, np.inf
+    for lag in range(K + 1):
+        X, y = design(lag, K)
+        b = np.linalg.lstsq(X, y, rcond=None)[0]
+        ssr = ((y - X @ b) ** 2).sum()
+        aic = len(y) * (np.log(2 * np.pi) + np.log(ssr / len(y)) + 1) + 2 * X.shape[1]
+        if aic < best_aic - 1e-12:
+            best, best_aic = lag, aic
+    X, y = design(best, best)
+    b = np.linalg.lstsq(X, y, rcond=None)[0]
+    res = y - X @ b
+    se = np.sqrt(res @ res / (len(y) - X.shape[1]) * np.linalg.inv(X.T @ X)[1, 1])
+    assert r["used_lag"] == best and r["nobs"] == len(y)
+    assert r["adf_statistic"] == pytest.approx(b[1] / se, rel=1e-9)
+    assert 0 <= r["p_value"] <= 1 and r["crit_1"] < r["crit_5"] < r["crit_10"]
