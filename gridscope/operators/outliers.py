@@ -20,6 +20,14 @@ from gridscope.operators.aggregates import literal_map, to_long
 from gridscope.operators.order import quantile_columns, quantiles
 
 
+def _with_examples(out: DataFrame, flagged: DataFrame, k: int) -> DataFrame:
+    """Attach up to ``k`` example values per column (none when ``k`` is 0:
+    the flagged rows are then only counted)."""
+    if k <= 0:
+        return out.withColumn("outlier_values", F.lit(None).cast("array<double>"))
+    return out.join(_examples(flagged, k), "column", "left")
+
+
 def _examples(flagged: DataFrame, k: int) -> DataFrame:
     """Up to ``k`` example values per column: the largest |z|-like distance
     first (deterministic; the reference lists them in file order)."""
@@ -48,7 +56,7 @@ def iqr_outliers(df: DataFrame, cols: list[str], min_rows: int = 10, k_examples:
         "_dist", F.greatest(F.col("lower_bound") - F.col("value"), F.col("value") - F.col("upper_bound")))
     cnt = flagged.groupBy("column").agg(F.count(F.lit(1)).alias("outlier_count"))
     out = b.join(cnt, "column", "left").fillna(0, ["outlier_count"])
-    return out.join(_examples(flagged, k_examples), "column", "left").select(
+    return _with_examples(out, flagged, k_examples).select(
         "column", "outlier_count", (F.col("outlier_count") / F.col("n") * 100).alias("outlier_percentage"),
         "lower_bound", "upper_bound", "outlier_values")
 
@@ -63,7 +71,7 @@ def zscore_outliers(df: DataFrame, cols: list[str], threshold: float = 3.0, min_
     flagged = long.join(F.broadcast(st), "column").filter((F.col("_s") > 0) & (z > threshold)).withColumn("_dist", z)
     cnt = flagged.groupBy("column").agg(F.count(F.lit(1)).alias("outlier_count"))
     out = st.join(cnt, "column", "left").fillna(0, ["outlier_count"])
-    return out.join(_examples(flagged, k_examples), "column", "left").select(
+    return _with_examples(out, flagged, k_examples).select(
         "column", "outlier_count", (F.col("outlier_count") / F.col("n") * 100).alias("outlier_percentage"),
         F.lit(threshold).alias("threshold"), "outlier_values")
 
@@ -85,7 +93,7 @@ def modified_z_outliers(df: DataFrame, cols: list[str], threshold: float = 3.5,
         (F.col("_mad") != 0) & (mz > threshold)).withColumn("_dist", mz)
     cnt = flagged.groupBy("column").agg(F.count(F.lit(1)).alias("outlier_count"))
     out = st.join(cnt, "column", "left").fillna(0, ["outlier_count"])
-    return out.join(_examples(flagged, k_examples), "column", "left").select(
+    return _with_examples(out, flagged, k_examples).select(
         "column", "outlier_count", (F.col("outlier_count") / F.col("n") * 100).alias("outlier_percentage"),
         F.lit(threshold).alias("threshold"), "outlier_values")
 
@@ -215,6 +223,6 @@ def isolation_forest(df: DataFrame, cols: list[str], contamination: float = 0.1,
         "_dist", F.col("score"))
     cnt = flagged.groupBy("column").agg(F.count(F.lit(1)).alias("outlier_count"))
     out = n.join(cnt, "column", "left").fillna(0, ["outlier_count"])
-    return out.join(_examples(flagged, k_examples), "column", "left").select(
+    return _with_examples(out, flagged, k_examples).select(
         "column", "outlier_count", (F.col("outlier_count") / F.col("n") * 100).alias("outlier_percentage"),
         "outlier_values")

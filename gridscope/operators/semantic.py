@@ -186,7 +186,7 @@ def quality_scores(df: DataFrame, cols: list[str] | None = None, rows: int | Non
 def semantic_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """C4: the family with the highest confidence; families in order, then
     numeric, then categorical, and a later one wins only when strictly higher.
-    Returns ``(column, type, subtype, confidence, quality_score)``."""
+    Returns ``(column, type, subtype, confidence, quality_score, distinct)``."""
     cols = cols or df.columns
     rows = df.count()
     vc = text_value_counts(df, cols)
@@ -206,11 +206,14 @@ def semantic_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         F.min_by(F.struct("type", "subtype", "confidence"),
                  F.struct(F.negative("confidence"), F.col("_o"))).alias("b"))
     q = quality_scores(df, cols, rows, vc)
+    dist = vc.groupBy("column").agg(F.count("value").alias("distinct"))
     base = df.sparkSession.createDataFrame([(x,) for x in cols], "column string")
     return (base.join(best, "column", "left").join(q.select("column", "quality_score"), "column", "left")
+            .join(dist, "column", "left")
             .select("column", F.coalesce(F.col("b.type"), F.lit("unknown")).alias("type"),
                     F.col("b.subtype").alias("subtype"),
-                    F.coalesce(F.col("b.confidence"), F.lit(0.0)).alias("confidence"), "quality_score"))
+                    F.coalesce(F.col("b.confidence"), F.lit(0.0)).alias("confidence"), "quality_score",
+                    F.coalesce(F.col("distinct"), F.lit(0)).alias("distinct")))
 
 
 def structural_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -152,12 +152,11 @@ def smart_analysis(df: DataFrame) -> dict[str, DataFrame]:
         pr = pairs.withColumn("rank", F.row_number().over(_by_abs()))
         groups.append(J.relationship_insights(pr, dep_rank))
     groups.append(J.anomaly_insights(anomalies))
-    distinct = D.long_value_counts(cleaned, cols).groupBy("column").agg(F.count("value").alias("distinct"))
     return {
         "cleaned": cleaned, "cleaning_log": log, "types": types,
         "correlations": pairs, "dependencies": deps, "similar_columns": R.similar_columns(numv, ncols),
         "anomalies": anomalies,
-        "chart_recommendations": J.recommend_charts(types.join(distinct, "column", "left").fillna(0, ["distinct"])),
+        "chart_recommendations": J.recommend_charts(types),
         "insights": J.rank_insights(*groups),
         "numeric_columns": spark.createDataFrame([(x,) for x in nums], "column string"),
     }

@@ -186,10 +186,10 @@ def dashboard(spark, sf):
     (rows-only: JSON payloads)."""
     from gridscope.operators import rules as J
     from gridscope.operators import semantic as C
-    from gridscope.plans.q_rules import _distincts, _with_ord
+    from gridscope.plans.q_rules import _with_ord
     from gridscope.plans.q_types import ORDER_COLS
     o = t(spark, sf, "orders")
-    types = _with_ord(spark, C.semantic_types(o, ORDER_COLS), ORDER_COLS).join(_distincts(o, ORDER_COLS), "column")
+    types = _with_ord(spark, C.semantic_types(o, ORDER_COLS), ORDER_COLS)
     recs = [(r["chart_type"], list(r["columns"])) for r in J.recommend_charts(types).orderBy("ord").collect()]
     return K.dashboard(o, recs, 6).select("chart_id", "chart_type", F.array_join("columns", ",").alias("columns"),
                                           F.length("data").alias("data_chars"))

@@ -151,7 +151,7 @@ FROM events, (SELECT quantile_cont(value, 0.25) - 1.5 * (quantile_cont(value, 0.
 WHERE value IS NOT NULL""")
 def iqr_outliers(spark, sf):
     """F20 on the event value."""
-    r = O.iqr_outliers(t(spark, sf, "events"), ["value"])
+    r = O.iqr_outliers(t(spark, sf, "events"), ["value"], k_examples=0)
     return round_cols(r.drop("outlier_values"))
 
 
@@ -161,7 +161,7 @@ SELECT 'value' AS column, count(*) FILTER (WHERE abs(value - m) / s > 3) AS outl
 FROM events, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events) WHERE value IS NOT NULL""")
 def z_outliers(spark, sf):
     """F21."""
-    return round_cols(O.zscore_outliers(t(spark, sf, "events"), ["value"]).drop("outlier_values"))
+    return round_cols(O.zscore_outliers(t(spark, sf, "events"), ["value"], k_examples=0).drop("outlier_values"))
 
 
 @query("modified_z_outliers", """
@@ -174,7 +174,7 @@ SELECT 'value' AS column,
 FROM events, m, d WHERE value IS NOT NULL""")
 def modified_z_outliers(spark, sf):
     """F22."""
-    return round_cols(O.modified_z_outliers(t(spark, sf, "events"), ["value"]).drop("outlier_values"))
+    return round_cols(O.modified_z_outliers(t(spark, sf, "events"), ["value"], k_examples=0).drop("outlier_values"))
 
 
 @query("upper_share", """
@@ -191,4 +191,4 @@ def upper_share(spark, sf):
 @query("isolation_share")
 def isolation_share(spark, sf):
     """isolation forest flags (about 10 % by construction; rows-only)."""
-    return round_cols(O.isolation_forest(t(spark, sf, "events"), ["value"]).drop("outlier_values"))
+    return round_cols(O.isolation_forest(t(spark, sf, "events"), ["value"], k_examples=0).drop("outlier_values"))

@@ -45,7 +45,7 @@ SELECT chart_type, columns, relevance, row_number() OVER (ORDER BY relevance DES
 def chart_recommendations(spark, sf):
     """J8 over the semantic types of ``orders``."""
     o = t(spark, sf, "orders")
-    types = _with_ord(spark, C.semantic_types(o, ORDER_COLS), ORDER_COLS).join(_distincts(o, ORDER_COLS), "column")
+    types = _with_ord(spark, C.semantic_types(o, ORDER_COLS), ORDER_COLS)
     rec = J.recommend_charts(types)
     from pyspark.sql import Window
     w = Window.orderBy(F.desc("relevance"), "ord")  # over the handful of recommendations

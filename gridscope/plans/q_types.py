@@ -79,7 +79,7 @@ FROM q LEFT JOIN best ON q."column" = best."column"
 @query("semantic_types", _semantic_sql("customer", CUST_COLS))
 def semantic_types(spark, sf):
     """C2-C5 combined: best type per column of ``customer``."""
-    return round_cols(C.semantic_types(t(spark, sf, "customer"), CUST_COLS))
+    return round_cols(C.semantic_types(t(spark, sf, "customer"), CUST_COLS).drop("distinct"))
 
 
 @query("quality_scores", DIRTY_SQL + "\nUNION ALL\n".join(
