@@ -163,26 +163,34 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
               n_buckets: int | None = None, rows_per_bucket: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas ``quantile`` / ``quantile_cont``).
 
-    Returns ``(by..., p, q)``.  When every group has few distinct values
-    (HLL estimate <= ``rows_per_bucket``) Spark's exact ``percentile``
-    aggregate is used: its buffer is one (value, count) map per group, so it
-    is bounded by that check.  Otherwise the quantiles come from value counts
-    with range-bucketed running counts, so no group is held by one task.
+    Returns ``(by..., p, q)``.  Three exact plans, chosen by one count job:
+    groups of at most ``rows_per_bucket`` rows are sorted once inside a task;
+    larger groups with few distinct values (HLL estimate) use Spark's exact
+    ``percentile`` (one (value, count) map per group, bounded by that check);
+    otherwise value counts with range-bucketed running counts, so no group is
+    held by one task.
     """
     by = list(by or [])
     rpb = rows_per_bucket or ROWS_PER_BUCKET
     vals = df.filter(c(value).isNotNull())
     g = vals.groupBy(*[c(b) for b in by]) if by else vals.groupBy()
-    # rows bound the distinct values; only when a group is large is the
-    # (costlier) distinct-value sketch consulted
-    widest = g.agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
-    if widest > rpb:
-        widest = g.agg(F.approx_count_distinct(c(value)).alias("_d")).agg(F.max("_d")).first()[0] or 0
+    largest = g.agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
+    pl = F.array(*[F.lit(float(p)) for p in probs])
+    if largest <= rpb and n_buckets is None:
+        # a group fits one task: sort its values once and read the order statistics
+        srt = g.agg(F.array_sort(F.collect_list(c(value))).alias("_a"), F.count(c(value)).alias("_n"))
+        ex = srt.select(*[c(b) for b in by], "_a", "_n", F.explode(pl).alias("p"))
+        h = (F.col("_n") - 1) * F.col("p")
+        lo = F.floor(h).cast("int")
+        vlo = F.element_at("_a", lo + 1)
+        vhi = F.element_at("_a", F.least(lo + 2, F.col("_n").cast("int")))
+        return ex.select(*[c(b) for b in by], "p", (vlo + (h - F.floor(h)) * (vhi - vlo)).alias("q"))
+    widest = g.agg(F.approx_count_distinct(c(value)).alias("_d")).agg(F.max("_d")).first()[0] or 0
     if widest <= rpb and n_buckets is None:
-        arr = F.percentile(c(value), [float(p) for p in probs]).alias("_q")
-        res = g.agg(arr)
-        return res.select(*[c(b) for b in by], F.inline(F.arrays_zip(
-            F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("_q").alias("q"))))
+        # many rows but few distinct values: Spark's exact percentile keeps one
+        # (value, count) map per group, bounded by the check above
+        res = g.agg(F.percentile(c(value), [float(p) for p in probs]).alias("_q"))
+        return res.select(*[c(b) for b in by], F.inline(F.arrays_zip(pl.alias("p"), F.col("_q").alias("q"))))
     vc = value_counts_long(df, value, by)
     cum = cumulative(vc, [value], by, "cnt", n_buckets, out="_cum", rows_per_bucket=rows_per_bucket)
     n = cum.groupBy(*[c(b) for b in by]).agg(F.max("_cum").alias("_n"))

@@ -50,23 +50,25 @@ def _samples(vc: DataFrame, k: int) -> DataFrame:
 def numeric_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     """Min, max, mean, median, std, IQR outlier count and a distribution
     label from pandas' bias-corrected skew (|G1| < 0.5 normal, > 0.5
-    right_skewed, otherwise left_skewed - also when the skew is undefined)."""
+    right_skewed, otherwise left_skewed - also when the skew is undefined).
+    The per-column quartiles are collected and enter the single final
+    aggregate as literals."""
+    from gridscope.operators.aggregates import literal_map
     long = to_long(df, cols)
+    qs = quantile_columns(long, "value", {"_q1": 0.25, "median": 0.5, "_q3": 0.75}, by=["column"]).collect()
+    lo = literal_map([{"column": r["column"], "v": r["_q1"] - 1.5 * (r["_q3"] - r["_q1"])} for r in qs], "column", "v")
+    hi = literal_map([{"column": r["column"], "v": r["_q3"] + 1.5 * (r["_q3"] - r["_q1"])} for r in qs], "column", "v")
+    med = literal_map(qs, "column", "median")
+    v = F.col("value")
     base = long.groupBy("column").agg(
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.count("value").alias("_n"), F.skewness("value").alias("_g1"))
-    qs = quantile_columns(long, "value", {"_q1": 0.25, "median": 0.5, "_q3": 0.75}, by=["column"])
-    bounds = qs.select("column", "median", (F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1"))).alias("_lo"),
-                       (F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1"))).alias("_hi"))
-    outl = long.join(F.broadcast(bounds.select("column", "_lo", "_hi")), "column").groupBy("column").agg(
-        F.count_if((F.col("value") < F.col("_lo")) | (F.col("value") > F.col("_hi"))).alias("outliers_count"))
+        F.stddev_samp("value").alias("std"), F.count("value").alias("_n"), F.skewness("value").alias("_g1"),
+        F.count_if((v < lo[F.col("column")]) | (v > hi[F.col("column")])).alias("outliers_count"))
     n = F.col("_n")
     g = F.when(n >= 3, F.col("_g1") * F.sqrt(n * (n - 1)) / (n - 2))
     dist = F.when(F.abs(g) < 0.5, "normal").when(g > 0.5, "right_skewed").otherwise("left_skewed")
-    return (base.join(bounds, "column").join(outl, "column", "left")
-            .select("column", "min", "max", "mean", "median", "std",
-                    F.coalesce("outliers_count", F.lit(0)).alias("outliers_count"),
-                    dist.alias("distribution_type")))
+    return base.select("column", "min", "max", "mean", med[F.col("column")].alias("median"), "std",
+                       "outliers_count", dist.alias("distribution_type"))
 
 
 def categorical_profile(df: DataFrame, cols: list[str], k: int = 10) -> DataFrame:

@@ -1,5 +1,6 @@
 """Order primitives: the range-bucketed path must equal a plain window."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -63,3 +64,15 @@ def test_lag_join(spark):
     df = spark.createDataFrame([(i, float(i * i)) for i in range(10)], "pos long, v double")
     j = O.lag_join(df, "pos", ["v"]).orderBy("pos").collect()
     assert j[0]["v_prev"] is None and j[3]["v_prev"] == 4.0
+
+
+def test_quantiles_three_plans(spark):
+    li = spark.read.parquet(f"{SF_MID}/lineitem.parquet").select("l_quantity", "l_returnflag")
+    probs = [0.1, 0.5, 0.75]
+    sort_plan = sorted(O.quantiles(li, "l_quantity", probs, by=["l_returnflag"]).collect())
+    # 50 distinct quantities, groups of ~20 000 rows: the percentile-map plan
+    map_plan = sorted(O.quantiles(li, "l_quantity", probs, by=["l_returnflag"], rows_per_bucket=1000).collect())
+    # forced range buckets
+    bucket_plan = sorted(O.quantiles(li, "l_quantity", probs, by=["l_returnflag"], n_buckets=8).collect())
+    for a, b, c in zip(sort_plan, map_plan, bucket_plan):
+        assert a["q"] == pytest.approx(b["q"]) == pytest.approx(c["q"])
