@@ -2,9 +2,9 @@
 
 Each returns a dict of named result DataFrames.  The input is cached once
 (``persist``) because every analysis scans it several times, and released at
-the end; lineage is cut with ``checkpoint`` (reliable, in the folder named by
-``spark.checkpoint.dir``) only where a plan would otherwise grow with the
-number of steps.
+the end; where a derived table feeds many later steps it is written once to
+the folder named by ``spark.checkpoint.dir`` and read back
+(``session.materialize``), which cuts lineage and survives lost executors.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from gridscope.operators import sheets as L
 from gridscope.operators import stattests as T
 from gridscope.operators import timeseries as G
 from gridscope.operators import models as H
-from gridscope.session import ensure_checkpoint_dir
+from gridscope.session import materialize
 
 
 def _ord_table(spark, cols):
@@ -37,8 +37,7 @@ def score_sheets(cells: DataFrame) -> dict[str, DataFrame]:
     matrix, the engagement matrix of hierarchical sheets, per-sheet stats,
     rankings and the report table.  The cell table feeds several branches,
     so it is materialized once with a reliable checkpoint."""
-    ensure_checkpoint_dir(cells.sparkSession)
-    cells = cells.checkpoint()
+    cells = materialize(cells, "cells")
     scores, records = L.score_sheets(cells)
     return {
         "scores": scores,
@@ -127,13 +126,12 @@ def smart_analysis(df: DataFrame) -> dict[str, DataFrame]:
     ``comprehensive_statistics(result["cleaned"], numeric columns)``."""
     spark = df.sparkSession
     cleaned, log = B.clean_table(df)
-    ensure_checkpoint_dir(spark)
-    cleaned = cleaned.checkpoint()  # reliable checkpoint: later steps re-read it many times
+    cleaned = materialize(cleaned, "cleaned")  # later steps re-read it many times
     cols = cleaned.columns
     ordc = _ord_table(spark, cols)
     types = C.semantic_types(cleaned, cols).join(ordc, "column")
     rows = cleaned.count()
-    numv = B.numeric_view(cleaned).checkpoint()
+    numv = materialize(B.numeric_view(cleaned), "numeric")
     ncols = numv.columns
     pairs = R.strong_pairs(R.pearson_pairs(numv, ncols), strong_label_at=0.8) if len(ncols) >= 2 else None
     deps = R.functional_dependencies(cleaned, cols)

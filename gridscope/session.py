@@ -66,6 +66,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet under the checkpoint folder (shared storage
+    on a cluster) and read it back: lineage is cut, the result survives lost
+    executors, and - unlike ``checkpoint()`` without a cache - the plan runs
+    only once."""
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/gridscope-{label}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table as a parquet scan (filters/projections push down)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
