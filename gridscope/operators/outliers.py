@@ -179,11 +179,17 @@ def isolation_forest(df: DataFrame, cols: list[str], contamination: float = 0.1,
         return spark.createDataFrame([], "column string, outlier_count long, outlier_percentage double, outlier_values array<double>")
     keep = long.filter(F.col("column").isin(list(sizes)))
     trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
+    # every tree draws an independent Bernoulli sample of ~3 x 256 values, then
+    # keeps 256.  Rows are first thinned to the union of the trees' samples
+    # (fraction p1), so the per-tree explode touches ~n_trees^2 x 768 rows
+    # whatever the column size.
     frac = {x: min(1.0, 3.0 * sample_size / max(1, sizes[x])) for x in sizes}
+    pre = {x: min(1.0, n_trees * f) for x, f in frac.items()}
     frac_expr = F.create_map(*[v for x, f in frac.items() for v in (F.lit(x), F.lit(f))])
-    # each tree draws an independent Bernoulli pre-sample (3 x 256 expected), then keeps 256
-    cand = keep.select("column", "value", trees).filter(
-        F.rand(seed) < frac_expr[F.col("column")])
+    pre_expr = F.create_map(*[v for x, f in pre.items() for v in (F.lit(x), F.lit(f))])
+    thinned = keep.filter(F.rand(seed) < pre_expr[F.col("column")])
+    cand = thinned.select("column", "value", trees).filter(
+        F.rand(seed + 7) < frac_expr[F.col("column")] / pre_expr[F.col("column")])
     from pyspark.sql import Window
     w = Window.partitionBy("column", "tree").orderBy(F.xxhash64("value", "tree", F.rand(seed + 1)))
     samp = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample_size).drop("_r")

@@ -55,10 +55,12 @@ def sniff(spark: SparkSession, path: str, head_bytes: int = 65536) -> tuple[str,
     return enc, sniff_separator(text)
 
 
-def read_csv_sniffed(spark: SparkSession, path: str) -> DataFrame:
-    """A2: sniff encoding and separator, then read with Spark's CSV scan."""
+def read_csv_sniffed(spark: SparkSession, path: str, separators_only: bool = False) -> DataFrame:
+    """A2: sniff encoding and separator, then read with Spark's CSV scan.
+    ``separators_only`` is the upload route's variant: UTF-8 always (bad
+    bytes replaced), only the separator is sniffed."""
     enc, sep = sniff(spark, path)
-    return read_csv(spark, path, sep=sep, encoding=enc)
+    return read_csv(spark, path, sep=sep, encoding="utf-8" if separators_only else enc)
 
 
 def read_whitespace_table(spark: SparkSession, path: str) -> DataFrame:

@@ -111,3 +111,21 @@ def test_entity_and_keyword_columns(spark):
     assert S.keyword_columns(df) == ["Nota 1", "Media Final"]
     rows = {r["Escola"]: (r["Media"], r["Valores_Utilizados"]) for r in S.sheet_scores(df, "s").collect()}
     assert rows == {"x": (1.75, 2)}
+
+
+def test_score_sheets_many_files(spark, tmpdir_fresh):
+    """P1 over a folder holding a plain sheet and a hierarchical one."""
+
+    _write_hier(os.path.join(tmpdir_fresh, "saeb.csv"))
+    with open(os.path.join(tmpdir_fresh, "plain.csv"), "w", encoding="utf-8") as f:
+        f.write("Nome da Escola,Nota 1,Media Final,obs\nEscola X,7.5,8.5,ok\nEscola Y,,6,ok\nEscola Z,,,ok\n")
+    res = P.score_sheets(read_cells(spark, os.path.join(tmpdir_fresh, "*.csv")))
+    got = {(r["Planilha"], r["Escola"]): (r["Media"], r["Valores_Utilizados"]) for r in res["scores"].collect()}
+    assert got == {("plain.csv", "Escola X"): (8.0, 2), ("plain.csv", "Escola Y"): (6.0, 1),
+                   ("saeb.csv", "School A"): (71.375, 4), ("saeb.csv", "School B"): (30.0, 2)}
+    stats = {r["Planilha"]: r["escolas"] for r in res["sheet_stats"].collect()}
+    assert stats == {"plain.csv": 2, "saeb.csv": 2}
+    m = res["engagement_matrix"].collect()
+    assert {r["area_metrica"] for r in m} == {"Língua Portuguesa - Engajamento", "Língua Portuguesa - Acertos",
+                                             "Matemática - Engajamento", "Matemática - Acertos"}
+
