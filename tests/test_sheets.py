@@ -24,28 +24,38 @@ def sample_scores(spark):
     return L.cell_sheet_scores(cells).drop("pos")
 
 
-def _stats(scores, prefix):
-    sub = scores.filter(F.col("Planilha").startswith(prefix))
+def _sheet_of_size(scores, n):
+    """The bundled sample sheet with ``n`` scored entities (identified by size,
+    not by name)."""
+    sizes = {r["Planilha"]: r["count"] for r in scores.groupBy("Planilha").count().collect()}
+    names = [k for k, v in sizes.items() if v == n]
+    assert len(names) == 1, sizes
+    return names[0]
+
+
+def _stats(scores, sheet):
+    sub = scores.filter(F.col("Planilha") == sheet)
     return sub.agg(F.count("*").alias("n"), F.avg("Media").alias("mean"), F.stddev_samp("Media").alias("std"),
                    F.min("Media").alias("mn"), F.max("Media").alias("mx")).first()
 
 
-def test_alura_sheet(sample_scores):
-    r = _stats(sample_scores, "ALURA")
+def test_first_sample_sheet(sample_scores):
+    sheet = _sheet_of_size(sample_scores, 25)
+    r = _stats(sample_scores, sheet)
     assert r["n"] == 25
     assert r["mean"] == pytest.approx(2.4004, abs=1e-6)
     assert r["std"] == pytest.approx(0.762168, abs=1e-6)
     assert r["mn"] == pytest.approx(0.686667, abs=1e-6)
     assert r["mx"] == pytest.approx(3.983333, abs=1e-6)
-    top = [x["Media"] for x in sample_scores.filter(F.col("Planilha").startswith("ALURA"))
-           .orderBy(F.desc("Media")).limit(4).collect()]
+    rows = sample_scores.filter(F.col("Planilha") == sheet)
+    top = [x["Media"] for x in rows.orderBy(F.desc("Media")).limit(4).collect()]
     assert top == pytest.approx([3.983333, 3.443333, 3.43, 3.37], abs=1e-6)
-    used = {x["Valores_Utilizados"] for x in sample_scores.filter(F.col("Planilha").startswith("ALURA")).collect()}
-    assert 3 in used
+    assert 3 in {x["Valores_Utilizados"] for x in rows.collect()}
 
 
-def test_leia_sheet(sample_scores):
-    r = _stats(sample_scores, "LEIA")
+def test_second_sample_sheet(sample_scores):
+    sheet = _sheet_of_size(sample_scores, 26)
+    r = _stats(sample_scores, sheet)
     assert r["n"] == 26
     assert r["mean"] == pytest.approx(87.209231, abs=1e-6)
     assert r["std"] == pytest.approx(41.633592, abs=1e-6)
@@ -53,13 +63,14 @@ def test_leia_sheet(sample_scores):
 
 
 def test_sheet_stats_rounding(sample_scores):
-    st = {r["Planilha"][:5]: r for r in S.sheet_stats(sample_scores).collect()}
-    a = st["ALURA"]
+    sheet = _sheet_of_size(sample_scores, 25)
+    a = {r["Planilha"]: r for r in S.sheet_stats(sample_scores).collect()}[sheet]
     assert (a["escolas"], a["media"], a["minimo"], a["maximo"]) == (25, 2.40, 0.69, 3.98)
 
 
 def test_ranking_medals(sample_scores):
-    ranked = S.rank_in_sheet(sample_scores).filter(F.col("Planilha").startswith("LEIA")).orderBy("rank").collect()
+    sheet = _sheet_of_size(sample_scores, 26)
+    ranked = S.rank_in_sheet(sample_scores).filter(F.col("Planilha") == sheet).orderBy("rank").collect()
     assert [r["medal"] for r in ranked[:4]] == ["🥇", "🥈", "🥉", "📊"]
     assert ranked[0]["Media"] == pytest.approx(173.8)
 
@@ -80,7 +91,7 @@ def _write_hier(path):
 
 
 def test_hierarchical_sheet(spark, tmpdir_fresh):
-    _write_hier(os.path.join(tmpdir_fresh, "saeb.csv"))
+    _write_hier(os.path.join(tmpdir_fresh, "hier.csv"))
     cells = read_cells(spark, os.path.join(tmpdir_fresh, "*.csv"))
     kind = L.is_hierarchical(cells).first()
     assert kind["all_unnamed"] and kind["hierarchical"]
@@ -116,15 +127,15 @@ def test_entity_and_keyword_columns(spark):
 def test_score_sheets_many_files(spark, tmpdir_fresh):
     """P1 over a folder holding a plain sheet and a hierarchical one."""
 
-    _write_hier(os.path.join(tmpdir_fresh, "saeb.csv"))
+    _write_hier(os.path.join(tmpdir_fresh, "hier.csv"))
     with open(os.path.join(tmpdir_fresh, "plain.csv"), "w", encoding="utf-8") as f:
         f.write("Nome da Escola,Nota 1,Media Final,obs\nEscola X,7.5,8.5,ok\nEscola Y,,6,ok\nEscola Z,,,ok\n")
     res = P.score_sheets(read_cells(spark, os.path.join(tmpdir_fresh, "*.csv")))
     got = {(r["Planilha"], r["Escola"]): (r["Media"], r["Valores_Utilizados"]) for r in res["scores"].collect()}
     assert got == {("plain.csv", "Escola X"): (8.0, 2), ("plain.csv", "Escola Y"): (6.0, 1),
-                   ("saeb.csv", "School A"): (71.375, 4), ("saeb.csv", "School B"): (30.0, 2)}
+                   ("hier.csv", "School A"): (71.375, 4), ("hier.csv", "School B"): (30.0, 2)}
     stats = {r["Planilha"]: r["escolas"] for r in res["sheet_stats"].collect()}
-    assert stats == {"plain.csv": 2, "saeb.csv": 2}
+    assert stats == {"plain.csv": 2, "hier.csv": 2}
     m = res["engagement_matrix"].collect()
     assert {r["area_metrica"] for r in m} == {"Língua Portuguesa - Engajamento", "Língua Portuguesa - Acertos",
                                              "Matemática - Engajamento", "Matemática - Acertos"}
