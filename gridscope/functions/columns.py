@@ -72,6 +72,34 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-def epoch_seconds(col: Column) -> Column:
-    """Seconds since epoch for timestamp / timestamp_ntz / date columns (UTC session)."""
-    return F.unix_micros(col.cast("timestamp")).cast("double") / 1e6
+_NTZ_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def epoch_micros(df, name: str) -> Column:
+    """Microseconds since 1970-01-01 of a time column, independent of the
+    session time zone: instants (TIMESTAMP) by ``unix_micros``, wall-clock
+    values (TIMESTAMP_NTZ, DATE, text) read as UTC wall clock."""
+    t = dict(df.dtypes)[name]
+    if t == "timestamp":
+        return F.unix_micros(c(name))
+    if t == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, {_NTZ_EPOCH}, {q(name)})")
+    if t == "date":
+        return F.unix_date(c(name)).cast("long") * 86_400_000_000
+    if t == "string":
+        return F.expr(f"timestampdiff(MICROSECOND, {_NTZ_EPOCH}, try_cast({q(name)} AS TIMESTAMP_NTZ))")
+    return F.lit(None).cast("long")
+
+
+def epoch_seconds(df, name: str) -> Column:
+    return epoch_micros(df, name).cast("double") / 1e6
+
+
+def utc_timestamp(df, name: str) -> Column:
+    """A time column as an instant, reading wall-clock values as UTC."""
+    return F.timestamp_micros(epoch_micros(df, name))
+
+
+def utc_day(micros: Column) -> Column:
+    """Calendar day (DATE) of epoch microseconds, in UTC."""
+    return F.date_from_unix_date(F.floor(micros / 86_400_000_000).cast("int"))

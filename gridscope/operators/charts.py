@@ -185,13 +185,13 @@ def distribution_comparison(df: DataFrame, num: str, cat: str, top: int = 5, bin
 def line_points(df: DataFrame, x: str, y: str, max_points: int = 1000) -> DataFrame:
     """K4: points sorted by x; above ``max_points`` rows the series is
     pre-aggregated into ``max_points`` equal-width time buckets (mean)."""
-    base = df.select(c(x).alias("x"), num(df, y).alias("y")).dropna()
-    st = base.agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_micros(F.col("x").cast("timestamp"))).alias("lo"),
-                  F.max(F.unix_micros(F.col("x").cast("timestamp"))).alias("hi")).first()
+    from gridscope.functions.columns import epoch_micros
+    base = df.select(epoch_micros(df, x).alias("_us"), num(df, y).alias("y")).dropna()
+    st = base.agg(F.count(F.lit(1)).alias("n"), F.min("_us").alias("lo"), F.max("_us").alias("hi")).first()
     if st["n"] <= max_points or st["hi"] == st["lo"]:
-        return base.select(F.col("x").cast("timestamp").alias("x"), "y", F.lit(1).cast("long").alias("n")).orderBy("x")
+        return base.select(F.timestamp_micros("_us").alias("x"), "y", F.lit(1).cast("long").alias("n")).orderBy("x")
     width = (st["hi"] - st["lo"]) / max_points
-    b = F.least(F.floor((F.unix_micros(F.col("x").cast("timestamp")) - F.lit(st["lo"])) / F.lit(width)),
+    b = F.least(F.floor((F.col("_us") - F.lit(st["lo"])) / F.lit(width)),
                 F.lit(max_points - 1)).cast("long")
     agg = base.withColumn("_b", b).groupBy("_b").agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
     return agg.select(F.timestamp_micros((F.lit(st["lo"]) + F.col("_b") * F.lit(width)).cast("long")).alias("x"),

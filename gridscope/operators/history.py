@@ -72,9 +72,10 @@ class HistoryStore:
 def history_totals(analyses: DataFrame, metrics: DataFrame, today=None) -> DataFrame:
     """M1: total analyses, today's analyses, mean processing time (2
     decimals), total rows and total charts."""
+    from gridscope.functions.columns import utc_day
     day = F.lit(today).cast("date") if today is not None else F.current_date()
     a = analyses.agg(F.count(F.lit(1)).alias("total_analyses"),
-                     F.count_if(F.to_date("upload_timestamp") == day).alias("analyses_today"))
+                     F.count_if(utc_day(F.unix_micros("upload_timestamp")) == day).alias("analyses_today"))
     m = metrics.agg(F.round(F.avg("processing_time"), 2).alias("avg_processing_time"),
                     F.coalesce(F.sum("data_rows"), F.lit(0)).alias("total_rows_processed"),
                     F.coalesce(F.sum("charts_generated"), F.lit(0)).alias("total_charts_generated"))

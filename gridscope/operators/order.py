@@ -50,7 +50,8 @@ def _bucket_expr(value: Column, bounds: Column) -> Column:
 def _sort_key(df: DataFrame, col: str) -> Column:
     t = dict(df.dtypes)[col]
     if t.startswith("timestamp") or t == "date":
-        return F.unix_micros(c(col).cast("timestamp")).cast("double")
+        from gridscope.functions.columns import epoch_micros
+        return epoch_micros(df, col).cast("double")
     if t == "string":
         # first 6 UTF-8 bytes as a big-endian integer: monotone in Spark's
         # binary string order, exact in a double

@@ -87,13 +87,14 @@ def datetime_profile(df: DataFrame, col: str) -> DataFrame:
     """C14: min / max date as yyyy-MM-dd, whole days between them, and the
     G11 frequency label."""
     from gridscope.operators.timeseries import date_frequency
-    ts = c(col).cast("timestamp") if dict(df.dtypes)[col] != "string" else F.try_to_timestamp(c(col))
-    d = df.select(ts.alias("_t")).filter(F.col("_t").isNotNull())
-    rng = d.agg(F.min("_t").alias("_mn"), F.max("_t").alias("_mx"))
-    days = F.floor((F.unix_micros("_mx") - F.unix_micros("_mn")) / 86_400_000_000).cast("long")
-    out = rng.select(F.lit(col).alias("column"), F.date_format("_mn", "yyyy-MM-dd").alias("min_date"),
-                     F.date_format("_mx", "yyyy-MM-dd").alias("max_date"), days.alias("date_range_days"))
-    return out.crossJoin(date_frequency(d, "_t").select("frequency_pattern"))
+    from gridscope.functions.columns import epoch_micros, utc_day
+    d = df.select(epoch_micros(df, col).alias("_us")).filter(F.col("_us").isNotNull())
+    rng = d.agg(F.min("_us").alias("_mn"), F.max("_us").alias("_mx"))
+    days = F.floor((F.col("_mx") - F.col("_mn")) / 86_400_000_000).cast("long")
+    out = rng.select(F.lit(col).alias("column"), F.date_format(utc_day(F.col("_mn")), "yyyy-MM-dd").alias("min_date"),
+                     F.date_format(utc_day(F.col("_mx")), "yyyy-MM-dd").alias("max_date"), days.alias("date_range_days"))
+    return out.crossJoin(date_frequency(d.select(F.timestamp_micros("_us").alias("_t")), "_t")
+                         .select("frequency_pattern"))
 
 
 def data_quality(df: DataFrame) -> DataFrame:

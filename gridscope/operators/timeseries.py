@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridscope.functions import special
-from gridscope.functions.columns import c, epoch_seconds, num
+from gridscope.functions.columns import c, epoch_micros, epoch_seconds, num
 from gridscope.operators.order import dense_position, lag_join
 
 DAY = 86_400.0
 
 
-def _micros(col):
-    return F.unix_micros(col.cast("timestamp"))
+def _micros(df, name):
+    return epoch_micros(df, name)
 
 
 def linear_trend(df: DataFrame, ts: str, ycols: list[str], min_rows: int = 10) -> DataFrame:
@@ -31,7 +31,7 @@ def linear_trend(df: DataFrame, ts: str, ycols: list[str], min_rows: int = 10) -
     r², correlation, two-sided p (Student t, n - 2 df), n and span in days.
     ``stable`` when |slope| < 0.1 * std(y), else increasing / decreasing.
     One aggregate for all columns; the p-value is a driver-side scalar."""
-    x = epoch_seconds(c(ts)) / DAY
+    x = epoch_seconds(df, ts) / DAY
     rows = []
     for y in ycols:
         yy = num(df, y)
@@ -41,7 +41,7 @@ def linear_trend(df: DataFrame, ts: str, ycols: list[str], min_rows: int = 10) -
             F.lit(y).alias("column"), F.regr_slope(yv, xv).alias("slope"),
             F.regr_r2(yv, xv).alias("r_squared"), F.corr(xv, yv).alias("correlation"),
             F.regr_count(yv, xv).alias("n"), F.stddev_samp(yv).alias("_std"),
-            F.floor((F.max(F.when(ok, _micros(c(ts)))) - F.min(F.when(ok, _micros(c(ts))))) / 86_400_000_000)
+            F.floor((F.max(F.when(ok, _micros(df, ts))) - F.min(F.when(ok, _micros(df, ts)))) / 86_400_000_000)
             .cast("long").alias("time_span_days")))
     res = df.agg(*[r.alias(f"r{i}") for i, r in enumerate(rows)]).select(
         F.inline(F.array(*[F.col(f"r{i}") for i in range(len(rows))])))
@@ -167,7 +167,7 @@ def consecutive_gaps(df: DataFrame, ts: str) -> DataFrame:
     multiplicity ``(gap_s, count)``.  Works on distinct times only: equal
     times give ``count - 1`` zero gaps; distinct neighbours come from a
     position equi-join, so no window holds the whole series."""
-    t = df.select(_micros(c(ts)).alias("_m")).filter(F.col("_m").isNotNull())
+    t = df.select(_micros(df, ts).alias("_m")).filter(F.col("_m").isNotNull())
     vc = t.groupBy("_m").agg(F.count(F.lit(1)).alias("cnt"))
     zeros = vc.agg(F.lit(0.0).alias("gap_s"), F.sum(F.col("cnt") - 1).alias("count"))
     pos = dense_position(vc.select("_m"), ["_m"], out="pos")

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridscope.functions.columns import utc_day, utc_timestamp
 from gridscope.operators import history as M
 from gridscope.plans.catalog import query, round_cols, t
 
@@ -21,7 +22,7 @@ def analyses(spark, sf):
     e = t(spark, sf, "events")
     return e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("session_id"),
                     F.concat(F.lit("upload_"), F.col("event_id")).alias("filename"),
-                    F.col("event_type").alias("file_type"), F.col("ts").cast("timestamp").alias("upload_timestamp"),
+                    F.col("event_type").alias("file_type"), utc_timestamp(e, "ts").alias("upload_timestamp"),
                     F.col("props").alias("analysis_data"), F.lit("[]").alias("insights"),
                     F.lit("[]").alias("charts_data"), F.lit("{}").alias("statistics"))
 
@@ -31,7 +32,7 @@ def metrics(spark, sf):
     return e.select(F.col("event_id").alias("id"), F.col("event_id").alias("analysis_id"),
                     F.col("value").alias("processing_time"), F.col("user_id").alias("data_rows"),
                     F.lit(6).cast("long").alias("data_columns"), F.length("event_type").cast("long").alias("charts_generated"),
-                    F.lit(0).cast("long").alias("insights_generated"), F.col("ts").cast("timestamp").alias("timestamp"))
+                    F.lit(0).cast("long").alias("insights_generated"), utc_timestamp(e, "ts").alias("timestamp"))
 
 
 @query("history_totals", ANALYSES_SQL + """
@@ -42,7 +43,7 @@ SELECT (SELECT count(*) FROM analyses) AS total_analyses,
 def history_totals(spark, sf):
     """M1 with 'today' = the last day in the log (deterministic)."""
     a = analyses(spark, sf)
-    last = a.agg(F.max(F.to_date("upload_timestamp"))).first()[0]
+    last = a.agg(F.max(utc_day(F.unix_micros("upload_timestamp")))).first()[0]
     return round_cols(M.history_totals(a, metrics(spark, sf), today=last), 2)
 
 
@@ -77,6 +78,6 @@ def latest_config(spark, sf):
     """M5: the event log read as configuration writes; the latest value per key."""
     e = t(spark, sf, "events")
     cfg = e.select(F.col("event_type").alias("key"), F.col("value").cast("string").alias("value"),
-                   F.col("ts").cast("timestamp").alias("updated_at"))
+                   utc_timestamp(e, "ts").alias("updated_at"))
     r = M.latest_config(cfg)
     return r.select("key", "value", F.unix_micros("updated_at").alias("updated_us"))
