@@ -93,6 +93,22 @@ def long_value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+def top_values(vc: DataFrame, k: int = 10, group: str = "column") -> DataFrame:
+    """The ``k`` most frequent values per column from a ``(column, value,
+    count)`` table, as an ordered array of (value, count) structs (count desc,
+    value asc).  Two rounds of a bounded top-k - inside (column, hash salt)
+    slices, then over at most 64 x k survivors - so a column with a huge
+    number of distinct values is never ranked by one task."""
+    salted = vc.withColumn("_salt", F.abs(F.hash("value")) % 64)
+    w1 = Window.partitionBy(group, "_salt").orderBy(F.desc("count"), "value")
+    first = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r", "_salt")
+    w2 = Window.partitionBy(group).orderBy(F.desc("count"), "value")
+    top = first.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= k)
+    return top.groupBy(group).agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("_r", "value", "count"))),
+        lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count"))).alias("top_values"))
+
+
 def frequency_summary(df: DataFrame, cols: list[str]) -> DataFrame:
     """Per column: distinct count, most/least frequent value + counts,
     concentration ratio (top count / non-null) and entropy in bits (D9-D12).

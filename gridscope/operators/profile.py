@@ -75,12 +75,14 @@ def categorical_profile(df: DataFrame, cols: list[str], k: int = 10) -> DataFram
     """Per column the top value and its count, and 'balanced' when the
     sample std of the category counts is below their mean (one category ->
     'skewed').  The top-k list is returned by ``value_counts``."""
+    from gridscope.operators.aggregates import top_values
     vc = long_value_counts(df, cols)
-    return vc.groupBy("column").agg(
+    agg = vc.groupBy("column").agg(
         F.min_by("value", F.struct(F.negative("count"), F.col("value"))).alias("most_frequent"),
         F.max("count").alias("frequency_of_most"),
         F.count("value").alias("categories"),
         F.when(F.stddev_samp("count") < F.avg("count"), "balanced").otherwise("skewed").alias("category_distribution"))
+    return agg.join(top_values(vc, k), "column", "left").withColumnRenamed("top_values", "top_categories")
 
 
 def datetime_profile(df: DataFrame, col: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridscope.functions.columns import c, loose_numeric, text_to_double
-from gridscope.operators.aggregates import long_value_counts
+from gridscope.operators.aggregates import long_value_counts, top_values
 from gridscope.operators.order import quantiles
 
 # Regex families of the semantic detector, in the order they are tried
@@ -158,8 +158,9 @@ def categorical_candidates(df: DataFrame, cols: list[str] | None = None, rows: i
         F.min_by("value", F.struct(F.negative("count"), F.col("value"))).alias("top_value"),
         F.max("count").alias("top_count"))
     ratio = F.col("distinct") / F.lit(rows)
+    agg = agg.join(top_values(vc, 10), "column", "left")
     return agg.select(
-        "column", "distinct", ratio.alias("cardinality_ratio"),
+        "column", "distinct", ratio.alias("cardinality_ratio"), "top_values",
         F.when(ratio < 0.5, 1 - ratio).otherwise(F.lit(0.0)).alias("confidence"),
         "top_value", "top_count",
         F.when(F.col("distinct") <= 10, "low_cardinality").when(F.col("distinct") <= 50, "medium_cardinality")

@@ -158,7 +158,7 @@ SELECT '{c}' AS column, arg_min(v, (-n, v)) AS most_frequent, max(n) AS frequenc
 FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM part WHERE {c} IS NOT NULL GROUP BY 1)""" for c in ["p_brand", "p_type", "p_name"]))
 def categorical_profile(spark, sf):
     """C13 over part."""
-    return P.categorical_profile(t(spark, sf, "part"), ["p_brand", "p_type", "p_name"])
+    return P.categorical_profile(t(spark, sf, "part"), ["p_brand", "p_type", "p_name"]).drop("top_categories")
 
 
 @query("datetime_profile", """
