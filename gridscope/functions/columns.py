@@ -103,3 +103,12 @@ def utc_timestamp(df, name: str) -> Column:
 def utc_day(micros: Column) -> Column:
     """Calendar day (DATE) of epoch microseconds, in UTC."""
     return F.date_from_unix_date(F.floor(micros / 86_400_000_000).cast("int"))
+
+
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation over the rows where both are present; NULL when
+    either side is constant (``corr`` raises a division by zero under ANSI
+    mode, pandas gives NaN)."""
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b),
+                        F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))

@@ -183,9 +183,10 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
         ex = srt.select(*[c(b) for b in by], "_a", "_n", F.explode(pl).alias("p"))
         h = (F.col("_n") - 1) * F.col("p")
         lo = F.floor(h).cast("int")
-        vlo = F.element_at("_a", lo + 1)
-        vhi = F.element_at("_a", F.least(lo + 2, F.col("_n").cast("int")))
-        return ex.select(*[c(b) for b in by], "p", (vlo + (h - F.floor(h)) * (vhi - vlo)).alias("q"))
+        vlo = F.element_at("_a", F.greatest(lo + 1, F.lit(1)))
+        vhi = F.element_at("_a", F.greatest(F.least(lo + 2, F.col("_n").cast("int")), F.lit(1)))
+        q = F.when(F.col("_n") > 0, vlo + (h - F.floor(h)) * (vhi - vlo))  # empty input: NULL, like quantile_cont
+        return ex.select(*[c(b) for b in by], "p", q.alias("q"))
     widest = g.agg(F.approx_count_distinct(c(value)).alias("_d")).agg(F.max("_d")).first()[0] or 0
     if widest <= rpb and n_buckets is None:
         # many rows but few distinct values: Spark's exact percentile keeps one

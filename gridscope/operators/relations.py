@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridscope.functions import special
-from gridscope.functions.columns import c, num
+from gridscope.functions.columns import c, num, safe_corr
 from gridscope.operators.order import average_ranks, cumulative
 
 
@@ -30,7 +30,7 @@ def pearson_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     recs = []
     for a, b in _pairs(cols):
         recs.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                             F.corr(c(a), c(b)).alias("corr"),
+                             safe_corr(c(a), c(b)).alias("corr"),
                              F.count(F.when(c(a).isNotNull() & c(b).isNotNull(), 1)).alias("n")))
     if not recs:
         return df.sparkSession.createDataFrame([], "var1 string, var2 string, corr double, n long")
@@ -249,7 +249,7 @@ def scatter_fit(df: DataFrame, x: str, y: str, min_abs_r: float = 0.3) -> DataFr
     the strength words used by the chart annotations."""
     xv, yv = num(df, x), num(df, y)
     ok = xv.isNotNull() & yv.isNotNull()
-    agg = df.agg(F.corr(F.when(ok, xv), F.when(ok, yv)).alias("correlation"),
+    agg = df.agg(safe_corr(F.when(ok, xv), F.when(ok, yv)).alias("correlation"),
                  F.regr_slope(yv, xv).alias("slope"), F.regr_intercept(yv, xv).alias("intercept"),
                  F.regr_count(yv, xv).alias("n"))
     r = F.abs(F.col("correlation"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridscope.functions import special
-from gridscope.functions.columns import c, epoch_micros, epoch_seconds, num
+from gridscope.functions.columns import c, epoch_micros, epoch_seconds, num, safe_corr
 from gridscope.operators.order import dense_position, lag_join
 
 DAY = 86_400.0
@@ -39,7 +39,7 @@ def linear_trend(df: DataFrame, ts: str, ycols: list[str], min_rows: int = 10) -
         xv, yv = F.when(ok, x), F.when(ok, yy)
         rows.append(F.struct(
             F.lit(y).alias("column"), F.regr_slope(yv, xv).alias("slope"),
-            F.regr_r2(yv, xv).alias("r_squared"), F.corr(xv, yv).alias("correlation"),
+            F.regr_r2(yv, xv).alias("r_squared"), safe_corr(xv, yv).alias("correlation"),
             F.regr_count(yv, xv).alias("n"), F.stddev_samp(yv).alias("_std"),
             F.floor((F.max(F.when(ok, _micros(df, ts))) - F.min(F.when(ok, _micros(df, ts)))) / 86_400_000_000)
             .cast("long").alias("time_span_days")))
