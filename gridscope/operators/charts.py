@@ -163,7 +163,7 @@ def radar(df: DataFrame, cols: list[str], max_cols: int = 6) -> DataFrame:
                                            for i, x in enumerate(cols)])))
     w = Window.partitionBy(F.lit(1))  # over <= 6 rows
     lo, hi = F.min("mean").over(w), F.max("mean").over(w)
-    return long.withColumn("normalized", (F.col("mean") - lo) / (hi - lo))
+    return long.withColumn("normalized", F.try_divide(F.col("mean") - lo, hi - lo))
 
 
 def statistical_summary(df: DataFrame, cols: list[str], max_cols: int = 5) -> DataFrame:

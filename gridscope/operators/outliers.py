@@ -67,7 +67,7 @@ def zscore_outliers(df: DataFrame, cols: list[str], threshold: float = 3.0, min_
     long = to_long(df, cols)
     st = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("_m"),
                                     F.stddev_pop("value").alias("_s")).filter(F.col("n") >= min_rows)
-    z = F.abs(F.col("value") - F.col("_m")) / F.col("_s")
+    z = F.try_divide(F.abs(F.col("value") - F.col("_m")), F.col("_s"))
     flagged = long.join(F.broadcast(st), "column").filter((F.col("_s") > 0) & (z > threshold)).withColumn("_dist", z)
     cnt = flagged.groupBy("column").agg(F.count(F.lit(1)).alias("outlier_count"))
     out = st.join(cnt, "column", "left").fillna(0, ["outlier_count"])
@@ -88,7 +88,7 @@ def modified_z_outliers(df: DataFrame, cols: list[str], threshold: float = 3.5,
     med = spark.createDataFrame([(r["column"], r["q"]) for r in med_rows], "column string, _med double")
     n = long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
     st = n.join(med, "column").join(mad, "column")
-    mz = 0.6745 * F.col("_dev") / F.col("_mad")
+    mz = F.try_divide(0.6745 * F.col("_dev"), F.col("_mad"))
     flagged = dev.join(F.broadcast(st.select("column", "_mad")), "column").filter(
         (F.col("_mad") != 0) & (mz > threshold)).withColumn("_dist", mz)
     cnt = flagged.groupBy("column").agg(F.count(F.lit(1)).alias("outlier_count"))

@@ -112,8 +112,8 @@ def data_quality(df: DataFrame) -> DataFrame:
     with_nulls = F.filter(F.array(*[F.when(F.col(f"z{i}") > 0, F.lit(x)) for i, x in enumerate(cols)]),
                           lambda v: v.isNotNull())
     return agg.crossJoin(dup_rows).select(
-        ((cells - nulls) / cells * 100).alias("completeness_score"),
-        (nulls / cells * 100).alias("missing_data_percentage"),
+        (F.try_divide(cells - nulls, cells) * 100).alias("completeness_score"),
+        (F.try_divide(nulls, cells) * 100).alias("missing_data_percentage"),
         with_nulls.alias("columns_with_nulls"),
         F.col("duplicate_rows").cast("long").alias("duplicate_rows"),
         F.lit(100.0).alias("data_consistency_score"))

@@ -118,7 +118,7 @@ def numeric_candidates(df: DataFrame, cols: list[str] | None = None, rows: int |
         st = st.join(med, "column", "left")
     else:
         st = st.withColumn("median", F.lit(None).cast("double"))
-    conf = F.col("parsed") / F.lit(rows)
+    conf = F.try_divide(F.col("parsed"), F.lit(rows))
     sub = (F.when((F.col("min") >= 0) & (F.col("max") <= 10), "scale_0_10")
            .when((F.col("min") >= 0) & (F.col("max") <= 100), "scale_0_100")
            .when(F.col("_frac") == 0, "integer").otherwise("float"))
@@ -157,7 +157,7 @@ def categorical_candidates(df: DataFrame, cols: list[str] | None = None, rows: i
         F.count("value").alias("distinct"),
         F.min_by("value", F.struct(F.negative("count"), F.col("value"))).alias("top_value"),
         F.max("count").alias("top_count"))
-    ratio = F.col("distinct") / F.lit(rows)
+    ratio = F.try_divide(F.col("distinct"), F.lit(rows))
     agg = agg.join(top_values(vc, 10), "column", "left")
     return agg.select(
         "column", "distinct", ratio.alias("cardinality_ratio"), "top_values",
@@ -285,8 +285,8 @@ def date_like_columns(df: DataFrame, share: float = 0.7) -> DataFrame:
     recs = []
     for i, x in enumerate(cand):
         nn = F.col(f"nn{i}")
-        best = F.greatest(*[F.col(f"m{i}_{j}") for j in range(len(STAT_DATE_PATTERNS))]) / nn
-        ps = F.col(f"p{i}") / nn
+        best = F.try_divide(F.greatest(*[F.col(f"m{i}_{j}") for j in range(len(STAT_DATE_PATTERNS))]), nn)
+        ps = F.try_divide(F.col(f"p{i}"), nn)
         recs.append(F.struct(F.lit(x).alias("column"), ps.alias("parsed_share"), best.alias("pattern_share"),
                              ((nn > 0) & ((ps == 1.0) | (best > share))).alias("is_date")))
     return row.select(F.inline(F.array(*recs)))

@@ -129,9 +129,9 @@ def seasonal_strength(df: DataFrame, ts: str, value: str, period: int = 7,
     note = (F.when(F.col("rows") < min_rows, "too_few_rows").when(F.col("days") < min_days, "too_few_days")
             .when(F.col("days") != F.col("days_present"), "missing_days").otherwise("ok"))
     return j.select(F.lit(value).alias("column"), "rows", "days",
-                    F.when(ok, F.col("sv") / F.col("raw_var")).alias("seasonal_strength"),
-                    F.when(ok, F.col("tv") / F.col("raw_var")).alias("trend_strength"),
-                    F.when(ok, F.col("rv") / F.col("raw_var")).alias("residual_strength"),
+                    F.when(ok, F.try_divide(F.col("sv"), F.col("raw_var"))).alias("seasonal_strength"),
+                    F.when(ok, F.try_divide(F.col("tv"), F.col("raw_var"))).alias("trend_strength"),
+                    F.when(ok, F.try_divide(F.col("rv"), F.col("raw_var"))).alias("residual_strength"),
                     note.alias("note"))
 
 

@@ -80,3 +80,15 @@ def test_profiles_on_odd(odd):
     assert prof["cat"]["samples"] == ["x", "y"]
     q = P.data_quality(odd).first()
     assert q["duplicate_rows"] == 0 and "allnull" in q["columns_with_nulls"]
+
+
+def test_zero_divisors_do_not_raise(spark, odd):
+    from gridscope.operators import timeseries as G
+    e = spark.createDataFrame([], "x double, s string")
+    assert C.numeric_candidates(e, ["x"]).count() == 0
+    assert C.date_like_columns(odd).count() >= 1
+    assert P.data_quality(e).count() == 1
+    const = spark.createDataFrame([(5.0,)] * 20, "x double")
+    assert OUT.zscore_outliers(const, ["x"]).first()["outlier_count"] == 0
+    assert OUT.modified_z_outliers(const, ["x"]).first()["outlier_count"] == 0
+    assert K.radar(spark.createDataFrame([(1.0, 1.0, 1.0)], "a double, b double, c double"), ["a", "b", "c"]).count() == 3
