@@ -15,31 +15,36 @@ TABLES = (
 
 def build_session(master: str | None = None, cores: int | None = None,
                   shuffle_partitions: int | None = None,
-                  app_name: str = "gridscope", extra: dict | None = None) -> SparkSession:
+                  app_name: str = "gridscope", extra: dict | None = None,
+                  cluster: bool = False) -> SparkSession:
     """Create (or reuse) a session with the settings every operator assumes.
 
-    On a cluster pass ``master=None`` and let spark-submit decide; locally the
-    number of shuffle partitions follows the core count.
+    ``cluster=True`` (under spark-submit) leaves the master, executor sizing
+    and the shuffle-partition count to the cluster's configuration; AQE then
+    coalesces small partitions and splits skewed ones.  Locally the master is
+    ``local[cores]`` and the shuffle-partition count follows the core count.
     """
     b = SparkSession.builder.appName(app_name)
-    if master is None and not os.environ.get("SPARK_MASTER"):
-        cores = cores or int(os.environ.get("BENCH_CPUS", "0") or 0) or os.cpu_count() or 4
-        master = f"local[{cores}]"
-    if master:
+    conf = {}
+    if not cluster:
+        if master is None:
+            cores = cores or int(os.environ.get("BENCH_CPUS", "0") or 0) or os.cpu_count() or 4
+            master = f"local[{cores}]"
         b = b.master(master)
-    parts = shuffle_partitions or (cores or 8) * 2
-    conf = {
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or (cores or 8) * 2)
+        conf["spark.driver.memory"] = os.environ.get("GRIDSCOPE_DRIVER_MEMORY", "8g")
+    elif shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    conf.update({
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": os.environ.get("GRIDSCOPE_DRIVER_MEMORY", "8g"),
         "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
-    }
+    })
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
