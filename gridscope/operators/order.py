@@ -78,7 +78,8 @@ def cumulative(df: DataFrame, order: list[str], by: list[str] | None = None,
     w = c(weight) if weight else F.lit(1)
     rpb = rows_per_bucket or ROWS_PER_BUCKET
     if by:
-        largest = df.groupBy(*[c(b) for b in by]).count().agg(F.max("count")).first()[0] or 0
+        sizes = df.groupBy(*[c(b) for b in by]).agg(F.count(F.lit(1)).alias("_gs_rows"))
+        largest = sizes.agg(F.max("_gs_rows")).first()[0] or 0
     else:
         largest = df.count()
     if largest <= rpb and n_buckets is None:
@@ -102,10 +103,15 @@ def cumulative(df: DataFrame, order: list[str], by: list[str] | None = None,
         base = base.withColumn("_gs_bounds", bounds)
         sub_needed = sub_needed and len(set(bl)) < len(bl)
     else:
-        bt = base.groupBy(*[c(b) for b in by]).agg(F.percentile_approx(c(key), probs, 10000).alias("_gs_bounds"))
-        base = base.join(bt, by, "inner")
-    bucket = _bucket_expr(c(key), F.col("_gs_bounds"))
-    hot = F.size(F.filter(F.col("_gs_bounds"), lambda b: b == c(key))) > 1
+        # sketches only for the groups that do not fit a task; the others keep
+        # one bucket (NULL bounds) and never evaluate the bucket expression
+        big = sizes.filter(F.col("_gs_rows") > rpb).select(*[c(b) for b in by])
+        bt = base.join(big, by, "left_semi").groupBy(*[c(b) for b in by]).agg(
+            F.percentile_approx(c(key), probs, 10000).alias("_gs_bounds"))
+        base = base.join(bt, by, "left")
+    has_bounds = F.col("_gs_bounds").isNotNull()
+    bucket = F.when(has_bounds, _bucket_expr(c(key), F.col("_gs_bounds"))).otherwise(F.lit(0))
+    hot = F.when(has_bounds, F.size(F.filter(F.col("_gs_bounds"), lambda b: b == c(key))) > 1).otherwise(F.lit(False))
     if string_main:
         hot = F.lit(False)  # a prefix key is not exact, so no sub-buckets
     base = base.withColumn("_gs_b", bucket * 2 + hot.cast("int"))

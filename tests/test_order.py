@@ -76,3 +76,12 @@ def test_quantiles_three_plans(spark):
     bucket_plan = sorted(O.quantiles(li, "l_quantity", probs, by=["l_returnflag"], n_buckets=8).collect())
     for a, b, c in zip(sort_plan, map_plan, bucket_plan):
         assert a["q"] == pytest.approx(b["q"]) == pytest.approx(c["q"])
+
+
+def test_mixed_small_and_large_groups(spark):
+    df = _hot_frame(spark).withColumn(
+        "grp", F.when(F.col("k") == 1.0, F.lit("hot")).otherwise(F.col("l_returnflag")))
+    p = O.dense_position(df, ORDER, by=["grp"], rows_per_bucket=15000)
+    ref = df.withColumn("rpos", F.row_number().over(Window.partitionBy("grp").orderBy(*ORDER)) - 1)
+    j = p.join(ref, ORDER + ["grp"])
+    assert j.count() == df.count() and j.filter("pos != rpos").count() == 0
