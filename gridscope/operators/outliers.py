@@ -223,7 +223,10 @@ def isolation_forest(df: DataFrame, cols: list[str], contamination: float = 0.1,
                 outs.append(pd.DataFrame({"column": col, "value": v, "score": 2.0 ** (-depth / cn)}))
             yield pd.concat(outs)
 
-    scored = keep.mapInPandas(score, "column string, value double, score double")
+    from gridscope.session import materialize
+    # scored once (Python), written to the checkpoint folder and re-read by the
+    # quantile and the flagging passes
+    scored = materialize(keep.mapInPandas(score, "column string, value double, score double"), "iforest")
     cut = quantiles(scored, "score", [1 - contamination], by=["column"]).select("column", F.col("q").alias("_cut"))
     flagged = scored.join(F.broadcast(cut), "column").filter(F.col("score") > F.col("_cut")).withColumn(
         "_dist", F.col("score"))
