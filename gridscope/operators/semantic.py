@@ -72,8 +72,16 @@ def as_text(df: DataFrame, name: str):
 
 
 def _ci(p: str) -> str:
-    # (?iu): case-insensitive with Unicode case folding, like Python's re.I on str
-    return "(?iu)" + p
+    """Case-insensitive form of a pattern, like Python's re.I on str: Unicode
+    folding only when the pattern has non-ASCII letters, ASCII folding when
+    it has letters, no flag when it has none (cheaper, same matches)."""
+    import re as _re
+    bare = _re.sub(r"\\.", "", p)
+    if any(ord(ch) > 127 for ch in bare):
+        return "(?iu)" + p
+    if _re.search(r"[A-Za-z]", bare):
+        return "(?i)" + p
+    return p
 
 
 def pattern_scores(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
