@@ -38,7 +38,9 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, by: str | None =
     else:
         nb = F.lit(int(bins))
     rng = rng.withColumn("bins", nb)
-    j = base.join(F.broadcast(rng), gk, "inner") if gk else base.crossJoin(F.broadcast(rng))
+    # one range row per group: Catalyst/AQE broadcast it when it is small (no
+    # hint: the number of groups is not bounded here)
+    j = base.join(rng, gk, "inner") if gk else base.crossJoin(F.broadcast(rng))
     width = F.col("hi") - F.col("lo")
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("x") - F.col("lo")) / width * F.col("bins")), F.col("bins") - 1)).cast("int")
