@@ -66,7 +66,7 @@ PART_CATS = ["p_brand", "p_type", "p_size", "p_name"]
 
 
 @query("category_frequency", union_sql(PART_CATS, """
-SELECT '{c}' AS column, count(*) AS distinct, sum(cnt) AS non_null,
+SELECT '{c}' AS column, count(*) AS distinct, CAST(sum(cnt) AS BIGINT) AS non_null,
   arg_min(v, (-cnt, v)) AS most_frequent, max(cnt) AS most_frequent_count,
   arg_max(v, (-cnt, v)) AS least_frequent, min(cnt) AS least_frequent_count,
   round(max(cnt) / sum(cnt), 6) AS concentration,

@@ -65,7 +65,7 @@ def bar_counts(spark, sf):
 WITH vc AS (SELECT CAST(p_brand AS VARCHAR) AS category, count(*) AS count FROM part WHERE p_brand IS NOT NULL GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY count DESC, category) AS rk FROM vc),
 s AS (SELECT category, count, rk FROM r WHERE rk <= 10
-      UNION ALL SELECT 'Outros', sum(count), 11 FROM r WHERE rk > 10 HAVING sum(count) > 0)
+      UNION ALL SELECT 'Outros', CAST(sum(count) AS BIGINT), 11 FROM r WHERE rk > 10 HAVING sum(count) > 0)
 SELECT category, count, round(count / (SELECT sum(count) FROM s) * 100, 6) AS percentage, rk = 1 AS largest FROM s""")
 def pie_with_rest(spark, sf):
     """K6 over part brands."""

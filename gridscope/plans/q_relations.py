@@ -107,7 +107,7 @@ def functional_deps(spark, sf):
 
 
 @query("scatter_fit", """
-SELECT 'l_quantity' AS x, 'l_extendedprice' AS y, regr_count(l_extendedprice, l_quantity) AS n,
+SELECT 'l_quantity' AS x, 'l_extendedprice' AS y, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n,
   round(corr(l_quantity, l_extendedprice), 6) AS correlation, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,
   round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
   abs(corr(l_quantity, l_extendedprice)) > 0.3 AS show_line,
@@ -157,7 +157,7 @@ def iqr_outliers(spark, sf):
 
 @query("z_outliers", """
 SELECT 'value' AS column, count(*) FILTER (WHERE abs(value - m) / s > 3) AS outlier_count,
-  round(count(*) FILTER (WHERE abs(value - m) / s > 3) / count(*) * 100, 6) AS outlier_percentage, 3.0 AS threshold
+  round(count(*) FILTER (WHERE abs(value - m) / s > 3) / count(*) * 100, 6) AS outlier_percentage, CAST(3.0 AS DOUBLE) AS threshold
 FROM events, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events) WHERE value IS NOT NULL""")
 def z_outliers(spark, sf):
     """F21."""
@@ -170,7 +170,7 @@ d AS (SELECT quantile_cont(abs(value - med), 0.5) AS mad FROM events, m)
 SELECT 'value' AS column,
   count(*) FILTER (WHERE mad <> 0 AND 0.6745 * abs(value - med) / mad > 3.5) AS outlier_count,
   round(count(*) FILTER (WHERE mad <> 0 AND 0.6745 * abs(value - med) / mad > 3.5) / count(*) * 100, 6) AS outlier_percentage,
-  3.5 AS threshold
+  CAST(3.5 AS DOUBLE) AS threshold
 FROM events, m, d WHERE value IS NOT NULL""")
 def modified_z_outliers(spark, sf):
     """F22."""

@@ -41,7 +41,7 @@ r AS (
   UNION ALL SELECT 'grouped_box_plot', n.c || ',' || c.c, 0.85, n.ord * 1000 + c.ord FROM num n, cat c, k
             WHERE nn >= 1 AND nc >= 1 AND c.d <= 10
   UNION ALL SELECT 'time_series', d.c || ',' || n.c, 0.9, 10000000 + d.ord * 1000 + n.ord FROM dat d, num n)
-SELECT chart_type, columns, relevance, row_number() OVER (ORDER BY relevance DESC, o) AS rank FROM r""")
+SELECT chart_type, columns, CAST(relevance AS DOUBLE) AS relevance, row_number() OVER (ORDER BY relevance DESC, o) AS rank FROM r""")
 def chart_recommendations(spark, sf):
     """J8 over the semantic types of ``orders``."""
     o = t(spark, sf, "orders")
@@ -50,7 +50,7 @@ def chart_recommendations(spark, sf):
     from pyspark.sql import Window
     w = Window.orderBy(F.desc("relevance"), "ord")  # over the handful of recommendations
     return rec.select("chart_type", F.array_join("columns", ",").alias("columns"), "relevance",
-                      F.row_number().over(w).alias("rank"))
+                      F.row_number().over(w).cast("long").alias("rank"))
 
 
 @query("visualization_recs", "WITH st AS (" + _structural_sql("orders", ORDER_TYPES) + "),\n"
@@ -79,7 +79,7 @@ def visualization_recs(spark, sf):
     pr = F.when(F.col("priority") == "high", 3).when(F.col("priority") == "medium", 2).otherwise(1)
     w = Window.orderBy(F.desc(pr), "grp", "ord")  # over the handful of recommendations
     return rec.select("type", F.array_join("columns", ",").alias("columns"), "priority",
-                      F.row_number().over(w).alias("rank"))
+                      F.row_number().over(w).cast("long").alias("rank"))
 
 
 QI_COLS = ["event_id", "event_type", "value", "value_text", "user_text", "empty_col"]
@@ -91,7 +91,7 @@ QI_COLS = ["event_id", "event_type", "value", "value_text", "user_text", "empty_
                                   f"- CASE WHEN count_if({x} IS NULL) > 0 THEN 1 ELSE 0 END) / count(*)) AS q FROM dirty"
                                   for i, x in enumerate(QI_COLS)) + """),
 w AS (SELECT * FROM nl WHERE n > 0 ORDER BY n DESC, ord)
-SELECT 'data_quality' AS type, 'missing_data' AS category, 0.8 AS importance,
+SELECT 'data_quality' AS type, 'missing_data' AS category, CAST(0.8 AS DOUBLE) AS importance,
   (SELECT string_agg(c, ',' ORDER BY n DESC, ord) FROM w) AS affected,
   printf('Encontrados valores faltantes em %d colunas. A coluna "%s" tem %d valores faltantes (%.1f%% dos dados).',
          (SELECT count(*) FROM w), (SELECT c FROM w LIMIT 1), (SELECT n FROM w LIMIT 1),

@@ -24,7 +24,7 @@ def detect_format(spark, sf):
 
 
 @query("records_json", """
-SELECT to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey}) AS record FROM nation""")
+SELECT CAST(to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey}) AS VARCHAR) AS record FROM nation""")
 def records_json(spark, sf):
     """Rows as JSON records."""
     return W.records_json(t(spark, sf, "nation"))

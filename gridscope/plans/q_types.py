@@ -83,7 +83,7 @@ def semantic_types(spark, sf):
 
 
 @query("quality_scores", DIRTY_SQL + "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS column, count_if({c} IS NULL) AS nulls, "
+    f"SELECT '{c}' AS column, CAST(count_if({c} IS NULL) AS BIGINT) AS nulls, "
     f"count(*) - count(DISTINCT {c}) - CASE WHEN count_if({c} IS NULL) > 0 THEN 1 ELSE 0 END AS duplicates, "
     f"round(greatest(0.0, 1 - 0.5 * count_if({c} IS NULL) / count(*) - 0.3 * (count(*) - count(DISTINCT {c}) "
     f"- CASE WHEN count_if({c} IS NULL) > 0 THEN 1 ELSE 0 END) / count(*)), 6) AS quality_score FROM dirty"
@@ -126,7 +126,7 @@ def structural_types(spark, sf):
 
 
 @query("column_profile", "\nUNION ALL\n".join(
-    f"SELECT '{col}' AS column, count_if({col} IS NULL) AS null_count, "
+    f"SELECT '{col}' AS column, CAST(count_if({col} IS NULL) AS BIGINT) AS null_count, "
     f"round(count_if({col} IS NULL) / count(*) * 100, 6) AS null_pct, count(DISTINCT {_sql_text(col, typ)}) AS distinct, "
     f"round(count(DISTINCT {_sql_text(col, typ)}) / count({col}) * 100, 6) AS distinct_pct FROM orders"
     for col, typ in ORDER_TYPES))
@@ -185,7 +185,7 @@ def datetime_profile(spark, sf):
 @query("data_quality", DIRTY_SQL + """
 SELECT round((cells - nulls) / cells * 100, 6) AS completeness_score, round(nulls / cells * 100, 6) AS missing_data_percentage,
   (SELECT count(*) FROM dirty) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS duplicate_rows,
-  100.0 AS data_consistency_score
+  CAST(100.0 AS DOUBLE) AS data_consistency_score
 FROM (SELECT count(*) * 9 AS cells,
         count_if(event_id IS NULL) + count_if(ts IS NULL) + count_if(user_id IS NULL) + count_if(event_type IS NULL)
         + count_if(value IS NULL) + count_if(value_text IS NULL) + count_if(user_text IS NULL)
