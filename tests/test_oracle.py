@@ -12,12 +12,21 @@ QUERIES = E.queries()
 ORACLES = E.oracle_sql()
 
 
+TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+            "date": "DATE", "timestamp": "TIMESTAMP WITH TIME ZONE", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_oracle(spark, duck_small, name):
-    sp = QUERIES[name](spark, SF_SMALL).toPandas()
-    dk = duck_small.execute(ORACLES[name]).fetchdf()
+    df = QUERIES[name](spark, SF_SMALL)
+    sp = df.toPandas()
+    rel = duck_small.sql(ORACLES[name])
+    dk = rel.df()
     r = compare(sp, dk)
     assert r is None or r.startswith("strict-diff"), f"{name}: {r}"
+    sp_types = {f.name: TYPE_MAP.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    dk_types = dict(zip(rel.columns, [str(x) for x in rel.types]))
+    assert sp_types == dk_types, name
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
