@@ -94,6 +94,29 @@ def distribution_insights(stats: DataFrame, rows: int) -> DataFrame:
     return a.unionByName(b)
 
 
+def _position(cols: list[str]):
+    return F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
+
+
+def rank_pairs(pairs: DataFrame, cols: list[str], value: str = "corr") -> DataFrame:
+    """Rank column pairs by |r| descending; ties keep the column order in
+    which the pairs were generated (a stable sort).  ``pairs`` has one row
+    per column pair, so the window runs over a small table."""
+    from pyspark.sql import Window
+    pos = _position(cols)
+    w = Window.orderBy(F.desc(F.abs(value)), pos[F.col("var1")], pos[F.col("var2")])
+    return pairs.withColumn("rank", F.row_number().over(w))
+
+
+def rank_dependencies(deps: DataFrame, cols: list[str]) -> DataFrame:
+    """Rank dependencies in the order the reference finds them: determinant
+    column order, then dependent column order (small table)."""
+    from pyspark.sql import Window
+    pos = _position(cols)
+    w = Window.orderBy(pos[F.col("determinant")], pos[F.col("dependent")])
+    return deps.withColumn("rank", F.row_number().over(w))
+
+
 def relationship_insights(pairs: DataFrame, deps: DataFrame) -> DataFrame:
     """J3.  ``pairs``: sorted strong pairs (var1, var2, corr, strength, rank);
     the top one with |r| > 0.8 (0.9).  ``deps``: functional dependencies with

@@ -106,7 +106,7 @@ def comprehensive_statistics(df: DataFrame, numeric: list[str], categorical: lis
     ordc = _ord_table(spark, numeric)
     strong = (R.strong_pairs(out["pearson"]) if "pearson" in out
               else spark.createDataFrame([], "var1 string, var2 string, corr double, strength string"))
-    strong = strong.withColumn("rank", F.row_number().over(_by_abs()))
+    strong = J.rank_pairs(strong, numeric)
     out["insights"] = J.statistical_insights(consensus.join(ordc, "column"), strong,
                                              out["iqr_outliers"].join(ordc, "column"), k)
     non_normal = [r["column"] for r in consensus.filter(~F.col("likely_normal")).collect()]
@@ -115,11 +115,6 @@ def comprehensive_statistics(df: DataFrame, numeric: list[str], categorical: lis
     return out
 
 
-def _by_abs():
-    from pyspark.sql import Window
-    return Window.orderBy(F.desc(F.abs("corr")), "var1", "var2")  # over <= k(k-1)/2 pairs
-
-
 def smart_analysis(df: DataFrame) -> dict[str, DataFrame]:
     """Clean -> semantic types -> relationships -> chart recommendations
     -> ranked insights.  The statistics step of the reference is
@@ -136,9 +131,7 @@ def smart_analysis(df: DataFrame) -> dict[str, DataFrame]:
     pairs = R.strong_pairs(R.pearson_pairs(numv, ncols), strong_label_at=0.8) if len(ncols) >= 2 else None
     deps = R.functional_dependencies(cleaned, cols)
     anomalies = O.isolation_forest(numv, ncols).join(_ord_table(spark, ncols), "column")
-    from pyspark.sql import Window
-    dep_rank = deps.join(ordc.withColumnRenamed("column", "determinant"), "determinant").withColumn(
-        "rank", F.row_number().over(Window.orderBy("ord", "dependent")))  # over the dependencies found
+    dep_rank = J.rank_dependencies(deps, cols)
     nums = [r["column"] for r in types.filter(F.col("type") == "numeric").collect()]
     num_stats = C.numeric_candidates(cleaned, nums, rows, with_median=False).select("column", "skewness") if nums else None
     up = O.upper_outlier_share(cleaned, nums).select("column", F.col("above").alias("above_upper")) if nums else None
@@ -147,7 +140,7 @@ def smart_analysis(df: DataFrame) -> dict[str, DataFrame]:
     if nums:
         groups.append(J.distribution_insights(num_stats.join(up, "column").join(ordc, "column"), rows))
     if pairs is not None:
-        pr = pairs.withColumn("rank", F.row_number().over(_by_abs()))
+        pr = J.rank_pairs(pairs, ncols)
         groups.append(J.relationship_insights(pr, dep_rank))
     groups.append(J.anomaly_insights(anomalies))
     return {

@@ -110,3 +110,76 @@ def quality_insights(spark, sf):
     ins = J.quality_insights(q.select("column", "nulls", "ord"), q.select("column", "quality_score", "ord"), rows)
     return ins.select("type", "category", "importance", F.array_join("affected_columns", ",").alias("affected"),
                       "description")
+
+
+from gridscope.operators import relations as R  # noqa: E402
+from gridscope.plans.q_relations import DOC_NUM, DOC_NUM_SQL, doc_numbers  # noqa: E402
+
+
+def _fd_sql(tbl, cols):
+    parts = []
+    k = 0
+    for a in cols:
+        for b in cols:
+            if a == b:
+                continue
+            parts.append(f"SELECT {k} AS o, '{a}' AS determinant, '{b}' AS dependent FROM "
+                         f"(SELECT {a}, count(DISTINCT {b}) AS nb FROM {tbl} WHERE {a} IS NOT NULL GROUP BY 1) "
+                         f"HAVING count_if(nb <> 1) = 0")
+            k += 1
+    return " UNION ALL ".join(parts)
+
+
+_DOC_PAIRS = [(a, b) for i, a in enumerate(DOC_NUM) for b in DOC_NUM[i + 1:]]
+
+
+@query("relationship_insights", "WITH d AS " + DOC_NUM_SQL + ",\np AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS o, '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS r FROM d" for i, (a, b) in enumerate(_DOC_PAIRS))
+    + "),\ntop AS (SELECT * FROM p WHERE abs(r) >= 0.7 AND abs(r) > 0.8 ORDER BY abs(r) DESC, o LIMIT 1),\n"
+    "fd AS (" + _fd_sql("d", DOC_NUM) + """),
+first_fd AS (SELECT * FROM fd ORDER BY o LIMIT 1)
+SELECT 'relationship' AS type, 'correlation' AS category, CAST(0.9 AS DOUBLE) AS importance, var1 || ',' || var2 AS affected,
+  printf('As variáveis "%s" e "%s" apresentam correlação %s (%.3f).', var1, var2,
+         CASE WHEN abs(r) > 0.8 THEN 'strong' ELSE 'moderate' END, r) AS description FROM top
+UNION ALL
+SELECT 'relationship', 'dependency', CAST(0.8 AS DOUBLE), determinant || ',' || dependent,
+  printf('A coluna "%s" determina completamente "%s", indicando uma relação funcional entre elas.', determinant, dependent)
+FROM first_fd""")
+def relationship_insights(spark, sf):
+    """J3 over document sizes: the strongest correlation above 0.8 and the
+    first functional dependency in column order."""
+    d = doc_numbers(spark, sf)
+    pairs = J.rank_pairs(R.strong_pairs(R.pearson_pairs(d, DOC_NUM), strong_label_at=0.8), DOC_NUM)
+    deps = J.rank_dependencies(R.functional_dependencies(d, DOC_NUM), DOC_NUM)
+    ins = J.relationship_insights(pairs, deps)
+    return ins.select("type", "category", "importance", F.array_join("affected_columns", ",").alias("affected"),
+                      "description")
+
+
+DIST_COLS = ["doc_id", "n_chars"]
+
+
+@query("distribution_insights", "WITH s AS (" + " UNION ALL ".join(f"""
+SELECT '{x}' AS col, {i} AS ord, any_value(g1) AS g1, count(*) FILTER (WHERE {x} > hi) AS above, any_value(n) AS n
+FROM documents, (SELECT avg(power({x} - mu, 3)) / power(avg(power({x} - mu, 2)), 1.5) AS g1 FROM
+               (SELECT {x}, avg({x}) OVER () AS mu FROM documents WHERE {x} IS NOT NULL)),
+             (SELECT quantile_cont({x}, 0.75) + 1.5 * (quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25)) AS hi,
+                     count(*) AS n FROM documents)""" for i, x in enumerate(DIST_COLS)) + """)
+SELECT 'statistical' AS type, 'distribution' AS category, CAST(0.6 AS DOUBLE) AS importance, col AS affected,
+  printf('A coluna "%s" apresenta forte assimetria para a %s (skewness = %.2f).', col,
+         CASE WHEN g1 > 0 THEN 'direita' ELSE 'esquerda' END, g1) AS description FROM s WHERE abs(g1) > 2
+UNION ALL
+SELECT 'statistical', 'outliers', CAST(0.7 AS DOUBLE), col,
+  printf('A coluna "%s" contém %d outliers (%.1f%% dos dados), que podem indicar problemas de qualidade ou eventos excepcionais.',
+         col, above, above / n * 100) FROM s WHERE above > n * 0.05""")
+def distribution_insights(spark, sf):
+    """J2 over document ids and sizes: strong skew and many upper outliers."""
+    from gridscope.operators import outliers as O
+    e = t(spark, sf, "documents")
+    rows = e.count()
+    skew = C.numeric_candidates(e, DIST_COLS, rows, with_median=False).select("column", "skewness")
+    up = O.upper_outlier_share(e, DIST_COLS).select("column", F.col("above").alias("above_upper"))
+    stats = _with_ord(spark, skew.join(up, "column"), DIST_COLS)
+    ins = J.distribution_insights(stats, rows)
+    return ins.select("type", "category", "importance", F.array_join("affected_columns", ",").alias("affected"),
+                      "description")
