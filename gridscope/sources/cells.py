@@ -165,13 +165,25 @@ def _parse_files(it):
         yield pd.DataFrame(recs, columns=cols).astype({"sheet_index": "int32", "pos": "int32", "col": "int32"})
 
 
-def read_cells(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("csv", "xlsx")) -> DataFrame:
+# A spreadsheet is parsed whole inside one task; larger delimited files belong
+# to Spark's splittable CSV reader (readers.read_csv + scores.sheet_scores).
+MAX_SHEET_BYTES = 256 * 1024 * 1024
+
+
+def read_cells(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("csv", "xlsx"),
+               max_bytes: int = MAX_SHEET_BYTES) -> DataFrame:
     """Cell table of every allowed file under ``path`` (a file, folder or glob).
-    One file is parsed by one task; files are independent."""
+    One file is parsed by one task; files are independent.  File sizes are
+    checked first from the listing (no bytes read): a file above ``max_bytes``
+    is refused instead of being loaded into one task."""
     files = spark.read.format("binaryFile").load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    files = files.filter(ext.isin(list(extensions))).select("path", "content")
-    return files.mapInPandas(_parse_files, CELL_SCHEMA)
+    files = files.filter(ext.isin(list(extensions)))
+    big = files.filter(F.col("length") > max_bytes).select("path").limit(1).collect()
+    if big:
+        raise ValueError(f"{big[0]['path']} exceeds {max_bytes} bytes: read it with readers.read_csv "
+                         "(splittable) and score it with scores.sheet_scores")
+    return files.select("path", "content").mapInPandas(_parse_files, CELL_SCHEMA)
 
 
 def choose_sheet(cells: DataFrame, by_bytes: bool = False) -> DataFrame:
