@@ -129,16 +129,22 @@ def read_feather(spark: SparkSession, path: str) -> DataFrame:
 
 def detect_format(spark: SparkSession, path: str) -> DataFrame:
     """Format of every file: by extension, else by magic bytes
-    (``PK`` -> excel, ``<?xml`` -> xml, ``{``/``[`` -> json, else csv)."""
+    (``PK`` -> excel, ``<?xml`` -> xml, ``{``/``[`` -> json, else csv).
+    Files with a known extension are decided from the listing alone; only the
+    others have their bytes read."""
     files = spark.read.format("binaryFile").load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    known = list(EXTENSIONS)
     mapping = F.create_map(*[x for k, v in EXTENSIONS.items() for x in (F.lit(k), F.lit(v))])
+    by_ext = files.select("path", ext.alias("extension")).filter(F.col("extension").isin(known)).select(
+        "path", "extension", mapping[F.col("extension")].alias("format"), F.lit("extension").alias("decided_by"))
     head = F.ltrim(F.decode(F.substring("content", 1, 100), "UTF-8"))
     magic = (F.when(F.substring("content", 1, 2) == F.lit(b"PK"), "excel")
              .when(head.startswith("<?xml"), "xml")
              .when(head.startswith("{") | head.startswith("["), "json").otherwise("csv"))
-    return files.select("path", ext.alias("extension"), F.coalesce(mapping[ext], magic).alias("format"),
-                        F.when(mapping[ext].isNotNull(), "extension").otherwise("content").alias("decided_by"))
+    by_bytes = files.filter(~ext.isin(known)).select(
+        "path", ext.alias("extension"), magic.alias("format"), F.lit("content").alias("decided_by"))
+    return by_ext.unionByName(by_bytes)
 
 
 def read_sheets(spark: SparkSession, path: str, allowed: tuple[str, ...] = ("xlsx", "xls", "csv")) -> DataFrame:
