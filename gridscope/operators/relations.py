@@ -173,15 +173,18 @@ def cross_products(df: DataFrame, cols: list[str], fill_zero: bool = True) -> tu
     return means, S, n
 
 
-def partial_correlations(df: DataFrame, cols: list[str], alpha: float = 0.05) -> DataFrame:
+def partial_correlations(df: DataFrame, cols: list[str], alpha: float = 0.05,
+                         complete_cases: bool = False) -> DataFrame:
     """each pair's correlation given all other columns (NULL -> 0, as the
-    reference imputes), from the inverse of the cross-product matrix:
-    r = -P_ij / sqrt(P_ii P_jj).  p-value by Student t with n - 2 df."""
+    reference imputes; ``complete_cases`` drops rows with a NULL instead),
+    from the inverse of the cross-product matrix: r = -P_ij / sqrt(P_ii P_jj).
+    p-value by Student t with n - 2 df."""
     spark = df.sparkSession
     schema = "var1 string, var2 string, correlation double, p_value double, significant boolean, error string"
     if len(cols) < 3:
         return spark.createDataFrame([], schema)
-    _, S, n = cross_products(df, cols)
+    data = df.dropna(subset=cols) if complete_cases else df
+    _, S, n = cross_products(data, cols)
     try:
         P = np.linalg.inv(S)
     except np.linalg.LinAlgError as e:
