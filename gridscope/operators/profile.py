@@ -12,6 +12,13 @@ from gridscope.operators.semantic import TIME_TYPES, as_text, structural_types
 
 # Name fragments that mark a possible date/time column
 TIME_NAME_WORDS = ["data", "date", "tempo"]
+# Column descriptions by structural type
+DESCRIPTIONS = {
+    "numeric": "Coluna numérica com %d valores únicos de %d registros",
+    "categorical": "Coluna categórica com %d categorias distintas",
+    "datetime": "Coluna de datas com %d datas únicas",
+    "text": "Coluna de texto com %d valores únicos",
+}
 
 
 def column_profile(df: DataFrame, n_samples: int = 5) -> DataFrame:
@@ -30,7 +37,16 @@ def column_profile(df: DataFrame, n_samples: int = 5) -> DataFrame:
         "distinct",
         F.when(F.col("non_null") > 0, F.col("distinct") / F.col("non_null") * 100).otherwise(F.lit(0.0))
         .alias("distinct_pct"),
-        F.coalesce("samples", F.array().cast("array<string>")).alias("samples")))
+        F.coalesce("samples", F.array().cast("array<string>")).alias("samples"),
+        _description().alias("description")))
+
+
+def _description():
+    d = F.col("distinct")
+    return (F.when(F.col("type") == "numeric", F.format_string(DESCRIPTIONS["numeric"], d, F.col("non_null")))
+            .when(F.col("type") == "categorical", F.format_string(DESCRIPTIONS["categorical"], d))
+            .when(F.col("type") == "datetime", F.format_string(DESCRIPTIONS["datetime"], d))
+            .otherwise(F.format_string(DESCRIPTIONS["text"], d)))
 
 
 def _samples(vc: DataFrame, k: int) -> DataFrame:
