@@ -93,11 +93,26 @@ def comprehensive_statistics(df: DataFrame, numeric: list[str], categorical: lis
         if tie:
             out["acf"] = G.acf(data, time_col, tie, numeric[0])
             out["pacf"] = G.pacf(data, time_col, tie, numeric[0])
+            out["stationarity"] = G.adf_test(data, time_col, tie, numeric[0])
     k = None
     if len(numeric) >= 2:
-        _, centres, summary, inertia, k, _ = H.kmeans(data, numeric)
+        labelled, centres, summary, inertia, k, _ = H.kmeans(data, numeric)
         out["clusters"] = summary
-        out["regressions"] = H.regress_each(data, numeric)
+        out["cluster_centers"] = centres
+        out["cluster_labels"] = labelled
+        regs = H.regress_each(data, numeric)
+        out["regressions"] = regs
+        if time_col and tie:
+            # Durbin-Watson of each regression's residuals in (time, tie) order
+            dws = []
+            for r in regs.collect():  # one row per numeric column
+                res = H.residuals(data, r["target"], r["predictors"], r["coefficients"], r["intercept"],
+                                  keep=[time_col, tie])
+                dws.append(H.durbin_watson(res, "resid", [time_col, tie]).select(
+                    F.lit(r["target"]).alias("target"), "durbin_watson"))
+            out["durbin_watson"] = dws[0]
+            for d in dws[1:]:
+                out["durbin_watson"] = out["durbin_watson"].unionByName(d)
     if len(numeric) >= 3:
         out["pca"] = H.pca(data, numeric)
     if categorical:
