@@ -56,6 +56,13 @@ class HistoryStore:
                 json.dumps(insights, default=str), json.dumps(charts, default=str), json.dumps(statistics, default=str))]
         self.append("analyses", self.spark.createDataFrame(row, SCHEMAS["analyses"]))
 
+    def save_metrics(self, id_: int, analysis_id: int, processing_time: float, data_rows: int, data_columns: int,
+                     charts_generated: int, insights_generated: int) -> None:
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        row = [(id_, analysis_id, float(processing_time), data_rows, data_columns, charts_generated,
+                insights_generated, now)]
+        self.append("performance_metrics", self.spark.createDataFrame(row, SCHEMAS["performance_metrics"]))
+
     def log(self, id_: int, level: str, message: str, module: str) -> None:
         now = datetime.now(timezone.utc).replace(tzinfo=None)
         self.append("system_logs", self.spark.createDataFrame([(id_, level, message, module, now)], SCHEMAS["system_logs"]))

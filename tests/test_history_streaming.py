@@ -16,8 +16,14 @@ def test_history_store(spark, tmpdir_fresh):
     h.save_analysis(2, "s1", "b.xlsx", "excel", {"rows": 5}, [], [], {})
     h.config_set("theme", "dark")
     h.config_set("theme", "light")
+    h.save_metrics(1, 1, 1.25, 100, 5, 3, 2)
+    h.save_metrics(2, 2, 2.75, 50, 4, 1, 0)
+    h.log(1, "INFO", "ok", "test")
     a = h.read("analyses")
     assert a.count() == 2
+    tot = M.history_totals(a, h.read("performance_metrics")).first()
+    assert (tot["total_analyses"], tot["avg_processing_time"], tot["total_rows_processed"]) == (2, 2.0, 150)
+    assert h.read("system_logs").count() == 1
     assert [r["id"] for r in M.recent_analyses(a, 1).collect()] == [2]
     assert M.analysis_by_id(a, 2).first()["analysis_data"]["rows"] == "5"
     assert {r["key"]: r["value"] for r in h.config_get().collect()} == {"theme": "light"}
