@@ -175,3 +175,27 @@ def score_sheets(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.avg("Valor").alias(MEAN), F.count("Valor").alias(USED))
     plain = cell_sheet_scores(pcells).drop("pos")
     return plain.unionByName(hmeans), records
+
+
+# Per-file processing messages of the score upload
+MSG_HIER = "Arquivo %s (hierárquica) processado - %d escolas"
+MSG_OK = "Arquivo %s processado com sucesso - %d escolas encontradas"
+MSG_NO_COLUMNS = "Não foi possível identificar colunas válidas em %s"
+MSG_NO_ROWS = "Nenhuma escola válida encontrada em %s"
+
+
+def sheet_messages(cells: DataFrame, scores: DataFrame) -> DataFrame:
+    """One status row per file: hierarchical or plain, how many entities were
+    scored, and the message the upload reports (no usable columns, no valid
+    rows, or success)."""
+    kind = is_hierarchical(cells).groupBy("file").agg(F.bool_or("hierarchical").alias("hierarchical"))
+    roles = cell_column_roles(cells).groupBy("file").agg(
+        F.bool_or("is_entity").alias("_has_entity"), F.bool_or("is_score").alias("_has_score"))
+    n = scores.groupBy(F.col(SHEET).alias("file")).agg(F.count(F.lit(1)).alias("entities"))
+    j = kind.join(roles, "file", "left").join(n, "file", "left").fillna(0, ["entities"])
+    msg = (F.when(F.col("hierarchical") & (F.col("entities") > 0), F.format_string(MSG_HIER, "file", "entities"))
+           .when(~F.coalesce(F.col("_has_entity"), F.lit(False)) | ~F.coalesce(F.col("_has_score"), F.lit(False)),
+                 F.format_string(MSG_NO_COLUMNS, "file"))
+           .when(F.col("entities") == 0, F.format_string(MSG_NO_ROWS, "file"))
+           .otherwise(F.format_string(MSG_OK, "file", "entities")))
+    return j.select("file", "hierarchical", "entities", msg.alias("message"))

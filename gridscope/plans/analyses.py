@@ -47,6 +47,7 @@ def score_sheets(cells: DataFrame) -> dict[str, DataFrame]:
         "sheet_stats": S.sheet_stats(scores),
         "ranking": S.rank_in_sheet(scores),
         "report": S.score_report(scores),
+        "messages": L.sheet_messages(cells, scores),
     }
 
 

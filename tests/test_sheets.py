@@ -134,6 +134,9 @@ def test_score_sheets_many_files(spark, tmpdir_fresh):
     got = {(r["Planilha"], r["Escola"]): (r["Media"], r["Valores_Utilizados"]) for r in res["scores"].collect()}
     assert got == {("plain.csv", "Escola X"): (8.0, 2), ("plain.csv", "Escola Y"): (6.0, 1),
                    ("hier.csv", "School A"): (71.375, 4), ("hier.csv", "School B"): (30.0, 2)}
+    msgs = {r["file"]: r["message"] for r in res["messages"].collect()}
+    assert msgs == {"plain.csv": "Arquivo plain.csv processado com sucesso - 2 escolas encontradas",
+                    "hier.csv": "Arquivo hier.csv (hierárquica) processado - 2 escolas"}
     stats = {r["Planilha"]: r["escolas"] for r in res["sheet_stats"].collect()}
     assert stats == {"plain.csv": 2, "hier.csv": 2}
     m = res["engagement_matrix"].collect()
