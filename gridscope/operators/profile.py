@@ -27,8 +27,8 @@ def column_profile(df: DataFrame, n_samples: int = 5) -> DataFrame:
     distinct values as text: deterministic, unlike "first rows")."""
     cols = df.columns
     rows = df.count()
-    types = structural_types(df, cols)
     vc = long_value_counts(df.select(*[as_text(df, x).alias(x) for x in cols]), cols)
+    types = structural_types(df, cols, vc)
     samples = _samples(vc, n_samples)
     nulls = F.lit(rows) - F.col("non_null")
     return (types.join(samples, "column", "left").select(

@@ -225,7 +225,7 @@ def semantic_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                     F.coalesce(F.col("distinct"), F.lit(0)).alias("distinct")))
 
 
-def structural_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def structural_types(df: DataFrame, cols: list[str] | None = None, vc: DataFrame | None = None) -> DataFrame:
     """Empty -> datetime (> 70 % of values start with a date pattern)
     -> numeric (every value parses, directly or after keeping only digits and
     signs; at least one must parse) -> categorical (distinct share < 0.5 and
@@ -260,7 +260,7 @@ def structural_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                              F.col(f"len{i}").alias("_len")))
     per = row.select(F.inline(F.array(*recs)))
     # distinct counts from one long (column, value) aggregate, not k count_distincts
-    vc = long_value_counts(df.select(*[as_text(df, x).alias(x) for x in cols]), cols)
+    vc = text_value_counts(df, cols) if vc is None else vc
     u = vc.groupBy("column").agg(F.count("value").alias("distinct"))
     per = per.join(u, "column", "left").fillna(0, ["distinct"])
     nn = F.col("non_null")
