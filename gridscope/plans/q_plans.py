@@ -66,9 +66,16 @@ def smart_insights(spark, sf):
     return res["insights"].select("type", "category", "title", "importance")
 
 
-@query("auto_structure_recs")
+def _auto_structure_sql():
+    from gridscope.plans.catalog import ORACLES
+    # P4 drops wholly empty columns first (orders has none), then recommends
+    # exactly as J9 does
+    return "SELECT type, columns, priority FROM (" + ORACLES["visualization_recs"] + ")"
+
+
+@query("auto_structure_recs", _auto_structure_sql())
 def auto_structure_recs(spark, sf):
-    """P4 visualization recommendations over orders (rows-only)."""
+    """P4 visualization recommendations over orders."""
     res = P.auto_structure(t(spark, sf, "orders"))
     return res["recommendations"].select("type", F.array_join("columns", ",").alias("columns"), "priority")
 
