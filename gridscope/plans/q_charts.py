@@ -189,10 +189,16 @@ def engagement_matrix(spark, sf):
     return round_cols(S.engagement_matrix(rec), 4)
 
 
-@query("dashboard")
+def _dashboard_sql():
+    from gridscope.plans.catalog import ORACLES
+    return ("SELECT CAST(rank - 1 AS INTEGER) AS chart_id, chart_type, columns, TRUE AS has_data FROM ("
+            + ORACLES["chart_recommendations"] + ") WHERE rank <= 6")
+
+
+@query("dashboard", None)
 def dashboard(spark, sf):
-    """The first six recommended charts of ``orders`` as datasets
-    (rows-only: JSON payloads)."""
+    """The first six recommended charts of ``orders`` with their datasets
+    built (the JSON payload itself is checked for being non-empty)."""
     from gridscope.operators import rules as J
     from gridscope.operators import semantic as C
     from gridscope.plans.q_rules import _with_ord
@@ -201,4 +207,4 @@ def dashboard(spark, sf):
     types = _with_ord(spark, C.semantic_types(o, ORDER_COLS), ORDER_COLS)
     recs = [(r["chart_type"], list(r["columns"])) for r in J.recommend_charts(types).orderBy("ord").collect()]
     return K.dashboard(o, recs, 6).select("chart_id", "chart_type", F.array_join("columns", ",").alias("columns"),
-                                          F.length("data").alias("data_chars"))
+                                          (F.length("data") > 2).alias("has_data"))

@@ -151,3 +151,13 @@ def hier_entity_means(spark, sf):
     """L6 via P1: per-entity means of the hierarchical records."""
     res = P.score_sheets(hierarchical_cells(spark, sf))
     return round_cols(res["scores"], 4)
+
+
+def _register_late_oracles():
+    """Oracles that reuse SQL registered by earlier query modules."""
+    from gridscope.plans.catalog import ORACLES
+    from gridscope.plans.q_charts import _dashboard_sql
+    ORACLES["dashboard"] = _dashboard_sql()
+
+
+_register_late_oracles()
