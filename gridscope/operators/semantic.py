@@ -84,18 +84,53 @@ def _ci(p: str) -> str:
     return p
 
 
+def _necessary(fam: str, k: int, s):
+    """A cheap condition every match of pattern ``k`` of family ``fam`` needs
+    (a literal character or a minimum length), tested before the regex; None
+    when there is no useful one.  Only an optimisation: results are unchanged."""
+    low = F.lower(s)
+    n = F.length(s)
+    table = {
+        ("date", 0): s.contains("-") | s.contains("/"),
+        ("date", 1): s.contains("-") | s.contains("/"),
+        ("email", 0): s.contains("@"),
+        ("phone", 0): s.contains("("),
+        ("phone", 1): n >= 10,
+        ("phone", 2): s.contains("+55"),
+        ("cpf", 0): s.contains(".") & s.contains("-"),
+        ("cpf", 1): n >= 11,
+        ("currency", 0): s.contains("$"),
+        ("currency", 1): s.contains("$"),
+        ("currency", 2): s.contains("$") | low.contains("rea"),
+        ("percentage", 0): s.contains("%"),
+        ("percentage", 1): low.contains("cento"),
+        ("code", 0): n.between(5, 13),
+        ("code", 1): n.between(4, 10),
+    }
+    return table.get((fam, k))
+
+
+def _match(fam: str, k: int, p: str, s):
+    cond = _necessary(fam, k, s)
+    m = s.rlike(_ci(p))
+    return m if cond is None else (cond & m)
+
+
 def pattern_scores(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """``(column, family, matches, non_null, score)``; score =
     matches summed over the family's regexes / non-null values (may exceed 1)."""
     cols = cols or df.columns
+    # the text form is computed once per row (formatting a timestamp is not
+    # cheap), then every pattern reads the projected column
+    txt = df.select(*[as_text(df, x).alias(f"_t{i}") for i, x in enumerate(cols)])
     aggs = []
     for i, x in enumerate(cols):
-        s = as_text(df, x)
+        s = F.col(f"_t{i}")
         aggs.append(F.count(s).alias(f"nn{i}"))
         for fam, pats in PATTERNS.items():
-            tot = sum((F.count_if(s.rlike(_ci(p))) for p in pats), F.lit(0))
+            tot = sum((F.count_if(_match(fam, k, p, s)) for k, p in enumerate(pats)), F.lit(0))
             aggs.append(tot.alias(f"{fam}{i}"))
-    row = df.agg(*aggs)
+    row = txt.agg(*aggs)
     recs = []
     for i, x in enumerate(cols):
         for fam in PATTERNS:
