@@ -53,7 +53,9 @@ def dirty_events(spark, sf):
                 WHEN count_if(regexp_matches(v, '(?i)(\\d{1,2}[-/]\\d{1,2}[-/]\\d{2,4}|\\d{4}[-/]\\d{1,2}[-/]\\d{1,2}|\\d{1,2}\\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))')) > 0.5 * count(v) THEN 'date'
                 ELSE 'keep' END AS inferred
     FROM (SELECT UNNEST([{'c': 'event_type', 'v': event_type}, {'c': 'value_text', 'v': value_text},
-                        {'c': 'user_text', 'v': user_text}, {'c': 'day_text', 'v': day_text}], recursive := true)
+                        {'c': 'user_text', 'v': user_text}, {'c': 'day_text', 'v': day_text},
+                        {'c': 'event_id', 'v': CAST(event_id AS VARCHAR)}, {'c': 'user_id', 'v': CAST(user_id AS VARCHAR)},
+                        {'c': 'value', 'v': CAST(value AS VARCHAR)}], recursive := true)
           FROM dirty WHERE NOT (event_id IS NULL AND ts IS NULL AND user_id IS NULL AND event_type IS NULL
                                 AND value IS NULL AND value_text IS NULL AND user_text IS NULL AND day_text IS NULL))
     GROUP BY c))
@@ -80,7 +82,9 @@ SELECT c AS column,
        ELSE 'keep' END AS inferred
 FROM (SELECT UNNEST([{'c': 'event_type', 'v': event_type}, {'c': 'value_text', 'v': value_text},
                     {'c': 'user_text', 'v': user_text}, {'c': 'day_text', 'v': day_text},
-                    {'c': 'empty_col', 'v': empty_col}], recursive := true) FROM dirty)
+                    {'c': 'empty_col', 'v': empty_col}, {'c': 'event_id', 'v': CAST(event_id AS VARCHAR)},
+                    {'c': 'user_id', 'v': CAST(user_id AS VARCHAR)}, {'c': 'value', 'v': CAST(value AS VARCHAR)}],
+                   recursive := true) FROM dirty)
 GROUP BY c""")
 def infer_types(spark, sf):
     return B.infer_types(dirty_events(spark, sf))
