@@ -90,7 +90,8 @@ def comprehensive_statistics(df: DataFrame, numeric: list[str], categorical: lis
         out["trend"] = G.add_p_values(G.linear_trend(data, time_col, numeric[:3]))
         out["seasonality"] = G.seasonal_strength(data, time_col, numeric[0])
         out["series"] = G.series_summary(data, time_col, numeric[:2])
-        out["frequency"] = G.series_frequency(data, time_col)
+        # frequency of the series itself: times where the first value is present
+        out["frequency"] = G.series_frequency(data.filter(F.col(f"`{numeric[0]}`").isNotNull()), time_col)
         if tie:
             out["acf"] = G.acf(data, time_col, tie, numeric[0])
             out["pacf"] = G.pacf(data, time_col, tie, numeric[0])
