@@ -203,3 +203,15 @@ def top_k(df: DataFrame, by: list[str], k: int, ascending: bool = False,
     TakeOrderedAndProject), ties broken by ``tiebreak`` ascending."""
     order = [c(x).asc() if ascending else c(x).desc() for x in by] + [c(x).asc() for x in tiebreak or []]
     return df.orderBy(*order).limit(k)
+
+
+def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False, rsd: float = 0.05) -> DataFrame:
+    """Non-null distinct values per column.  Exact: one ``(column, value)``
+    shuffle of the distinct pairs.  ``approx``: one aggregate of HLL sketches
+    (no shuffle of values; relative error ``rsd``) for very wide or very large
+    tables."""
+    if approx:
+        row = df.agg(*[F.approx_count_distinct(c(x), rsd).alias(f"d{i}") for i, x in enumerate(cols)])
+        return row.select(F.inline(F.array(*[F.struct(F.lit(x).alias("column"), F.col(f"d{i}").alias("distinct"))
+                                             for i, x in enumerate(cols)])))
+    return long_value_counts(df, cols).groupBy("column").agg(F.count("value").alias("distinct"))

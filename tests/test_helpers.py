@@ -39,3 +39,13 @@ def test_time_sort_and_charts(spark):
     assert tree.agg(F.sum("count")).first()[0] == e.count()
     frames = K.frames_sample(e, "value", "user_id", "event_type", 10, key="event_id")
     assert frames.groupBy("frame").count().agg(F.max("count")).first()[0] <= 10
+
+
+def test_distinct_counts_exact_and_approx(spark):
+    p = spark.read.parquet(f"{SF_SMALL}/part.parquet")
+    cols = ["p_brand", "p_type", "p_size"]
+    exact = {r["column"]: r["distinct"] for r in A.distinct_counts(p, cols).collect()}
+    approx = {r["column"]: r["distinct"] for r in A.distinct_counts(p, cols, approx=True).collect()}
+    truth = {x: p.select(x).distinct().count() for x in cols}
+    assert exact == truth
+    assert all(abs(approx[x] - truth[x]) <= max(2, 0.15 * truth[x]) for x in cols)
