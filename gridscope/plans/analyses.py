@@ -198,3 +198,26 @@ def auto_structure(df: DataFrame, preview_order: list[str] | None = None) -> dic
     if preview_order:
         out["preview"] = preview(data, preview_order, 10)
     return out
+
+
+def export_document(smart: dict[str, DataFrame], statistics: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The analysis as one JSON document of result groups - data info,
+    cleaning log, column types, relationships, insights, chart
+    recommendations and statistics.  Every group is a small result table
+    (one row per column, pair, insight or chart), never the data rows."""
+    from gridscope.sources.sinks import export_analysis
+    cleaned = smart["cleaned"]
+    info = cleaned.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(cleaned.columns)))
+    groups = {
+        "data_info": info,
+        "cleaning_log": smart["cleaning_log"],
+        "column_types": smart["types"],
+        "relationships": smart["dependencies"],
+        "insights": smart["insights"],
+        "chart_recommendations": smart["chart_recommendations"],
+    }
+    if smart.get("correlations") is not None:
+        groups["correlations"] = smart["correlations"]
+    if statistics and "describe" in statistics:
+        groups["statistics"] = statistics["describe"]
+    return export_analysis(groups)

@@ -30,3 +30,13 @@ def test_comprehensive_statistics(spark):
     assert r["recommendations"].count() >= 1
     assert r["stationarity"].count() == 1 and r["durbin_watson"].count() == 2
     assert r["cluster_labels"].count() == ev.count()
+
+
+def test_export_document(spark):
+    import json
+    r = P.smart_analysis(table(spark, SF_SMALL, "customer"))
+    stats = {"describe": __import__("gridscope.operators.aggregates", fromlist=["describe"]).describe(
+        r["cleaned"], ["c_acctbal"])}
+    doc = json.loads(P.export_document(r, stats).first()["document"])
+    assert {"data_info", "cleaning_log", "column_types", "insights", "chart_recommendations", "statistics"} <= set(doc)
+    assert doc["data_info"][0]["rows"] == 150
