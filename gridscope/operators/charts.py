@@ -103,6 +103,25 @@ def bar(df: DataFrame, col: str, top: int = 20) -> DataFrame:
     return top_rows.crossJoin(total).crossJoin(bal)
 
 
+def bar_values(df: DataFrame, x: str, y: str, color: str | None = None, top: int = 20) -> DataFrame:
+    """K5 with a value column: the bar heights a value chart stacks per x (and
+    per colour), i.e. the sum of ``y`` per group, for the ``top`` x values with
+    the largest totals.  The output is bounded by ``top`` x colours."""
+    keys = [c(x).cast("string").alias("x")] + ([c(color).cast("string").alias("color")] if color else [])
+    sums = df.groupBy(*keys).agg(F.sum(num(df, y)).alias("y"))
+    best = (sums.groupBy("x").agg(F.sum("y").alias("_t")).orderBy(F.desc("_t"), "x").limit(top).select("x"))
+    return sums.join(F.broadcast(best), "x", "left_semi")
+
+
+def line_insights(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
+    """K4 annotations: number of points, first and last time (G10) and the
+    slope of the values over their time order (G2)."""
+    from gridscope.operators.timeseries import index_trend
+    rng = df.filter(c(x).isNotNull() & num(df, y).isNotNull()).agg(
+        F.count(F.lit(1)).alias("points"), F.min(c(x)).alias("start"), F.max(c(x)).alias("end"))
+    return rng.crossJoin(index_trend(df, x, tie, y).select("slope", "trend"))
+
+
 def pie(df: DataFrame, col: str, top: int = 10) -> DataFrame:
     """K6: top ``top`` slices plus 'Outros' with the rest (when there are more
     categories), each slice's percentage and the largest slice's share."""

@@ -49,3 +49,16 @@ def test_distinct_counts_exact_and_approx(spark):
     truth = {x: p.select(x).distinct().count() for x in cols}
     assert exact == truth
     assert all(abs(approx[x] - truth[x]) <= max(2, 0.15 * truth[x]) for x in cols)
+
+
+def test_bar_values_and_line_insights(spark):
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    b = K.bar_values(o, "o_orderpriority", "o_totalprice", color="o_orderstatus", top=3)
+    assert b.select("x").distinct().count() == 3
+    tot = {r["x"]: r["t"] for r in b.groupBy("x").agg(F.sum("y").alias("t")).collect()}
+    ref = {r["o_orderpriority"]: r["t"] for r in o.groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("t"))
+           .orderBy(F.desc("t")).limit(3).collect()}
+    assert tot.keys() == ref.keys()
+    e = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    li = K.line_insights(e, "ts", "value", "event_id").first()
+    assert li["points"] == e.count() and li["trend"] in {"stable", "increasing", "decreasing"}
