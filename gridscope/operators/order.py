@@ -36,15 +36,35 @@ MAX_BUCKETS = 1024
 def _n_buckets(largest: int, n_buckets: int | None, rows_per_bucket: int) -> int:
     """Buckets per large group: enough that a bucket holds about
     ``rows_per_bucket`` rows of the largest group (twice that many, for the
-    sketch error), at most ``MAX_BUCKETS``."""
+    sketch error), at most ``MAX_BUCKETS`` (a row finds its bucket by binary
+    search over the bounds)."""
     if n_buckets:
-        return n_buckets
+        return int(min(MAX_BUCKETS, n_buckets))
     return int(min(MAX_BUCKETS, max(4, 2 * math.ceil(largest / max(1, rows_per_bucket)))))
 
 
 def _bucket_expr(value: Column, bounds: Column) -> Column:
-    """Index of the range bucket: the number of bounds strictly below ``value``."""
-    return F.size(F.filter(bounds, lambda b: b < value))
+    """Index of the range bucket: the number of (sorted) bounds strictly below
+    ``value``, found by binary search - about log2(#bounds) comparisons per
+    row instead of one per bound."""
+    steps = max(1, math.ceil(math.log2(MAX_BUCKETS + 1)) + 1)
+    init = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        below = F.try_element_at(bounds, mid + 1) < value
+        live = lo < hi
+        return F.struct(F.when(live & below, mid + 1).otherwise(lo).alias("lo"),
+                        F.when(live & ~below, mid).otherwise(hi).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
+
+
+def _is_hot(value: Column, bounds: Column, index: Column) -> Column:
+    """The value fills whole buckets: two consecutive bounds equal it."""
+    return ((F.try_element_at(bounds, index + 1) == value)
+            & (F.try_element_at(bounds, index + 2) == value))
 
 
 def _sort_key(df: DataFrame, col: str) -> Column:
@@ -110,8 +130,9 @@ def cumulative(df: DataFrame, order: list[str], by: list[str] | None = None,
             F.percentile_approx(c(key), probs, 10000).alias("_gs_bounds"))
         base = base.join(bt, by, "left")
     has_bounds = F.col("_gs_bounds").isNotNull()
-    bucket = F.when(has_bounds, _bucket_expr(c(key), F.col("_gs_bounds"))).otherwise(F.lit(0))
-    hot = F.when(has_bounds, F.size(F.filter(F.col("_gs_bounds"), lambda b: b == c(key))) > 1).otherwise(F.lit(False))
+    base = base.withColumn("_gs_i", F.when(has_bounds, _bucket_expr(c(key), F.col("_gs_bounds"))).otherwise(F.lit(0)))
+    bucket = F.col("_gs_i")
+    hot = F.when(has_bounds, F.coalesce(_is_hot(c(key), F.col("_gs_bounds"), bucket), F.lit(False))).otherwise(F.lit(False))
     if string_main:
         hot = F.lit(False)  # a prefix key is not exact, so no sub-buckets
     base = base.withColumn("_gs_b", bucket * 2 + hot.cast("int"))
@@ -126,7 +147,7 @@ def cumulative(df: DataFrame, order: list[str], by: list[str] | None = None,
                 _bucket_expr(_sort_key(base, tie), F.col("_gs_sb")))).drop("_gs_sb")
     else:
         base = base.withColumn("_gs_s", F.lit(0))
-    base = base.drop("_gs_bounds")
+    base = base.drop("_gs_bounds", "_gs_i")
     part = [c(b) for b in by] + [F.col("_gs_b"), F.col("_gs_s")]
     totals = base.groupBy(*part).agg(F.sum(w).alias("_gs_tot"))
     ow = Window.partitionBy(*[c(b) for b in by]).orderBy("_gs_b", "_gs_s").rowsBetween(
