@@ -29,7 +29,7 @@ from gridscope.functions.columns import c, q
 
 # A group (or bucket) of at most this many rows is ordered by one task.
 ROWS_PER_BUCKET = 1_000_000
-# Upper limit of range buckets per group (each row tests every bound once).
+# Upper limit of range buckets per group (a row finds its bucket by binary search).
 MAX_BUCKETS = 1024
 
 
