@@ -77,15 +77,16 @@ class HistoryStore:
 
 
 def history_totals(analyses: DataFrame, metrics: DataFrame, today=None) -> DataFrame:
-    """M1: total analyses, today's analyses, mean processing time (2
-    decimals), total rows and total charts."""
+    """M1: total analyses, today's analyses (UTC day), mean processing time
+    (0 when none, rounded half-even to 2 decimals), and the mean rows and mean
+    charts per analysis truncated to integers."""
     from gridscope.functions.columns import utc_day
     day = F.lit(today).cast("date") if today is not None else F.current_date()
     a = analyses.agg(F.count(F.lit(1)).alias("total_analyses"),
                      F.count_if(utc_day(F.unix_micros("upload_timestamp")) == day).alias("analyses_today"))
-    m = metrics.agg(F.round(F.avg("processing_time"), 2).alias("avg_processing_time"),
-                    F.coalesce(F.sum("data_rows"), F.lit(0)).alias("total_rows_processed"),
-                    F.coalesce(F.sum("charts_generated"), F.lit(0)).alias("total_charts_generated"))
+    m = metrics.agg(F.bround(F.coalesce(F.avg("processing_time"), F.lit(0.0)), 2).alias("avg_processing_time"),
+                    F.coalesce(F.avg("data_rows"), F.lit(0.0)).cast("long").alias("avg_data_rows"),
+                    F.coalesce(F.avg("charts_generated"), F.lit(0.0)).cast("long").alias("avg_charts_generated"))
     return a.crossJoin(m)
 
 

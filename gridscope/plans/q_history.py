@@ -38,8 +38,9 @@ def metrics(spark, sf):
 @query("history_totals", ANALYSES_SQL + """
 SELECT (SELECT count(*) FROM analyses) AS total_analyses,
   (SELECT count(*) FROM analyses WHERE CAST(upload_timestamp AS DATE) = (SELECT max(CAST(upload_timestamp AS DATE)) FROM analyses)) AS analyses_today,
-  round(avg(processing_time), 2) AS avg_processing_time, CAST(sum(data_rows) AS BIGINT) AS total_rows_processed,
-  CAST(sum(charts_generated) AS BIGINT) AS total_charts_generated FROM metrics""")
+  round_even(coalesce(avg(processing_time), 0), 2) AS avg_processing_time,
+  CAST(trunc(coalesce(avg(data_rows), 0)) AS BIGINT) AS avg_data_rows,
+  CAST(trunc(coalesce(avg(charts_generated), 0)) AS BIGINT) AS avg_charts_generated FROM metrics""")
 def history_totals(spark, sf):
     """M1 with 'today' = the last day in the log (deterministic)."""
     a = analyses(spark, sf)

@@ -22,7 +22,8 @@ def test_history_store(spark, tmpdir_fresh):
     a = h.read("analyses")
     assert a.count() == 2
     tot = M.history_totals(a, h.read("performance_metrics")).first()
-    assert (tot["total_analyses"], tot["avg_processing_time"], tot["total_rows_processed"]) == (2, 2.0, 150)
+    assert (tot["total_analyses"], tot["avg_processing_time"], tot["avg_data_rows"], tot["avg_charts_generated"]) == \
+        (2, 2.0, 75, 2)
     assert h.read("system_logs").count() == 1
     assert [r["id"] for r in M.recent_analyses(a, 1).collect()] == [2]
     assert M.analysis_by_id(a, 2).first()["analysis_data"]["rows"] == "5"
