@@ -140,9 +140,11 @@ def kendall_tau_b(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def strong_pairs(pairs: DataFrame, value: str = "corr", threshold: float = 0.7,
-                 strict: bool = False, very_strong: float = 0.9, strong_label_at: float | None = None) -> DataFrame:
+                 strict: bool = False, very_strong: float = 0.9, strong_label_at: float | None = None,
+                 ordered: bool = True) -> DataFrame:
     """pairs with |r| >= threshold (> when ``strict``), with strength and
-    direction, sorted by |r| descending.  The statistics module labels
+    direction, sorted by |r| descending (``ordered=False`` keeps the pair
+    order, as the structure analysis lists them).  The statistics module labels
     > 0.9 very_strong else strong; the semantic module (``strong_label_at``
     = 0.8) labels > 0.8 strong else moderate."""
     r = F.col(value)
@@ -151,9 +153,9 @@ def strong_pairs(pairs: DataFrame, value: str = "corr", threshold: float = 0.7,
         strength = F.when(F.abs(r) > strong_label_at, "strong").otherwise("moderate")
     else:
         strength = F.when(F.abs(r) > very_strong, "very_strong").otherwise("strong")
-    return (pairs.filter(keep).withColumn("strength", strength)
-            .withColumn("direction", F.when(r > 0, "positive").otherwise("negative"))
-            .orderBy(F.desc(F.abs(r)), "var1", "var2"))
+    out = (pairs.filter(keep).withColumn("strength", strength)
+           .withColumn("direction", F.when(r > 0, "positive").otherwise("negative")))
+    return out.orderBy(F.desc(F.abs(r)), "var1", "var2") if ordered else out
 
 
 def cross_products(df: DataFrame, cols: list[str], fill_zero: bool = True) -> tuple[np.ndarray, np.ndarray, int]:

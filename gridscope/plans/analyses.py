@@ -191,10 +191,14 @@ def auto_structure(df: DataFrame, preview_order: list[str] | None = None) -> dic
     if nums:
         typed = data.select(*[F.col(f"`{x}`") for x in cols])
         out["numeric"] = P.numeric_profile(typed, nums)
-        if len(nums) >= 2:
-            pairs = R.pearson_pairs(typed, nums).withColumn("corr", F.round("corr", 3))
-            out["correlations"] = pairs
-            out["strong_correlations"] = R.strong_pairs(pairs, strict=True, strong_label_at=0.8)
+    # relationships use the physically numeric columns, as the structure
+    # analysis does: strict |r| > 0.7 on the exact values, listed in column
+    # order; the matrix itself is reported rounded to 3 decimals
+    phys = B.select_by_type(data, "number").columns
+    if len(phys) >= 2:
+        pairs = R.pearson_pairs(data, phys)
+        out["correlations"] = pairs.withColumn("corr", F.round("corr", 3))
+        out["strong_correlations"] = R.strong_pairs(pairs, strict=True, strong_label_at=0.8, ordered=False)
     if preview_order:
         out["preview"] = preview(data, preview_order, 10)
     return out
