@@ -176,6 +176,33 @@ def density(df: DataFrame, col: str, grid: int = 500, fine_bins: int = 4096) ->
     return pts.crossJoin(F.broadcast(binned)).groupBy("x").agg((F.sum(F.col("count") * k) / n).alias("density"))
 
 
+def violin(df: DataFrame, col: str, by: str, top: int = 10, grid: int = 200, fine_bins: int = 1024) -> DataFrame:
+    """K9 by category: a binned Gaussian density per category (Scott's
+    bandwidth per category) on a per-category grid, for the ``top`` most
+    frequent categories.  Per-category ranges are one aggregate (at most
+    ``top`` rows, broadcast); bins are one grouped count; the kernel sum is
+    bounded by top x bins x grid."""
+    cats = (df.filter(c(by).isNotNull()).groupBy(c(by).alias("group")).count()
+            .orderBy(F.desc("count"), F.asc("group")).limit(top).select("group"))
+    x = df.select(c(by).alias("group"), num(df, col).alias("x")).filter(F.col("x").isNotNull()).join(
+        F.broadcast(cats), "group", "left_semi")
+    st = x.groupBy("group").agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+                                F.stddev_samp("x").alias("sd")).filter((F.col("sd") > 0) & (F.col("hi") > F.col("lo")))
+    st = st.withColumn("bw", F.col("sd") * F.pow(F.col("n"), -0.2)).withColumn(
+        "w", (F.col("hi") - F.col("lo")) / fine_bins)
+    binned = (x.join(F.broadcast(st), "group")
+              .select("group", F.least(F.floor((F.col("x") - F.col("lo")) / F.col("w")), F.lit(fine_bins - 1))
+                      .cast("int").alias("b"))
+              .groupBy("group", "b").count())
+    centres = binned.join(F.broadcast(st), "group").select(
+        "group", (F.col("lo") + (F.col("b") + 0.5) * F.col("w")).alias("centre"), "count", "bw", "n")
+    pts = st.select("group", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"), "lo", "hi").select(
+        "group", (F.col("lo") + F.col("i") * ((F.col("hi") - F.col("lo")) / (grid - 1))).alias("x"))
+    k = F.exp(-0.5 * ((F.col("x") - F.col("centre")) / F.col("bw")) ** 2) / (F.col("bw") * math.sqrt(2 * math.pi))
+    return pts.join(centres, "group").groupBy("group", "x").agg(
+        (F.sum(F.col("count") * k) / F.first("n")).alias("density"))
+
+
 def radar(df: DataFrame, cols: list[str], max_cols: int = 6) -> DataFrame:
     """Column means, min-max normalized across the columns."""
     cols = cols[:max_cols]
@@ -285,6 +312,10 @@ def chart_data(df: DataFrame, chart_type: str, columns: list[str], key: str | No
         return crosstab(df, columns[0], columns[1])
     if t in ("time_series", "line"):
         return line_points(df, columns[0], columns[1])
+    if t in ("violin",):
+        return violin(df, columns[0], columns[1]) if len(columns) > 1 else density(df, columns[0])
+    if t in ("density",):
+        return density(df, columns[0])
     return None
 
 

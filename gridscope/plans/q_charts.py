@@ -208,3 +208,20 @@ def dashboard(spark, sf):
     recs = [(r["chart_type"], list(r["columns"])) for r in J.recommend_charts(types).orderBy("ord").collect()]
     return K.dashboard(o, recs, 6).select("chart_id", "chart_type", F.array_join("columns", ",").alias("columns"),
                                           (F.length("data") > 2).alias("has_data"))
+
+
+@query("violin_by_type", """
+WITH cats AS (SELECT event_type AS g FROM events WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, g LIMIT 10),
+v AS (SELECT event_type AS g, value AS x FROM events WHERE value IS NOT NULL AND event_type IN (SELECT g FROM cats)),
+s AS (SELECT g, count(*) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) AS sd FROM v GROUP BY g
+      HAVING stddev_samp(x) > 0 AND max(x) > min(x)),
+s2 AS (SELECT *, sd * power(n, -0.2) AS bw, (hi - lo) / 1024 AS w FROM s),
+b AS (SELECT v.g, least(floor((x - lo) / w), 1023) AS b, count(*) AS cnt FROM v JOIN s2 ON v.g = s2.g GROUP BY 1, 2),
+c AS (SELECT b.g, lo + (b + 0.5) * w AS centre, cnt, bw, n FROM b JOIN s2 ON b.g = s2.g),
+p AS (SELECT g, lo + i * ((hi - lo) / 199) AS px FROM s2, range(200) t(i))
+SELECT p.g AS "group", round(px, 6) AS x,
+  round(sum(cnt * exp(-0.5 * power((px - centre) / bw, 2)) / (bw * sqrt(2 * pi()))) / any_value(n), 6) AS density
+FROM p JOIN c ON p.g = c.g GROUP BY p.g, px""")
+def violin_by_type(spark, sf):
+    """K9 by category: densities of the event value per event type."""
+    return round_cols(K.violin(t(spark, sf, "events"), "value", "event_type"))

@@ -62,3 +62,15 @@ def test_bar_values_and_line_insights(spark):
     e = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     li = K.line_insights(e, "ts", "value", "event_id").first()
     assert li["points"] == e.count() and li["trend"] in {"stable", "increasing", "decreasing"}
+
+
+def test_violin_densities_integrate(spark):
+    import numpy as np
+    e = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    v = K.violin(e, "value", "event_type", top=3)
+    assert v.select("group").distinct().count() == 3
+    for g in [r["group"] for r in v.select("group").distinct().collect()]:
+        pts = sorted((r["x"], r["density"]) for r in v.filter(F.col("group") == g).collect())
+        xs, ys = np.array([p[0] for p in pts]), np.array([p[1] for p in pts])
+        area = float(np.sum((xs[1:] - xs[:-1]) * (ys[1:] + ys[:-1]) / 2))
+        assert 0.85 < area < 1.05
