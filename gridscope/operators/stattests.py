@@ -82,7 +82,7 @@ def _norm_logcdf_udf():
     return logcdf
 
 
-def anderson_darling(df: DataFrame, col: str) -> DataFrame:
+def anderson_darling(df: DataFrame, col: str, min_rows: int = 8) -> DataFrame:
     """H9: A² for normality with sample mean / std (ddof 1) and the 5 %
     critical value 0.787 / (1 + 4/n - 25/n²).  The sum over sorted values is
     done over distinct values: a value occupying positions s+1..s+c gets
@@ -93,7 +93,7 @@ def anderson_darling(df: DataFrame, col: str) -> DataFrame:
     n, m, sd = st["n"], st["m"], st["sd"]
     spark = df.sparkSession
     schema = "column string, n long, statistic double, critical_value double, is_normal boolean"
-    if not n or not sd:
+    if not n or n < min_rows or not sd:
         return spark.createDataFrame([], schema)
     oc = _ordered_counts(df, col)
     lc = _norm_logcdf_udf()
@@ -108,7 +108,7 @@ def anderson_darling(df: DataFrame, col: str) -> DataFrame:
     return spark.createDataFrame([(col, n, float(a2), crit, bool(a2 < crit))], schema)
 
 
-def ks_normal(df: DataFrame, col: str, alpha: float = 0.05) -> DataFrame:
+def ks_normal(df: DataFrame, col: str, alpha: float = 0.05, min_rows: int = 8) -> DataFrame:
     """Kolmogorov-Smirnov of the standardized values (ddof 1) against
     N(0, 1) with MLlib's distributed test."""
     from pyspark.ml.stat import KolmogorovSmirnovTest
@@ -116,7 +116,7 @@ def ks_normal(df: DataFrame, col: str, alpha: float = 0.05) -> DataFrame:
     st = v.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"), F.count("x").alias("n")).first()
     spark = df.sparkSession
     schema = "column string, n long, statistic double, p_value double, is_normal boolean"
-    if not st["n"] or not st["sd"]:
+    if not st["n"] or st["n"] < min_rows or not st["sd"]:
         return spark.createDataFrame([], schema)
     z = v.select(((F.col("x") - F.lit(st["m"])) / F.lit(st["sd"])).alias("z"))
     r = KolmogorovSmirnovTest.test(z, "z", "norm", 0.0, 1.0).first()
