@@ -76,6 +76,7 @@ def comprehensive_statistics(df: DataFrame, numeric: list[str], categorical: lis
     consensus = norm[0]
     for x in norm[1:]:
         consensus = consensus.unionByName(x)
+    consensus = consensus.filter(F.col("total_tests") > 0)  # columns under 8 values are not tested
     out["normality"] = consensus
     if len(numeric) >= 2:
         out["pearson"] = R.pearson_pairs(data, numeric)
