@@ -28,6 +28,13 @@ from gridscope.operators import models as H
 from gridscope.session import materialize
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def _ord_table(spark, cols):
     return spark.createDataFrame([(x, i) for i, x in enumerate(cols)], "column string, ord int")
 
@@ -89,14 +96,15 @@ def comprehensive_statistics(df: DataFrame, numeric: list[str], categorical: lis
     out["isolation_forest"] = O.isolation_forest(data, numeric)
     if time_col:
         out["trend"] = G.add_p_values(G.linear_trend(data, time_col, numeric[:3]))
-        out["seasonality"] = G.seasonal_strength(data, time_col, numeric[0])
+        out["seasonality"] = _union([G.seasonal_strength(data, time_col, x) for x in numeric[:3]])
         out["series"] = G.series_summary(data, time_col, numeric[:2])
         # frequency of the series itself: times where the first value is present
         out["frequency"] = G.series_frequency(data.filter(F.col(f"`{numeric[0]}`").isNotNull()), time_col)
         if tie:
-            out["acf"] = G.acf(data, time_col, tie, numeric[0])
-            out["pacf"] = G.pacf(data, time_col, tie, numeric[0])
-            out["stationarity"] = G.adf_test(data, time_col, tie, numeric[0])
+            # the first two value columns, as the reference's time-series step
+            out["acf"] = _union([G.acf(data, time_col, tie, x).withColumn("column", F.lit(x)) for x in numeric[:2]])
+            out["pacf"] = _union([G.pacf(data, time_col, tie, x).withColumn("column", F.lit(x)) for x in numeric[:2]])
+            out["stationarity"] = _union([G.adf_test(data, time_col, tie, x) for x in numeric[:2]])
     k = None
     if len(numeric) >= 2:
         labelled, centres, summary, inertia, k, _ = H.kmeans(data, numeric)
@@ -119,8 +127,9 @@ def comprehensive_statistics(df: DataFrame, numeric: list[str], categorical: lis
     if len(numeric) >= 3:
         out["pca"] = H.pca(data, numeric)
     if categorical:
-        out["t_test"] = T.t_test(data, numeric[0], categorical[0])
-        out["mann_whitney"] = T.mann_whitney(data, numeric[0], categorical[0])
+        # first two value columns x first category column
+        out["t_test"] = _union([T.t_test(data, x, categorical[0]) for x in numeric[:2]])
+        out["mann_whitney"] = _union([T.mann_whitney(data, x, categorical[0]) for x in numeric[:2]])
     ordc = _ord_table(spark, numeric)
     strong = (R.strong_pairs(out["pearson"]) if "pearson" in out
               else spark.createDataFrame([], "var1 string, var2 string, corr double, strength string"))

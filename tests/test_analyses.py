@@ -28,7 +28,8 @@ def test_comprehensive_statistics(spark):
     assert r["acf"].count() >= 2 and r["trend"].count() == 2
     assert all(0 <= x["p_value"] <= 1 for x in r["trend"].collect())
     assert r["recommendations"].count() >= 1
-    assert r["stationarity"].count() == 1 and r["durbin_watson"].count() == 2
+    assert r["stationarity"].count() == 2 and r["durbin_watson"].count() == 2
+    assert r["t_test"].count() == 2 and r["acf"].select("column").distinct().count() == 2
     assert r["cluster_labels"].count() == ev.count()
 
 
