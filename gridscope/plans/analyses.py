@@ -72,7 +72,9 @@ def comprehensive_statistics(df: DataFrame, numeric: list[str], categorical: lis
     out["robust_spread"] = D.robust_spread(data, numeric)
     out["mode"] = D.mode(data, numeric)
     if categorical:
-        out["categorical"] = D.frequency_summary(data, categorical)
+        # with the ten most frequent values of each (frequency distribution)
+        out["categorical"] = D.frequency_summary(data, categorical).join(
+            D.top_values(D.long_value_counts(data, categorical), 10), "column", "left")
     norm = []
     for col in numeric:
         sw = T.shapiro_wilk(data, col)
