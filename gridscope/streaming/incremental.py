@@ -53,3 +53,17 @@ def start(agg: DataFrame, checkpoint: str, sink: str = "memory", name: str = "en
     else:
         w = w.format(sink)
     return w.start()
+
+
+def watch_sheets(spark, folder: str, schema: str, entity: str, score_cols: list[str], checkpoint: str,
+                 name: str = "sheet_means", trigger_once: bool = False):
+    """Score sheets (same layout) as they land in ``folder``: each new CSV
+    file is a sheet named by its file name; the running entity means are
+    kept in the streaming state.  Returns the started query."""
+    files = (spark.readStream.option("header", True).schema(schema).csv(folder)
+             .withColumn("_sheet", F.col("_metadata.file_name")))
+    scores = stream_row_scores(clean_rows(files), entity, "_sheet", score_cols)
+    w = running_entity_means(scores).writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+    if trigger_once:
+        w = w.trigger(availableNow=True)
+    return w.format("memory").queryName(name).start()

@@ -45,3 +45,19 @@ def test_streaming_entity_means(spark, tmpdir_fresh):
            for r in spark.sql("SELECT * FROM gs_means_test").collect()}
     q.stop()
     assert got == {("s1", "A"): (77.75, 1), ("s1", "B"): (50.0, 1), ("s2", "A"): (15.0, 1)}
+
+
+def test_watch_sheets(spark, tmpdir_fresh):
+    folder = os.path.join(tmpdir_fresh, "landing")
+    os.makedirs(folder)
+    with open(os.path.join(folder, "a.csv"), "w") as f:
+        f.write("nome,nota1,nota2\nX,7,9\nY,5,\n")
+    q = ST.watch_sheets(spark, folder, "nome string, nota1 string, nota2 string", "nome", ["nota1", "nota2"],
+                        os.path.join(tmpdir_fresh, "ck"), name="gs_watch_test")
+    q.processAllAvailable()
+    with open(os.path.join(folder, "b.csv"), "w") as f:
+        f.write("nome,nota1,nota2\nX,1,3\n")
+    q.processAllAvailable()
+    got = {(r["Planilha"], r["Escola"]): r["Media"] for r in spark.sql("SELECT * FROM gs_watch_test").collect()}
+    q.stop()
+    assert got == {("a.csv", "X"): 8.0, ("a.csv", "Y"): 5.0, ("b.csv", "X"): 2.0}
