@@ -137,7 +137,8 @@ def regress_each(df: DataFrame, cols: list[str], min_rows: int = 10) -> DataFram
     aggregate serves every target."""
     spark = df.sparkSession
     schema = ("target string, predictors array<string>, coefficients array<double>, intercept double, "
-              "r_squared double, residual_mean double, residual_std double, n long, error string")
+              "r_squared double, residual_mean double, residual_std double, n long, error string, "
+              "means map<string,double>")
     if len(cols) < 2:
         return spark.createDataFrame([], schema)
     means, S, n = centred_cross_products(df, cols)
@@ -157,14 +158,17 @@ def regress_each(df: DataFrame, cols: list[str], min_rows: int = 10) -> DataFram
         r2 = 1 - sse / sst if sst > 0 else float("nan")
         intercept = float(means[t_i] - beta @ means[pred])
         rows.append((tgt, [cols[j] for j in pred], [float(b) for b in beta], intercept, float(r2), 0.0,
-                     math.sqrt(sse / (n - 1)) if n > 1 else None, n, None))
+                     math.sqrt(sse / (n - 1)) if n > 1 else None, n, None,
+                     {x: float(means[j]) for j, x in enumerate(cols)}))
     return spark.createDataFrame(rows, schema)
 
 
 def residuals(df: DataFrame, target: str, predictors: list[str], coefficients: list[float], intercept: float,
-              keep: list[str]) -> DataFrame:
-    """Residuals y - (b0 + b x) with the coefficients as literals (mean-imputed x)."""
-    means = df.agg(*[F.avg(num(df, x)).alias(x) for x in predictors + [target]]).first()
+              keep: list[str], means: dict | None = None) -> DataFrame:
+    """Residuals y - (b0 + b x) with the coefficients as literals (mean-imputed
+    x; pass the fit's ``means`` to skip the aggregate that finds them)."""
+    if means is None:
+        means = df.agg(*[F.avg(num(df, x)).alias(x) for x in predictors + [target]]).first().asDict()
     fit = F.lit(intercept)
     for x, b in zip(predictors, coefficients):
         fit = fit + F.lit(b) * F.coalesce(num(df, x), F.lit(means[x]))

@@ -120,7 +120,7 @@ def comprehensive_statistics(df: DataFrame, numeric: list[str], categorical: lis
             dws = []
             for r in regs.collect():  # one row per numeric column
                 res = H.residuals(data, r["target"], r["predictors"], r["coefficients"], r["intercept"],
-                                  keep=[time_col, tie])
+                                  keep=[time_col, tie], means=r["means"])
                 dws.append(H.durbin_watson(res, "resid", [time_col, tie]).select(
                     F.lit(r["target"]).alias("target"), "durbin_watson"))
             out["durbin_watson"] = dws[0]

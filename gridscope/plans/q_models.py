@@ -62,7 +62,7 @@ def durbin_watson(spark, sf):
     li = t(spark, sf, "lineitem")
     fit = H.regress_each(li, ["l_extendedprice", "l_quantity"]).filter("target = 'l_extendedprice'").first()
     res = H.residuals(li, "l_extendedprice", ["l_quantity"], fit["coefficients"], fit["intercept"],
-                      keep=DW_ORDER)
+                      keep=DW_ORDER, means=fit["means"])
     return round_cols(H.durbin_watson(res, "resid", DW_ORDER))
 
 
