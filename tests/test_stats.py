@@ -143,3 +143,14 @@ def test_adf_matches_direct_regression(spark):
     assert r["used_lag"] == best and r["nobs"] == len(y)
     assert r["adf_statistic"] == pytest.approx(b[1] / se, rel=1e-9)
     assert 0 <= r["p_value"] <= 1 and r["crit_1"] < r["crit_5"] < r["crit_10"]
+
+
+def test_similar_columns_groups_twins(spark):
+    rng = np.random.default_rng(3)
+    a, b, c = rng.normal(size=(3, 300))
+    rows = [(float(x), float(2 * x + 1), float(y), float(-3 * y), float(z), float(z + 0.001 * x))
+            for x, y, z in zip(a, b, c)]
+    df = spark.createDataFrame(rows, "a double, a2 double, b double, b2 double, c double, c2 double")
+    groups = [set(r["columns"]) for r in R.similar_columns(df, ["a", "a2", "b", "b2", "c", "c2"]).collect()]
+    assert {"a", "a2"} in groups or any({"a", "a2"} <= g for g in groups)
+    assert all(len(g) > 1 for g in groups)
