@@ -38,3 +38,14 @@ def test_value_counts_is_a_top_k_sort(spark):
     li = spark.read.parquet(f"{SF_MID}/lineitem.parquet")
     plan = _plan(A.value_counts(li, "l_partkey", 20))
     assert "TakeOrderedAndProject" in plan
+
+
+def test_no_cartesian_products(spark):
+    """No registered query pairs up rows of two unbounded inputs."""
+    from conftest import SF_SMALL
+    bad = []
+    for name, q in sorted(E.queries().items()):
+        plan = _plan(q(spark, SF_SMALL))
+        if "CartesianProduct" in plan:
+            bad.append(name)
+    assert bad == []
