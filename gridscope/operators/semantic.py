@@ -104,8 +104,8 @@ def _necessary(fam: str, k: int, s):
         ("currency", 2): s.contains("$") | low.contains("rea"),
         ("percentage", 0): s.contains("%"),
         ("percentage", 1): low.contains("cento"),
-        ("code", 0): n.between(5, 13),
-        ("code", 1): n.between(4, 10),
+        ("code", 0): n.between(5, 15),  # "$" also matches before a final line break
+        ("code", 1): n.between(4, 12),
     }
     return table.get((fam, k))
 
