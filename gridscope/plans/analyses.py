@@ -39,11 +39,14 @@ def _ord_table(spark, cols):
     return spark.createDataFrame([(x, i) for i, x in enumerate(cols)], "column string, ord int")
 
 
-def score_sheets(cells: DataFrame) -> dict[str, DataFrame]:
+def score_sheets(cells: DataFrame, first_sheet_only: bool = True) -> dict[str, DataFrame]:
     """Cell table of many sheets -> per-entity scores, the entity x sheet
     matrix, the engagement matrix of hierarchical sheets, per-sheet stats,
-    rankings and the report table.  The cell table feeds several branches,
-    so it is materialized once with a reliable checkpoint."""
+    rankings and the report table.  Like the upload route, a workbook
+    contributes its first sheet (``first_sheet_only``).  The cell table feeds
+    several branches, so it is written once under the checkpoint folder."""
+    if first_sheet_only:
+        cells = cells.filter(F.col("sheet_index") == 0)
     cells = materialize(cells, "cells")
     scores, records = L.score_sheets(cells)
     return {

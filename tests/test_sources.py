@@ -121,3 +121,13 @@ def test_sinks(spark, tmpdir_fresh):
     W.write_records_json(df, out)
     assert spark.read.json(out).count() == 2
     assert [r["k"] for r in W.preview(df, ["k"], 1).collect()] == [1]
+
+
+def test_score_sheets_reads_first_workbook_sheet(spark, tmpdir_fresh):
+    from gridscope.plans import analyses as P
+    p = os.path.join(tmpdir_fresh, "notas.xlsx")
+    _xlsx(p, [("primeira", [["Nome da Escola", "Nota 1"], ["E1", 5], ["E2", 7]]),
+              ("segunda", [["Nome da Escola", "Nota 1"], ["E9", 1], ["E8", 2], ["E7", 3]])])
+    res = P.score_sheets(read_cells(spark, p))
+    got = {(r["Planilha"], r["Escola"]): r["Media"] for r in res["scores"].collect()}
+    assert got == {("notas.xlsx", "E1"): 5.0, ("notas.xlsx", "E2"): 7.0}
