@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from gridscope.llm import language, mixing, packing, quality, tokens
+from gridscope.llm import language, lines, mixing, packing, private, quality, tokens
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op2_token_counts": tokens.op2_token_counts,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_private_data": private.op4_private_data,
     "op5_packing": packing.op5_packing,
     "op6_language": language.op6_language,
     "op8_mixing": mixing.op8_mixing,
