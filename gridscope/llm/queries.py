@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridscope.llm import language, lines, mixing, packing, private, quality, tokens
+from gridscope.llm import language, lines, minhash, mixing, packing, private, quality, tokens
 
 QUERIES = {
+    "op10_near_duplicates": minhash.op10_near_duplicates,
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_token_counts": tokens.op2_token_counts,
     "op3_quality_rules": quality.op3_quality_rules,
