@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridscope.llm import language, lines, minhash, mixing, packing, private, quality, tokens
+from gridscope.llm import language, lines, minhash, mixing, packing, private, quality, substrings, tokens
 
 QUERIES = {
     "op10_near_duplicates": minhash.op10_near_duplicates,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_language": language.op6_language,
     "op8_mixing": mixing.op8_mixing,
+    "op9_substrings": substrings.op9_substrings,
 }
 ORACLES = {
     "op8_mixing": mixing.OP8_SQL,
