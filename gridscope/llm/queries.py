@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridscope.llm import language, lines, minhash, mixing, packing, private, quality, substrings, tokens
+from gridscope.llm import language, lines, minhash, mixing, packing, private, quality, substrings, tokens, topk
 
 QUERIES = {
     "op10_near_duplicates": minhash.op10_near_duplicates,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_private_data": private.op4_private_data,
     "op5_packing": packing.op5_packing,
     "op6_language": language.op6_language,
+    "op7_top_k": topk.op7_top_k,
     "op8_mixing": mixing.op8_mixing,
     "op9_substrings": substrings.op9_substrings,
 }
