@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridscope.llm import mixing, packing, quality
+from gridscope.llm import lines, minhash, mixing, packing, quality
 from gridscope.llm.common import documents, stored
 from gridscope.session import ship_package
 
@@ -19,6 +19,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: chunks of lines that stand in an earlier document are cut out."""
+    ship_package(spark)
+    return lines.dedup_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: one document of each group of near duplicates stays."""
+    ship_package(spark)
+    return minhash.near_dedup(docs)
+
+
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: each document as often as the mixture takes it."""
     ship_package(spark)
@@ -31,7 +43,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("mixing", mixing_weights), ("packing", pack_sequences)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates),
+          ("mixing", mixing_weights), ("packing", pack_sequences)]
 
 #: Tokenising and packing can't be written in SQL; tests compare with brute force.
 ORACLE_SQL = None
