@@ -2,10 +2,10 @@
 
 Native: DataFrame functions only.
 
-A text is split at ``\\n``.  A rolling hash over the hashes of ``WINDOW`` lines ends
-a chunk wherever it is 0 modulo ``DIVISOR``, so boundaries depend on nearby
-lines only and survive insertions elsewhere.  Chunks of at least ``MIN_LINES``
-lines that occur more than once in the whole corpus are compared byte by byte
+A text is split at ``\\n``.  A chunk starts wherever the rolling hash over the hashes
+of ``WINDOW`` lines is smaller than at both neighbouring lines, so boundaries
+depend on nearby lines only, survive insertions elsewhere, and lie two or more
+lines apart.  Chunks of at least ``MIN_LINES`` lines that occur more than once in the whole corpus are compared byte by byte
 with their first occurrence (smallest doc_id, then text hash, then place) and
 removed when equal.
 
@@ -22,21 +22,24 @@ from pyspark.sql import functions as F
 from gridscope.llm.common import documents, stored, text_of
 
 WINDOW = 2
-DIVISOR = 3
 MIN_LINES = 2
 
 
-def chunks_of(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column:
+def chunks_of(text: Column, window: int = WINDOW) -> Column:
     """array<struct<n: lines, body: text>>: joined by ``\\n`` they are the text."""
     lines = F.split(text, "\n", -1)
 
-    def cuts(ls: Column) -> Column:
-        hashes = F.transform(ls, lambda x: F.xxhash64(x))
-        ends = F.filter(F.sequence(F.lit(window), F.greatest(F.size(ls), F.lit(window))), lambda i: (i < F.size(ls)) & (
-            F.pmod(F.xxhash64(*[F.get(hashes, i - F.lit(k + 1)) for k in range(window)]), F.lit(divisor)) == 0))
-        return F.concat(F.array(F.lit(0)), ends, F.array(F.size(ls)))
-
-    both = F.transform(F.array(lines), lambda ls: F.struct(ls.alias("ls"), cuts(ls).alias("at")))
+    def places(ls: Column) -> Column:
+        """Where chunks start, and the number of lines."""
+        most = F.lit(2 ** 63 - 1)
+        hashes = F.array(F.transform(ls, lambda x: F.xxhash64(x)))
+        rolled = F.transform(hashes, lambda h: F.transform(h, lambda _, i: F.when(
+            i >= window - 1, F.xxhash64(*[F.get(h, i - F.lit(k)) for k in range(window)]))))
+        at = F.flatten(F.transform(rolled, lambda r: F.filter(F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))), lambda i: (
+            (i < F.size(r)) & (F.get(r, i) < F.coalesce(F.get(r, i - 1), most)) & (F.get(r, i) <= F.coalesce(F.get(r, i + 1), most))))))
+        return F.concat(F.array(F.lit(0)), at, F.array(F.size(ls)))
+
+    both = F.transform(F.array(lines), lambda ls: F.struct(ls.alias("ls"), places(ls).alias("at")))
     return F.flatten(F.transform(both, lambda b: F.transform(
         F.sequence(F.lit(0), F.size(b["at"]) - 2),
         lambda k: F.struct((F.get(b["at"], k + 1) - F.get(b["at"], k)).alias("n"),
@@ -51,19 +54,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
         "_d", F.coalesce(F.col("_row.doc_id").cast("string"), F.lit(""))).withColumn("_x", F.xxhash64("_text"))
 
 
-def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
+def repeated_chunks(docs: DataFrame, window: int = WINDOW,
                     min_lines: int = MIN_LINES) -> DataFrame:
     """(_d, _x, places): per row key the chunks to remove."""
     keyed = _keyed(docs.select("doc_id", "text"))
     order = F.col("_row.doc_id")
-    cut = keyed.select("_d", "_x", order.alias("_o"), F.posexplode(chunks_of(F.col("_text"), window, divisor)).alias("p", "c"))
+    cut = keyed.select("_d", "_x", order.alias("_o"), F.posexplode(chunks_of(F.col("_text"), window)).alias("p", "c"))
     slim = stored(cut.filter((F.col("c.n") >= min_lines) & (F.trim("c.body") != "")).select(
         "_d", "_x", "p", F.xxhash64("c.body").alias("h"), F.octet_length("c.body").alias("b")), "chunk-places")
     often = slim.groupBy("h", "b").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     hits = slim.join(often, ["h", "b"]).groupBy("_d", "_x").agg(F.collect_set("p").alias("places"))
     # Bodies of the possible repeats only.
     bodies = keyed.select("_d", "_x", order.alias("_o"), "_text").join(hits, ["_d", "_x"]).select(
-        "_d", "_x", "_o", "places", chunks_of(F.col("_text"), window, divisor).alias("cs"))
+        "_d", "_x", "_o", "places", chunks_of(F.col("_text"), window).alias("cs"))
     bodies = bodies.select("_d", "_x", "_o", F.explode("places").alias("p"), "cs").select(
         "_d", "_x", "_o", "p", F.get("cs", F.col("p"))["body"].alias("body"))
     bodies = stored(bodies.withColumn("h", F.xxhash64("body")).withColumn("b", F.octet_length("body")), "chunk-bodies")
@@ -73,7 +76,7 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISO
     return same.groupBy("_d", "_x").agg(F.collect_set("p").alias("places"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
+def dedup_lines(docs: DataFrame, window: int = WINDOW,
                 min_lines: int = MIN_LINES, counts: bool = False) -> DataFrame:
     """``docs`` with repeated chunks cut out of ``text``; all rows and columns
     stay (``counts`` adds n_chunks, n_removed and removed_bytes).
@@ -83,9 +86,9 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
     each copy keeps what the first keeps.  Chunks repeated inside one document
     stay at their first place.  An empty table gives an empty one.  Further
     columns are carried along, whatever their names."""
-    found = repeated_chunks(docs, window, divisor, min_lines)
+    found = repeated_chunks(docs, window, min_lines)
     keyed = _keyed(docs).join(found, ["_d", "_x"], "left")
-    cs = F.when(F.col("places").isNotNull(), chunks_of(F.col("_text"), window, divisor))
+    cs = F.when(F.col("places").isNotNull(), chunks_of(F.col("_text"), window))
     keyed = keyed.withColumn("_cs", cs)
     left = F.filter("_cs", lambda c, i: ~F.array_contains(F.col("places"), i))
     cut = F.when(F.col("places").isNull(), F.col("_row.text")).otherwise(

@@ -76,7 +76,7 @@ def _expected(weighted: bool) -> Column:
 
 def _ranked(rows: DataFrame, weighted: bool) -> DataFrame:
     e = _expected(weighted)
-    rows = rows.withColumn("_e", e).withColumn("_whole", F.floor("_e")).withColumn("_pi", F.col("_e") - F.col("_whole"))
+    rows = rows.withColumn("_e", e).withColumn("_whole", F.when(F.col("size") > 0, F.floor("_e")).otherwise(0)).withColumn("_pi", F.col("_e") - F.floor("_e"))
     odds_u = F.col("_u") / (1.0 - F.col("_u"))
     odds_pi = F.col("_pi") / (1.0 - F.col("_pi"))
     return rows.withColumn("_key", F.when((F.col("_pi") > 0) & (F.col("size") > 0), odds_u / odds_pi))
@@ -174,7 +174,7 @@ t AS (SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE
 e AS (SELECT d.*, t.source_size, t.target,
              CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS e
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-k AS (SELECT *, floor(e) AS whole, CASE WHEN e > floor(e) AND size > 0
+k AS (SELECT *, CASE WHEN size > 0 THEN floor(e) ELSE 0 END AS whole, CASE WHEN e > floor(e) AND size > 0
              THEN (u / (1.0 - u)) / ((e - floor(e)) / (1.0 - (e - floor(e)))) END AS key FROM e),
 c AS (SELECT *, sum(CASE WHEN key IS NOT NULL THEN size ELSE 0 END) OVER (
                PARTITION BY source ORDER BY key NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
