@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridscope.functions.columns import c, num
-from gridscope.operators.aggregates import describe, to_long
+from gridscope.operators.aggregates import describe, group_sizes, to_long
 from gridscope.operators.order import quantile_columns, quantiles
 from gridscope.operators.relations import pearson_pairs, scatter_fit, strongest_pair
 
@@ -94,9 +94,9 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, top: int = 10) ->
 def bar(df: DataFrame, col: str, top: int = 20) -> DataFrame:
     """K5: the ``top`` most frequent values; total categories, and balance
     ('equilibrada' when the sample std of the shown counts < their mean)."""
-    vc = df.filter(c(col).isNotNull()).groupBy(c(col).cast("string").alias("category")).agg(
-        F.count(F.lit(1)).alias("count"))
-    total = vc.agg(F.count(F.lit(1)).alias("total_categories"))
+    every = df.groupBy(c(col).cast("string").alias("category")).agg(F.count(F.lit(1)).alias("count"))
+    total = every.agg(F.count(F.lit(1)).alias("total_categories"))  # a null category counts
+    vc = every.filter(F.col("category").isNotNull())
     top_rows = vc.orderBy(F.desc("count"), "category").limit(top)
     bal = top_rows.agg(F.when(F.stddev_samp("count") < F.avg("count"), "equilibrada")
                        .otherwise("desbalanceada").alias("distribution_balance"))
@@ -146,10 +146,17 @@ def _rank_small(vc: DataFrame, top: int) -> DataFrame:
     return vc.join(F.broadcast(head.select("category", "_r")), "category", "left").fillna(top + 1, ["_r"])
 
 
-def correlation_heatmap(df: DataFrame, cols: list[str], max_cols: int = 10) -> tuple[DataFrame, DataFrame]:
-    """K8: pairwise correlations of up to 10 columns rounded to 2 decimals and
-    the strongest positive / negative pair (F9)."""
-    cols = cols[:max_cols]
+def numeric_columns(df: DataFrame, most: int) -> list[str]:
+    """The default of charts over several columns: the first ``most`` numeric ones."""
+    from gridscope.operators.clean import select_by_type
+    return select_by_type(df, "number").columns[:most]
+
+
+def correlation_heatmap(df: DataFrame, cols: list[str] | None = None, default_cols: int = 10) -> tuple[DataFrame, DataFrame]:
+    """K8: pairwise correlations of all given columns (of the first 10 numeric
+    ones when none is given) rounded to 2 decimals, and the strongest positive /
+    negative pair (F9)."""
+    cols = cols or numeric_columns(df, default_cols)
     pairs = pearson_pairs(df, cols)
     return pairs.withColumn("corr", F.round("corr", 2)), strongest_pair(pairs)
 
@@ -203,20 +210,22 @@ def violin(df: DataFrame, col: str, by: str, top: int = 10, grid: int = 200, fin
         (F.sum(F.col("count") * k) / F.first("n")).alias("density"))
 
 
-def radar(df: DataFrame, cols: list[str], max_cols: int = 6) -> DataFrame:
-    """Column means, min-max normalized across the columns."""
-    cols = cols[:max_cols]
+def radar(df: DataFrame, cols: list[str] | None = None, default_cols: int = 6) -> DataFrame:
+    """Means of all given columns (of the first 6 numeric ones when none is
+    given), min-max normalized across the columns."""
+    cols = cols or numeric_columns(df, default_cols)
     means = df.agg(*[F.avg(num(df, x)).alias(f"m{i}") for i, x in enumerate(cols)])
     long = means.select(F.inline(F.array(*[F.struct(F.lit(x).alias("column"), F.col(f"m{i}").alias("mean"))
                                            for i, x in enumerate(cols)])))
-    w = Window.partitionBy(F.lit(1))  # over <= 6 rows
+    w = Window.partitionBy(F.lit(1))  # one row per column
     lo, hi = F.min("mean").over(w), F.max("mean").over(w)
     return long.withColumn("normalized", F.try_divide(F.col("mean") - lo, hi - lo))
 
 
-def statistical_summary(df: DataFrame, cols: list[str], max_cols: int = 5) -> DataFrame:
-    """describe() of up to 5 columns, transposed to (statistic, column, value)."""
-    d = describe(df, cols[:max_cols])
+def statistical_summary(df: DataFrame, cols: list[str] | None = None, default_cols: int = 5) -> DataFrame:
+    """describe() of all given columns (of the first 5 numeric ones when none
+    is given), transposed to (statistic, column, value)."""
+    d = describe(df, cols or numeric_columns(df, default_cols))
     stats = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
     return d.select("column", F.inline(F.array(*[
         F.struct(F.lit(s).alias("statistic"), F.col(s).cast("double").alias("value")) for s in stats])))
@@ -230,61 +239,64 @@ def distribution_comparison(df: DataFrame, num: str, cat: str, top: int = 5, bin
     return histogram(sub, num, bins, by=cat)
 
 
-def line_points(df: DataFrame, x: str, y: str, max_points: int = 1000) -> DataFrame:
-    """K4: points sorted by x; above ``max_points`` rows the series is
-    pre-aggregated into ``max_points`` equal-width time buckets (mean)."""
+def line_points(df: DataFrame, x: str, y: str) -> DataFrame:
+    """K4: every point with both values; the chart sorts by x (``orderBy``)."""
+    from gridscope.functions.columns import utc_timestamp
+    return df.select(utc_timestamp(df, x).alias("x"), num(df, y).alias("y")).dropna()
+
+
+def line_buckets(df: DataFrame, x: str, y: str, buckets: int = 1000) -> DataFrame:
+    """K4 for long series, an operator of its own: the mean of ``y`` in ``buckets``
+    equal-width time buckets, at every size of the table."""
     from gridscope.functions.columns import epoch_micros
     base = df.select(epoch_micros(df, x).alias("_us"), num(df, y).alias("y")).dropna()
-    st = base.agg(F.count(F.lit(1)).alias("n"), F.min("_us").alias("lo"), F.max("_us").alias("hi")).first()
-    if st["n"] <= max_points or st["hi"] == st["lo"]:
-        return base.select(F.timestamp_micros("_us").alias("x"), "y", F.lit(1).cast("long").alias("n")).orderBy("x")
-    width = (st["hi"] - st["lo"]) / max_points
-    b = F.least(F.floor((F.col("_us") - F.lit(st["lo"])) / F.lit(width)),
-                F.lit(max_points - 1)).cast("long")
+    st = base.agg(F.min("_us").alias("lo"), F.max("_us").alias("hi")).first()
+    if st["lo"] is None:
+        return df.sparkSession.createDataFrame([], "x timestamp, y double, n long")
+    width = (st["hi"] - st["lo"]) / buckets or 1.0
+    b = F.least(F.floor((F.col("_us") - F.lit(st["lo"])) / F.lit(width)), F.lit(buckets - 1)).cast("long")
     agg = base.withColumn("_b", b).groupBy("_b").agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
-    return agg.select(F.timestamp_micros((F.lit(st["lo"]) + F.col("_b") * F.lit(width)).cast("long")).alias("x"),
-                      "y", "n").orderBy("x")
+    return agg.select(F.timestamp_micros((F.lit(st["lo"]) + F.col("_b") * F.lit(width)).cast("long")).alias("x"), "y", "n")
 
 
-def scaled_sample(df: DataFrame, cols: list[str], key: str, max_rows: int = 1000) -> DataFrame:
-    """A bounded, deterministic sample (hash of ``key``) of
-    the rows, with each column min-max scaled over the whole table."""
-    st = df.agg(F.count(F.lit(1)).alias("_n"), *[F.min(num(df, x)).alias(f"lo{i}") for i, x in enumerate(cols)],
+def scaled_rows(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
+    """Every row, each column min-max scaled over the whole table."""
+    st = df.agg(*[F.min(num(df, x)).alias(f"lo{i}") for i, x in enumerate(cols)],
                 *[F.max(num(df, x)).alias(f"hi{i}") for i, x in enumerate(cols)]).first()
-    frac = min(1.0, max_rows / max(1, st["_n"]))
-    h = (F.abs(F.xxhash64(c(key))) % 1_000_000) / 1_000_000.0
-    sampled = df.filter(h < frac)
-    out = [c(key)]
+    out = [c(k) for k in keep]
     for i, x in enumerate(cols):
         lo, hi = st[f"lo{i}"], st[f"hi{i}"]
-        rngv = (hi - lo) if hi is not None and hi != lo else 1.0
-        out.append(((num(df, x) - F.lit(lo)) / F.lit(rngv)).alias(x))
-    return sampled.select(*out)
+        width = (hi - lo) if hi is not None and hi != lo else 1.0
+        out.append(((num(df, x) - F.lit(lo)) / F.lit(width)).alias(x))
+    return df.select(*out)
+
+
+def points(df: DataFrame, axes: dict[str, str], keep: dict[str, str] | None = None) -> DataFrame:
+    """Every row with all ``axes`` (name -> numeric column) present, and the ``keep``
+    columns (name -> any column) for colour, frame or label."""
+    out = df.select(*[c(col).alias(name) for name, col in (keep or {}).items()],
+                    *[num(df, col).alias(name) for name, col in axes.items()])
+    return out.dropna(subset=list(axes))
+
+
+def scatter(df: DataFrame, x: str, y: str, color: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """K3: all points and the fit over them (F8)."""
+    return points(df, {"x": x, "y": y}, {"color": color} if color else None), scatter_fit(df, x, y)
 
 
-def frames_sample(df: DataFrame, x: str, y: str, frame: str, per_frame: int = 200, key: str | None = None) -> DataFrame:
-    """K14 animated scatter: at most ``per_frame`` points per frame, chosen by
-    a hash rank inside each frame (frames are bounded groups of the sample)."""
-    k = key or x
-    ranked = df.select(c(frame).alias("frame"), num(df, x).alias("x"), num(df, y).alias("y"),
-                       F.xxhash64(c(k)).alias("_h"))
-    # two-step top-n: salted slices first, so a hot frame is ranked by many tasks
-    salted = ranked.withColumn("_s", F.abs(F.col("_h")) % 64)
-    w1 = Window.partitionBy("frame", "_s").orderBy("_h")
-    first = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= per_frame).drop("_r", "_s")
-    w2 = Window.partitionBy("frame").orderBy("_h")
-    return first.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= per_frame).drop("_r", "_h")
+def scatter3d(df: DataFrame, x: str, y: str, z: str, color: str | None = None) -> DataFrame:
+    """All points in three dimensions."""
+    return points(df, {"x": x, "y": y, "z": z}, {"color": color} if color else None)
 
 
-def scatter(df: DataFrame, x: str, y: str, key: str, max_rows: int = 1000):
-    """K3: sampled points and the fit over all rows (F8)."""
-    pts = scaled_sample(df, [x, y], key, max_rows)
-    return pts, scatter_fit(df, x, y)
+def animated_scatter(df: DataFrame, x: str, y: str, frame: str) -> DataFrame:
+    """All points with the frame they belong to."""
+    return points(df, {"x": x, "y": y}, {"frame": frame})
 
 
 def _as_json_rows(df: DataFrame) -> DataFrame:
-    """A bounded chart dataset as one JSON array (one row)."""
-    return df.agg(F.to_json(F.collect_list(F.struct(*[F.col(f"`{x}`") for x in df.columns]))).alias("data"))
+    """A chart dataset, one JSON object a row."""
+    return df.select(F.to_json(F.struct(*[c(x) for x in df.columns])).alias("data"))
 
 
 def chart_data(df: DataFrame, chart_type: str, columns: list[str], key: str | None = None) -> DataFrame | None:
@@ -316,14 +328,33 @@ def chart_data(df: DataFrame, chart_type: str, columns: list[str], key: str | No
         return violin(df, columns[0], columns[1]) if len(columns) > 1 else density(df, columns[0])
     if t in ("density",):
         return density(df, columns[0])
+    if t in ("scatter_points",):
+        return points(df, {"x": columns[0], "y": columns[1]})
+    if t in ("scatter_3d", "scatter3d"):
+        return scatter3d(df, *columns[:3])
+    if t in ("animated_scatter",):
+        return animated_scatter(df, *columns[:3])
+    if t in ("parallel_coordinates",):
+        return scaled_rows(df, columns, [key] if key else [])
+    if t in ("radar", "radar_chart"):
+        return radar(df, columns)
+    if t in ("treemap",):
+        return group_sizes(df, columns[:1], with_parents=False)
+    if t in ("sunburst",):
+        return group_sizes(df, columns)
+    if t in ("statistical_summary",):
+        return statistical_summary(df, columns)
+    if t in ("distribution_comparison",):
+        return distribution_comparison(df, columns[0], columns[1])
     return None
 
 
 def dashboard(df: DataFrame, recommendations: list[tuple[str, list[str]]], n: int = 6) -> DataFrame:
     """Datasets of the first ``n`` recommendations (6 for the dashboard,
     12 for "all charts"); recommendations whose columns are missing are
-    skipped.  Long rows ``(chart_id, chart_type, columns, data)`` where data
-    is the chart's (bounded) dataset as JSON."""
+    skipped.  Long rows ``(chart_id, chart_type, columns, data)``, one per row of a
+    chart's dataset (``data`` is that row as JSON), so no chart is gathered into
+    one value."""
     spark = df.sparkSession
     out = None
     shown = 0

@@ -34,12 +34,16 @@ class HistoryStore:
         return f"{self.base}/{name}"
 
     def read(self, name: str) -> DataFrame:
-        """A history table (empty with its schema when nothing is stored)."""
-        try:
-            df = self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
-            return df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")])
-        except Exception:  # noqa: BLE001 - a missing folder means an empty table
+        """A history table; a folder that does not exist is an empty table, any
+        other trouble is an error."""
+        if not self.exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
+        df = self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+        return df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")])
+
+    def exists(self, name: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def append(self, name: str, df: DataFrame) -> None:
         """Append rows (typed by the table's schema)."""

@@ -1,6 +1,6 @@
 """Multivariate models (H1-H6).
 
-K-means runs in MLlib on a cached, standardized vector column.  PCA and the
+K-means runs in MLlib on a standardized vector column that is written once.  PCA and the
 regressions all come from one centred cross-product aggregate (k(k+1)/2
 sums): a k x k matrix is the only thing the driver holds, whatever the row
 count.
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridscope.functions.columns import c, num
-from gridscope.operators.order import dense_position, lag_join
+from gridscope.operators.timeseries import durbin_watson_in_order
+from gridscope.session import materialize
 
 
 def centred_cross_products(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -72,10 +73,9 @@ def kmeans(df: DataFrame, cols: list[str], k: int | None = None, seed: int = 42,
     the summary has size, %, mean and sample std of every column per cluster
     on the unscaled values."""
     spark = df.sparkSession
-    vec = standardized_vectors(df, cols).cache()
+    vec = materialize(standardized_vectors(df, cols), "vectors")
     n = vec.count()
     if len(cols) < 2 or n < min_rows:
-        vec.unpersist()
         raise ValueError("k-means needs at least 2 numeric columns and 10 rows")
     curve = []
     if k is None:
@@ -85,7 +85,6 @@ def kmeans(df: DataFrame, cols: list[str], k: int | None = None, seed: int = 42,
     centres = spark.createDataFrame(
         [(i, [float(v) for v in ctr]) for i, ctr in enumerate(model.clusterCenters())], "cluster int, center array<double>")
     summary = cluster_summary(labelled, cols, n)
-    vec.unpersist()
     return labelled, centres, summary, float(model.summary.trainingCost), k, curve
 
 
@@ -178,6 +177,4 @@ def residuals(df: DataFrame, target: str, predictors: list[str], coefficients: l
 
 def durbin_watson(df: DataFrame, resid: str, order: list[str]) -> DataFrame:
     """H6: sum (e_t - e_{t-1})^2 / sum e_t^2 in the given row order."""
-    p = dense_position(df.select(*[c(o) for o in order], c(resid)), order, out="pos")
-    j = lag_join(p, "pos", [resid])
-    return j.agg((F.sum((c(resid) - F.col(resid + "_prev")) ** 2) / F.sum(c(resid) ** 2)).alias("durbin_watson"))
+    return durbin_watson_in_order(df.select(*[c(o) for o in order], c(resid)), order, resid)

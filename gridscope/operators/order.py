@@ -1,83 +1,53 @@
 """Order-dependent primitives that never put a whole column into one task.
 
 Spark has no cheap global "row number": an un-partitioned window moves every
-row into a single task.  All order statistics here (exact quantiles, average
-ranks, dense positions) use the same plan instead:
-
-1. sketch bucket bounds per group with ``percentile_approx`` (one distributed
-   aggregate, map-side combined);
-2. tag every row with its bucket (an expression over the small bounds array);
-3. total each bucket (a tiny table: groups x buckets) and turn the totals into
-   running offsets with a window over that tiny table;
-4. run the ordered window inside ``(group, bucket)`` partitions and add the
-   offset.
+row into a single task.  All order statistics here (running totals, positions,
+ranks, exact quantiles, neighbours) use one plan at every size:
+
+1. the needed columns are written once to shared storage and counted;
+2. they are dealt into range buckets on the *full* sort key (groups, then all
+   order columns), about ``ROWS_PER_BUCKET`` rows each, and stored with their
+   bucket number.  Spark samples the bounds; because the key has all order
+   columns, a frequent value is split on the rest of the key;
+3. each bucket is totalled (a tiny table: one row per bucket and group in it) and
+   the totals become running offsets;
+4. an ordered window inside ``(group, bucket)`` gives the rest.
 
 Buckets are range buckets, so the order across buckets is known without any
-shuffle of raw rows into one place.  A value so frequent that it fills several
-buckets (a hot key) gets its own sub-buckets on the tie-breaker column, so no
-bucket grows with the size of a hot key.
+shuffle of raw rows into one place, and no group is collected.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridscope.functions.columns import c, q
-
-# A group (or bucket) of at most this many rows is ordered by one task.
-ROWS_PER_BUCKET = 1_000_000
-# Upper limit of range buckets per group (a row finds its bucket by binary search).
-MAX_BUCKETS = 1024
-
-
-def _n_buckets(largest: int, n_buckets: int | None, rows_per_bucket: int) -> int:
-    """Buckets per large group: enough that a bucket holds about
-    ``rows_per_bucket`` rows of the largest group (twice that many, for the
-    sketch error), at most ``MAX_BUCKETS`` (a row finds its bucket by binary
-    search over the bounds)."""
-    if n_buckets:
-        return int(min(MAX_BUCKETS, n_buckets))
-    return int(min(MAX_BUCKETS, max(4, 2 * math.ceil(largest / max(1, rows_per_bucket)))))
-
-
-def _bucket_expr(value: Column, bounds: Column) -> Column:
-    """Index of the range bucket: the number of (sorted) bounds strictly below
-    ``value``, found by binary search - about log2(#bounds) comparisons per
-    row instead of one per bound."""
-    steps = max(1, math.ceil(math.log2(MAX_BUCKETS + 1)) + 1)
-    init = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        below = F.try_element_at(bounds, mid + 1) < value
-        live = lo < hi
-        return F.struct(F.when(live & below, mid + 1).otherwise(lo).alias("lo"),
-                        F.when(live & ~below, mid).otherwise(hi).alias("hi"))
+from gridscope.functions.columns import c
+from gridscope.session import materialize
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
+# Rows that one task orders.
+ROWS_PER_BUCKET = 250_000
+# Buckets at least, so that small inputs take the same plan as large ones.
+MIN_BUCKETS = 4
 
 
-def _is_hot(value: Column, bounds: Column, index: Column) -> Column:
-    """The value fills whole buckets: two consecutive bounds equal it."""
-    return ((F.try_element_at(bounds, index + 1) == value)
-            & (F.try_element_at(bounds, index + 2) == value))
+def deal(df: DataFrame, keys: list[str], n_buckets: int | None = None, rows_per_bucket: int | None = None) -> DataFrame:
+    """``df``, stored in range buckets of ``keys``: column ``_gs_b`` numbers them in
+    key order.  Rows with equal keys share a bucket."""
+    base = materialize(df, "order")
+    if n_buckets is None:
+        n_buckets = max(MIN_BUCKETS, -(-base.count() // (rows_per_bucket or ROWS_PER_BUCKET)))
+    return materialize(base.repartitionByRange(n_buckets, *[c(k) for k in keys]).withColumn("_gs_b", F.spark_partition_id()), "buckets")
 
 
-def _sort_key(df: DataFrame, col: str) -> Column:
-    t = dict(df.dtypes)[col]
-    if t.startswith("timestamp") or t == "date":
-        from gridscope.functions.columns import epoch_micros
-        return epoch_micros(df, col).cast("double")
-    if t == "string":
-        # first 6 UTF-8 bytes as a big-endian integer: monotone in Spark's
-        # binary string order, exact in a double
-        head = F.hex(F.substring(c(col).cast("binary"), 1, 6))
-        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
-    return c(col).cast("double")
+def _attach(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the other columns of a per-key table; null keys match."""
+    other = [x for x in per_key.columns if x not in keys]
+    small = per_key.select(*[c(k).alias(f"_gs_key{i}") for i, k in enumerate(keys)], *other)
+    same = reduce(lambda x, y: x & y, [c(k).eqNullSafe(F.col(f"_gs_key{i}")) for i, k in enumerate(keys)])
+    return rows.join(small, same).drop(*[f"_gs_key{i}" for i in range(len(keys))])
 
 
 def cumulative(df: DataFrame, order: list[str], by: list[str] | None = None,
@@ -87,77 +57,18 @@ def cumulative(df: DataFrame, order: list[str], by: list[str] | None = None,
     ``(by..., order...)``, restarting per ``by`` group.
 
     Adds ``{out}`` (inclusive running total).  ``order`` must make rows unique
-    inside each group for the result to be deterministic.
-
-    One small job measures the largest group.  When every group fits one task
-    (``rows_per_bucket`` rows) the running total is a plain window partitioned
-    by the groups.  Otherwise groups are split into range buckets as described
-    in the module docstring.
-    """
+    inside each group for the result to be deterministic."""
     by = list(by or [])
     w = c(weight) if weight else F.lit(1)
-    rpb = rows_per_bucket or ROWS_PER_BUCKET
-    if by:
-        sizes = df.groupBy(*[c(b) for b in by]).agg(F.count(F.lit(1)).alias("_gs_rows"))
-        largest = sizes.agg(F.max("_gs_rows")).first()[0] or 0
-    else:
-        largest = df.count()
-    if largest <= rpb and n_buckets is None:
-        # every group fits one task: the window is partitioned by the groups only
-        # (no groups: a single bounded partition of at most ``rpb`` rows)
-        win = Window.partitionBy(*[c(b) for b in by]) if by else Window.partitionBy(F.lit(0))
-        win = win.orderBy(*[c(o) for o in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out, F.sum(w).over(win))
-    nb = _n_buckets(largest, n_buckets, rpb)
-    main = order[0]
-    string_main = dict(df.dtypes)[main] == "string"
-    key = "_gs_k"
-    base = df.withColumn(key, _sort_key(df, main))
-    probs = [i / nb for i in range(1, nb)]
-    sub_needed = len(order) > 1 and not string_main
-    if not by:
-        # one group: the bounds are a short list of literals
-        row = base.agg(F.percentile_approx(c(key), probs, 10000).alias("b")).first()
-        bl = [float(v) for v in (row["b"] or [])]
-        bounds = F.array(*[F.lit(v) for v in bl]) if bl else F.array().cast("array<double>")
-        base = base.withColumn("_gs_bounds", bounds)
-        sub_needed = sub_needed and len(set(bl)) < len(bl)
-    else:
-        # sketches only for the groups that do not fit a task; the others keep
-        # one bucket (NULL bounds) and never evaluate the bucket expression
-        big = sizes.filter(F.col("_gs_rows") > rpb).select(*[c(b) for b in by])
-        bt = base.join(big, by, "left_semi").groupBy(*[c(b) for b in by]).agg(
-            F.percentile_approx(c(key), probs, 10000).alias("_gs_bounds"))
-        base = base.join(bt, by, "left")
-    has_bounds = F.col("_gs_bounds").isNotNull()
-    base = base.withColumn("_gs_i", F.when(has_bounds, _bucket_expr(c(key), F.col("_gs_bounds"))).otherwise(F.lit(0)))
-    bucket = F.col("_gs_i")
-    hot = F.when(has_bounds, F.coalesce(_is_hot(c(key), F.col("_gs_bounds"), bucket), F.lit(False))).otherwise(F.lit(False))
-    if string_main:
-        hot = F.lit(False)  # a prefix key is not exact, so no sub-buckets
-    base = base.withColumn("_gs_b", bucket * 2 + hot.cast("int"))
-    if sub_needed:
-        # a hot key (several bounds equal to it) gets sub-buckets on the next order column
-        tie = order[1]
-        hot_rows = base.filter(F.col("_gs_b") % 2 == 1).withColumn("_gs_t", _sort_key(base, tie))
-        sub = hot_rows.groupBy(*[c(b) for b in by], c(key)).agg(
-            F.percentile_approx(F.col("_gs_t"), probs, 10000).alias("_gs_sb"))
-        base = base.join(F.broadcast(sub) if not by else sub, by + [key], "left").withColumn(
-            "_gs_s", F.when(F.col("_gs_sb").isNull(), F.lit(0)).otherwise(
-                _bucket_expr(_sort_key(base, tie), F.col("_gs_sb")))).drop("_gs_sb")
-    else:
-        base = base.withColumn("_gs_s", F.lit(0))
-    base = base.drop("_gs_bounds", "_gs_i")
-    part = [c(b) for b in by] + [F.col("_gs_b"), F.col("_gs_s")]
-    totals = base.groupBy(*part).agg(F.sum(w).alias("_gs_tot"))
-    ow = Window.partitionBy(*[c(b) for b in by]).orderBy("_gs_b", "_gs_s").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_gs_off", F.coalesce(F.sum("_gs_tot").over(ow), F.lit(0))).drop("_gs_tot")
-    base = base.join(F.broadcast(offsets) if not by else offsets, by + ["_gs_b", "_gs_s"], "inner")
-    iw = Window.partitionBy(*part).orderBy(*[c(o) for o in order]).rowsBetween(
+    dealt = deal(df, by + list(order), n_buckets, rows_per_bucket)
+    part = by + ["_gs_b"]
+    totals = dealt.groupBy(*[c(k) for k in part]).agg(F.sum(w).alias("_gs_tot"))
+    before = Window.partitionBy(*[c(b) for b in by]).orderBy("_gs_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[c(k) for k in part], F.coalesce(F.sum("_gs_tot").over(before), F.lit(0)).alias("_gs_off"))
+    inside = Window.partitionBy(*[c(k) for k in part]).orderBy(*[c(o) for o in order]).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    return base.withColumn(out, F.sum(w).over(iw) + F.col("_gs_off")).drop(
-        key, "_gs_b", "_gs_s", "_gs_off")
+    run = dealt.withColumn("_gs_run", F.sum(w).over(inside))
+    return _attach(run, offsets, part).select(*[c(x) for x in df.columns], (F.col("_gs_run") + F.col("_gs_off")).alias(out))
 
 
 def dense_position(df: DataFrame, order: list[str], by: list[str] | None = None,
@@ -191,58 +102,29 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
               n_buckets: int | None = None, rows_per_bucket: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas ``quantile`` / ``quantile_cont``).
 
-    Returns ``(by..., p, q)``.  Three exact plans, chosen by one count job:
-    groups of at most ``rows_per_bucket`` rows are sorted once inside a task;
-    larger groups with few distinct values (HLL estimate) use Spark's exact
-    ``percentile`` (one (value, count) map per group, bounded by that check);
-    otherwise value counts with range-bucketed running counts, so no group is
-    held by one task.
-    """
+    Returns ``(by..., p, q)``.  Values are counted (map-side combined), and the
+    two order statistics around each quantile are the values whose running
+    counts cover them.  Without groups an empty input gives NULLs."""
     by = list(by or [])
-    rpb = rows_per_bucket or ROWS_PER_BUCKET
-    vals = df.filter(c(value).isNotNull())
-    g = vals.groupBy(*[c(b) for b in by]) if by else vals.groupBy()
-    largest = g.agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
-    pl = F.array(*[F.lit(float(p)) for p in probs])
-    if largest <= rpb and n_buckets is None:
-        # a group fits one task: sort its values once and read the order statistics
-        srt = g.agg(F.array_sort(F.collect_list(c(value))).alias("_a"), F.count(c(value)).alias("_n"))
-        ex = srt.select(*[c(b) for b in by], "_a", "_n", F.explode(pl).alias("p"))
-        h = (F.col("_n") - 1) * F.col("p")
-        lo = F.floor(h).cast("int")
-        vlo = F.element_at("_a", F.greatest(lo + 1, F.lit(1)))
-        vhi = F.element_at("_a", F.greatest(F.least(lo + 2, F.col("_n").cast("int")), F.lit(1)))
-        q = F.when(F.col("_n") > 0, vlo + (h - F.floor(h)) * (vhi - vlo))  # empty input: NULL, like quantile_cont
-        return ex.select(*[c(b) for b in by], "p", q.alias("q"))
-    widest = g.agg(F.approx_count_distinct(c(value)).alias("_d")).agg(F.max("_d")).first()[0] or 0
-    if widest <= rpb and n_buckets is None:
-        # many rows but few distinct values: Spark's exact percentile keeps one
-        # (value, count) map per group, bounded by the check above
-        res = g.agg(F.percentile(c(value), [float(p) for p in probs]).alias("_q"))
-        return res.select(*[c(b) for b in by], F.inline(F.arrays_zip(pl.alias("p"), F.col("_q").alias("q"))))
-    vc = value_counts_long(df, value, by)
-    cum = cumulative(vc, [value], by, "cnt", n_buckets, out="_cum", rows_per_bucket=rows_per_bucket)
-    n = cum.groupBy(*[c(b) for b in by]).agg(F.max("_cum").alias("_n"))
-    targets = n.select(*[c(b) for b in by], "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-    targets = (targets.withColumn("_h", (F.col("_n") - 1) * F.col("p"))
-               .withColumn("_lo", F.floor("_h")).withColumn("_frac", F.col("_h") - F.col("_lo"))
-               .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1)))
-    pos = targets.select(*[c(b) for b in by], "p", "_frac",
-                         F.explode(F.array(
-                             F.struct(F.lit(0).alias("side"), F.col("_lo").alias("at")),
-                             F.struct(F.lit(1).alias("side"), F.col("_hi").alias("at")))).alias("t"))
-    pos = pos.select(*[c(b) for b in by], "p", "_frac", "t.side", F.col("t.at").alias("_at"))
-    cond = (F.col("_at") >= F.col("_cum") - F.col("cnt")) & (F.col("_at") < F.col("_cum"))
+    keys = [c(b) for b in by]
+    cum = cumulative(value_counts_long(df, value, by), [value], by, "cnt", n_buckets, out="_cum", rows_per_bucket=rows_per_bucket)
+    sizes = cum.groupBy(*keys).agg(F.max("_cum").alias("_n"))
+    probes = sizes.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")).withColumn(
+        "_h", (F.col("_n") - 1) * F.col("p")).withColumn("_lo", F.floor("_h"))
+    # One row per group: its probes travel to the group's values.
+    probe = probes.groupBy(*keys).agg(F.collect_list(F.struct("p", "_h", "_lo", F.least(F.col("_lo") + 1, F.col("_n") - 1).alias("_hi"))).alias("_ps"))
+    both = _attach(cum, probe, by) if by else cum.crossJoin(F.broadcast(probe))
+    first = F.col("_cum") - F.col("cnt")
+    hits = F.filter("_ps", lambda s: ((s["_lo"] >= first) & (s["_lo"] < F.col("_cum"))) | ((s["_hi"] >= first) & (s["_hi"] < F.col("_cum"))))
+    rows = both.select(*keys, c(value).alias("_v"), first.alias("_f"), "_cum", F.explode(hits).alias("s"))
+    low = F.max(F.when((F.col("s._lo") >= F.col("_f")) & (F.col("s._lo") < F.col("_cum")), F.col("_v")))
+    high = F.max(F.when((F.col("s._hi") >= F.col("_f")) & (F.col("s._hi") < F.col("_cum")), F.col("_v")))
+    picked = rows.groupBy(*keys, F.col("s.p").alias("p"), F.col("s._h").alias("_h")).agg(low.alias("_a"), high.alias("_b"))
+    q = (F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_b") - F.col("_a"))).alias("q")
     if by:
-        joined = cum.join(pos, by, "inner").filter(cond)
-    else:
-        joined = cum.crossJoin(F.broadcast(pos)).filter(cond)
-    picked = joined.groupBy(*[c(b) for b in by], "p").agg(
-        F.max("_frac").alias("_frac"),
-        F.max(F.when(F.col("side") == 0, c(value))).alias("_vlo"),
-        F.max(F.when(F.col("side") == 1, c(value))).alias("_vhi"))
-    return picked.select(*[c(b) for b in by], "p",
-                         (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("q"))
+        return picked.select(*keys, "p", q)
+    every = df.sparkSession.createDataFrame([(float(p),) for p in probs], "p double")
+    return every.join(F.broadcast(picked.select("p", q)), "p", "left")
 
 
 def quantile_columns(df: DataFrame, value: str, probs: dict[str, float],
@@ -256,11 +138,37 @@ def quantile_columns(df: DataFrame, value: str, probs: dict[str, float],
     return long.agg(*aggs)
 
 
-def lag_join(df: DataFrame, pos: str, cols: list[str], lag: int = 1, by: list[str] | None = None,
-             suffix: str = "_prev") -> DataFrame:
-    """Attach the values of row ``pos - lag`` (an equi-join on position, so no
-    window needs the whole series in one task)."""
-    by = list(by or [])
-    prev = df.select(*[c(b) for b in by], (c(pos) + lag).alias(pos),
-                     *[c(x).alias(x + suffix) for x in cols])
-    return df.join(prev, by + [pos], "left")
+def with_halo(df: DataFrame, order: list[str], width: int, n_buckets: int | None = None,
+              rows_per_bucket: int | None = None) -> DataFrame:
+    """Rows in range buckets (``_gs_b``) with their 0-based position ``pos``; each bucket
+    also gets the ``width`` rows before its first one, marked ``halo``.
+
+    Only the last ``width`` rows of a bucket are copied, so the copies are a fixed
+    number per bucket, and no join touches the other rows."""
+    dealt = deal(df, list(order), n_buckets, rows_per_bucket)
+    totals = dealt.groupBy("_gs_b").agg(F.count(F.lit(1)).alias("_gs_n"))
+    before = Window.orderBy("_gs_b").rowsBetween(Window.unboundedPreceding, -1)  # over bucket totals
+    starts = materialize(totals.select("_gs_b", "_gs_n", F.coalesce(F.sum("_gs_n").over(before), F.lit(0)).alias("_gs_off")), "starts")
+    inside = Window.partitionBy("_gs_b").orderBy(*[c(o) for o in order])
+    rows = dealt.withColumn("_gs_r", F.row_number().over(inside)).join(starts, "_gs_b").withColumn(
+        "pos", F.col("_gs_off") + F.col("_gs_r") - 1)
+    kept = [c(x) for x in df.columns]
+    own = rows.select(*kept, "pos", "_gs_b", F.lit(False).alias("halo"))
+    if width <= 0:
+        return own
+    # A copied row goes to every bucket that starts at most ``width`` places later.
+    tails = rows.filter(F.col("_gs_r") > F.col("_gs_n") - width).select(
+        *kept, "pos", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + width)).alias("_gs_s"))
+    at = starts.filter("_gs_off > 0").select(F.col("_gs_off").alias("_gs_s"), "_gs_b")
+    halo = tails.join(at, "_gs_s").select(*kept, "pos", "_gs_b", F.lit(True).alias("halo"))
+    return own.unionByName(halo)
+
+
+def with_lags(df: DataFrame, order: list[str], cols: list[str], lags: int = 1, n_buckets: int | None = None,
+              rows_per_bucket: int | None = None) -> DataFrame:
+    """Every row with its position ``pos`` and the values ``{col}_lag{k}`` of the k-th
+    row before it (NULL where there is none), k = 1..``lags``; no self-join."""
+    rows = with_halo(df, order, lags, n_buckets, rows_per_bucket)
+    inside = Window.partitionBy("_gs_b").orderBy("pos")
+    got = rows.select("*", *[F.lag(c(x), k).over(inside).alias(f"{x}_lag{k}") for x in cols for k in range(1, lags + 1)])
+    return got.filter("NOT halo").drop("halo", "_gs_b")

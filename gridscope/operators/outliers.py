@@ -160,14 +160,18 @@ def _path_lengths(nodes: list, x: np.ndarray) -> np.ndarray:
     return depth + cf[node]
 
 
+#: Occurrences of one value that one task draws from.
+OCCURRENCES = 100_000
+
+
 def isolation_forest(df: DataFrame, cols: list[str], contamination: float = 0.1, n_trees: int = 100,
                      sample_size: int = 256, seed: int = 42, min_rows: int = 10, k_examples: int = 5) -> DataFrame:
     """per column, flag the ``contamination`` share of values with the
     highest isolation score.
 
     Training needs only ``n_trees`` samples of <= 256 values per column: a
-    bounded sample is drawn in Spark (``rand`` with a seed, top 256 per
-    (column, tree) by a random key), trees are grown by ``applyInPandas`` per
+    bounded sample is drawn in Spark (by hashes with a seed, first 256 per
+    (column, tree) in hash order), trees are grown by ``applyInPandas`` per
     (column, tree), collected (100 x 256 nodes at most) and broadcast; every
     value is scored by ``mapInPandas``; the cut is the exact (1 - contamination)
     quantile of the scores."""
@@ -187,12 +191,21 @@ def isolation_forest(df: DataFrame, cols: list[str], contamination: float = 0.1,
     pre = {x: min(1.0, n_trees * f) for x, f in frac.items()}
     frac_expr = F.create_map(*[v for x, f in frac.items() for v in (F.lit(x), F.lit(f))])
     pre_expr = F.create_map(*[v for x, f in pre.items() for v in (F.lit(x), F.lit(f))])
-    thinned = keep.filter(F.rand(seed) < pre_expr[F.col("column")])
-    cand = thinned.select("column", "value", trees).filter(
-        F.rand(seed + 7) < frac_expr[F.col("column")] / pre_expr[F.col("column")])
+    # Draws depend on the column, the value and its how-manieth occurrence only, so
+    # the same table gives the same forests whatever its partitioning.  Frequent
+    # values are dealt out in stretches of occurrences.
+    share = lambda *k: F.pmod(F.xxhash64(*k, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    stretch = keep.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n")).select(
+        "column", "value", "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"), F.lit(OCCURRENCES))).alias("_from"))
+    stretch = stretch.repartition("column", "value", "_from")
+    each = stretch.select("column", "value", F.explode(F.sequence(
+        F.col("_from"), F.least(F.col("_n"), F.col("_from") + F.lit(OCCURRENCES - 1)))).alias("_k"))
+    thinned = each.filter(share("column", "value", "_k") < pre_expr[F.col("column")])
+    cand = thinned.select("column", "value", "_k", trees).filter(
+        share("column", "value", "_k", "tree") < frac_expr[F.col("column")] / pre_expr[F.col("column")])
     from pyspark.sql import Window
-    w = Window.partitionBy("column", "tree").orderBy(F.xxhash64("value", "tree", F.rand(seed + 1)))
-    samp = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample_size).drop("_r")
+    w = Window.partitionBy("column", "tree").orderBy(F.xxhash64("value", "_k", "tree", F.lit(seed + 1)), "value", "_k")
+    samp = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample_size).drop("_r", "_k")
     max_depth = int(np.ceil(np.log2(max(sample_size, 2))))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

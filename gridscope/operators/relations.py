@@ -104,8 +104,11 @@ def kendall_pairs(df: DataFrame, cols: list[str] | None = None, pairs: list[tupl
                     for i, (a, b) in enumerate(pairs)])
     p = df.select(F.inline(arr)).dropna()
     cx, cy = _dense_codes(p, "x", "rx", ["pair"]), _dense_codes(p, "y", "ry", ["pair"])
-    sx = cx.groupBy("pair").agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * (F.col("_n") - 1) / 2).alias("tx"))
-    sy = cy.groupBy("pair").agg(F.sum(F.col("_n") * (F.col("_n") - 1) / 2).alias("ty"), F.max("ry").alias("maxr"))
+    # Pair counts grow with the square of the rows: decimal sums, no overflow.
+    wide = lambda x: x.cast("decimal(19,0)")
+    two = lambda x: F.sum(wide(x) * wide(x - 1)) / 2
+    sx = cx.groupBy("pair").agg(F.sum("_n").alias("n"), two(F.col("_n")).alias("tx"))
+    sy = cy.groupBy("pair").agg(two(F.col("_n")).alias("ty"), F.max("ry").alias("maxr"))
     stats = {r["pair"]: r for r in sx.join(sy, "pair").collect()}
     maxr = max([r["maxr"] for r in stats.values()] + [0])
     levels = max(1, int(maxr).bit_length())
@@ -120,17 +123,17 @@ def kendall_pairs(df: DataFrame, cols: list[str] | None = None, pairs: list[tupl
     cum = cumulative(grid, ["rx"], by=["pair", "L", "g"], weight="n0", out="c0")
     tot = grid.groupBy("pair", "L", "g").agg(F.sum("n0").alias("t0"))
     sums = {r["pair"]: r for r in cum.join(tot, ["pair", "L", "g"]).groupBy("pair").agg(
-        F.sum(F.col("n1") * (F.col("c0") - F.col("n0"))).alias("conc"),
-        F.sum(F.col("n1") * (F.col("t0") - F.col("c0"))).alias("disc")).collect()}
+        F.sum(wide(F.col("n1")) * wide(F.col("c0") - F.col("n0"))).alias("conc"),
+        F.sum(wide(F.col("n1")) * wide(F.col("t0") - F.col("c0"))).alias("disc")).collect()}
     rows = []
     for i, (a, b) in enumerate(pairs):
         st = stats.get(i)
         n_row = int(st["n"]) if st else 0
         sm = sums.get(i)
         n0 = n_row * (n_row - 1) / 2
-        den = math.sqrt(max(n0 - st["tx"], 0) * max(n0 - st["ty"], 0)) if st else 0.0
-        s_val = ((sm["conc"] or 0) - (sm["disc"] or 0)) if sm else 0
-        rows.append((a, b, float(s_val / den) if den > 0 else None, n_row))
+        den = math.sqrt(max(n0 - float(st["tx"]), 0) * max(n0 - float(st["ty"]), 0)) if st else 0.0
+        s_val = float((sm["conc"] or 0) - (sm["disc"] or 0)) if sm else 0.0
+        rows.append((a, b, s_val / den if den > 0 else None, n_row))
     return spark.createDataFrame(rows, schema)
 
 
@@ -201,33 +204,34 @@ def partial_correlations(df: DataFrame, cols: list[str], alpha: float = 0.05,
     return spark.createDataFrame(rows, schema)
 
 
-def functional_dependencies(df: DataFrame, cols: list[str] | None = None, rsd: float = 0.05) -> DataFrame:
+#: Rows in which counter-examples are looked for before whole tables are grouped.
+REFUTING_ROWS = 20_000
+
+
+def _refuted(txt: DataFrame, cols: list[str]) -> set[tuple[str, str]]:
+    """Pairs a -> b with a counter-example among some rows (whichever they are):
+    those can't hold, and no pair that holds is ever among them."""
+    some = txt.limit(REFUTING_ROWS).toPandas()
+    out = set()
+    for a in cols:
+        kinds = some[some[a].notna()].groupby(a).nunique()
+        out |= {(a, b) for b in cols if b != a and (kinds[b] > 1).any()}
+    return out
+
+
+def functional_dependencies(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """ordered pairs a -> b where every non-null a value has exactly one
     distinct non-null b (a group whose b is all NULL fails).
 
-    Pruning: with HLL sketches (one aggregate) a -> b is impossible when
-    distinct(a, b) clearly exceeds distinct(a).  Survivors are verified
-    exactly, one grouped aggregate per candidate.  ``is_key`` flags a
-    determinant whose values are all distinct (it determines every column)."""
+    Pairs refuted by a bounded number of rows are left out; all others are
+    verified exactly over all rows by one aggregate with map-side combining.
+    ``is_key`` flags a determinant whose values are all distinct (it determines
+    every column)."""
     cols = cols or df.columns
     spark = df.sparkSession
     txt = df.select(*[c(x).cast("string").alias(x) for x in cols])
-    aggs = [F.approx_count_distinct(c(x), rsd).alias(f"d{i}") for i, x in enumerate(cols)]
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i < j:
-                aggs.append(F.approx_count_distinct(
-                    F.when(c(a).isNotNull() & c(b).isNotNull(), F.struct(c(a), c(b))), rsd).alias(f"p{i}_{j}"))
-    est = txt.agg(F.count(F.lit(1)).alias("_rows"), *aggs).first()
-    cands = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i == j:
-                continue
-            # holds => distinct (a, b) over rows with both present <= distinct a
-            pair = est[f"p{min(i, j)}_{max(i, j)}"]
-            if pair <= est[f"d{i}"] * (1 + 6 * rsd) + 2:
-                cands.append((a, b))
+    never = _refuted(txt, cols)
+    cands = [(a, b) for a in cols for b in cols if a != b and (a, b) not in never]
     rows = []
     if cands:
         # every candidate verified by the same two aggregates: rows carry one
@@ -235,8 +239,9 @@ def functional_dependencies(df: DataFrame, cols: list[str] | None = None, rsd: f
         trip = F.array(*[F.when(c(a).isNotNull(), F.struct(F.lit(i).alias("k"), c(a).alias("a"), c(b).alias("b")))
                          for i, (a, b) in enumerate(cands)])
         long = txt.select(F.explode(F.filter(trip, lambda s: s.isNotNull())).alias("t")).select("t.k", "t.a", "t.b")
-        per_a = long.groupBy("k", "a").agg(F.count_distinct("b").alias("nb"))
-        res = per_a.groupBy("k").agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("nb") != 1).alias("bad"))
+        per_a = long.groupBy("k", "a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
+        bad = F.col("lo").isNull() | (F.col("lo") != F.col("hi"))
+        res = per_a.groupBy("k").agg(F.count(F.lit(1)).alias("groups"), F.count_if(bad).alias("bad"))
         found = {r["k"]: r for r in res.collect()}
         for i, (a, b) in enumerate(cands):
             r = found.get(i)

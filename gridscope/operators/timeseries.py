@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridscope.functions import special
 from gridscope.functions.columns import c, epoch_micros, epoch_seconds, num, safe_corr
-from gridscope.operators.order import dense_position, lag_join
+from gridscope.operators.order import dense_position, with_halo, with_lags
 
 DAY = 86_400.0
 
@@ -73,10 +73,14 @@ def add_p_values(df: DataFrame, t_col: str = "t_statistic", n_col: str = "n", al
     return spark.createDataFrame([tuple(d[f.name] for f in schema.fields) for d in out], schema)
 
 
+def _timed(df: DataFrame, ts: str, tie: str, value: str) -> DataFrame:
+    """Rows with a non-null time, tie-breaker and value."""
+    return df.select(c(ts).alias("_ts"), c(tie).alias("_tie"), num(df, value).alias("_y")).dropna()
+
+
 def positions(df: DataFrame, ts: str, tie: str, value: str) -> DataFrame:
     """Rows with a non-null time and value, numbered 0.. in (ts, tie) order."""
-    base = df.select(c(ts).alias("_ts"), c(tie).alias("_tie"), num(df, value).alias("_y")).dropna()
-    return dense_position(base, ["_ts", "_tie"], out="pos")
+    return dense_position(_timed(df, ts, tie, value), ["_ts", "_tie"], out="pos")
 
 
 def index_trend(df: DataFrame, ts: str, tie: str, value: str) -> DataFrame:
@@ -152,28 +156,26 @@ def centred_moving_average(daily: DataFrame, day: str = "day", value: str = "mea
 def series_summary(df: DataFrame, ts: str, ycols: list[str], min_rows: int = 20) -> DataFrame:
     """G5 + G10: length, first and last time, missing values (0 after the
     pairwise drop) for each value column with at least ``min_rows`` rows."""
-    out = None
-    for y in ycols:
-        ok = c(ts).isNotNull() & num(df, y).isNotNull()
-        part = df.agg(F.lit(y).alias("column"), F.count_if(ok).alias("length"),
-                      F.min(F.when(ok, c(ts))).alias("start"), F.max(F.when(ok, c(ts))).alias("end"),
-                      F.lit(0).cast("long").alias("missing_values"))
-        out = part if out is None else out.unionByName(part)
+    long = df.select(c(ts).alias("_ts"), F.inline(F.array(*[
+        F.struct(F.lit(y).alias("column"), num(df, y).alias("_y")) for y in ycols])))
+    ok = F.col("_ts").isNotNull() & F.col("_y").isNotNull()
+    out = long.groupBy("column").agg(
+        F.count_if(ok).alias("length"), F.min(F.when(ok, F.col("_ts"))).alias("start"),
+        F.max(F.when(ok, F.col("_ts"))).alias("end"), F.lit(0).cast("long").alias("missing_values"))
     return out.filter(F.col("length") >= min_rows)
 
 
 def consecutive_gaps(df: DataFrame, ts: str) -> DataFrame:
     """Differences (seconds) between consecutive sorted times with their
     multiplicity ``(gap_s, count)``.  Works on distinct times only: equal
-    times give ``count - 1`` zero gaps; distinct neighbours come from a
-    position equi-join, so no window holds the whole series."""
+    times give ``count - 1`` zero gaps; distinct neighbours meet inside their range
+    bucket, so no window holds the whole series."""
     t = df.select(_micros(df, ts).alias("_m")).filter(F.col("_m").isNotNull())
     vc = t.groupBy("_m").agg(F.count(F.lit(1)).alias("cnt"))
     zeros = vc.agg(F.lit(0.0).alias("gap_s"), F.sum(F.col("cnt") - 1).alias("count"))
-    pos = dense_position(vc.select("_m"), ["_m"], out="pos")
-    j = lag_join(pos, "pos", ["_m"])
-    gaps = (j.filter(F.col("_m_prev").isNotNull())
-            .select(((F.col("_m") - F.col("_m_prev")) / 1e6).alias("gap_s"))
+    j = with_lags(vc.select("_m"), ["_m"], ["_m"])
+    gaps = (j.filter(F.col("_m_lag1").isNotNull())
+            .select(((F.col("_m") - F.col("_m_lag1")) / 1e6).alias("gap_s"))
             .groupBy("gap_s").agg(F.count(F.lit(1)).alias("count")))
     return gaps.unionByName(zeros.filter(F.col("count") > 0))
 
@@ -209,20 +211,19 @@ def date_frequency(df: DataFrame, ts: str) -> DataFrame:
 
 
 def autocovariances(df: DataFrame, ts: str, tie: str, value: str, max_lag: int | None = None) -> tuple[list[float], int]:
-    """Biased sums sum_t (x_t - m)(x_{t+k} - m) for k = 0..L and n, from one
-    exploded equi-join on position (each row meets its k-th successor)."""
-    p = positions(df, ts, tie, value)
-    st = p.agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("m")).first()
+    """Biased sums sum_t (x_t - m)(x_{t-k} - m) for k = 0..L and n: every row meets
+    its predecessors inside its range bucket, and one aggregate adds the products."""
+    base = _timed(df, ts, tie, value)
+    st = base.agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("m")).first()
     n, m = st["n"], st["m"]
     if not n:
         return [], 0
     lags = max_lag if max_lag is not None else min(20, n // 4)
-    d = p.select("pos", (F.col("_y") - F.lit(m)).alias("d"))
-    shifted = d.select(F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), "pos", "d").select(
-        "lag", (F.col("pos") + F.col("lag")).alias("pos"), F.col("d").alias("d0"))
-    sums = (shifted.join(d, "pos").groupBy("lag").agg(F.sum(F.col("d0") * F.col("d")).alias("s"))
-            .orderBy("lag").collect())
-    return [r["s"] for r in sums], n
+    d = base.select("_ts", "_tie", (F.col("_y") - F.lit(m)).alias("d"))
+    rows = with_lags(d, ["_ts", "_tie"], ["d"], lags) if lags else d
+    products = [F.sum(F.col("d") * F.col("d")), *[F.sum(F.col("d") * F.col(f"d_lag{k}")) for k in range(1, lags + 1)]]
+    sums = rows.agg(*[x.alias(f"s{k}") for k, x in enumerate(products)]).first()
+    return [float(x or 0.0) for x in sums], n
 
 
 def acf(df: DataFrame, ts: str, tie: str, value: str, threshold: float = 0.2) -> DataFrame:
@@ -259,10 +260,10 @@ def pacf(df: DataFrame, ts: str, tie: str, value: str) -> DataFrame:
     return spark.createDataFrame(out, "lag int, pacf double")
 
 
-def durbin_watson_from_positions(p: DataFrame, resid: str) -> DataFrame:
-    """H6 on any positioned residual table: sum (e_t - e_{t-1})^2 / sum e_t^2."""
-    j = lag_join(p, "pos", [resid])
-    return j.agg((F.sum((F.col(resid) - F.col(resid + "_prev")) ** 2) / F.sum(F.col(resid) ** 2)).alias("durbin_watson"))
+def durbin_watson_in_order(df: DataFrame, order: list[str], resid: str) -> DataFrame:
+    """H6 on any residual table: sum (e_t - e_{t-1})^2 / sum e_t^2 in ``order``."""
+    j = with_lags(df, order, [resid])
+    return j.agg((F.sum((c(resid) - F.col(f"`{resid}_lag1`")) ** 2) / F.sum(c(resid) ** 2)).alias("durbin_watson"))
 
 
 # ------------------------------------------------------------------ ADF test
@@ -286,68 +287,59 @@ def _mackinnon_p(stat: float) -> float:
     return special.norm_cdf(sum(c * stat ** i for i, c in enumerate(coef)))
 
 
-def _gram_partitions(it, k_lags):
-    """Partial cross-product matrix of z = [1, x_{t-1}, d_{t-1..t-k}, d_t]
-    for the rows of one partition (numpy inside the task)."""
+def _bucket_gram(k_lags: int, size: int):
+    """Cross products of z = [1, x_{t-1}, d_{t-1..t-k}, d_t] over the rows of one
+    range bucket; the halo supplies the lags of its first rows."""
     import pandas as pd
     k = k_lags + 3
-    acc = np.zeros((k, k))
-    n = 0
-    for pdf in it:
-        if pdf.empty:
-            continue
-        z = np.column_stack([np.ones(len(pdf)), pdf["lvl"].to_numpy(float),
-                             np.vstack(pdf["lags"].to_numpy()).astype(float) if k_lags else np.zeros((len(pdf), 0)),
-                             pdf["d"].to_numpy(float)])
-        acc += z.T @ z
-        n += len(pdf)
-    yield pd.DataFrame({"n": [n], "g": [acc.ravel().tolist()]})
+
+    def gram(key, pdf):
+        pdf = pdf.sort_values("pos")
+        x, own = pdf["x"].to_numpy(float), ~pdf["halo"].to_numpy(bool)
+        acc, n = np.zeros((k, k)), 0
+        if len(x) >= k_lags + 2:
+            d = np.diff(x)
+            lags = np.lib.stride_tricks.sliding_window_view(d, k_lags + 1)[:, ::-1]  # d_t, d_{t-1}, ...
+            rows = np.flatnonzero(own[k_lags + 1:])
+            for part in np.array_split(rows, max(1, len(rows) * k // size)):
+                z = np.column_stack([np.ones(len(part)), x[k_lags + part], lags[part][:, 1:], lags[part][:, 0]])
+                acc += z.T @ z
+            n = len(rows)
+        return pd.DataFrame({"at": np.arange(k * k + 1), "g": np.append(acc.ravel(), float(n))})
+
+    return gram
 
 
 def adf_test(df: DataFrame, ts: str, tie: str, value: str, max_lag: int | None = None) -> DataFrame:
     """Augmented Dickey-Fuller with a constant and the lag chosen by AIC.
 
-    Rows are positioned in (ts, tie) order.  Every row t meets its level
-    x_{t-1} and the differences d_{t-1..t-K} through one exploded equi-join
-    on position (K = 12 (n/100)^(1/4), as the reference's library does).
-    The cross-product matrix of the design over the rows with all K lags is
-    summed per partition with numpy and added on the driver ((K+3)^2
-    numbers per partition); the first K rows, which only the shorter-lag
-    fits use, are collected (at most K rows).  The AIC search over 0..K lags
-    and the final t statistic are driver-side algebra on those matrices."""
+    Rows lie in range buckets in (ts, tie) order; each bucket has the K + 1 rows
+    before it (K = 12 (n/100)^(1/4), as the reference's library does), so the
+    cross-product matrix of the design over the rows with all K lags is summed
+    per bucket with numpy and added up by Spark ((K+3)^2 numbers).  The first
+    K + 1 rows, which only the shorter-lag fits use, are collected.  The AIC
+    search over 0..K lags and the final t statistic are driver-side algebra on
+    that matrix."""
     spark = df.sparkSession
     schema = ("column string, adf_statistic double, p_value double, used_lag int, nobs long, "
               "crit_1 double, crit_5 double, crit_10 double, is_stationary boolean")
-    p = positions(df, ts, tie, value).select("pos", F.col("_y").alias("x"))
-    n = p.count()
+    base = _timed(df, ts, tie, value).withColumnRenamed("_y", "x")
+    n = base.count()
     if n < 4:
         return spark.createDataFrame([], schema)
     K = int(math.ceil(12.0 * (n / 100.0) ** 0.25)) if max_lag is None else max_lag
     K = max(0, min(n // 2 - 2, K))
-    d = lag_join(p, "pos", ["x"]).filter(F.col("x_prev").isNotNull()).select(
-        "pos", (F.col("x") - F.col("x_prev")).alias("d"), F.col("x_prev").alias("lvl"))
-    # row t receives d_{t-j} for j = 1..K
-    shifted = d.select(F.explode(F.sequence(F.lit(1), F.lit(max(K, 1)))).alias("j"), "pos", "d").select(
-        "j", (F.col("pos") + F.col("j")).alias("pos"), F.col("d").alias("dl"))
-    if K > 0:
-        lags = shifted.filter(F.col("j") <= K).groupBy("pos").agg(
-            F.sort_array(F.collect_list(F.struct("j", "dl"))).alias("_l"))
-        rows = d.join(lags, "pos", "left").select(
-            "pos", "lvl", "d", F.transform(F.coalesce("_l", F.array().cast("array<struct<j:int,dl:double>>")),
-                                           lambda s: s["dl"]).alias("lags"))
-        full = rows.filter(F.size("lags") == K)
-        edge = [r for r in rows.filter(F.size("lags") < K).collect()]  # at most K rows
-    else:
-        full = d.select("pos", "lvl", "d", F.array().cast("array<double>").alias("lags"))
-        edge = []
-    parts = full.select("lvl", "d", "lags").mapInPandas(
-        lambda it: _gram_partitions(it, K), "n long, g array<double>").collect()
+    rows = with_halo(base, ["_ts", "_tie"], K + 1).select("_gs_b", "pos", "halo", "x")
     k = K + 3
-    G = np.zeros((k, k))
-    n_full = 0
-    for r in parts:
-        G += np.array(r["g"]).reshape(k, k)
-        n_full += r["n"]
+    sums = rows.groupBy("_gs_b").applyInPandas(_bucket_gram(K, 4_000_000), "at long, g double").groupBy("at").agg(F.sum("g").alias("g"))
+    flat = np.zeros(k * k + 1)
+    for r in sums.collect():
+        flat[r["at"]] = r["g"]
+    G, n_full = flat[:-1].reshape(k, k), int(flat[-1])
+    first = [r["x"] for r in rows.filter(~F.col("halo") & (F.col("pos") <= K)).orderBy("pos").select("x").collect()]
+    steps = np.diff(first)
+    # Row t (from 1) has t - 1 earlier differences.
+    edge = [{"lvl": first[t - 1], "d": steps[t - 1], "lags": steps[:t - 1][::-1]} for t in range(1, len(first))]
 
     def ols(Gm, cols, nobs):
         xx = Gm[np.ix_(cols, cols)]

@@ -9,7 +9,6 @@ the folder named by ``spark.checkpoint.dir`` and read back
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +61,21 @@ def score_sheets(cells: DataFrame, first_sheet_only: bool = True) -> dict[str, D
 
 
 def comprehensive_statistics(df: DataFrame, numeric: list[str], categorical: list[str] | None = None,
-                             time_col: str | None = None, tie: str | None = None) -> dict[str, DataFrame]:
+                             time_col: str | None = None, tie: str | None = None, trend_cols: int = 3,
+                             series_cols: int = 2, tested_cols: int = 2, tested_categories: int = 1) -> dict[str, DataFrame]:
     """Descriptive statistics, normality, correlations, outliers, trends,
     time series, clustering, PCA, regressions and two-sample tests, plus the
-    statistical insights and recommendations."""
+    statistical insights and recommendations.
+
+    Trends and seasonality look at the first ``trend_cols`` value columns, the
+    series steps at ``series_cols``, the two-sample tests at ``tested_cols`` by
+    ``tested_categories`` category columns: the reference's numbers, which a
+    caller may raise.  The needed columns are written once to shared storage and
+    read by every step."""
     spark = df.sparkSession
     categorical = categorical or []
     out: dict[str, DataFrame] = {}
-    data = df.persist(StorageLevel.MEMORY_AND_DISK)
+    data = materialize(df.select(*[F.col(f"`{x}`") for x in dict.fromkeys([*numeric, *categorical, *filter(None, (time_col, tie))])]), "statistics")
     out["describe"] = D.describe(data, numeric)
     out["moments"] = D.moments(data, numeric)
     out["robust_spread"] = D.robust_spread(data, numeric)
@@ -98,18 +104,18 @@ def comprehensive_statistics(df: DataFrame, numeric: list[str], categorical: lis
     out["iqr_outliers"] = O.iqr_outliers(data, numeric)
     out["z_outliers"] = O.zscore_outliers(data, numeric)
     out["modified_z_outliers"] = O.modified_z_outliers(data, numeric)
-    out["isolation_forest"] = O.isolation_forest(data, numeric)
+    out["isolation_forest"] = O.isolation_forest(data, numeric, k_examples=10)
     if time_col:
-        out["trend"] = G.add_p_values(G.linear_trend(data, time_col, numeric[:3]))
-        out["seasonality"] = _union([G.seasonal_strength(data, time_col, x) for x in numeric[:3]])
-        out["series"] = G.series_summary(data, time_col, numeric[:2])
+        out["trend"] = G.add_p_values(G.linear_trend(data, time_col, numeric[:trend_cols]))
+        out["seasonality"] = _union([G.seasonal_strength(data, time_col, x) for x in numeric[:trend_cols]])
+        out["series"] = G.series_summary(data, time_col, numeric[:series_cols])
         # frequency of the series itself: times where the first value is present
         out["frequency"] = G.series_frequency(data.filter(F.col(f"`{numeric[0]}`").isNotNull()), time_col)
         if tie:
-            # the first two value columns, as the reference's time-series step
-            out["acf"] = _union([G.acf(data, time_col, tie, x).withColumn("column", F.lit(x)) for x in numeric[:2]])
-            out["pacf"] = _union([G.pacf(data, time_col, tie, x).withColumn("column", F.lit(x)) for x in numeric[:2]])
-            out["stationarity"] = _union([G.adf_test(data, time_col, tie, x) for x in numeric[:2]])
+            # the first value columns, as the reference's time-series step
+            out["acf"] = _union([G.acf(data, time_col, tie, x).withColumn("column", F.lit(x)) for x in numeric[:series_cols]])
+            out["pacf"] = _union([G.pacf(data, time_col, tie, x).withColumn("column", F.lit(x)) for x in numeric[:series_cols]])
+            out["stationarity"] = _union([G.adf_test(data, time_col, tie, x) for x in numeric[:series_cols]])
     k = None
     if len(numeric) >= 2:
         labelled, centres, summary, inertia, k, _ = H.kmeans(data, numeric)
@@ -132,9 +138,9 @@ def comprehensive_statistics(df: DataFrame, numeric: list[str], categorical: lis
     if len(numeric) >= 3:
         out["pca"] = H.pca(data, numeric)
     if categorical:
-        # first two value columns x first category column
-        out["t_test"] = _union([T.t_test(data, x, categorical[0]) for x in numeric[:2]])
-        out["mann_whitney"] = _union([T.mann_whitney(data, x, categorical[0]) for x in numeric[:2]])
+        tested = [(x, g) for g in categorical[:tested_categories] for x in numeric[:tested_cols]]
+        out["t_test"] = _union([T.t_test(data, x, g) for x, g in tested])
+        out["mann_whitney"] = _union([T.mann_whitney(data, x, g) for x, g in tested])
     ordc = _ord_table(spark, numeric)
     strong = (R.strong_pairs(out["pearson"]) if "pearson" in out
               else spark.createDataFrame([], "var1 string, var2 string, corr double, strength string"))
@@ -143,14 +149,14 @@ def comprehensive_statistics(df: DataFrame, numeric: list[str], categorical: lis
                                              out["iqr_outliers"].join(ordc, "column"), k)
     non_normal = [r["column"] for r in consensus.filter(~F.col("likely_normal")).collect()]
     out["recommendations"] = J.statistical_recommendations(True, non_normal, "pearson" in out, spark)
-    data.unpersist()
     return out
 
 
-def smart_analysis(df: DataFrame) -> dict[str, DataFrame]:
+def smart_analysis(df: DataFrame, statistics: bool = True) -> dict[str, DataFrame]:
     """Clean -> semantic types -> relationships -> chart recommendations
-    -> ranked insights.  The statistics step of the reference is
-    ``comprehensive_statistics(result["cleaned"], numeric columns)``."""
+    -> ranked insights, and (unless ``statistics`` is off) the tables of
+    ``comprehensive_statistics`` over the numeric and categorical columns under
+    ``statistics:<name>``."""
     spark = df.sparkSession
     cleaned, log = B.clean_table(df)
     cleaned = materialize(cleaned, "cleaned")  # later steps re-read it many times
@@ -175,7 +181,12 @@ def smart_analysis(df: DataFrame) -> dict[str, DataFrame]:
         pr = J.rank_pairs(pairs, ncols)
         groups.append(J.relationship_insights(pr, dep_rank))
     groups.append(J.anomaly_insights(anomalies))
+    more = {}
+    if statistics and nums:
+        texts = [r["column"] for r in types.filter(F.col("type") == "categorical").collect()]
+        more = {f"statistics:{k}": v for k, v in comprehensive_statistics(cleaned, nums, texts).items()}
     return {
+        **more,
         "cleaned": cleaned, "cleaning_log": log, "types": types,
         "correlations": pairs, "dependencies": deps, "similar_columns": R.similar_columns(numv, ncols),
         "anomalies": anomalies,
@@ -190,7 +201,7 @@ def auto_structure(df: DataFrame, preview_order: list[str] | None = None) -> dic
     correlations, visualization recommendations (and a 10-row preview)."""
     from gridscope.sources.sinks import preview
     spark = df.sparkSession
-    data = B.drop_empty_columns(df).persist(StorageLevel.MEMORY_AND_DISK)
+    data = materialize(B.drop_empty_columns(df), "structure")
     cols = data.columns
     ordc = _ord_table(spark, cols)
     prof = P.column_profile(data)

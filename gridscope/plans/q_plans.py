@@ -62,7 +62,7 @@ def smart_insights(spark, sf):
     """P2 ranked insights over the dirty events table (rows-only)."""
     from gridscope.plans.q_clean import dirty_events
     d = dirty_events(spark, sf).select("event_type", "value", "value_text", "user_text", "empty_col")
-    res = P.smart_analysis(d)
+    res = P.smart_analysis(d, statistics=False)
     return res["insights"].select("type", "category", "title", "importance")
 
 

@@ -58,8 +58,10 @@ def build_session(master: str | None = None, cores: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets this to a shared file system; we only invent a folder when
-    the setting is missing (local runs and tests).
+    A cluster sets this to a shared file system.  A folder of our own is only
+    made up when the setting is missing and the master is local (tests); a
+    cluster without the setting is an error, because each executor would write
+    to its own disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -67,22 +69,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="gridscope-ckpt-")
+        configured = local_checkpoint_dir(sc.master)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def local_checkpoint_dir(master: str) -> str:
+    """A temporary folder, for a master in one process only."""
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="gridscope-ckpt-")
+
+
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet under the checkpoint folder (shared storage
     on a cluster) and read it back: lineage is cut, the result survives lost
     executors, and - unlike ``checkpoint()`` without a cache - the plan runs
-    only once."""
+    only once.  ``release`` deletes these folders when results have been read."""
     import uuid
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/gridscope-{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    _WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete everything ``materialize`` has written so far; returns how many
+    folders went.  Call it when the results built on them have been consumed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

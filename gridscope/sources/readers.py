@@ -29,7 +29,7 @@ EXTENSIONS = {
 SPARK_CHARSETS = {"utf-8": "utf-8", "latin-1": "iso-8859-1", "iso-8859-1": "iso-8859-1", "cp1252": "iso-8859-1"}
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8",
+def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "utf-8",
               header: bool = True) -> DataFrame:
     """A1: delimited text, every column read as text (types are inferred
     afterwards with one aggregate, see clean.infer_types)."""
@@ -42,25 +42,36 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "ut
     return df
 
 
-def sniff(spark: SparkSession, path: str, head_bytes: int = 65536) -> tuple[str, str]:
-    """A2 decision from the first bytes of one file: the first encoding of
-    the fixed list that decodes, the first separator that splits the header
-    into several columns."""
-    b = (spark.read.format("binaryFile").load(path)
-         .select(F.substring("content", 1, head_bytes).alias("h")).limit(1).collect())
-    if not b:
-        return "utf-8", ","
-    data = bytes(b[0]["h"])
-    text, enc = decode_text(data)
-    return enc, sniff_separator(text)
+def sniff(spark: SparkSession, path: str, head_bytes: int = 65536) -> DataFrame:
+    """A2 decisions per file: ``(file, encoding, sep)``.  UTF-8 when every line of
+    the whole file is valid, else the first of the fixed list that takes any
+    byte; the separator comes from the header line."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok"))
+    valid = lines.groupBy("file").agg(F.bool_and("ok").alias("ok"))
+    heads = spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("file"), F.substring("content", 1, head_bytes).alias("head"))
+    header = F.regexp_extract(F.decode("head", "iso-8859-1"), r"^([^\r\n]*)", 1)
+    sep = F.coalesce(*[F.when(F.contains(header, F.lit(x)), F.lit(x)) for x in SEPARATORS], F.lit(SEPARATORS[0]))
+    fallback = next(e for e in ENCODINGS if e != "utf-8")
+    return heads.join(valid, "file", "left").select(
+        "file", F.when(F.coalesce("ok", F.lit(True)), "utf-8").otherwise(fallback).alias("encoding"), sep.alias("sep"))
 
 
 def read_csv_sniffed(spark: SparkSession, path: str, separators_only: bool = False) -> DataFrame:
-    """A2: sniff encoding and separator, then read with Spark's CSV scan.
-    ``separators_only`` is the upload route's variant: UTF-8 always (bad
-    bytes replaced), only the separator is sniffed."""
-    enc, sep = sniff(spark, path)
-    return read_csv(spark, path, sep=sep, encoding="utf-8" if separators_only else enc)
+    """A2: sniff encoding and separator of every file, then read with Spark's CSV
+    scan, files of one kind together.  ``separators_only`` is the upload route's
+    variant: UTF-8 always (bad bytes replaced), only the separator is sniffed."""
+    kinds = sniff(spark, path)
+    if separators_only:
+        kinds = kinds.withColumn("encoding", F.lit("utf-8"))
+    found = kinds.groupBy("encoding", "sep").agg(F.collect_list("file").alias("files")).orderBy("encoding", "sep").collect()
+    parts = [read_csv(spark, r["files"], sep=r["sep"], encoding=r["encoding"]) for r in found]
+    if not parts:
+        return read_csv(spark, path)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
 def read_whitespace_table(spark: SparkSession, path: str) -> DataFrame:

@@ -33,12 +33,31 @@ def test_time_sort_and_charts(spark):
     e = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     first = G.sort_by_time(e, "ts", "event_id").first()
     assert first["ts"] == e.agg(F.min("ts")).first()[0]
-    pts, fit = K.scatter(e, "value", "user_id", "event_id", 100)
-    assert 0 < pts.count() <= 200 and fit.count() == 1
+    pts, fit = K.scatter(e, "value", "user_id")
+    assert pts.count() == e.dropna(subset=["value", "user_id"]).count() and fit.count() == 1
     tree = A.group_sizes(e, ["event_type"], with_parents=False)
     assert tree.agg(F.sum("count")).first()[0] == e.count()
-    frames = K.frames_sample(e, "value", "user_id", "event_type", 10, key="event_id")
-    assert frames.groupBy("frame").count().agg(F.max("count")).first()[0] <= 10
+    assert K.animated_scatter(e, "value", "user_id", "event_type").count() == pts.count()
+
+
+def test_named_columns_are_never_cut(spark):
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    cols = [f"c{i}" for i in range(12)]
+    df = li.select(*[(F.col("l_quantity") * i + F.col("l_discount")).alias(c) for i, c in enumerate(cols)])
+    assert {r["column"] for r in K.radar(df, cols).collect()} == set(cols)
+    assert {r["column"] for r in K.statistical_summary(df, cols).collect()} == set(cols)
+    pairs, _ = K.correlation_heatmap(df, cols)
+    assert pairs.count() == 66
+    assert K.radar(df).count() == 6  # the default, when none is named
+
+
+def test_every_chart_type_is_reachable(spark):
+    e = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    for kind, cols in {"radar": ["value", "user_id"], "treemap": ["event_type"], "sunburst": ["event_type"], "scatter_points": ["value", "user_id"],
+                       "scatter3d": ["value", "user_id", "event_id"], "animated_scatter": ["value", "user_id", "event_type"],
+                       "parallel_coordinates": ["value", "user_id"], "statistical_summary": ["value"],
+                       "distribution_comparison": ["value", "event_type"]}.items():
+        assert K.chart_data(e, kind, cols).count() > 0, kind
 
 
 def test_distinct_counts_exact_and_approx(spark):

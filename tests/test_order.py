@@ -41,15 +41,23 @@ def test_bucketed_plan_has_no_single_partition_window(spark):
             assert "_gs_tot" in lines[i + 1], lines[i + 1]
 
 
-def test_quantiles_both_paths_agree(spark):
-    li = spark.read.parquet(f"{SF_MID}/lineitem.parquet").select("l_extendedprice", "l_returnflag")
+def test_quantiles_equal_exact_percentiles(spark):
+    li = spark.read.parquet(f"{SF_MID}/lineitem.parquet").select("l_extendedprice", "l_quantity", "l_returnflag")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    fast = sorted(O.quantiles(li, "l_extendedprice", probs, by=["l_returnflag"]).collect())
-    slow = sorted(O.quantiles(li, "l_extendedprice", probs, by=["l_returnflag"], rows_per_bucket=500).collect())
-    assert len(fast) == len(slow) == 18
-    for a, b in zip(fast, slow):
-        assert a["l_returnflag"] == b["l_returnflag"] and a["p"] == b["p"]
-        assert abs(a["q"] - b["q"]) <= 1e-9 * max(1.0, abs(a["q"]))
+    for value in ("l_extendedprice", "l_quantity"):
+        want = {(r[0], p): q for r in li.groupBy("l_returnflag").agg(F.percentile(value, probs)).collect() for p, q in zip(probs, r[1])}
+        for rows in (None, 500):
+            got = {(r["l_returnflag"], r["p"]): r["q"] for r in O.quantiles(li, value, probs, by=["l_returnflag"], rows_per_bucket=rows).collect()}
+            assert got.keys() == want.keys()
+            assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_string_order_splits_a_common_prefix(spark):
+    names = spark.range(3000).select(F.format_string("Customer#%09d", "id").alias("name"))
+    dealt = O.deal(names, ["name"], 10)
+    sizes = [r["count"] for r in dealt.groupBy("_gs_b").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 1200
+    assert [r["pos"] for r in O.dense_position(names, ["name"]).orderBy("name").collect()] == list(range(3000))
 
 
 def test_average_ranks_ties(spark):
@@ -60,22 +68,19 @@ def test_average_ranks_ties(spark):
     assert r2 == r
 
 
-def test_lag_join(spark):
-    df = spark.createDataFrame([(i, float(i * i)) for i in range(10)], "pos long, v double")
-    j = O.lag_join(df, "pos", ["v"]).orderBy("pos").collect()
-    assert j[0]["v_prev"] is None and j[3]["v_prev"] == 4.0
+@pytest.mark.parametrize("buckets", [4, 37])
+def test_lags_across_buckets(spark, buckets):
+    df = spark.range(60).select(F.col("id").alias("t"), (F.col("id") * F.col("id")).cast("double").alias("v"))
+    for r in O.with_lags(df, ["t"], ["v"], 5, n_buckets=buckets).collect():
+        assert r["pos"] == r["t"]
+        for k in range(1, 6):
+            assert r[f"v_lag{k}"] == (None if r["t"] < k else float((r["t"] - k) ** 2))
 
 
-def test_quantiles_three_plans(spark):
-    li = spark.read.parquet(f"{SF_MID}/lineitem.parquet").select("l_quantity", "l_returnflag")
-    probs = [0.1, 0.5, 0.75]
-    sort_plan = sorted(O.quantiles(li, "l_quantity", probs, by=["l_returnflag"]).collect())
-    # 50 distinct quantities, groups of ~20 000 rows: the percentile-map plan
-    map_plan = sorted(O.quantiles(li, "l_quantity", probs, by=["l_returnflag"], rows_per_bucket=1000).collect())
-    # forced range buckets
-    bucket_plan = sorted(O.quantiles(li, "l_quantity", probs, by=["l_returnflag"], n_buckets=8).collect())
-    for a, b, c in zip(sort_plan, map_plan, bucket_plan):
-        assert a["q"] == pytest.approx(b["q"]) == pytest.approx(c["q"])
+def test_null_groups_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "g string, x int")
+    got = sorted((r["g"] or "", r["x"], r["pos"]) for r in O.dense_position(df, ["x"], by=["g"]).collect())
+    assert got == [("", 1, 0), ("", 3, 1), ("a", 2, 0)]
 
 
 def test_mixed_small_and_large_groups(spark):

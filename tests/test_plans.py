@@ -49,3 +49,45 @@ def test_no_cartesian_products(spark):
         if "CartesianProduct" in plan:
             bad.append(name)
     assert bad == []
+
+
+def test_no_single_task_over_raw_rows(spark):
+    """Between a given table and a single-partition exchange there is always an
+    aggregate, a top-k or a limit."""
+    import re
+
+    def depth(line):
+        return len(line) - len(line.lstrip(" :+-"))
+
+    bad = []
+    for name, q in sorted(E.queries().items()):
+        if name.startswith("op") or name == "pipeline":
+            continue
+        lines = _plan(q(spark, SF_MID)).splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange SinglePartition" not in line:
+                continue
+            for below in lines[i + 1:]:
+                if depth(below) <= depth(line) or re.search("Aggregate|TakeOrdered|LocalLimit", below):
+                    break
+                if "FileScan" in below and SF_MID in below:
+                    bad.append((name, below.strip()[:80]))
+                    break
+    assert bad == []
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    import pytest
+    from gridscope import session
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            session.local_checkpoint_dir(master)
+    assert session.local_checkpoint_dir("local[4]")
+
+
+def test_written_tables_can_be_released(spark):
+    import os
+    from gridscope import session
+    df = session.materialize(spark.range(5), "probe")
+    folder = os.path.dirname(df.inputFiles()[0].removeprefix("file:"))
+    assert os.path.isdir(folder) and session.release(spark) >= 1 and not os.path.exists(folder)

@@ -1,8 +1,8 @@
-"""Score sheets: the two bundled sample sheets (read in place) and the
-synthetic hierarchical layout of FIXTURES.md."""
+"""Score sheets: the layouts of FIXTURES.md, written to a temporary folder."""
 
 import csv
 import os
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,22 +11,35 @@ from gridscope.operators import scores as S
 from gridscope.operators import sheets as L
 from gridscope.plans import analyses as P
 from gridscope.sources.cells import pandas_headers, read_cells
-from conftest import REFERENCE
 
-SAMPLES = os.path.join(REFERENCE, "*.csv")
+# Layouts of FIXTURES.md sections 1 and 2 with made-up names: sub-header rows, empty
+# columns, flags in a keyword column, legend rows.
+FIRST = [[3.5, 3.4, 3.39], [4.0, 3.9, 4.05], [3.44, 3.45, 3.44], [3.43, 3.42, 3.44], [3.37, 3.36, 3.38], [0.7, 0.66, 0.7]]
+FIRST += [[1.0 + k / 10, 1.5 + k / 10, 2.0 + k / 10] for k in range(19)]
+SECOND = [173.8, 164.63, 163.82, 156.34, 37.13] + [40.0 + 5 * k for k in range(21)]
+
+
+def _sheet(path, header, body):
+    with open(path, "w", encoding="utf-8-sig", newline="") as f:
+        csv.writer(f).writerows([header, *body])
 
 
 @pytest.fixture(scope="module")
-def sample_scores(spark):
-    if not any(f.endswith(".csv") for f in os.listdir(REFERENCE)):
-        pytest.skip("sample sheets not present")
-    cells = read_cells(spark, SAMPLES)
-    return L.cell_sheet_scores(cells).drop("pos")
+def sample_scores(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("sheets")
+    header = ["1 - NOME DA ESCOLA", "4°BIM", "", "3º BIM", "", "2º BIM", "SEMANA 11 ATÉ 21 - 1º BIMESTRE", "SEMANA 01 ATÉ 10 - 1º BIMESTRE"]
+    body = [["", "", "", "S 29", "", "S 11", "S 1", ""], ["", "", "", "2025-08-23 00:00:00", "", "", "2024-05-04", ""]]
+    body += [[f"Escola {k}", "", "", a, f"{k}º", b, x, "X"] for k, (a, b, x) in enumerate(FIRST)]
+    body += [["Escola sem nota", "", "", "", "", "", "", "X"], [""] * 8, ["", "", "", "", "", "", "", "0,0 À 5,0"]]
+    _sheet(folder / "first.csv", header, body)
+    header = ["NOME", "3º BIM", "", "PLATAFORMA 2° BIMESTRE DA SEMANA 11 ATÉ", "", "2025 - 1º BIMESTRE"]
+    body = [["", "S 29", "", "", "", ""]] + [[f"Escola {k}", "", "", v, "1 T", "X"] for k, v in enumerate(SECOND)] + [["", "", "", "", "", "3 ou mais"]]
+    _sheet(folder / "second.csv", header, body)
+    return L.cell_sheet_scores(read_cells(spark, str(folder))).drop("pos")
 
 
 def _sheet_of_size(scores, n):
-    """The bundled sample sheet with ``n`` scored entities (identified by size,
-    not by name)."""
+    """The sheet with ``n`` scored entities."""
     sizes = {r["Planilha"]: r["count"] for r in scores.groupBy("Planilha").count().collect()}
     names = [k for k, v in sizes.items() if v == n]
     assert len(names) == 1, sizes
@@ -42,30 +55,26 @@ def _stats(scores, sheet):
 def test_first_sample_sheet(sample_scores):
     sheet = _sheet_of_size(sample_scores, 25)
     r = _stats(sample_scores, sheet)
-    assert r["n"] == 25
-    assert r["mean"] == pytest.approx(2.4004, abs=1e-6)
-    assert r["std"] == pytest.approx(0.762168, abs=1e-6)
-    assert r["mn"] == pytest.approx(0.686667, abs=1e-6)
-    assert r["mx"] == pytest.approx(3.983333, abs=1e-6)
+    means = [sum(x) / 3 for x in FIRST]
+    assert (r["n"], r["mean"], r["std"]) == (25, pytest.approx(statistics.mean(means)), pytest.approx(statistics.stdev(means)))
+    assert (r["mn"], r["mx"]) == pytest.approx((min(means), max(means)))
     rows = sample_scores.filter(F.col("Planilha") == sheet)
     top = [x["Media"] for x in rows.orderBy(F.desc("Media")).limit(4).collect()]
-    assert top == pytest.approx([3.983333, 3.443333, 3.43, 3.37], abs=1e-6)
-    assert 3 in {x["Valores_Utilizados"] for x in rows.collect()}
+    assert top == pytest.approx(sorted(means, reverse=True)[:4])
+    assert {x["Valores_Utilizados"] for x in rows.collect()} == {3}
 
 
 def test_second_sample_sheet(sample_scores):
     sheet = _sheet_of_size(sample_scores, 26)
     r = _stats(sample_scores, sheet)
-    assert r["n"] == 26
-    assert r["mean"] == pytest.approx(87.209231, abs=1e-6)
-    assert r["std"] == pytest.approx(41.633592, abs=1e-6)
+    assert (r["n"], r["mean"], r["std"]) == (26, pytest.approx(statistics.mean(SECOND)), pytest.approx(statistics.stdev(SECOND)))
     assert (r["mn"], r["mx"]) == pytest.approx((37.13, 173.8))
 
 
 def test_sheet_stats_rounding(sample_scores):
     sheet = _sheet_of_size(sample_scores, 25)
     a = {r["Planilha"]: r for r in S.sheet_stats(sample_scores).collect()}[sheet]
-    assert (a["escolas"], a["media"], a["minimo"], a["maximo"]) == (25, 2.40, 0.69, 3.98)
+    assert (a["escolas"], a["media"], a["minimo"], a["maximo"]) == (25, round(statistics.mean(sum(x) / 3 for x in FIRST), 2), 0.69, 3.98)
 
 
 def test_ranking_medals(sample_scores):

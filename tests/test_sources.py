@@ -23,7 +23,7 @@ def test_sniffed_csv(spark, tmpdir_fresh, sep, enc):
     p = os.path.join(tmpdir_fresh, "t.csv")
     _write(p, sep.join(["nome", "nota", "média"]) + "\n" + sep.join(["José", "7.5", "8"]) + "\n"
            + sep.join(["Ana", "9", "6.5"]) + "\n", enc)
-    assert A.sniff(spark, p) == (enc, sep)
+    assert [(r["encoding"], r["sep"]) for r in A.sniff(spark, p).collect()] == [(enc, sep)]
     df = A.read_csv_sniffed(spark, p)
     assert df.columns == ["nome", "nota", "média"]
     assert sorted(r["nome"] for r in df.collect()) == ["Ana", "José"]
@@ -131,3 +131,21 @@ def test_score_sheets_reads_first_workbook_sheet(spark, tmpdir_fresh):
     res = P.score_sheets(read_cells(spark, p))
     got = {(r["Planilha"], r["Escola"]): r["Media"] for r in res["scores"].collect()}
     assert got == {("notas.xlsx", "E1"): 5.0, ("notas.xlsx", "E2"): 7.0}
+
+
+def test_encoding_is_judged_on_all_bytes_and_per_file(spark, tmpdir_fresh):
+    """A two-byte character across byte 65,536, beside a file of another encoding."""
+    folder = os.path.join(tmpdir_fresh, "enc")
+    os.makedirs(folder)
+    body = "name;x\n" + "".join(f"r{i};{i}\n" for i in range(20000))
+    at = 65535 - len("name;x\n")
+    head = ("name;x\n" + ("a" * (at - 1)) + "é;1\n").encode()
+    assert head[65535 - 1:65537].count(b"\xc3") == 1
+    with open(os.path.join(folder, "a.csv"), "wb") as f:
+        f.write(head + body[7:].encode())
+    with open(os.path.join(folder, "b.csv"), "wb") as f:
+        f.write("name,x\ncafé,2\n".encode("latin-1"))
+    got = {os.path.basename(r["file"]): (r["encoding"], r["sep"]) for r in A.sniff(spark, folder).collect()}
+    assert got == {"a.csv": ("utf-8", ";"), "b.csv": ("latin-1", ",")}
+    df = A.read_csv_sniffed(spark, folder)
+    assert df.count() == 20002 and df.filter("name = 'café'").count() == 1 and df.filter("name LIKE '%aé'").count() == 1
