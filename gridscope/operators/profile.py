@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridscope.functions.columns import c, num
 from gridscope.operators.aggregates import long_value_counts, to_long
 from gridscope.operators.order import quantile_columns
-from gridscope.operators.semantic import TIME_TYPES, as_text, structural_types
+from gridscope.operators.semantic import TIME_TYPES, as_text, structural_types, value_table
 
 # Name fragments that mark a possible date/time column
 TIME_NAME_WORDS = ["data", "date", "tempo"]
@@ -26,8 +26,9 @@ def column_profile(df: DataFrame, n_samples: int = 5) -> DataFrame:
     count and % of non-null, and ``n_samples`` sample values (the smallest
     distinct values as text: deterministic, unlike "first rows")."""
     cols = df.columns
-    rows = df.count()
-    vc = long_value_counts(df.select(*[as_text(df, x).alias(x) for x in cols]), cols)
+    vt = value_table(df, cols)  # the one scan and shuffle over rows
+    rows = vt.filter(F.col("column") == cols[0]).agg(F.sum("count")).first()[0] or 0 if cols else 0
+    vc = vt.filter(F.col("value").isNotNull())
     types = structural_types(df, cols, vc)
     samples = _samples(vc, n_samples)
     nulls = F.lit(rows) - F.col("non_null")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gridscope.functions.columns import c, loose_numeric, text_to_double
 from gridscope.operators.aggregates import long_value_counts, top_values
 from gridscope.operators.order import quantiles
+from gridscope.session import materialize
 
 # Regex families of the semantic detector, in the order they are tried
 PATTERNS = {
@@ -227,37 +228,76 @@ def quality_scores(df: DataFrame, cols: list[str] | None = None, rows: int | Non
                       (score if rows else F.lit(0.0)).alias("quality_score"))
 
 
+def value_table(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, value as text, count), nulls included, written once: the one scan
+    and the one shuffle over rows that type detection needs."""
+    txt = df.select(F.inline(F.array(*[F.struct(F.lit(x).alias("column"), as_text(df, x).alias("value")) for x in cols])))
+    return materialize(txt.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")), "values")
+
+
+def _numeric_names(df: DataFrame, cols: list[str]) -> list[str]:
+    """Columns whose text may be read as numbers (not times or booleans)."""
+    t = dict(df.dtypes)
+    return [x for x in cols if t[x] not in TIME_TYPES and t[x] != "boolean"]
+
+
+def semantic_details(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """C1-C5 in full, one row per column: ``(column, type, subtype, confidence,
+    quality_score, distinct, rows, nulls, duplicates, patterns_found, statistics,
+    top_values)``.  Patterns are matched once per distinct value and weighted by
+    its count."""
+    cols = cols or df.columns
+    vt = value_table(df, cols)
+    v, n = F.col("value"), F.col("count")
+    d = F.when(F.col("column").isin(_numeric_names(df, cols)), text_to_double(v))
+    fams = {f: sum((F.sum(F.when(_match(f, k, p, v), n).otherwise(0)) for k, p in enumerate(ps)), F.lit(0)) for f, ps in PATTERNS.items()}
+    vt = vt.withColumn("_d", d)
+    mean = F.sum(F.col("_d") * n) / F.sum(F.when(F.col("_d").isNotNull(), n))
+    per = vt.groupBy("column").agg(
+        F.sum("count").alias("rows"), F.sum(F.when(v.isNull(), n).otherwise(0)).alias("nulls"), F.count("value").alias("distinct"),
+        *[x.alias(f"_f_{f}") for f, x in fams.items()], F.sum(F.when(F.col("_d").isNotNull(), n).otherwise(0)).alias("_parsed"),
+        F.min("_d").alias("_min"), F.max("_d").alias("_max"), mean.alias("_mean"),
+        F.count_if(F.col("_d") != F.floor("_d")).alias("_frac")).join(top_values(vt.filter(v.isNotNull()), 10), "column", "left")
+    nn = F.col("rows") - F.col("nulls")
+    score = {f: F.try_divide(F.col(f"_f_{f}"), nn) for f in PATTERNS}
+    number = F.try_divide(F.col("_parsed"), F.col("rows"))
+    ratio = F.try_divide(F.col("distinct"), F.col("rows"))
+    scale = (F.when((F.col("_min") >= 0) & (F.col("_max") <= 10), "scale_0_10")
+             .when((F.col("_min") >= 0) & (F.col("_max") <= 100), "scale_0_100")
+             .when(F.col("_frac") == 0, "integer").otherwise("float"))
+    card = (F.when(F.col("distinct") <= 10, "low_cardinality").when(F.col("distinct") <= 50, "medium_cardinality")
+            .otherwise("high_cardinality"))
+    none = F.lit(None).cast("string")
+    ranked = [F.struct(F.coalesce(score[f], F.lit(0.0)).alias("confidence"), F.lit(-i).alias("o"), F.lit(f).alias("type"), none.alias("subtype"))
+              for i, f in enumerate(PATTERNS)]
+    ranked.append(F.struct(F.when((number > 0.8) & (F.col("_parsed") > 0), number).otherwise(0.0).alias("confidence"),
+                           F.lit(-len(PATTERNS)).alias("o"), F.lit("numeric").alias("type"), scale.alias("subtype")))
+    ranked.append(F.struct(F.when(ratio < 0.5, 1 - ratio).otherwise(0.0).alias("confidence"),
+                           F.lit(-len(PATTERNS) - 1).alias("o"), F.lit("categorical").alias("type"), card.alias("subtype")))
+    per = per.withColumn("_b", F.greatest(*ranked))  # the highest confidence; among equals the first family
+    won = F.col("_b.confidence") > 0
+    dup = F.col("rows") - F.col("distinct") - F.when(F.col("nulls") > 0, 1).otherwise(0)
+    quality = F.greatest(F.lit(0.0), 1 - 0.5 * F.col("nulls") / F.col("rows") - 0.3 * dup / F.col("rows"))
+    found = F.filter(F.array(*[F.struct(F.lit(f).alias("family"), F.col(f"_f_{f}").cast("long").alias("matches"), score[f].alias("score"))
+                               for f in PATTERNS]), lambda x: x["matches"] > 0)
+    stats = F.when(F.col("_parsed") > 0, F.struct(F.col("_min").alias("min"), F.col("_max").alias("max"), F.col("_mean").alias("mean"),
+                                                  F.col("_parsed").alias("parsed")))
+    base = df.sparkSession.createDataFrame([(x,) for x in cols], "column string")
+    got = per.select(
+        "column", F.when(won, F.col("_b.type")).otherwise("unknown").alias("type"), F.when(won, F.col("_b.subtype")).alias("subtype"),
+        F.col("_b.confidence").alias("confidence"), quality.alias("quality_score"), "distinct", "rows", "nulls",
+        dup.alias("duplicates"), found.alias("patterns_found"), stats.alias("statistics"), "top_values")
+    return base.join(F.broadcast(got), "column", "left").select(
+        "column", F.coalesce("type", F.lit("unknown")).alias("type"), "subtype", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        F.coalesce("quality_score", F.lit(0.0)).alias("quality_score"), F.coalesce("distinct", F.lit(0)).alias("distinct"),
+        "rows", "nulls", "duplicates", "patterns_found", "statistics", "top_values")
+
+
 def semantic_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """C4: the family with the highest confidence; families in order, then
     numeric, then categorical, and a later one wins only when strictly higher.
     Returns ``(column, type, subtype, confidence, quality_score, distinct)``."""
-    cols = cols or df.columns
-    rows = df.count()
-    vc = text_value_counts(df, cols)
-    pats = pattern_scores(df, cols)
-    fams = list(PATTERNS)
-    order = {f: i for i, f in enumerate(fams + ["numeric", "categorical"])}
-    p = pats.filter(F.col("matches") > 0).select("column", F.col("family").alias("type"),
-                                                 F.lit(None).cast("string").alias("subtype"),
-                                                 F.col("score").alias("confidence"))
-    n = numeric_candidates(df, cols, rows, with_median=False).filter(F.col("confidence") > 0).select(
-        "column", F.lit("numeric").alias("type"), "subtype", "confidence")
-    k = categorical_candidates(df, cols, rows, vc).filter(F.col("confidence") > 0).select(
-        "column", F.lit("categorical").alias("type"), "subtype", "confidence")
-    allc = p.unionByName(n).unionByName(k)
-    rank = F.create_map(*[x for f, i in order.items() for x in (F.lit(f), F.lit(i))])
-    best = allc.withColumn("_o", rank[F.col("type")]).groupBy("column").agg(
-        F.min_by(F.struct("type", "subtype", "confidence"),
-                 F.struct(F.negative("confidence"), F.col("_o"))).alias("b"))
-    q = quality_scores(df, cols, rows, vc)
-    dist = vc.groupBy("column").agg(F.count("value").alias("distinct"))
-    base = df.sparkSession.createDataFrame([(x,) for x in cols], "column string")
-    return (base.join(best, "column", "left").join(q.select("column", "quality_score"), "column", "left")
-            .join(dist, "column", "left")
-            .select("column", F.coalesce(F.col("b.type"), F.lit("unknown")).alias("type"),
-                    F.col("b.subtype").alias("subtype"),
-                    F.coalesce(F.col("b.confidence"), F.lit(0.0)).alias("confidence"), "quality_score",
-                    F.coalesce(F.col("distinct"), F.lit(0)).alias("distinct")))
+    return semantic_details(df, cols).select("column", "type", "subtype", "confidence", "quality_score", "distinct")
 
 
 def structural_types(df: DataFrame, cols: list[str] | None = None, vc: DataFrame | None = None) -> DataFrame:
@@ -267,41 +307,26 @@ def structural_types(df: DataFrame, cols: list[str] | None = None, vc: DataFrame
     < 50 distinct) -> text (mean length > 3) -> categorical.
 
     Whole-column shares instead of the reference's first-100-values sample,
-    so the answer does not depend on file order."""
+    so the answer does not depend on file order.  Everything is computed once per
+    distinct value (``vc``, if given, is a ``(column, value, count)`` table)."""
     cols = cols or df.columns
+    vt = (value_table(df, cols) if vc is None else vc).filter(F.col("value").isNotNull())
+    v, n = F.col("value"), F.col("count")
     date_rx = "^(" + "|".join(START_DATE_PATTERNS) + ")"
-    aggs = []
-    for i, x in enumerate(cols):
-        s = F.trim(as_text(df, x))
-        t = dict(df.dtypes)[x]
-        is_num_type = t in NUMERIC_TYPES or t.startswith("decimal")
-        d = c(x).cast("double") if is_num_type else text_to_double(as_text(df, x))
-        cleaned = F.regexp_replace(as_text(df, x), r"[^0-9.,+\-]", "")
-        ld = loose_numeric(as_text(df, x))
-        aggs += [
-            F.count(c(x)).alias(f"nn{i}"),
-            F.count_if(s.rlike(date_rx)).alias(f"dt{i}"),
-            F.count_if(c(x).isNotNull() & d.isNull()).alias(f"bad{i}"),
-            F.count_if(c(x).isNotNull() & ld.isNull() & (cleaned != "")).alias(f"lbad{i}"),
-            F.count(ld).alias(f"lok{i}"),
-            F.avg(F.length(as_text(df, x))).alias(f"len{i}"),
-        ]
-    row = df.agg(*aggs)
-    recs = []
-    for i, x in enumerate(cols):
-        numeric = (F.col(f"bad{i}") == 0) | ((F.col(f"lbad{i}") == 0) & (F.col(f"lok{i}") > 0))
-        recs.append(F.struct(F.lit(x).alias("column"), F.col(f"nn{i}").alias("non_null"),
-                             F.col(f"dt{i}").alias("_dt"), numeric.alias("_num"),
-                             F.col(f"len{i}").alias("_len")))
-    per = row.select(F.inline(F.array(*recs)))
-    # distinct counts from one long (column, value) aggregate, not k count_distincts
-    vc = text_value_counts(df, cols) if vc is None else vc
-    u = vc.groupBy("column").agg(F.count("value").alias("distinct"))
-    per = per.join(u, "column", "left").fillna(0, ["distinct"])
+    cleaned = F.regexp_replace(v, r"[^0-9.,+\-]", "")
+    weight = lambda cond: F.sum(F.when(cond, n).otherwise(0))
+    vt = vt.withColumn("_ld", loose_numeric(v))
+    per = vt.groupBy("column").agg(
+        F.sum("count").alias("non_null"), F.count("value").alias("distinct"), weight(F.trim(v).rlike(date_rx)).alias("_dt"),
+        weight(text_to_double(v).isNull()).alias("_bad"), weight(F.col("_ld").isNull() & (cleaned != "")).alias("_lbad"),
+        weight(F.col("_ld").isNotNull()).alias("_lok"), (F.sum(F.length(v) * n) / F.sum("count")).alias("_len"))
+    base = df.sparkSession.createDataFrame([(x,) for x in cols], "column string")
+    per = base.join(F.broadcast(per), "column", "left").fillna(0, ["non_null", "distinct"])
     nn = F.col("non_null")
+    numeric = (F.col("_bad") == 0) | ((F.col("_lbad") == 0) & (F.col("_lok") > 0))
     kind = (F.when(nn == 0, "empty")
             .when(F.col("_dt") / nn > 0.7, "datetime")
-            .when(F.col("_num"), "numeric")
+            .when(numeric, "numeric")
             .when((F.col("distinct") / nn < 0.5) & (F.col("distinct") < 50), "categorical")
             .when(F.col("_len") > 3, "text")
             .otherwise("categorical"))

@@ -190,3 +190,36 @@ def numeric_view(spark, sf):
     nv = B.numeric_view(e)
     return round_cols(nv.select(F.col("event_id").cast("long").alias("event_id"), "value",
                                 F.col("user_id").cast("long").alias("user_id"), "event_type_encoded"))
+
+
+@query("filter_missing_pair", DIRTY_SQL + """
+SELECT event_id, value, user_id FROM dirty WHERE value IS NOT NULL AND user_id IS NOT NULL""")
+def filter_missing_pair(spark, sf):
+    """B17 on the dirty events."""
+    return B.filter_missing_pair(dirty_events(spark, sf), "value", "user_id").select("event_id", "value", "user_id")
+
+
+@query("select_by_type", """
+SELECT o_orderkey, o_custkey, round(CAST(o_totalprice AS DOUBLE), 6) AS o_totalprice FROM orders""")
+def select_by_type(spark, sf):
+    """The numeric columns of orders."""
+    return round_cols(B.select_by_type(t(spark, sf, "orders"), "number"))
+
+
+@query("standardize_headers", """
+SELECT c_custkey AS "a b", c_name AS "a b_1", c_nationkey AS "Column_3", c_mktsegment AS "x" FROM customer""")
+def standardize_headers(spark, sf):
+    """Blanks, repeated, empty and decorated headers."""
+    d = t(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").toDF(" a  b", "a b", "Unnamed", "__x. ")
+    return B.standardize_headers(d)
+
+
+@query("cast_values", DIRTY_SQL + """
+SELECT event_id, user_id, TRY_CAST(user_text AS BIGINT) AS user_text, strftime(TRY_CAST(day_text AS DATE), '%Y-%m-%d') AS day_text,
+  event_type, value_text FROM dirty""")
+def cast_values(spark, sf):
+    """The values after type inference, whole numbers as bigint and dates read."""
+    d = dirty_events(spark, sf).select("event_id", "user_id", "user_text", "day_text", "event_type", "value_text")
+    dec = {r["column"]: r["inferred"] for r in B.infer_types(d).collect()}
+    out = B.apply_types(d, dec | {"value_text": "keep"})
+    return out.withColumn("day_text", F.date_format("day_text", "yyyy-MM-dd"))

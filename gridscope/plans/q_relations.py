@@ -141,40 +141,58 @@ def similar_columns(spark, sf):
 OUT_COLS = [("events", "value"), ("lineitem", "l_extendedprice")]
 
 
-@query("iqr_outliers", """
+def _listed(r):
+    """Example values as text with six decimals, in their order."""
+    return round_cols(r.withColumn("outlier_values", F.array_join(
+        F.transform(F.coalesce("outlier_values", F.array().cast("array<double>")), lambda v: v.cast("decimal(20,6)").cast("string")), ",")))
+
+
+def _examples_sql(flag, dist, tables, k=10):
+    return (f"(SELECT coalesce(string_agg(CAST(CAST(value AS DECIMAL(20,6)) AS VARCHAR), ',' ORDER BY d DESC, value), '') FROM "
+            f"(SELECT value, {dist} AS d FROM events, {tables} WHERE value IS NOT NULL AND {flag} ORDER BY d DESC, value LIMIT {k})) AS outlier_values")
+
+
+_IQR = """(SELECT quantile_cont(value, 0.25) - 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS lo,
+                     quantile_cont(value, 0.75) + 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS hi
+              FROM events)"""
+
+
+@query("iqr_outliers", f"""
 SELECT 'value' AS column, count(*) FILTER (WHERE value < lo OR value > hi) AS outlier_count,
   round(count(*) FILTER (WHERE value < lo OR value > hi) / count(*) * 100, 6) AS outlier_percentage,
-  round(any_value(lo), 6) AS lower_bound, round(any_value(hi), 6) AS upper_bound
-FROM events, (SELECT quantile_cont(value, 0.25) - 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS lo,
-                     quantile_cont(value, 0.75) + 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS hi
-              FROM events)
-WHERE value IS NOT NULL""")
+  round(any_value(lo), 6) AS lower_bound, round(any_value(hi), 6) AS upper_bound,
+  {_examples_sql("(value < lo OR value > hi)", "greatest(lo - value, value - hi)", _IQR)}
+FROM events, {_IQR} WHERE value IS NOT NULL""")
 def iqr_outliers(spark, sf):
-    """F20 on the event value."""
-    r = O.iqr_outliers(t(spark, sf, "events"), ["value"], k_examples=0)
-    return round_cols(r.drop("outlier_values"))
+    """F20 on the event value, with the ten farthest values."""
+    return _listed(O.iqr_outliers(t(spark, sf, "events"), ["value"]))
+
+
+_MEAN = "(SELECT avg(value) AS m, stddev_pop(value) AS s FROM events)"
 
 
-@query("z_outliers", """
+@query("z_outliers", f"""
 SELECT 'value' AS column, count(*) FILTER (WHERE abs(value - m) / s > 3) AS outlier_count,
-  round(count(*) FILTER (WHERE abs(value - m) / s > 3) / count(*) * 100, 6) AS outlier_percentage, CAST(3.0 AS DOUBLE) AS threshold
-FROM events, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events) WHERE value IS NOT NULL""")
+  round(count(*) FILTER (WHERE abs(value - m) / s > 3) / count(*) * 100, 6) AS outlier_percentage, CAST(3.0 AS DOUBLE) AS threshold,
+  {_examples_sql("abs(value - m) / s > 3", "abs(value - m) / s", _MEAN)}
+FROM events, {_MEAN} WHERE value IS NOT NULL""")
 def z_outliers(spark, sf):
-    """F21."""
-    return round_cols(O.zscore_outliers(t(spark, sf, "events"), ["value"], k_examples=0).drop("outlier_values"))
+    """F21, with the ten farthest values."""
+    return _listed(O.zscore_outliers(t(spark, sf, "events"), ["value"]))
 
 
-@query("modified_z_outliers", """
+@query("modified_z_outliers", f"""
 WITH m AS (SELECT quantile_cont(value, 0.5) AS med FROM events),
 d AS (SELECT quantile_cont(abs(value - med), 0.5) AS mad FROM events, m)
 SELECT 'value' AS column,
   count(*) FILTER (WHERE mad <> 0 AND 0.6745 * abs(value - med) / mad > 3.5) AS outlier_count,
   round(count(*) FILTER (WHERE mad <> 0 AND 0.6745 * abs(value - med) / mad > 3.5) / count(*) * 100, 6) AS outlier_percentage,
-  CAST(3.5 AS DOUBLE) AS threshold
+  CAST(3.5 AS DOUBLE) AS threshold,
+  {_examples_sql("mad <> 0 AND 0.6745 * abs(value - med) / mad > 3.5", "0.6745 * abs(value - med) / mad", "m, d")}
 FROM events, m, d WHERE value IS NOT NULL""")
 def modified_z_outliers(spark, sf):
-    """F22."""
-    return round_cols(O.modified_z_outliers(t(spark, sf, "events"), ["value"], k_examples=0).drop("outlier_values"))
+    """F22, with the ten farthest values."""
+    return _listed(O.modified_z_outliers(t(spark, sf, "events"), ["value"]))
 
 
 @query("upper_share", """
@@ -190,5 +208,20 @@ def upper_share(spark, sf):
 
 @query("isolation_share")
 def isolation_share(spark, sf):
-    """isolation forest flags (about 10 % by construction; rows-only)."""
-    return round_cols(O.isolation_forest(t(spark, sf, "events"), ["value"], k_examples=0).drop("outlier_values"))
+    """isolation forest flags (about 10 % by construction; rows-only), with
+    the ten most isolated values."""
+    return _listed(O.isolation_forest(t(spark, sf, "events"), ["value"], k_examples=10))
+
+
+@query("isolation_bounds", """
+SELECT 'value' AS column, TRUE AS at_most_a_tenth, TRUE AS same_forest_again, 10 AS examples FROM events HAVING count(value) >= 10""")
+def isolation_bounds(spark, sf):
+    """what holds for every forest: at most a tenth is flagged, and another
+    partitioning of the table gives the same flags."""
+    e = t(spark, sf, "events").select("value")
+    a, b = (O.isolation_forest(x, ["value"], k_examples=10, n_trees=20) for x in (e, e.repartition(7)))
+    again = b.select("column", F.col("outlier_count").alias("_n"), F.col("outlier_values").alias("_v"))
+    return a.join(again, "column").select(
+        "column", (F.col("outlier_percentage") <= 10.0).alias("at_most_a_tenth"),
+        ((F.col("outlier_count") == F.col("_n")) & (F.col("outlier_values") == F.col("_v"))).alias("same_forest_again"),
+        F.size("outlier_values").alias("examples"))

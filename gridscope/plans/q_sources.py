@@ -17,10 +17,21 @@ def source_metadata(spark, sf):
     return A.source_metadata(A.read_parquet(spark, f"{sf}/lineitem.parquet"), "parquet")
 
 
-@query("detect_format")
+_FORMAT_TABLES = ["region", "nation", "supplier", "customer", "part", "orders", "events"]
+
+
+@query("detect_format", "\nUNION ALL\n".join(
+    f"SELECT '{n}.parquet' AS file, 'parquet' AS extension, 'parquet' AS format, 'extension' AS decided_by, count(*) AS rows FROM {n}"
+    for n in _FORMAT_TABLES))
 def detect_format(spark, sf):
-    """A8 over the driver folder's files (rows-only: the folder differs per run)."""
-    return A.detect_format(spark, f"{sf}/*.parquet").select("extension", "format", "decided_by")
+    """A8 over the tables' files, each then read by the format found."""
+    paths = ",".join(_FORMAT_TABLES)
+    found = A.detect_format(spark, f"{sf}/{{{paths}}}.parquet").withColumn("file", F.element_at(F.split("path", "/"), -1))
+    read = None
+    for n in _FORMAT_TABLES:
+        rows = A.read_parquet(spark, f"{sf}/{n}.parquet").agg(F.lit(f"{n}.parquet").alias("file"), F.count(F.lit(1)).alias("rows"))
+        read = rows if read is None else read.unionByName(rows)
+    return found.join(F.broadcast(read), "file").select("file", "extension", "format", "decided_by", "rows")
 
 
 @query("records_json", """

@@ -123,9 +123,23 @@ def acf(spark, sf):
     return round_cols(G.acf(t(spark, sf, "events"), "ts", "event_id", "value"))
 
 
-@query("pacf")
+@query("pacf", """
+WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, value - avg(value) OVER () AS d
+           FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+n AS (SELECT count(*) AS n, least(20, count(*) // 4) AS lags FROM p),
+l AS (SELECT unnest(range(0, (SELECT lags FROM n) + 1)) AS lag),
+s AS (SELECT lag, sum(a.d * b.d) / ((SELECT n FROM n) - lag) AS s FROM l, p a JOIN p b ON b.pos = a.pos + l.lag GROUP BY lag),
+r AS (SELECT list(s / (SELECT s FROM s WHERE lag = 0) ORDER BY lag) AS rho FROM s),
+d(k, phi) AS (
+  SELECT 1, [rho[2]] FROM r
+  UNION ALL
+  SELECT k + 1, list_append(list_transform(range(1, k + 1), lambda i: phi[i] - x * phi[k + 1 - i]), x) FROM (
+    SELECT k, phi, (rho[k + 2] - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * rho[k + 2 - i])))
+                   / (1 - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * rho[i + 1]))) AS x
+    FROM d, r WHERE k < (SELECT lags FROM n)))
+SELECT 0::INTEGER AS lag, 1.0::DOUBLE AS pacf UNION ALL SELECT k::INTEGER, round(phi[k], 6) FROM d""")
 def pacf(spark, sf):
-    """G8 (Yule-Walker on Spark-computed autocovariances; rows-only check)."""
+    """G8 (Yule-Walker on Spark-computed autocovariances)."""
     return round_cols(G.pacf(t(spark, sf, "events"), "ts", "event_id", "value"))
 
 
@@ -136,6 +150,22 @@ def adf_test(spark, sf):
     return round_cols(G.adf_test(t(spark, sf, "events"), "ts", "event_id", "value"))
 
 
+@query("adf_no_lags", """
+WITH p AS (SELECT value AS x, lag(value) OVER (ORDER BY ts, event_id) AS l FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+f AS (SELECT regr_slope(x - l, l) AS b, regr_syy(x - l, l) * (1 - regr_r2(x - l, l)) AS ssr, regr_sxx(x - l, l) AS sxx, count(l) AS n FROM p)
+SELECT 'value' AS column, round(b / sqrt(ssr / (n - 2) / sxx), 4) AS adf_statistic, 0::INTEGER AS used_lag, n AS nobs FROM f""")
+def adf_no_lags(spark, sf):
+    """G9 without lagged differences: the statistic in closed form."""
+    r = G.adf_test(t(spark, sf, "events"), "ts", "event_id", "value", max_lag=0)
+    return r.select("column", F.round("adf_statistic", 4).alias("adf_statistic"), "used_lag", "nobs")
+
+
+@query("sort_by_time", "SELECT event_id, event_type FROM events")
+def sort_by_time(spark, sf):
+    """All events in time order."""
+    return G.sort_by_time(t(spark, sf, "events"), "ts", "event_id").select("event_id", "event_type")
+
+
 @query("moving_average", """
 WITH daily AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS mean FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1),
 cal AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM daily),

@@ -82,6 +82,20 @@ def semantic_types(spark, sf):
     return round_cols(C.semantic_types(t(spark, sf, "customer"), CUST_COLS).drop("distinct"))
 
 
+@query("semantic_details", "\nUNION ALL\n".join(f"""
+SELECT '{c}' AS column, count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct,
+  (SELECT string_agg(v || '=' || n, ';' ORDER BY n DESC, v) FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM customer
+    WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 10)) AS top_values,
+  round(CAST(min(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) AS DOUBLE), 6) AS lowest, round(CAST(max(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) AS DOUBLE), 6) AS highest,
+  round(avg(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)), 4) AS mean FROM customer""" for c in ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]))
+def semantic_details(spark, sf):
+    """Statistics and top values that the type decision rests on."""
+    r = C.semantic_details(t(spark, sf, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+    return r.select("column", "rows", "nulls", "distinct", F.array_join(F.transform(
+        "top_values", lambda s: F.concat(s["value"], F.lit("="), s["count"].cast("string"))), ";").alias("top_values"),
+        F.round("statistics.min", 6).alias("lowest"), F.round("statistics.max", 6).alias("highest"), F.round("statistics.mean", 4).alias("mean"))
+
+
 @query("quality_scores", DIRTY_SQL + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS column, CAST(count_if({c} IS NULL) AS BIGINT) AS nulls, "
     f"count(*) - count(DISTINCT {c}) - CASE WHEN count_if({c} IS NULL) > 0 THEN 1 ELSE 0 END AS duplicates, "
@@ -154,11 +168,15 @@ def numeric_profile(spark, sf):
 
 @query("categorical_profile", "\nUNION ALL\n".join(f"""
 SELECT '{c}' AS column, arg_min(v, (-n, v)) AS most_frequent, max(n) AS frequency_of_most, count(*) AS categories,
-  CASE WHEN stddev_samp(n) < avg(n) THEN 'balanced' ELSE 'skewed' END AS category_distribution
+  CASE WHEN stddev_samp(n) < avg(n) THEN 'balanced' ELSE 'skewed' END AS category_distribution,
+  (SELECT string_agg(v || '=' || n, ';' ORDER BY n DESC, v) FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM part
+    WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 10)) AS top_categories
 FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM part WHERE {c} IS NOT NULL GROUP BY 1)""" for c in ["p_brand", "p_type", "p_name"]))
 def categorical_profile(spark, sf):
     """C13 over part."""
-    return P.categorical_profile(t(spark, sf, "part"), ["p_brand", "p_type", "p_name"]).drop("top_categories")
+    r = P.categorical_profile(t(spark, sf, "part"), ["p_brand", "p_type", "p_name"])
+    return r.withColumn("top_categories", F.array_join(F.transform(
+        "top_categories", lambda s: F.concat(s["value"], F.lit("="), s["count"].cast("string"))), ";"))
 
 
 @query("datetime_profile", """
@@ -185,15 +203,20 @@ def datetime_profile(spark, sf):
 @query("data_quality", DIRTY_SQL + """
 SELECT round((cells - nulls) / cells * 100, 6) AS completeness_score, round(nulls / cells * 100, 6) AS missing_data_percentage,
   (SELECT count(*) FROM dirty) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS duplicate_rows,
-  CAST(100.0 AS DOUBLE) AS data_consistency_score
+  CAST(100.0 AS DOUBLE) AS data_consistency_score,
+  (SELECT array_to_string(list_filter([CASE WHEN count(event_id) < count(*) THEN 'event_id' END, CASE WHEN count(ts) < count(*) THEN 'ts' END,
+     CASE WHEN count(user_id) < count(*) THEN 'user_id' END, CASE WHEN count(event_type) < count(*) THEN 'event_type' END,
+     CASE WHEN count(value) < count(*) THEN 'value' END, CASE WHEN count(value_text) < count(*) THEN 'value_text' END,
+     CASE WHEN count(user_text) < count(*) THEN 'user_text' END, CASE WHEN count(day_text) < count(*) THEN 'day_text' END,
+     CASE WHEN count(empty_col) < count(*) THEN 'empty_col' END], lambda x: x IS NOT NULL), ',') FROM dirty) AS columns_with_nulls
 FROM (SELECT count(*) * 9 AS cells,
         count_if(event_id IS NULL) + count_if(ts IS NULL) + count_if(user_id IS NULL) + count_if(event_type IS NULL)
         + count_if(value IS NULL) + count_if(value_text IS NULL) + count_if(user_text IS NULL)
         + count_if(day_text IS NULL) + count_if(empty_col IS NULL) AS nulls FROM dirty)""")
 def data_quality(spark, sf):
-    """C15 on the dirty events table (columns_with_nulls is checked in unit tests)."""
+    """C15 on the dirty events table."""
     q = P.data_quality(dirty_events(spark, sf))
-    return round_cols(q.drop("columns_with_nulls"))
+    return round_cols(q.withColumn("columns_with_nulls", F.array_join("columns_with_nulls", ",")))
 
 
 @query("summary_stats", """
