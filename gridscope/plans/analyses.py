@@ -148,7 +148,7 @@ def comprehensive_statistics(df: DataFrame, numeric: list[str], categorical: lis
     out["insights"] = J.statistical_insights(consensus.join(ordc, "column"), strong,
                                              out["iqr_outliers"].join(ordc, "column"), k)
     non_normal = [r["column"] for r in consensus.filter(~F.col("likely_normal")).collect()]
-    out["recommendations"] = J.statistical_recommendations(True, non_normal, "pearson" in out, spark)
+    out["recommendations"] = J.statistical_recommendations(bool(numeric), non_normal, "pearson" in out, spark)
     return out
 
 

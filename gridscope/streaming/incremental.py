@@ -34,12 +34,16 @@ def stream_row_scores(stream: DataFrame, entity: str, sheet: str, score_cols: li
 
 def running_entity_means(scores: DataFrame, event_time: str | None = None, watermark: str = "1 day") -> DataFrame:
     """D14 / L6 as a streaming aggregation: state is (sum, count) per
-    (sheet, entity); the mean is derived on output.  With ``event_time`` a
-    watermark bounds the state for late rows."""
+    (sheet, entity); the mean is derived on output.  With ``event_time`` the means
+    are per day of the event, and the watermark lets the state of past days go;
+    without it the state has one row per (sheet, entity)."""
+    keys = [F.col(SHEET), F.col(ENTITY)]
     if event_time:
         scores = scores.withWatermark(event_time, watermark)
-    agg = scores.groupBy(SHEET, ENTITY).agg(F.sum(MEAN).alias("_s"), F.count(MEAN).alias("_n"))
-    return agg.select(SHEET, ENTITY, (F.col("_s") / F.col("_n")).alias(MEAN), F.col("_n").alias(USED))
+        keys.append(F.window(event_time, "1 day").alias("day"))
+    agg = scores.groupBy(*keys).agg(F.sum(MEAN).alias("_s"), F.count(MEAN).alias("_n"))
+    day = [F.col("day.start").alias("day")] if event_time else []
+    return agg.select(SHEET, ENTITY, *day, (F.col("_s") / F.col("_n")).alias(MEAN), F.col("_n").alias(USED))
 
 
 def start(agg: DataFrame, checkpoint: str, sink: str = "memory", name: str = "entity_means",
