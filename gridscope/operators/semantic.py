@@ -272,7 +272,7 @@ def semantic_details(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
               for i, f in enumerate(PATTERNS)]
     ranked.append(F.struct(F.when((number > 0.8) & (F.col("_parsed") > 0), number).otherwise(0.0).alias("confidence"),
                            F.lit(-len(PATTERNS)).alias("o"), F.lit("numeric").alias("type"), scale.alias("subtype")))
-    ranked.append(F.struct(F.when(ratio < 0.5, 1 - ratio).otherwise(0.0).alias("confidence"),
+    ranked.append(F.struct(F.when((ratio < 0.5) & (F.col("distinct") > 0), 1 - ratio).otherwise(0.0).alias("confidence"),
                            F.lit(-len(PATTERNS) - 1).alias("o"), F.lit("categorical").alias("type"), card.alias("subtype")))
     per = per.withColumn("_b", F.greatest(*ranked))  # the highest confidence; among equals the first family
     won = F.col("_b.confidence") > 0
