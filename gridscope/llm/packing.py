@@ -28,8 +28,6 @@ END_ID = 1
 OPEN = 32
 SLIVER = 16
 FAN = 64
-#: Characters encoded at once.
-CHUNK = 4_000_000
 
 # A piece in the making: (doc_id, start, doc_tokens, ids as bytes).
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "part"]
@@ -152,23 +150,11 @@ def pack(docs: DataFrame, name: str = TOKENIZER, size: int = SIZE, open_windows:
     def run(batches):
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        encoder, windows, n = pretokens.Encoder(name), Windows(size, open_windows), 0
-
-        def some(ids, texts):
-            for doc, got in zip(ids, encoder.encode(texts), strict=True):
-                got += end
-                windows.place((doc, 0, len(got) // 4, got))
-
+        encoder, windows, n = pretokens.encoder(name), Windows(size, open_windows), 0
         for b in batches:
-            ids, texts, chars = [], [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids.append(doc)
-                texts.append(text.as_py() or "")
-                chars += len(texts[-1])
-                if chars >= CHUNK:
-                    some(ids, texts)
-                    ids, texts, chars = [], [], 0
-            some(ids, texts)
+                ids = encoder.encode(text.as_py() or "") + end
+                windows.place((doc, 0, len(ids) // 4, ids))
             yield _batch(_rows(windows.done, (part << 32) + n, -1, with_ids))
             n += len(windows.done)
             windows.done = []

@@ -16,8 +16,9 @@ from array import array
 
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
-#: Pre-tokens remembered by one Python worker; beyond it the memory starts anew.
-REMEMBERED = 800_000
+#: Pre-tokens, and chunks of text, remembered by one Python worker; beyond it the
+#: memory starts anew.
+REMEMBERED = 900_000
 
 # The file's split rule, written for lower-case Latin text.
 _SPLIT = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+")
@@ -55,23 +56,46 @@ def split(text: str, name: str) -> list[str]:
     return out
 
 
-def pieces(pretokens: list[str], name: str) -> list[list[int]]:
-    """Ids of each pre-token."""
-    return [e.ids for e in tokenizer(name).encode_batch_fast(pretokens, add_special_tokens=False)]
+class _Pieces(dict):
+    """Pre-token to its ids, as little-endian 32-bit bytes."""
+
+    def __init__(self, name: str):
+        self.name = name
+
+    def __missing__(self, pretoken: str) -> bytes:
+        got = self[pretoken] = array("I", tokenizer(self.name).encode(pretoken, add_special_tokens=False).ids).tobytes()
+        return got
+
+
+class _Chunks(dict):
+    """Lower-case text between white space to its ids; no pre-token crosses white space."""
+
+    def __init__(self, pieces: _Pieces):
+        self.pieces = pieces
+
+    def __missing__(self, chunk: str) -> bytes:
+        pieces = self.pieces
+        got = self[chunk] = b"".join([pieces[p] for p in _SPLIT.findall(chunk)])
+        return got
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes, pieces looked up per pre-token."""
+    """Ids of whole texts as little-endian 32-bit bytes."""
 
     def __init__(self, name: str):
-        self.name, self.known = name, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [split(t, self.name) for t in texts]
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({p for ps in parts for p in ps if p not in known})
-        for p, got in zip(new, pieces(new, self.name), strict=True):
-            known[p] = array("I", got).tobytes()
-        return [b"".join([known[p] for p in ps]) for ps in parts]
+        self.name, self.pieces = name, _Pieces(name)
+        self.chunks = _Chunks(self.pieces)
+
+    def encode(self, text: str) -> bytes:
+        if "<|" in text or _OTHER.search(text):
+            return array("I", tokenizer(self.name).encode(text, add_special_tokens=False).ids).tobytes()
+        for known in (self.chunks, self.pieces):
+            if len(known) > REMEMBERED:
+                known.clear()
+        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+
+
+@functools.cache
+def encoder(name: str) -> Encoder:
+    """The worker's own encoder; it remembers pieces over tasks."""
+    return Encoder(name)
