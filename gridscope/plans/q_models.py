@@ -42,11 +42,37 @@ def simple_regression(spark, sf):
                     F.round("residual_std", 4).alias("residual_std"), "n")
 
 
-@query("regress_each")
+MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _det(m):
+    """Determinant of a matrix of SQL expressions, along the first row."""
+    if len(m) == 1:
+        return m[0][0]
+    terms = [f"{'-' if j % 2 else '+'} {m[0][j]} * ({_det([r[:j] + r[j + 1:] for r in m[1:]])})" for j in range(len(m))]
+    return " ".join(terms)
+
+
+def _regression_sql(y):
+    """Cramer's rule on the covariances."""
+    xs = [x for x in MEASURES if x != y]
+    cov = lambda p, q: f"c_{min(p, q)}_{max(p, q)}"
+    s = [[cov(p, q) for q in xs] for p in xs]
+    beta = [f"(({_det([[cov(p, y) if k == j else s[i][k] for k in range(3)] for i, p in enumerate(xs)])}) / ({_det(s)}))" for j in range(3)]
+    explained = " + ".join(f"{b} * {cov(x, y)}" for b, x in zip(beta, xs))
+    intercept = f"m_{y} - (" + " + ".join(f"{b} * m_{x}" for b, x in zip(beta, xs)) + ")"
+    return (f"SELECT '{y}' AS target, round({intercept}, 4) AS intercept, round(({explained}) / {cov(y, y)}, 6) AS r_squared, "
+            f"round(sqrt(({cov(y, y)} - ({explained})) * n / (n - 1)), 4) AS residual_std, n FROM s")
+
+
+@query("regress_each", "WITH s AS (SELECT count(*) AS n, " + ", ".join(
+    [f"avg({x}) AS m_{x}" for x in MEASURES] + [f"covar_pop({p}, {q}) AS c_{min(p, q)}_{max(p, q)}"
+                                                for i, p in enumerate(MEASURES) for q in MEASURES[i:]])
+       + " FROM lineitem)\n" + "\nUNION ALL\n".join(_regression_sql(y) for y in MEASURES))
 def regress_each(spark, sf):
-    """H5 over four measures (rows-only; the two-column case has an oracle)."""
-    r = H.regress_each(t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-    return r.select("target", "intercept", "r_squared", "residual_std", "n")
+    """H5 over four measures."""
+    r = H.regress_each(t(spark, sf, "lineitem"), MEASURES)
+    return round_cols(r.select("target", "intercept", "r_squared", "residual_std", "n"), {"intercept": 4, "residual_std": 4})
 
 
 @query("durbin_watson", """
@@ -137,10 +163,36 @@ def shapiro_wilk(spark, sf):
     return round_cols(T.shapiro_wilk(t(spark, sf, "part"), "p_retailprice"))
 
 
-@query("anderson_darling")
+def _log_cdf(z):
+    """log of the normal distribution function of a SQL expression: power series in
+    the middle, continued fraction in the tails."""
+    tail = f"list_reduce(list_prepend(abs({z}), list_reverse(range(1, 61))), lambda acc, k: abs({z}) + k / acc)"
+    log_tail = f"(-{z} * {z} / 2 - 0.5 * ln(2 * pi()) - ln({tail}))"
+    series = f"list_reduce(list_prepend(1.0::DOUBLE, list_reverse(range(1, 46))), lambda acc, k: 1.0 + {z} * {z} / (2 * k + 1) * acc)"
+    middle = f"ln(0.5 + exp(-{z} * {z} / 2 - 0.5 * ln(2 * pi())) * {z} * {series})"
+    return f"(CASE WHEN {z} < -3 THEN {log_tail} WHEN {z} > 3 THEN ln(1 - exp({log_tail})) ELSE {middle} END)"
+
+
+_Z = """z AS (SELECT (value - avg(value) OVER ()) / stddev_samp(value) OVER () AS z, row_number() OVER (ORDER BY value) AS i,
+  count(*) OVER () AS n FROM events WHERE value IS NOT NULL)"""
+
+
+@query("anderson_darling", f"""
+WITH {_Z}, l AS (SELECT i, n, {_log_cdf('z')} AS lo, {_log_cdf('(-z)')} AS hi FROM z),
+a AS (SELECT any_value(n) AS n, -any_value(n) - sum((2 * i - 1) * lo + (2 * (n - i) + 1) * hi) / any_value(n) AS a2 FROM l)
+SELECT 'value' AS column, n, round(a2, 4) AS statistic, round(0.787 / (1 + 4.0 / n - 25.0 / (n * n)), 6) AS critical_value,
+  a2 < 0.787 / (1 + 4.0 / n - 25.0 / (n * n)) AS is_normal FROM a WHERE n >= 8""")
 def anderson_darling(spark, sf):
-    """H9 on the event value (rows-only)."""
-    return round_cols(T.anderson_darling(t(spark, sf, "events"), "value"))
+    """H9 on the event value."""
+    return round_cols(T.anderson_darling(t(spark, sf, "events"), "value"), {"statistic": 4})
+
+
+@query("ks_statistic", f"""
+WITH {_Z}, p AS (SELECT i, n, exp({_log_cdf('z')}) AS p FROM z)
+SELECT 'value' AS column, any_value(n) AS n, round(max(greatest(i / n - p, p - (i - 1) / n)), 6) AS statistic FROM p""")
+def ks_statistic(spark, sf):
+    """The statistic (its p-value needs the Kolmogorov distribution)."""
+    return round_cols(T.ks_normal(t(spark, sf, "events"), "value").select("column", "n", "statistic"))
 
 
 @query("ks_normal")
