@@ -1,20 +1,22 @@
 """Operator 10: near duplicates by HyperMinHash.
 
-A document's set holds 64-bit hashes of its distinct word shingles.  The sketch is
-one hash pass: ``REGISTERS`` buckets, each storing the smallest value's
-leading-zero count and ``MANTISSA`` further bits in one byte.  Documents with equal sets are one
-class from then on.
+A document's set holds 64-bit hashes of its distinct word shingles.  A sketch has
+``REGISTERS`` one-byte registers, each with the leading-zero count and ``MANTISSA``
+further bits of the smallest value in a bucket.  Large sets fill all buckets of
+one hash function; smaller ones use several functions with fewer buckets, so that
+registers never stay empty or nearly so.  Documents with equal sets are one class
+from then on.
 
 Candidates are classes that share a band of ``BAND`` registers.  A band's bucket
 is never expanded to all pairs:
 
-1. every member is paired with the bucket's ``CENTRES`` members of smallest
-   random rank (a few pairs a row, whatever the bucket's size);
+1. every member is paired with the bucket's most popular member (one pair a row,
+   whatever the bucket's size);
 2. pairs that the collision-corrected estimate does not rule out are confirmed
    on the full sets, and the links give components;
-3. buckets that still hold several components compare their members' registers
-   in blocks; pairs of different components that pass the estimate are confirmed
-   too, and this repeats until no untested pair is left.
+3. buckets that still hold several components compare their members in blocks,
+   first registers alone to find the members with a possible partner in another
+   component, then those members' full sets; only confirmed links leave a task.
 
 So no pair that shares a band is lost unless its two documents are already
 connected.  Two documents at the threshold share none of the 42 bands with a
@@ -23,10 +25,9 @@ probability of about 1e-9.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +36,12 @@ from gridscope.llm.common import documents, stored
 REGISTERS = 256
 MANTISSA = 4
 BAND = 6
-CENTRES = 2
-#: Estimates this far below the threshold are ruled out (over five standard errors).
-SLACK = 0.15
-#: Members of a bucket compared at once.
-BLOCK = 512
+#: Standard errors below the threshold from which an estimate rules a pair out.
+ERRORS = 5
+#: Members of a bucket whose registers, and whose full sets, are compared at once.
+BLOCK, SET_BLOCK = 512, 128
+#: The lowest similarity that sketches are made for.
+LOWEST = 0.75
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -61,6 +63,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_SEEDS = _mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _M1)
+
+
 def shingle_hashes(text: str | None, words: int, known: _WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the word shingles (A-Z lowered)."""
     got = (text or "").encode("utf-8").translate(_LOWER).split()
@@ -75,17 +80,30 @@ def shingle_hashes(text: str | None, words: int, known: _WordHashes) -> np.ndarr
     return np.unique(out)
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """One byte per bucket: leading zeros (to 14) and mantissa of the smallest
-    value; 255 for an empty bucket."""
-    out = np.full(REGISTERS, 255, np.uint8)
-    if len(hashes):
-        bucket, first = np.unique(hashes >> np.uint64(56), return_index=True)
-        low = hashes[first] << np.uint64(8)
-        zeros = np.minimum(63 - np.floor(np.log2(low.astype(np.float64) + 1.0)).astype(np.int64), 14).clip(0)
-        after = (low << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
-        out[bucket.astype(np.int64)] = (zeros << MANTISSA | after.astype(np.int64)).astype(np.uint8)
-    return out
+def widths(n: int) -> list[int]:
+    """log2 of the buckets per hash function for a set of ``n``: about eight values
+    a bucket, so that hardly one stays empty.  A set near a step also takes the next
+    width, because that is the one of its largest possible near duplicate."""
+    own, above = (min(int(np.log2(REGISTERS)), max(0, int(np.log2(max(m / 8, 1))))) for m in (n, n / LOWEST))
+    return [own] if own == above else [own, above]
+
+
+def registers(hashes: np.ndarray, width: int) -> np.ndarray:
+    """``REGISTERS`` bytes: per hash function (``REGISTERS`` >> ``width`` of them) and
+    bucket the leading zeros (to 14) and mantissa of the smallest value; 255 for an
+    empty bucket."""
+    size, count = 1 << width, REGISTERS >> width
+    h = _mix(hashes[None, :] ^ _SEEDS[:count, None])
+    low = h << np.uint64(width)
+    if width:
+        least = np.full(REGISTERS, ~np.uint64(0), np.uint64)
+        bucket = (h >> np.uint64(64 - width)).astype(np.int64) + np.arange(count)[:, None] * size
+        np.minimum.at(least, bucket.ravel(), low.ravel())
+    else:
+        least = low.min(axis=1)
+    zeros = np.minimum(63 - np.floor(np.log2(least.astype(np.float64) + 1.0)).astype(np.int64), 14).clip(0)
+    after = (least << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
+    return np.where(least == ~np.uint64(0), 255, zeros << MANTISSA | after.astype(np.int64)).astype(np.uint8)
 
 
 #: Chance that registers of different values agree: leading zeros z with chance
@@ -100,8 +118,17 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - COLLISION) / (1 - COLLISION)
 
 
+def possible(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the estimate lies at most ``ERRORS`` standard errors below the threshold."""
+    some = np.maximum(((a != 255) | (b != 255)).sum(axis=-1), 1)
+    return estimate(a, b) >= threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / some)
+
+
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, x, cls, n, regs): cls identifies the set (16 bytes, null if empty)."""
+    """(doc_id, x, cls, n, sketches): cls identifies the set (16 bytes, null if
+    empty), sketches are (width, registers)."""
+    kind = pa.list_(pa.struct([("width", pa.int32()), ("regs", pa.binary())]))
+
     def run(batches):
         known = _WordHashes()
         for b in batches:
@@ -110,79 +137,81 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                 s = shingle_hashes(text.as_py(), words, known)
                 sizes.append(len(s))
                 cls.append(np.array([s.sum(), np.bitwise_xor.reduce(_mix(s + _M1))], "<u8").tobytes() if len(s) else None)
-                regs.append(registers(s).tobytes() if len(s) else None)
+                regs.append([{"width": w, "regs": registers(s, w).tobytes()} for w in widths(len(s))] if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls, pa.binary()),
-                                              pa.array(sizes, pa.int64()), pa.array(regs, pa.binary())],
-                                             names=["doc_id", "x", "cls", "n", "regs"])
+                                              pa.array(sizes, pa.int64()), pa.array(regs, kind)],
+                                             names=["doc_id", "x", "cls", "n", "sketches"])
 
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, x long, cls binary, n long, regs binary"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, x long, cls binary, n long, sketches array<struct<width:int,regs:binary>>"
     return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("x"), "text").mapInArrow(run, schema)
 
 
-def _bands(classes: DataFrame) -> DataFrame:
-    """(band, cls): 64-bit keys of every band with a filled register."""
+def _bands(sketches: DataFrame) -> DataFrame:
+    """(band, place, node, width): 64-bit keys of every band with a filled register
+    and the band's number."""
     count = REGISTERS // BAND
 
     def run(batches):
         for b in batches:
-            regs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, REGISTERS)[:, :count * BAND]
+            regs = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, REGISTERS)[:, :count * BAND]
             rows = regs.reshape(-1, count, BAND).astype(np.uint64)
-            key = np.broadcast_to(np.arange(count, dtype=np.uint64), rows.shape[:2]) + np.uint64(1)
+            key = b.column(1).to_numpy().astype(np.uint64)[:, None] * np.uint64(count) + np.arange(count, dtype=np.uint64) + np.uint64(1)
             for k in range(BAND):
                 key = _mix(key * _M1 + rows[:, :, k])
             row, band = np.nonzero((rows != 255).any(axis=2))
-            yield pa.RecordBatch.from_arrays([pa.array(key[row, band].astype(np.int64)), b.column(0).take(pa.array(row))],
-                                             names=["band", "cls"])
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(key[row, band].view(np.int64)), pa.array(band.astype(np.int32)),
+                                              b.column(0).take(at), b.column(1).take(at)], names=["band", "place", "node", "width"])
 
-    return classes.select("cls", "regs").mapInArrow(run, "band long, cls binary")
+    return sketches.select("node", "width", "regs").mapInArrow(run, "band long, place int, node long, width int")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) pairs whose estimate does not rule out the threshold."""
-    r = classes.select("cls", "regs")
-    both = (pairs.join(r.select(F.col("cls").alias("a"), F.col("regs").alias("ra")), "a")
-            .join(r.select(F.col("cls").alias("b"), F.col("regs").alias("rb")), "b").select("a", "b", "ra", "rb"))
+def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """The (a, b) of (a, b, width) whose estimate does not rule out the threshold."""
+    both = (pairs.join(sketches.select(F.col("node").alias("a"), "width", F.col("regs").alias("ra")), ["a", "width"])
+            .join(sketches.select(F.col("node").alias("b"), "width", F.col("regs").alias("rb")), ["b", "width"]).select("a", "b", "ra", "rb"))
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 ra, rb = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, REGISTERS) for k in (2, 3))
-                yield b.select(["a", "b"]).filter(pa.array(estimate(ra, rb) >= threshold - SLACK))
+                yield b.select(["a", "b"]).filter(pa.array(possible(ra, rb, threshold)))
+
+    return both.mapInArrow(run, "a long, b long")
+
 
-    return both.mapInArrow(run, "a binary, b binary")
+def linked(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two full sets have 100 * intersection >= percent * union."""
+    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union on the full sets."""
-    both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a")
-            .join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b").select("a", "b", "ha", "hb"))
+    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b").select("a", "b", "ha", "hb"))
 
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_py(), "<u8") for v in (x, y))
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            keep = [linked(x.as_py(), y.as_py(), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(cls, comp): the smallest class reachable over the links, by rounds of
+    """(node, comp): the smallest node reachable over the links, by rounds of
     taking the smallest label around and jumping to that label's label."""
     edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
-        near = edges.join(labels, edges["b"] == labels["cls"]).groupBy("a").agg(F.min("comp").alias("m"))
-        step = labels.join(near, labels["cls"] == near["a"]).select("cls", "comp", F.least("comp", "m").alias("to"))
-        up = labels.select(F.col("cls").alias("to"), F.col("comp").alias("top"))
-        step = step.join(up, "to", "left").select("cls", F.least("to", "top").alias("comp"), (F.least("to", "top") < F.col("comp")).alias("moved"))
+        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("m"))
+        step = labels.join(near, labels["node"] == near["a"]).select("node", "comp", F.least("comp", "m").alias("to"))
+        up = labels.select(F.col("node").alias("to"), F.col("comp").alias("top"))
+        step = step.join(up, "to", "left").select("node", F.least("to", "top").alias("comp"), (F.least("to", "top") < F.col("comp")).alias("moved"))
         step = stored(step, "labels")
         labels = step.drop("moved")
         if not step.filter("moved").head(1):
@@ -190,38 +219,105 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _star_pairs(buckets: DataFrame) -> DataFrame:
-    """Every member with the bucket's members of smallest random rank."""
-    centre = [F.min_by("cls", F.xxhash64("cls", "band", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)]
-    stars = buckets.groupBy("band").agg(*centre)
-    got = buckets.join(stars, "band").select("cls", F.explode(F.array(*[f"c{k}" for k in range(CENTRES)])).alias("c"))
-    return got.filter("cls != c").select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b")).distinct()
-
-
-def _block_pairs(open_buckets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs between components inside (band, cls, comp, main): blocks of
-    members outside the bucket's main component against blocks of all members."""
-    m = open_buckets.join(classes.select("cls", "regs"), "cls")
-    size = open_buckets.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    m = m.join(size, "band").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    rows = F.collect_list(F.struct("cls", "comp", "regs"))
+    """Every member with its bucket's most popular one: the member whose buckets
+    hold most members in all.  Edited copies leave buckets, their original stays."""
+    sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("k"))
+    popular = buckets.join(sizes, "band").groupBy("node").agg(F.sum("k").alias("pop"))
+    centres = buckets.join(popular, "node").groupBy("band").agg(F.max_by("node", F.struct("pop", F.negative("node"))).alias("c"))
+    got = buckets.join(centres, "band").filter("node != c")
+    return got.groupBy(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).agg(F.min("width").alias("width"))
+
+
+def _first_band(a: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The number of the first filled band in which ``a`` agrees with each row."""
+    count = REGISTERS // BAND
+    same = (rows[:, :count * BAND] == a[:count * BAND]).reshape(-1, count, BAND).all(axis=2)
+    return (same & (a[:count * BAND].reshape(count, BAND) != 255).any(axis=1)).argmax(axis=1)
+
+
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """(l, r): blocks of the members outside a bucket's main component, each with
+    every block of the bucket's members.  ``members`` has band, node, comp, main and
+    what is compared."""
+    size = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    m = members.join(size, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = F.collect_list(F.struct(*[c for c in members.columns if c != "main"]))
     left = m.filter("comp != main").groupBy("band", "block").agg(rows.alias("l"))
     right = m.groupBy("band", F.col("block").alias("other")).agg(rows.alias("r"))
-    both = left.join(right, "band").select("l", "r")
+    return left.join(right, "band").select("l", "r")
+
+
+def _candidates(one: pa.StructArray, two: pa.StructArray, threshold: float):
+    """For each row of ``one`` the rows of ``two`` in other components that the
+    estimate leaves possible; a pair counts in its first common band only."""
+    (na, ca, ra), (nb, cb, rb) = (
+        (x.field("node").to_numpy(), x.field("comp").to_numpy(),
+         np.frombuffer(b"".join(x.field("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)) for x in (one, two))
+    place = one.field("place")[0].as_py()
+    for k in range(len(na)):
+        at = np.flatnonzero(cb != ca[k])
+        at = at[possible(ra[k], rb[at], threshold)]
+        at = at[_first_band(ra[k], rb[at]) == place]
+        if len(at):
+            yield k, at
+
+
+def _open_members(mixed: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """The (band, node) that have a possible partner in another component."""
+    both = _blocks(mixed.join(sketches, ["node", "width"]).select("band", "place", "node", "comp", "main", "regs"), BLOCK)
 
     def run(batches):
         for b in batches:
-            for one, two in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ra, rb = (np.frombuffer(b"".join(x["regs"] for x in rows), np.uint8).reshape(-1, REGISTERS) for rows in (one, two))
-                out_a, out_b = [], []
-                for k, x in enumerate(one):
-                    for j in np.flatnonzero(estimate(ra[k], rb) >= threshold - SLACK):
-                        y = two[j]
-                        if x["comp"] != y["comp"]:
-                            out_a.append(min(x["cls"], y["cls"]))
-                            out_b.append(max(x["cls"], y["cls"]))
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
+            for one, two in zip(b.column(0), b.column(1), strict=True):
+                one, two = one.values, two.values
+                hits = [(k, at) for k, at in _candidates(one, two, threshold)]
+                nodes = np.unique(np.concatenate([np.zeros(0, np.int64), *(one.field("node").to_numpy()[[k]] for k, _ in hits),
+                                                  *(two.field("node").to_numpy()[at] for _, at in hits)]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), one.field("band")[0].as_py(), np.int64)), pa.array(nodes)],
+                                                 names=["band", "node"])
+
+    return both.mapInArrow(run, "band long, node long").distinct()
 
-    return both.mapInArrow(run, "a binary, b binary").distinct()
+
+def _block_links(members: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """(a, b): the links between components inside buckets, confirmed on full sets
+    where the blocks are compared."""
+    m = members.join(sketches, ["node", "width"]).join(sets, "node")
+    both = _blocks(m.select("band", "place", "node", "comp", "main", "regs", "hashes"), SET_BLOCK)
+
+    def run(batches):
+        for b in batches:
+            for one, two in zip(b.column(0), b.column(1), strict=True):
+                one, two = one.values, two.values
+                na, nb, ha, hb = one.field("node"), two.field("node"), one.field("hashes"), two.field("hashes")
+                out = [(na[k].as_py(), nb[int(j)].as_py()) for k, at in _candidates(one, two, threshold) for j in at
+                       if linked(ha[k].as_py(), hb[int(j)].as_py(), percent)]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())],
+                                                 names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
+    """(node, hashes): full sets of the wanted (node, doc_id, x), texts compressed
+    for their way through the shuffle."""
+    def pressed(batches):
+        press = zstandard.ZstdCompressor(3)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(
+                [press.compress((t.as_py() or "").encode("utf-8")) for t in b.column(2)], pa.binary())], names=["d", "h", "z"])
+
+    def full(batches):
+        known = _WordHashes()
+        for b in batches:
+            texts = (zstandard.decompress(z.as_py()).decode("utf-8") for z in b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(
+                [shingle_hashes(t, words, known).astype("<u8").tobytes() for t in texts], pa.binary())], names=["node", "hashes"])
+
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").mapInArrow(
+        pressed, f"d {dict(docs.dtypes)['doc_id']}, h long, z binary")
+    wanted = need.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("x") == F.col("h"))).select("node", "z")
+    return stored(wanted.mapInArrow(full, "node long, hashes binary"), "sets")
 
 
 def grouped(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -236,44 +332,34 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     threshold = percent / 100
     docs = docs.select("doc_id", "text")
     sketch = stored(_sketches(docs, words), "sketches")
-    classes = stored(sketch.filter("cls IS NOT NULL").groupBy("cls").agg(
-        F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "x")).alias("at"), F.first("regs").alias("regs")), "classes")
-    bands = _bands(classes)
-    often = bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    classes = sketch.filter("cls IS NOT NULL").groupBy("cls").agg(
+        F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "x")).alias("at"), F.first("sketches").alias("sketches"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    sketches = classes.select("node", F.inline("sketches"))
+    bands = _bands(sketches)
+    often = bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("band")
     buckets = stored(bands.join(often, "band"), "buckets")
     # Full sets of the classes that share a bucket with another one.
-    need = classes.join(buckets.select("cls").distinct(), "cls").select("cls", F.col("at.doc_id").alias("d"), F.col("at.x").alias("x"))
-    need = need.join(docs.withColumn("x2", F.xxhash64(F.coalesce("text", F.lit("")))),
-                     F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("x") == F.col("x2"))).select("cls", "text")
-
-    def full(batches):
-        known = _WordHashes()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(
-                [shingle_hashes(t.as_py(), words, known).astype("<u8").tobytes() for t in b.column(1)], pa.binary())], names=["cls", "hashes"])
-
-    sets = stored(need.mapInArrow(full, "cls binary, hashes binary").dropDuplicates(["cls"]), "sets")
-    tested = stored(_likely(_star_pairs(buckets), classes, threshold), "pairs")
-    links = stored(_confirmed(tested, sets, percent), "links")
-    while True:
-        comp = components(links)
-        # Buckets that still hold more than one component.
-        own = buckets.join(comp, "cls", "left").select("band", "cls", F.coalesce("comp", "cls").alias("comp"))
-        sizes = own.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
-        mixed = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", "k").alias("main")).filter("comps > 1")
-        mixed = stored(own.join(mixed.select("band", "main"), "band"), "open-buckets")
-        fresh = stored(_block_pairs(mixed, classes, threshold).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.head(1):
-            break
-        tested = tested.union(fresh)
-        more = stored(_confirmed(fresh, sets, percent), "links")
-        if not more.head(1):
-            break
-        links = links.union(more)
-    label = classes.select("cls", "doc_id").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    need = classes.join(buckets.select("node").distinct(), "node").select("node", "at.doc_id", "at.x")
+    if sketch.groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").head(1):
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    sets = _sets(docs, need, words)
+    stars = stored(_likely(_star_pairs(buckets), sketches, threshold), "pairs")
+    links = stored(_confirmed(stars, sets, percent), "links")
+    comp = components(links)
+    # Buckets that still hold more than one component.
+    own = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = own.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
+    mixed = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", "k").alias("main")).filter("comps > 1")
+    mixed = stored(own.join(mixed.select("band", "main"), "band"), "open-buckets")
+    members = stored(mixed.join(_open_members(mixed, sketches, threshold), ["band", "node"]), "open-members")
+    more = stored(_block_links(members, sketches, sets, threshold, percent), "links")
+    if more.head(1):
+        comp = components(links.union(more))
+    label = classes.select("cls", "node", "doc_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_class = label.select("cls", "comp").join(lowest, "comp").select("cls", "comp", "component_id")
-    out = sketch.drop("regs").join(by_class, "cls", "left")
+    out = sketch.drop("sketches").join(by_class, "cls", "left")
     return out.select("doc_id", "x", F.col("n").alias("n_shingles"), "comp",
                       F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -304,3 +390,29 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component and verdict of every document: 3-word shingles, similarity 0.85."""
     out = grouped(documents(spark, sf_dir, "doc_id", "text"), 3, 85)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+# All links by prefix filtering (two sets this similar share one of their rarest
+# shingles), then the closure; for tables of a few thousand documents.
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+g AS (SELECT DISTINCT r, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 1), lambda k: array_to_string(list_slice(ws, k, k + 2), ' ')) END) AS s FROM w),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+f AS (SELECT s, count(*) AS f FROM g GROUP BY s),
+o AS (SELECT g.r, g.s, n.n, row_number() OVER (PARTITION BY g.r ORDER BY f.f, g.s) AS pos FROM g JOIN f USING (s) JOIN n USING (r)),
+p AS (SELECT r, s, n FROM o WHERE pos <= n - ceil(0.85 * n) + 1),
+c AS (SELECT DISTINCT a.r AS a, b.r AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.s = b.s AND a.r < b.r
+      WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+i AS (SELECT a, b, any_value(na) AS na, any_value(nb) AS nb, count(*) AS k FROM c JOIN g x ON x.r = a JOIN g y ON y.r = b AND y.s = x.s GROUP BY a, b),
+l AS (SELECT a, b FROM i WHERE 100 * k >= 85 * (na + nb - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+m AS (SELECT t.a AS r, min(w.doc_id) AS low FROM t JOIN w ON w.r = t.b GROUP BY t.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.low, w.doc_id)) AS component_id,
+       w.doc_id = least(w.doc_id, coalesce(m.low, w.doc_id)) AS kept
+FROM w LEFT JOIN n USING (r) LEFT JOIN m USING (r)
+"""

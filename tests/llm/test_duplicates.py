@@ -138,7 +138,7 @@ def test_components_equal_brute_force(docs_of, sample, with_clashes, k, percent)
 
 def test_blocks_and_stars_with_small_blocks(docs_of, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
-    monkeypatch.setattr(minhash, "CENTRES", 1)
+    monkeypatch.setattr(minhash, "SET_BLOCK", 3)
     first = words(120, 5)
     rows = [(k, " ".join(edited(first, 3, k))) for k in range(60)]
     got = minhash.grouped(docs_of(rows), 3, 85).collect()
@@ -163,7 +163,14 @@ def test_estimate_is_near_the_truth():
     known = minhash._WordHashes()
     x, y = (minhash.shingle_hashes(" ".join(w), 3, known) for w in (a, b))
     true = len(set(x) & set(y)) / len(set(x) | set(y))
-    assert abs(float(minhash.estimate(minhash.registers(x), minhash.registers(y))) - true) < 0.1
+    for width in (0, 4, 8):
+        assert abs(float(minhash.estimate(minhash.registers(x, width), minhash.registers(y, width))) - true) < 0.1
+
+
+def test_near_duplicates_share_a_width():
+    for n in range(1, 5000):
+        for m in {n, int(n / 0.8), int(n / 0.85)}:
+            assert set(minhash.widths(n)) & set(minhash.widths(m))
 
 
 # --- substrings -----------------------------------------------------------
