@@ -84,6 +84,11 @@ def local_checkpoint_dir(master: str) -> str:
 _WRITTEN: list[str] = []
 
 
+def remember(path: str) -> None:
+    """Let ``release`` delete ``path`` too."""
+    _WRITTEN.append(path)
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet under the checkpoint folder (shared storage
     on a cluster) and read it back: lineage is cut, the result survives lost
@@ -94,7 +99,7 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/gridscope-{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    _WRITTEN.append(path)
+    remember(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
