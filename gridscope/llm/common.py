@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscope.session import ensure_checkpoint_dir, ship_package
+from gridscope.session import ensure_checkpoint_dir, remember, ship_package
 
 #: A word, as every contract of this subpackage has it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,10 +24,12 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the cluster's shared checkpoint folder and read
-    back: computed once, lineage cut, and it survives lost executors."""
+    back: computed once, lineage cut, and it survives lost executors.
+    ``session.release`` deletes it when results have been consumed."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    remember(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
