@@ -50,11 +50,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 _BYTES = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _A)
+_OTHERS = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1001)) * _A)
 
 
-def identifiers(raw: np.ndarray, q: int) -> np.ndarray:
-    """Identifiers of the q-byte strings at every place, by doubling."""
-    h, have = _BYTES[raw], 1
+def identifiers(raw: np.ndarray, q: int, start: np.ndarray = _BYTES) -> np.ndarray:
+    """Identifiers of the q-byte strings at every place, by doubling from those of
+    single bytes (``start``)."""
+    h, have = start[raw], 1
     while 2 * have <= q:
         h = _mix(h[:-have] * _A + h[have:])
         have *= 2
@@ -92,21 +94,18 @@ def _bodies(raw: bytes, starts, sizes, length: int) -> list[int]:
     return [xxhash.xxh3_64_intdigest(raw[a:a + n + length - 1]) - 2 ** 63 for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
-def merged(spans, length: int) -> list[tuple[int, int]]:
-    """Maximal byte runs covered by (first place, number of places)."""
-    out: list[list[int]] = []
-    for a, n in sorted(spans):
-        b = a + n + length - 1
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def merged(starts: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal byte runs (starts, ends) covered by (first place, number of places)."""
+    order = np.argsort(starts, kind="stable")
+    a = starts[order].astype(np.int64)
+    reach = np.maximum.accumulate(a + sizes[order] + length - 1)
+    new = np.concatenate([[0], np.flatnonzero(a[1:] > reach[:-1]) + 1])
+    return a[new], reach[np.append(new[1:], len(a)) - 1]
 
 
-def cut(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
+def cut(raw: bytes, starts, ends) -> bytes:
     kept, at = [], 0
-    for a, b in gone:
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         kept.append(raw[at:a])
         at = b
     return b"".join([*kept, raw[at:]])
@@ -194,18 +193,36 @@ def _refined(bodies: DataFrame, q: int, length: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[] for _ in names]
-            for rid, bucket, start, single, raw in zip(*(b.column(k).to_pylist() for k in ("rid", "bucket", "start", "single", "raw")), strict=True):
-                key, at, size, loop = runs(raw, q, length)
-                if last:  # one place each
-                    key, loop = np.repeat(key, size), np.repeat(loop, size)
-                    at, size = np.arange(len(key)), np.ones(len(key), np.int64)
-                n = len(key)
-                key = _mix(key.view(np.uint64) ^ _mix(np.full(n, bucket, np.int64).view(np.uint64) + _B)).view(np.int64)
-                for c, v in zip(out, ([rid] * n, [start] * n, key.tolist(), _bodies(raw, at, size, length), (at + start).tolist(),
-                                      size.tolist(), [single] * n, loop.tolist()), strict=True):
-                    c += v
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
+            if not b.num_rows:
+                continue
+            # All bodies of a batch at once; places whose string would leave its body are left out.
+            raws = b.column("raw").to_pylist()
+            raw = b"".join(raws)
+            buf = np.frombuffer(raw, np.uint8)
+            ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))
+            offsets = np.concatenate([[0], ends[:-1]])
+            sizes = ends - offsets - length + 1
+            owner = np.repeat(np.arange(len(raws)), sizes)
+            places = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + offsets[owner]
+            ids = identifiers(buf, q)
+            low = _smallest(ids, length - q + 1)[places]
+            if last:  # one place each
+                first, size = np.arange(len(places)), np.ones(len(places), np.int64)
+                loop = np.zeros(len(places), bool)
+                body = identifiers(buf, length, _OTHERS)[places].view(np.int64)
+            else:
+                same = (low[1:] == low[:-1]) & (owner[1:] == owner[:-1])
+                first = np.concatenate([[0], np.flatnonzero(~same) + 1])
+                size = np.diff(np.append(first, len(low)))
+                loop = np.logical_or.reduceat(np.append((ids[places[:-1]] == low[:-1]) & same, False), first)
+                body = np.asarray(_bodies(raw, places[first], size, length), np.int64)
+            owner, bucket = owner[first], b.column("bucket").to_numpy()
+            start = b.column("start").to_numpy()
+            key = _mix(low[first] ^ _mix(bucket[owner].view(np.uint64) + _B)).view(np.int64)
+            single = b.column("single").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(
+                (b.column("rid").to_numpy()[owner], start[owner], key, body, places[first] - offsets[owner] + start[owner],
+                 size, single[owner], loop), types, strict=True)], names=names)
 
     return bodies.mapInArrow(run, "rid long, parent int, bucket long, body long, start int, size int, single boolean, loop boolean")
 
@@ -275,19 +292,19 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, grams=GRAMS) -> Data
     whole, and lose every string of ``length`` bytes.  An empty table gives an
     empty one; other columns are not read."""
     rows, texts, spans = repeated_spans(docs, length, grams)
-    lists = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "size")).alias("s"))
+    lists = spans.groupBy("rid").agg(F.collect_list("start").alias("s"), F.collect_list("size").alias("n"))
 
     def run(batches):
         for b in batches:
             removed, shas = [], []
-            for z, s in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                gone = merged([(x["start"], x["size"]) for x in s], length)
-                removed.append([{"start": x, "end": y} for x, y in gone])
-                shas.append(hashlib.sha256(cut(zstandard.decompress(z.as_py()), gone)).digest())
+            for z, s, n in zip(b.column(1), b.column(2), b.column(3), strict=True):
+                starts, ends = merged(s.values.to_numpy(), n.values.to_numpy(), length)
+                removed.append([{"start": x, "end": y} for x, y in zip(starts.tolist(), ends.tolist(), strict=True)])
+                shas.append(hashlib.sha256(cut(zstandard.decompress(z.as_py()), starts, ends)).digest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shas, pa.binary()), pa.array(
                 removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["unit", "kept", "spans"])
 
-    done = texts.join(lists, "rid").select("rid", "z", "s").mapInArrow(
+    done = texts.join(lists, "rid").select("rid", "z", "s", "n").mapInArrow(
         run, "unit long, kept binary, spans array<struct<start:long,end:long>>")
     out = rows.join(done, "unit", "left")
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
