@@ -21,6 +21,7 @@ are exact.
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 
 import numpy as np
@@ -74,20 +75,23 @@ class Tree:
     """An M-tree over one part."""
 
     def __init__(self, uid, vec_id, v, top: float, page: int = PAGE, fan: int = FAN):
-        self.uid, self.vec_id, self.v, self.top, self.page, self.fan = uid, vec_id, v, top, page, fan
-        points = _lifted(v, top)
-        self.nodes: list[tuple] = []  # inner: (children, routing, to_parent, radius); leaf: (None, rows, to_routing)
+        self.uid, self.vec_id, self.top, self.page, self.fan = uid, vec_id, top, page, fan
+        # Sums of integer products are exact in floats below these bounds.
+        self.kind = np.float32 if top < 2 ** 24 else np.float64 if top < 2 ** 53 else np.int64
+        points, self.v = _lifted(v, top), v.astype(self.kind)
+        # Inner node: (children, routing, to_parent, radius); leaf page: (None, rows, to_routing, vectors).
+        self.nodes: list[tuple] = []
         order = np.arange(len(v))
         self.route = points[0]
         self.root = self._build(points, order, self.route)
-        del points
+        del self.v
 
     def _build(self, points, rows, route) -> int:
         d = _far(points[rows], route)
         # Objects at one place (equal vectors) can't be split by distance.
         if len(rows) <= self.page or d.max() <= SLACK * (1 + self.top):
             by = np.argsort(d, kind="stable")
-            self.nodes.append((None, rows[by], d[by]))
+            self.nodes.append((None, rows[by], d[by], np.ascontiguousarray(self.v[rows[by]])))
             return len(self.nodes) - 1
         routes = [points[rows[int(d.argmax())]]]
         nearest = _far(points[rows], routes[0])
@@ -109,14 +113,17 @@ class Tree:
 
     def search(self, uid: int, v: np.ndarray, k: int, least: int | None) -> list[tuple[int, int, int]]:
         """The k best (score, vec_id, uid) of at least ``least``, the query's own row left out."""
-        q = np.append(v.astype(np.float64), 0.0)
+        q, own = np.append(v.astype(np.float64), 0.0), v.astype(self.kind)
         base = float(q @ q) + self.top
         scores, rows = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        def reach(score):
+
+        def reach(score) -> float:
             """The distance at which a score of ``score`` lies, widened a little."""
-            return np.sqrt(max(base - 2.0 * float(score), 0.0) + SLACK * (base + abs(float(score)))) + SLACK
+            score = float(score)
+            return math.sqrt(max(base - 2.0 * score, 0.0) + SLACK * (base + abs(score))) + SLACK
 
-        limit = np.inf if least is None else reach(least)
+        limit = math.inf if least is None else reach(least)
+        worst = -(2 ** 63) if least is None else least
         heap = [(0.0, 0, self.root, float(np.sqrt(((self.route - q) ** 2).sum())))]
         count = 0
         while heap:
@@ -125,16 +132,18 @@ class Tree:
                 break
             children, a, b, *more = self.nodes[node]
             if children is None:
-                i, j = np.searchsorted(b, (to_route - limit - SLACK, to_route + limit + SLACK)) if np.isfinite(limit) else (0, len(b))
-                some = a[i:j + 1] if np.isfinite(limit) else a
-                some = some[self.uid[some] != uid]
-                scores = np.concatenate([scores, self.v[some] @ v])
-                rows = np.concatenate([rows, some])
+                i, j = b.searchsorted((to_route - limit, to_route + limit)) if limit < math.inf else (0, len(b))
+                got = np.asarray(more[0][i:j + 1] @ own).astype(np.int64)
+                near = np.flatnonzero(got >= worst)
+                some = a[i:j + 1][near]
+                mine = self.uid[some] != uid
+                scores, rows = np.concatenate([scores, got[near][mine]]), np.concatenate([rows, some[mine]])
                 if len(rows) > k:
                     best = np.lexsort((self.uid[rows], self.vec_id[rows], -scores))[:k]
                     scores, rows = scores[best], rows[best]
-                if len(rows) == k:
-                    limit = min(limit, reach(scores.min()))
+                if len(rows) == k and (low_score := int(scores.min())) > worst:
+                    worst = low_score
+                    limit = min(limit, reach(worst))
                 continue
             radius = more[0]
             near = np.flatnonzero(np.abs(to_route - b) - radius <= limit)  # before any distance
@@ -256,3 +265,15 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of every 20th vector."""
     ship_package(spark)
     return top_k(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"), F.col("vec_id") % QUERY_EVERY == 0)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
