@@ -145,3 +145,34 @@ def clean(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures and verdict for every document."""
     return judged(documents(spark, sf_dir, "doc_id", "text"), with_text=False)
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, string_split(text, chr(10)) AS ls FROM d),
+base AS (
+  SELECT r, doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))::BIGINT
+           - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))))::BIGINT AS n_dup_lines FROM w),
+win AS (SELECT r, i, list_slice(ws, i, i + 2) AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY r),
+ln AS (SELECT r, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS lw, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT r, unnest(ls) AS x FROM w)),
+bad AS (
+  SELECT r, strlen(regexp_replace(x, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g')) AS size, n > 0 AND (
+    (n >= 3 AND 5 * len(regexp_extract_all(x, '[#*$%&|<>]')) >= 2 * n)
+    OR 3 * len(regexp_extract_all(x, '!!')) >= n
+    OR (n <= 30 AND regexp_matches(lower(x), 'BOILER'))
+    OR (n >= 8 AND len(regexp_extract_all(x, '\p{Lu}')) >= 20 AND len(regexp_extract_all(x, '\p{Lu}')) > 4 * len(regexp_extract_all(x, '\p{Ll}')))
+    OR (n >= 8 AND 5 * len(list_distinct(lw)) <= n)
+    OR (n <= 2 AND strlen(x) < 40 AND NOT regexp_matches(lw[-1], '[.!?:;"'')\]…”»]$'))) AS f FROM ln),
+loss AS (SELECT r, count(*) FILTER (WHERE f) AS n_failed_lines, coalesce(sum(size) FILTER (WHERE f), 0) AS lost, sum(size) AS total FROM bad GROUP BY r),
+j AS (
+  SELECT base.*, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, n_failed_lines::BIGINT AS n_failed_lines,
+         CASE WHEN total > 0 THEN lost::DOUBLE / total::DOUBLE ELSE 0.0 END AS lost_share
+  FROM base JOIN loss USING (r) LEFT JOIN rep USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_share <= 0.5 AS kept, n_failed_lines, lost_share FROM j
+""".replace("BOILER", "|".join(BOILERPLATE))

@@ -17,5 +17,8 @@ QUERIES = {
     "op9_substrings": substrings.op9_substrings,
 }
 ORACLES = {
+    "op10_near_duplicates": minhash.OP10_SQL,
+    "op3_quality_rules": quality.OP3_SQL,
+    "op7_top_k": topk.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
