@@ -53,12 +53,20 @@ class HistoryStore:
         ts = "upload_timestamp" if name == "analyses" else ("updated_at" if name == "system_config" else "timestamp")
         out.withColumn("day", F.to_date(ts)).write.mode("append").partitionBy("day").parquet(self.path(name))
 
+    def save_analyses(self, rows: list[dict]) -> None:
+        """A25 for many analyses at once: one append (one file set) for all of
+        ``rows`` (id, session_id, filename, file_type, analysis, insights, charts,
+        statistics)."""
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        text = lambda v: json.dumps(v, default=str)
+        data = [(r["id"], r["session_id"], r["filename"], r["file_type"], now, text(r["analysis"]), text(r["insights"]),
+                 text(r["charts"]), text(r["statistics"])) for r in rows]
+        self.append("analyses", self.spark.createDataFrame(data, SCHEMAS["analyses"]))
+
     def save_analysis(self, id_: int, session_id: str, filename: str, file_type: str, analysis: dict,
                       insights: list, charts: list, statistics: dict) -> None:
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
-        row = [(id_, session_id, filename, file_type, now, json.dumps(analysis, default=str),
-                json.dumps(insights, default=str), json.dumps(charts, default=str), json.dumps(statistics, default=str))]
-        self.append("analyses", self.spark.createDataFrame(row, SCHEMAS["analyses"]))
+        self.save_analyses([{"id": id_, "session_id": session_id, "filename": filename, "file_type": file_type,
+                             "analysis": analysis, "insights": insights, "charts": charts, "statistics": statistics}])
 
     def save_metrics(self, id_: int, analysis_id: int, processing_time: float, data_rows: int, data_columns: int,
                      charts_generated: int, insights_generated: int) -> None:

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from gridscope.operators import history as M
@@ -61,3 +63,18 @@ def test_watch_sheets(spark, tmpdir_fresh):
     got = {(r["Planilha"], r["Escola"]): r["Media"] for r in spark.sql("SELECT * FROM gs_watch_test").collect()}
     q.stop()
     assert got == {("a.csv", "X"): 8.0, ("a.csv", "Y"): 5.0, ("b.csv", "X"): 2.0}
+
+
+def test_many_analyses_are_one_append(spark, tmpdir_fresh):
+    from gridscope.operators.history import HistoryStore
+    store = HistoryStore(spark, tmpdir_fresh)
+    assert store.read("analyses").count() == 0
+    store.save_analyses([{"id": i, "session_id": "s", "filename": f"f{i}", "file_type": "csv", "analysis": {"n": i}, "insights": [],
+                          "charts": [], "statistics": {}} for i in range(5)])
+    assert sorted(r["id"] for r in store.read("analyses").collect()) == list(range(5))
+    files = [f for _, _, names in os.walk(store.path("analyses")) for f in names if f.endswith(".parquet")]
+    assert 1 <= len(files) <= spark.sparkContext.defaultParallelism
+    with open(os.path.join(store.path("system_logs")), "w") as f:  # not a table: an error, not an empty one
+        f.write("x")
+    with pytest.raises(Exception):
+        store.read("system_logs").count()
