@@ -4,8 +4,8 @@
    pre-tokens once and, per document, (pre-token number, frequency) pairs.
 2. The distinct pre-tokens of all blocks meet in one shuffle, and the pieces of
    each are counted once.
-3. The counts are joined to the blocks' dictionaries, gathered per block (as many
-   as the block has distinct pre-tokens) and joined to the block; a document's
+3. The counts go back to their blocks, packed (as many as the block has distinct
+   pre-tokens), and are joined to the block; a document's
    tokens are the sum of count times frequency.
 
 Only dictionaries are shuffled, not (document, pre-token) rows.
@@ -25,7 +25,9 @@ from gridscope.llm.common import documents, stored
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 #: Characters after which a block of documents is closed.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 32_000_000
+#: Counts that a task holds before it hands them on, packed per block.
+HELD = 1_000_000
 
 
 def _blocks(docs: DataFrame, name: str, block_chars: int) -> DataFrame:
@@ -70,23 +72,55 @@ def _blocks(docs: DataFrame, name: str, block_chars: int) -> DataFrame:
 
 
 def _piece_counts(pre: DataFrame, name: str) -> DataFrame:
-    """(block, code, pieces).  Equal pre-tokens stand next to each other in one
-    task (at most one row a block), so that each is counted once."""
+    """(block, part): compressed (code, pieces) arrays.  Equal pre-tokens stand next
+    to each other in one task (at most one row a block), so that each is counted
+    once."""
     def run(batches):
         tok, last, count = pretokens.tokenizer(name), None, 0
+        held: list[list[np.ndarray]] = [[], [], []]
+
+        def packed():
+            blocks, codes, pieces = (np.concatenate(h) for h in held)
+            for h in held:
+                h.clear()
+            order = np.lexsort((codes, blocks))
+            blocks, codes, pieces = blocks[order], codes[order], pieces[order]
+            cuts = np.flatnonzero(np.diff(blocks)) + 1
+            parts = [zstandard.compress(np.concatenate([np.diff(c, prepend=0), p]).astype("<u4").tobytes())
+                     for c, p in zip(np.split(codes, cuts), np.split(pieces, cuts), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(blocks[np.concatenate([[0], cuts])]), pa.array(parts, pa.binary())], names=["block", "part"])
+
         for b in batches:
             words = b.column(2).to_pylist()
             new = [w for w, v in zip(words, [last, *words], strict=False) if w != v]
             sizes = iter([len(e) for e in tok.encode_batch_fast(new, add_special_tokens=False)])
-            pieces = np.empty(len(words), np.int32)
+            pieces = np.empty(len(words), np.int64)
             for k, w in enumerate(words):
                 if w != last:
                     last, count = w, next(sizes)
                 pieces[k] = count
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pieces)], names=["block", "code", "pieces"])
+            if len(words):
+                for h, v in zip(held, (b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), pieces), strict=True):
+                    h.append(v)
+            if sum(map(len, held[0])) >= HELD:
+                yield packed()
+        if held[0]:
+            yield packed()
 
     together = pre.repartition("pretoken").sortWithinPartitions("pretoken")
-    return together.mapInArrow(run, "block long, code int, pieces int")
+    return together.mapInArrow(run, "block long, part binary")
+
+
+def _unpacked(parts: list[bytes]) -> np.ndarray:
+    """Pieces by code, from a block's (code steps, pieces) arrays."""
+    codes, pieces = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for p in parts:
+        raw = np.frombuffer(zstandard.decompress(p), "<u4").astype(np.int64)
+        codes.append(np.cumsum(raw[:len(raw) // 2]))
+        pieces.append(raw[len(raw) // 2:])
+    out = np.zeros(sum(map(len, codes)), np.int64)
+    out[np.concatenate(codes)] = np.concatenate(pieces)
+    return out
 
 
 def token_counts(docs: DataFrame, name: str = TOKENIZER, limit: int = LIMIT,
@@ -98,15 +132,13 @@ def token_counts(docs: DataFrame, name: str = TOKENIZER, limit: int = LIMIT,
     table gives an empty one; other columns are not read."""
     blocks = stored(_blocks(docs.select("doc_id", "text"), name, block_chars), "token-blocks")
     pre = blocks.select("block", F.posexplode("pretokens").alias("code", "pretoken"))
-    # One array of counts per block, in the order of its codes.
-    counts = (_piece_counts(pre, name).groupBy("block")
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "pieces"))), lambda x: x["pieces"]).alias("pieces")))
+    counts = _piece_counts(pre, name).groupBy("block").agg(F.collect_list("part").alias("parts"))
     both = blocks.select("block", "doc_id", "n_bytes", "pairs").join(counts, "block", "left")
 
     def run(batches):
         for b in batches:
-            for ids, sizes, pairs, pieces in zip(*(b.column(c) for c in ("doc_id", "n_bytes", "pairs", "pieces")), strict=True):
-                each = pieces.values.to_numpy().astype(np.int64) if pieces.is_valid else np.zeros(0, np.int64)
+            for ids, sizes, pairs, parts in zip(*(b.column(c) for c in ("doc_id", "n_bytes", "pairs", "parts")), strict=True):
+                each = _unpacked(parts.as_py() or [])
                 raw = np.frombuffer(zstandard.decompress(pairs.as_py()), "<u4").astype(np.int64)
                 n = len(ids)
                 ends = np.cumsum(raw[:n])
