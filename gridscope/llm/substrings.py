@@ -167,23 +167,26 @@ def _with_bodies(texts: DataFrame, q: int, length: int) -> DataFrame:
     return texts.mapInArrow(run, f"rid long, copies long, z binary, {_RUNS}")
 
 
-_WANTED = (("bucket", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("single", pa.bool_()))
-
-
 def _cut_bodies(rows: DataFrame, length: int) -> DataFrame:
     """(rid, z, wanted: structs of bucket, start, size, single) to one row a body."""
+    names = ["bucket", "start", "size", "single"]
+
     def run(batches):
         for b in batches:
-            for rid, z, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                raw = zstandard.decompress(z.as_py())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([rid] * len(wanted), pa.int64()), *(pa.array([w[k] for w in wanted], t) for k, t in _WANTED),
-                    pa.array([raw[w["start"]:w["start"] + w["size"] + length - 1] for w in wanted], pa.binary())],
-                    names=["rid", "bucket", "start", "size", "single", "raw"])
+            for rid, z, wanted in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                raw, wanted = zstandard.decompress(z.as_py()), wanted.values
+                starts, sizes = (wanted.field(k).to_numpy() for k in ("start", "size"))
+                cuts = [raw[a:a + n + length - 1] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(wanted), rid.as_py(), np.int64)), *(wanted.field(k) for k in names),
+                                                  pa.array(cuts, pa.binary())], names=["rid", *names, "raw"])
 
     return rows.mapInArrow(run, "rid long, bucket long, start int, size int, single boolean, raw binary")
 
 
+#: Bodies that a task refines at once.
+AT_ONCE = 2_000
+
+
 def _refined(bodies: DataFrame, q: int, length: int) -> DataFrame:
     """The runs inside each body for longer identifiers; ``parent`` is the body's
     place.  The old bucket is part of the new one: buckets are only split."""
@@ -192,10 +195,8 @@ def _refined(bodies: DataFrame, q: int, length: int) -> DataFrame:
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            # All bodies of a batch at once; places whose string would leave its body are left out.
+        for b in (big.slice(k, AT_ONCE) for big in batches for k in range(0, big.num_rows, AT_ONCE)):
+            # Many bodies at once; places whose string would leave its body are left out.
             raws = b.column("raw").to_pylist()
             raw = b"".join(raws)
             buf = np.frombuffer(raw, np.uint8)
