@@ -20,9 +20,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: chunks of lines that stand in an earlier document are cut out."""
+    """Operator 1: runs of lines that stand in an earlier document are cut out."""
     ship_package(spark)
-    return lines.dedup_lines(docs)
+    return lines.dedup_runs(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,16 @@
-"""Operator 1: line dedup over content-defined chunks of lines.
+"""Operator 1: line dedup.
 
 Native: DataFrame functions only.
 
-A text is split at ``\\n``.  A chunk starts wherever the rolling hash over the hashes
+``dedup_runs`` (the query and the pipeline) removes every repeated run of lines.  A
+text is split at ``\\n``; each place where ``MIN_LINES`` consecutive lines start is a
+key, so that a run of that many lines or more is found wherever it stands, at the
+ends of a text as well as between other lines.  Keys that occur more than once are
+compared byte by byte with their first occurrence (smallest doc_id, then text hash,
+then place); the lines of equal ones go.
+
+``dedup_lines`` removes content-defined chunks, and of a repeated run only the
+chunks that lie inside it.  A chunk starts wherever the rolling hash over the hashes
 of ``WINDOW`` lines is smaller than at both neighbouring lines, so boundaries
 depend on nearby lines only, survive insertions elsewhere, and lie two or more
 lines apart.  Chunks of at least ``MIN_LINES`` lines that occur more than once in the whole corpus are compared byte by byte
@@ -101,8 +109,71 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW,
     return keyed.select(*cols)
 
 
+def _starts(lines: Column, run: int) -> Column:
+    """array<struct<h, b>>: hash and bytes of the ``run`` lines from each line on;
+    null where all are blank."""
+    each = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.octet_length(x).alias("b"), (F.trim(x) != "").alias("s")))
+    return F.flatten(F.transform(F.array(each), lambda ls: F.transform(
+        F.slice(ls, 1, F.greatest(F.size(ls) - (run - 1), F.lit(0))), lambda _, i: F.when(
+            F.exists(F.slice(ls, i + 1, run), lambda x: x["s"]),
+            F.struct(F.xxhash64(*[F.get(ls, i + k)["h"] for k in range(run)]).alias("h"),
+                     sum((F.get(ls, i + k)["b"] for k in range(run)), F.lit(0)).alias("b"))))))
+
+
+def repeated_runs(docs: DataFrame, run: int = MIN_LINES) -> DataFrame:
+    """(_d, _x, places): per row key the lines (from 0) at which ``run`` lines start
+    that stand earlier in the corpus."""
+    keyed = _keyed(docs.select("doc_id", "text"))
+    lines, order = F.split("_text", "\n", -1), F.col("_row.doc_id").alias("_o")
+    slim = stored(keyed.select("_d", "_x", F.posexplode(_starts(lines, run)).alias("p", "c")).filter("c IS NOT NULL").select(
+        "_d", "_x", "p", "c.h", "c.b"), "line-places")
+    often = slim.groupBy("h", "b").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    hits = slim.join(often, ["h", "b"]).groupBy("_d", "_x").agg(F.collect_set("p").alias("places"))
+    # Lines of the possible repeats only.
+    bodies = keyed.select("_d", "_x", order, "_text").join(hits, ["_d", "_x"]).withColumn("_ls", lines)
+    body = F.transform(F.array("_ls"), lambda ls: F.transform("places", lambda p: F.struct(
+        p.alias("p"), F.array_join(F.slice(ls, p + 1, run), "\n").alias("body"),
+        F.xxhash64(*[F.xxhash64(F.get(ls, p + k)) for k in range(run)]).alias("h"))))
+    bodies = stored(bodies.select("_d", "_x", "_o", F.inline(F.flatten(body))).withColumn("b", F.octet_length("body") - (run - 1)), "line-bodies")
+    place = F.struct("_o", "_d", "_x", "p")
+    first = bodies.groupBy("h", "b").agg(F.min_by("body", place).alias("first_body"), F.min(place).alias("first"))
+    # Lines that overlap with their own first occurrence are part of it.
+    apart = ~((F.col("_d") == F.col("first._d")) & (F.col("_x") == F.col("first._x")) & (F.col("p") - F.col("first.p") < run))
+    same = bodies.join(first, ["h", "b"]).filter((F.col("body") == F.col("first_body")) & apart)
+    return same.groupBy("_d", "_x").agg(F.collect_set("p").alias("places"))
+
+
+def dedup_runs(docs: DataFrame, run: int = MIN_LINES, counts: bool = False) -> DataFrame:
+    """``docs`` without any run of ``run`` or more lines that stands earlier in the
+    corpus; all rows and columns stay (``counts`` adds n_removed_chunks, the stretches
+    of lines cut out, and n_removed_lines).
+
+    So every later exact copy of a text with that many lines is emptied, and one copy
+    of each line stays.  A null text stays null; runs of blank lines alone are no
+    repeats, but go when nothing else is left of a cut text.  Rows with equal id and
+    text count as one document: each copy keeps what the first keeps.  Runs repeated
+    inside one document stay at their first place.  An empty table gives an empty one.
+    Further columns are carried along, whatever their names."""
+    found = repeated_runs(docs, run)
+    gone = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (run - 1)))))
+    keyed = _keyed(docs).join(found.select("_d", "_x", gone.alias("_gone")), ["_d", "_x"], "left")
+    keyed = keyed.withColumn("_ls", F.when(F.col("_gone").isNotNull(), F.split("_text", "\n", -1)))
+    left = F.flatten(F.transform(F.array("_ls"), lambda ls: F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone")), lambda i: F.get(ls, i))))
+    keyed = keyed.withColumn("_left", left)
+    keyed = keyed.withColumn("_left", F.when(F.exists("_left", lambda x: F.trim(x) != ""), F.col("_left")).otherwise(
+        F.array().cast("array<string>")))
+    cut = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join("_left", "\n"))
+    cols = [cut.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    if counts:
+        stretches = F.size(F.array_except("_gone", F.transform("_gone", lambda i: i + 1)))
+        cols += [F.when(F.col("_gone").isNull(), 0).otherwise(stretches).cast("long").alias("n_removed_chunks"),
+                 F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_ls") - F.size("_left")).cast("long").alias("n_removed_lines")]
+    return keyed.select(*cols)
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the chunks that stand elsewhere before."""
-    out = dedup_lines(documents(spark, sf_dir, "doc_id", "text"), counts=True)
+    """Every document without the runs of lines that stand elsewhere before."""
+    out = dedup_runs(documents(spark, sf_dir, "doc_id", "text"), counts=True)
     return out.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes_left"),
                       "n_removed_chunks", "n_removed_lines", F.sha2(text_of(), 256).alias("kept_sha256"), "text")

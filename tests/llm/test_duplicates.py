@@ -74,6 +74,49 @@ def test_line_dedup_empty_and_null_ids(docs_of):
     assert {r.text for r in got if r.doc_id is None} == {body}
 
 
+def without_runs(rows, run=2):
+    """Lines left when every run of ``run`` lines that stands earlier is removed."""
+    keys = sorted({(d, t) for d, t in rows if t is not None},
+                  key=lambda r: (r[0], (xxhash.xxh64_intdigest(r[1].encode(), 42) + 2 ** 63) & M64))
+    first, out = {}, {}
+    for d, t in keys:
+        ls, gone = t.split("\n"), set()
+        for i in range(len(ls) - run + 1):
+            body = "\n".join(ls[i:i + run])
+            if any(x.strip(" ") for x in ls[i:i + run]):
+                f = first.setdefault(body, (d, t, i))
+                if f[:2] != (d, t) or i - f[2] >= run:
+                    gone.update(range(i, i + run))
+        left = [x for i, x in enumerate(ls) if i not in gone]
+        out[d, t] = "\n".join(left) if not gone or any(x.strip(" ") for x in left) else ""
+    return [(d, out.get((d, t))) for d, t in rows]
+
+
+def test_runs_equal_brute_force(docs_of, sample, with_clashes):
+    shared = ["\n".join(" ".join(words(6, 10 * s + k)) for k in range(9)) for s in range(4)]
+    rows = [(k, "\n".join([" ".join(words(5, 900 + k)), shared[k % 4], " ".join(words(5, 700 + k))])) for k in range(40)]
+    rows += [(100, None), (101, ""), (102, "\n\n\n\n\n\n"), (103, "one line"), (104, shared[0] + "\n" + shared[0]), (5, rows[5][1]),
+             (104, "other text"), (105, "z z\nz z\nz z"), (106, "y y\ny y\ny y\ny y\ny y"), (107, "a\n\n\n\n\nb")]
+    rows += [(1000 + r.doc_id, r.text) for r in sample.collect()]
+    df = with_clashes(docs_of(rows))
+    got = lines.dedup_runs(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(without_runs(rows), key=str)
+    assert lines.dedup_runs(docs_of([])).count() == 0
+
+
+def test_later_exact_copies_are_emptied(docs_of):
+    texts = ["\n".join(" ".join(words(4, 1000 * n + 100 * s + k)) for k in range(n)) for n in range(2, 14) for s in range(4)]
+    texts += ["heading\n", "a b\n\n\n\n\nc d"]
+    n = len(texts)
+    rows = [(k, t) for k, t in enumerate(texts + texts)] + [(2 * n, "one line"), (2 * n + 1, "one line")]
+    got = {r.doc_id: r for r in lines.dedup_runs(docs_of(rows), counts=True).collect()}
+    assert [got[k].text for k in range(n)] == texts
+    assert {got[n + k].text for k in range(n)} == {""}
+    assert all(got[n + k].n_removed_lines == len(t.split("\n")) for k, t in enumerate(texts))
+    assert got[2 * n + 1].text == "one line" and got[2 * n + 1].n_removed_chunks == 0
+
+
 # --- near duplicates ------------------------------------------------------
 
 
