@@ -117,6 +117,20 @@ def test_later_exact_copies_are_emptied(docs_of):
     assert got[2 * n + 1].text == "one line" and got[2 * n + 1].n_removed_chunks == 0
 
 
+def test_short_passages_between_other_lines_go(docs_of):
+    rows, left = [], {}
+    for n in range(2, 6):
+        for s in range(6):
+            passage = [" ".join(words(20, 1000 * n + 10 * s + k)) for k in range(n)]
+            for copy in range(3):
+                own = [" ".join(words(5, 100_000 + 9 * len(rows) + k)) for k in range(4)]
+                rows.append((len(rows), "\n".join(own[:2] + passage + own[2:])))
+                left[rows[-1][0]] = rows[-1][1] if copy == 0 else "\n".join(own)
+    got = lines.dedup_runs(docs_of(rows), counts=True).collect()
+    assert {r.doc_id: r.text for r in got} == left
+    assert sum(r.n_removed_chunks for r in got) == 48
+
+
 # --- near duplicates ------------------------------------------------------
 
 
