@@ -43,6 +43,32 @@ def test_kneser_ney_sums_to_one(docs_of):
     assert shares[:-1, 0].sum() + weights[0, 0] == pytest.approx(1.0)
 
 
+def test_no_gram_is_left_out(docs_of):
+    r = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    many = [" ".join("".join(w) for w in letters[r.integers(0, 26, (60_000, 6))]) for _ in range(8)]
+    rare = "quick brown foxes jump over lazy dogs"
+    docs = docs_of([(k, t, "hot") for k, t in enumerate(many)] + [(90, rare, "rare")])
+    model = language.train(docs.select("lang", "text"))
+    grams = {("   ".replace(" ", "\x02") + w + "\x03")[i:i + 4] for t in [*many, rare] for w in set(t.split()) for i in range(len(w) + 1)}
+    assert len(grams) > 400_000
+    assert len(model["orders"][3][0]) == len(grams)
+
+
+@pytest.mark.parametrize("block_chars", [1, 3_000, 16_000_000])
+def test_joined_scores_equal_the_whole_model(docs_of, sample, block_chars):
+    rows = [(r.doc_id, r.text, r.lang) for r in sample.collect()] + [(900, None, None), (901, "", None), (902, "12", "xx"), (903, "日本語 \U0001d400é", None)]
+    docs = docs_of(rows)
+    learnt = docs.filter("lang IS NOT NULL AND doc_id % 2 = 0").select("lang", "text")
+    model, (langs, orders) = language.train(learnt), language.tables(learnt)
+    assert model["langs"] == langs
+    want = dict(zip([x[0] for x in rows], language.entropies([x[1] for x in rows], model), strict=True))
+    got = language.scored(docs.select("doc_id", "text"), langs, orders, block_chars).collect()
+    assert sorted(x.doc_id for x in got) == sorted(want)
+    for x in got:
+        assert np.isnan(want[x.doc_id]).all() if x.h is None else np.allclose(x.h, want[x.doc_id], rtol=1e-12)
+
+
 SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType())])
 
 
