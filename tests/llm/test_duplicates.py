@@ -134,6 +134,11 @@ def test_short_passages_between_other_lines_go(docs_of):
 # --- near duplicates ------------------------------------------------------
 
 
+def test_percent_below_the_sketches_is_an_error(docs_of):
+    with pytest.raises(ValueError):
+        minhash.grouped(docs_of([(1, "a b c")]), 3, 74)
+
+
 def sets_of(rows, k):
     out = []
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
