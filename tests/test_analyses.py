@@ -2,7 +2,7 @@
 
 from gridscope.plans import analyses as P
 from gridscope.session import table
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_smart_analysis(spark):

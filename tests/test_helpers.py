@@ -6,7 +6,7 @@ from gridscope.operators import aggregates as A
 from gridscope.operators import charts as K
 from gridscope.operators import clean as B
 from gridscope.operators import timeseries as G
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_select_filters(spark):

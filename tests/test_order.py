@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridscope.operators import order as O
-from conftest import SF_MID
+from paths import SF_MID
 
 
 def _hot_frame(spark):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from gridscope.operators import aggregates as A
-from conftest import SF_MID
+from paths import SF_MID
 
 
 def _plan(df):
@@ -43,7 +43,7 @@ def test_value_counts_is_a_top_k_sort(spark):
 
 def test_no_cartesian_products(spark):
     """No registered query pairs up rows of two unbounded inputs."""
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     bad = []
     for name, q in sorted(E.queries().items()):
         plan = _plan(q(spark, SF_SMALL))

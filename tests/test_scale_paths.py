@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as E
 from gridscope.operators import order as O
 from tools.oracle_check import compare
-from conftest import SF_MID
+from paths import SF_MID
 
 NAMES = ["score_ranking", "robust_spread", "describe_numeric", "spearman_pairs", "kendall_pairs",
          "index_trend", "acf", "box_by_category", "mann_whitney_u", "hier_records"]

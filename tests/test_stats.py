@@ -13,7 +13,7 @@ from gridscope.operators import models as H
 from gridscope.operators import outliers as O
 from gridscope.operators import relations as R
 from gridscope.operators import stattests as T
-from conftest import SF_MID
+from paths import SF_MID
 
 
 def test_t_table_values():
