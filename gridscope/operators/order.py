@@ -4,14 +4,18 @@ Spark has no cheap global "row number": an un-partitioned window moves every
 row into a single task.  All order statistics here (running totals, positions,
 ranks, exact quantiles, neighbours) use one plan at every size:
 
-1. the needed columns are written once to shared storage and counted;
-2. they are dealt into range buckets on the *full* sort key (groups, then all
-   order columns), about ``ROWS_PER_BUCKET`` rows each, and stored with their
-   bucket number.  Spark samples the bounds; because the key has all order
-   columns, a frequent value is split on the rest of the key;
-3. each bucket is totalled (a tiny table: one row per bucket and group in it) and
+1. the needed columns are dealt into range buckets on the *full* sort key (groups,
+   then all order columns) and written once with their bucket number.  Spark
+   samples the bounds; because the key has all order columns, a frequent value is
+   split on the rest of the key.  The session's shuffle partitions bound the number
+   of buckets whatever the number of rows, and adaptive execution merges neighbouring
+   small ones up to its advisory size in bytes, so a bucket is sized by bytes;
+2. each bucket is totalled (a tiny table: one row per bucket and group in it) and
    the totals become running offsets;
-4. an ordered window inside ``(group, bucket)`` gives the rest.
+3. an ordered window inside ``(group, bucket)``, which sorts with spill, gives the rest.
+
+Neighbours across buckets come from an edge table: the last k rows of a bucket,
+joined to the buckets that need them by bucket number.
 
 Buckets are range buckets, so the order across buckets is known without any
 shuffle of raw rows into one place, and no group is collected.
@@ -27,19 +31,17 @@ from pyspark.sql import functions as F
 from gridscope.functions.columns import c
 from gridscope.session import materialize
 
-# Rows that one task orders.
-ROWS_PER_BUCKET = 250_000
-# Buckets at least, so that small inputs take the same plan as large ones.
-MIN_BUCKETS = 4
+# A fixed number of buckets instead of Spark's choice (tests make it large).
+BUCKETS: int | None = None
 
 
-def deal(df: DataFrame, keys: list[str], n_buckets: int | None = None, rows_per_bucket: int | None = None) -> DataFrame:
+def deal(df: DataFrame, keys: list[str], n_buckets: int | None = None) -> DataFrame:
     """``df``, stored in range buckets of ``keys``: column ``_gs_b`` numbers them in
     key order.  Rows with equal keys share a bucket."""
-    base = materialize(df, "order")
-    if n_buckets is None:
-        n_buckets = max(MIN_BUCKETS, -(-base.count() // (rows_per_bucket or ROWS_PER_BUCKET)))
-    return materialize(base.repartitionByRange(n_buckets, *[c(k) for k in keys]).withColumn("_gs_b", F.spark_partition_id()), "buckets")
+    n = n_buckets or BUCKETS
+    columns = [c(k) for k in keys]
+    ranged = df.repartitionByRange(n, *columns) if n else df.repartitionByRange(*columns)
+    return materialize(ranged.withColumn("_gs_b", F.spark_partition_id()), "buckets")
 
 
 def _attach(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,7 +54,7 @@ def _attach(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
 
 def cumulative(df: DataFrame, order: list[str], by: list[str] | None = None,
                weight: str | None = None, n_buckets: int | None = None,
-               out: str = "_cum", rows_per_bucket: int | None = None) -> DataFrame:
+               out: str = "_cum") -> DataFrame:
     """Running total of ``weight`` (1 per row when None) in the total order
     ``(by..., order...)``, restarting per ``by`` group.
 
@@ -60,7 +62,7 @@ def cumulative(df: DataFrame, order: list[str], by: list[str] | None = None,
     inside each group for the result to be deterministic."""
     by = list(by or [])
     w = c(weight) if weight else F.lit(1)
-    dealt = deal(df, by + list(order), n_buckets, rows_per_bucket)
+    dealt = deal(df, by + list(order), n_buckets)
     part = by + ["_gs_b"]
     totals = dealt.groupBy(*[c(k) for k in part]).agg(F.sum(w).alias("_gs_tot"))
     before = Window.partitionBy(*[c(b) for b in by]).orderBy("_gs_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,9 +74,9 @@ def cumulative(df: DataFrame, order: list[str], by: list[str] | None = None,
 
 
 def dense_position(df: DataFrame, order: list[str], by: list[str] | None = None,
-                   out: str = "pos", n_buckets: int | None = None, rows_per_bucket: int | None = None) -> DataFrame:
+                   out: str = "pos", n_buckets: int | None = None) -> DataFrame:
     """0-based position of every row in the order ``order`` (per ``by`` group)."""
-    return cumulative(df, order, by, None, n_buckets, out="_gs_c", rows_per_bucket=rows_per_bucket).withColumn(
+    return cumulative(df, order, by, None, n_buckets, out="_gs_c").withColumn(
         out, F.col("_gs_c") - 1).drop("_gs_c")
 
 
@@ -99,7 +101,7 @@ def average_ranks(df: DataFrame, value: str, by: list[str] | None = None,
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-              n_buckets: int | None = None, rows_per_bucket: int | None = None) -> DataFrame:
+              n_buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas ``quantile`` / ``quantile_cont``).
 
     Returns ``(by..., p, q)``.  Values are counted (map-side combined), and the
@@ -107,7 +109,7 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
     counts cover them.  Without groups an empty input gives NULLs."""
     by = list(by or [])
     keys = [c(b) for b in by]
-    cum = cumulative(value_counts_long(df, value, by), [value], by, "cnt", n_buckets, out="_cum", rows_per_bucket=rows_per_bucket)
+    cum = cumulative(value_counts_long(df, value, by), [value], by, "cnt", n_buckets, out="_cum")
     sizes = cum.groupBy(*keys).agg(F.max("_cum").alias("_n"))
     probes = sizes.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")).withColumn(
         "_h", (F.col("_n") - 1) * F.col("p")).withColumn("_lo", F.floor("_h"))
@@ -138,37 +140,58 @@ def quantile_columns(df: DataFrame, value: str, probs: dict[str, float],
     return long.agg(*aggs)
 
 
-def with_halo(df: DataFrame, order: list[str], width: int, n_buckets: int | None = None,
-              rows_per_bucket: int | None = None) -> DataFrame:
+def _bucket_starts(dealt: DataFrame) -> list[tuple[int, int, int]]:
+    """(bucket, rows, rows before it) of every bucket; as many as Spark has dealt, at
+    most the session's shuffle partitions."""
+    out, before = [], 0
+    for r in dealt.groupBy("_gs_b").agg(F.count(F.lit(1)).alias("n")).orderBy("_gs_b").collect():
+        out.append((r["_gs_b"], r["n"], before))
+        before += r["n"]
+    return out
+
+
+def _needs(starts: list[tuple[int, int, int]], width: int) -> list[tuple[int, int, int]]:
+    """(source bucket, bucket, first position) wherever a bucket needs rows of an
+    earlier one among the ``width`` before its first row."""
+    out = []
+    for i, (b, _, off) in enumerate(starts):
+        for src, n, at in reversed(starts[:i]):
+            if at + n <= off - width:
+                break
+            out.append((src, b, off - width))
+    return out
+
+
+def with_halo(df: DataFrame, order: list[str], width: int, n_buckets: int | None = None) -> DataFrame:
     """Rows in range buckets (``_gs_b``) with their 0-based position ``pos``; each bucket
     also gets the ``width`` rows before its first one, marked ``halo``.
 
-    Only the last ``width`` rows of a bucket are copied, so the copies are a fixed
-    number per bucket, and no join touches the other rows."""
-    dealt = deal(df, list(order), n_buckets, rows_per_bucket)
-    totals = dealt.groupBy("_gs_b").agg(F.count(F.lit(1)).alias("_gs_n"))
-    before = Window.orderBy("_gs_b").rowsBetween(Window.unboundedPreceding, -1)  # over bucket totals
-    starts = materialize(totals.select("_gs_b", "_gs_n", F.coalesce(F.sum("_gs_n").over(before), F.lit(0)).alias("_gs_off")), "starts")
+    The last ``width`` rows of each bucket are its edge; edges go to the later buckets
+    that start within ``width`` places, by bucket number.  ``width`` copies a bucket,
+    and no join touches the other rows."""
+    spark = df.sparkSession
+    dealt = deal(df, list(order), n_buckets)
+    starts = _bucket_starts(dealt)
+    at = F.broadcast(spark.createDataFrame(starts, "_gs_b int, _gs_n long, _gs_off long"))
     inside = Window.partitionBy("_gs_b").orderBy(*[c(o) for o in order])
-    rows = dealt.withColumn("_gs_r", F.row_number().over(inside)).join(starts, "_gs_b").withColumn(
+    rows = dealt.withColumn("_gs_r", F.row_number().over(inside)).join(at, "_gs_b").withColumn(
         "pos", F.col("_gs_off") + F.col("_gs_r") - 1)
     kept = [c(x) for x in df.columns]
     own = rows.select(*kept, "pos", "_gs_b", F.lit(False).alias("halo"))
-    if width <= 0:
+    needs = _needs(starts, width) if width > 0 else []
+    if not needs:
         return own
-    # A copied row goes to every bucket that starts at most ``width`` places later.
-    tails = rows.filter(F.col("_gs_r") > F.col("_gs_n") - width).select(
-        *kept, "pos", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + width)).alias("_gs_s"))
-    at = starts.filter("_gs_off > 0").select(F.col("_gs_off").alias("_gs_s"), "_gs_b")
-    halo = tails.join(at, "_gs_s").select(*kept, "pos", "_gs_b", F.lit(True).alias("halo"))
+    edges = rows.filter(F.col("_gs_r") > F.col("_gs_n") - width).select(*kept, "pos", F.col("_gs_b").alias("_gs_src"))
+    wanted = spark.createDataFrame(needs, "_gs_src int, _gs_b int, _gs_from long")
+    halo = edges.join(F.broadcast(wanted), "_gs_src").filter("pos >= _gs_from").select(
+        *kept, "pos", "_gs_b", F.lit(True).alias("halo"))
     return own.unionByName(halo)
 
 
-def with_lags(df: DataFrame, order: list[str], cols: list[str], lags: int = 1, n_buckets: int | None = None,
-              rows_per_bucket: int | None = None) -> DataFrame:
+def with_lags(df: DataFrame, order: list[str], cols: list[str], lags: int = 1, n_buckets: int | None = None) -> DataFrame:
     """Every row with its position ``pos`` and the values ``{col}_lag{k}`` of the k-th
     row before it (NULL where there is none), k = 1..``lags``; no self-join."""
-    rows = with_halo(df, order, lags, n_buckets, rows_per_bucket)
+    rows = with_halo(df, order, lags, n_buckets)
     inside = Window.partitionBy("_gs_b").orderBy("pos")
     got = rows.select("*", *[F.lag(c(x), k).over(inside).alias(f"{x}_lag{k}") for x in cols for k in range(1, lags + 1)])
     return got.filter("NOT halo").drop("halo", "_gs_b")

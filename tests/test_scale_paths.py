@@ -16,7 +16,7 @@ NAMES = ["score_ranking", "robust_spread", "describe_numeric", "spearman_pairs",
 def test_small_buckets_same_result(spark, monkeypatch, name):
     q = E.queries()[name]
     default = q(spark, SF_MID).toPandas()
-    monkeypatch.setattr(O, "ROWS_PER_BUCKET", 700)
+    monkeypatch.setattr(O, "BUCKETS", 40)
     forced = q(spark, SF_MID).toPandas()
     r = compare(forced, default)
     assert r is None or r.startswith("strict-diff"), f"{name}: {r}"
