@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from gridscope.llm import language, lines, minhash, mixing, packing, private, quality, substrings, tokens, topk
+from gridscope.llm import (
+    centroids, language, lines, merkle, minhash, mixing, packing, private, quality, substrings, tokens, topk, urls,
+)
 
 QUERIES = {
+    "op11_centroids": centroids.op11_centroids,
+    "op12_url_filters": urls.op12_url_filters,
+    "op13_merkle": merkle.op13_merkle,
     "op10_near_duplicates": minhash.op10_near_duplicates,
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_token_counts": tokens.op2_token_counts,
@@ -17,6 +22,9 @@ QUERIES = {
     "op9_substrings": substrings.op9_substrings,
 }
 ORACLES = {
+    "op11_centroids": centroids.OP11_SQL,
+    "op12_url_filters": urls.OP12_SQL,
+    "op13_merkle": merkle.OP13_SQL,
     "op10_near_duplicates": minhash.OP10_SQL,
     "op3_quality_rules": quality.OP3_SQL,
     "op7_top_k": topk.OP7_SQL,
