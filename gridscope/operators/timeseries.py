@@ -2,8 +2,7 @@
 
 Series order comes from a timestamp plus a tie-breaker column: Spark keeps no
 file order, so "consecutive rows" needs an explicit total order.  Positions
-come from ``order.dense_position`` (range buckets, no single-task window);
-lags are equi-joins on position.  Daily series are aggregated first; windows
+and lags come from range buckets (``order``), with no single-task window and no self-join.  Daily series are aggregated first; windows
 over days are fine because a calendar is small (36 500 rows per century).
 """
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from gridscope.functions import special
 from gridscope.functions.columns import c, epoch_micros, epoch_seconds, num, safe_corr
 from gridscope.operators.order import dense_position, with_halo, with_lags
+from gridscope.session import materialize
 
 DAY = 86_400.0
 
@@ -287,39 +287,117 @@ def _mackinnon_p(stat: float) -> float:
     return special.norm_cdf(sum(c * stat ** i for i, c in enumerate(coef)))
 
 
-def _bucket_gram(k_lags: int, size: int):
-    """Cross products of z = [1, x_{t-1}, d_{t-1..t-k}, d_t] over the rows of one
-    range bucket; the halo supplies the lags of its first rows."""
-    import pandas as pd
-    k = k_lags + 3
-
-    def gram(key, pdf):
-        pdf = pdf.sort_values("pos")
-        x, own = pdf["x"].to_numpy(float), ~pdf["halo"].to_numpy(bool)
-        acc, n = np.zeros((k, k)), 0
-        if len(x) >= k_lags + 2:
-            d = np.diff(x)
-            lags = np.lib.stride_tricks.sliding_window_view(d, k_lags + 1)[:, ::-1]  # d_t, d_{t-1}, ...
-            rows = np.flatnonzero(own[k_lags + 1:])
-            for part in np.array_split(rows, max(1, len(rows) * k // size)):
-                z = np.column_stack([np.ones(len(part)), x[k_lags + part], lags[part][:, 1:], lags[part][:, 0]])
-                acc += z.T @ z
-            n = len(rows)
-        return pd.DataFrame({"at": np.arange(k * k + 1), "g": np.append(acc.ravel(), float(n))})
-
-    return gram
-
-
-def adf_test(df: DataFrame, ts: str, tie: str, value: str, max_lag: int | None = None) -> DataFrame:
-    """Augmented Dickey-Fuller with a constant and the lag chosen by AIC.
-
-    Rows lie in range buckets in (ts, tie) order; each bucket has the K + 1 rows
-    before it (K = 12 (n/100)^(1/4), as the reference's library does), so the
-    cross-product matrix of the design over the rows with all K lags is summed
-    per bucket with numpy and added up by Spark ((K+3)^2 numbers).  The first
-    K + 1 rows, which only the shorter-lag fits use, are collected.  The AIC
-    search over 0..K lags and the final t statistic are driver-side algebra on
-    that matrix."""
+def _lag_sums(width: int):
+    """Sums over the rows of a partition, which come in order of (bucket, position): for
+    every lag h = 0..``width`` the products d_t d_{t-h} and x_{t-1} d_{t-h}, d being the
+    differences.  Rows marked ``halo`` only serve as predecessors; before the series'
+    second row a difference counts as 0.  One dot product per lag and batch; what is
+    held between batches is ``width`` numbers."""
+    import pyarrow as pa
+
+    def run(batches):
+        dd, xd = np.zeros(width + 1), np.zeros(width + 1)
+        bucket, last, before = None, None, np.zeros(width)
+        for b in batches:
+            at, x = b.column("_gs_b").to_numpy(), b.column("x").to_numpy()
+            own = ~b.column("halo").to_numpy(zero_copy_only=False)
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at)) + 1):
+                if not len(part):
+                    continue
+                if at[part[0]] != bucket:
+                    bucket, last, before = at[part[0]], None, np.zeros(width)
+                xs = x[part]
+                prev = np.concatenate([[0.0 if last is None else last], xs[:-1]])
+                d = xs - prev
+                if last is None:
+                    d[0] = 0.0
+                line = np.concatenate([before, d])
+                first = int(np.argmax(own[part])) if own[part].any() else len(part)  # halo rows come first
+                if first < len(part):
+                    mine, level = d[first:], prev[first:]
+                    for h in range(width + 1):
+                        shifted = line[width + first - h:len(line) - h]
+                        dd[h] += mine @ shifted
+                        xd[h] += level @ shifted
+                last, before = xs[-1], line[len(line) - width:]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1)), pa.array(dd), pa.array(xd)], names=["lag", "dd", "xd"])
+
+    return run
+
+
+class LagGrams:
+    """Cross products of [1, x_{t-1}, d_{t-1}, .., d_{t-p}, d_t] over t = p + 1 .. n - 1 for
+    any p up to ``width``, from lag sums over the whole series and its two ends.
+
+    The product of two lagged differences depends on their distance alone, but for
+    the few terms at either end of the series; products with the constant telescope."""
+
+    def __init__(self, n: int, total: float, squares: float, dd, xd, head, tail):
+        self.n, self.total, self.squares = n, total, squares
+        self.dd, self.xd, self.head, self.tail = dd, xd, np.asarray(head), np.asarray(tail)
+        self.first, self.final = np.diff(self.head), np.diff(self.tail)  # d_1 .., .. d_{n-1}
+
+    def gram(self, p: int) -> np.ndarray:
+        g = np.zeros((p + 3, p + 3))
+        g[0, 0] = self.n - 1 - p
+        g[0, 1] = self.total - self.head[:p].sum() - self.tail[-1]
+        g[1, 1] = self.squares - self.head[:p] @ self.head[:p] - self.tail[-1] ** 2
+        lags = np.empty((p + 1, p + 1))
+        newest = self.final[::-1]
+        for h in range(p + 1):
+            # Row t has d_{t-i} d_{t-i-h}: u = t - i runs from p + 1 - i to n - 1 - i, so the
+            # terms u = h + 1 .. p - i at the beginning and the last i at the end are taken off.
+            begin = np.concatenate([[0.0], np.cumsum(self.first[h:p] * self.first[:p - h])])
+            end = np.concatenate([[0.0], np.cumsum(newest[:p - h] * newest[h:p])])
+            i = np.arange(p - h + 1)
+            lags[i, i + h] = lags[i + h, i] = self.dd[h] - begin[p - h - i] - end[i]
+        level = [self.xd[j] - self.head[j:p] @ self.first[:p - j] for j in range(p + 1)]  # but for t = j + 1 .. p
+        constant = [self.tail[-1 - j] - self.head[p - j] for j in range(p + 1)]
+        order = [*range(1, p + 1), 0]  # d_t stands last
+        g[2:, 2:] = lags[np.ix_(order, order)]
+        g[0, 2:], g[1, 2:] = np.take(constant, order), np.take(level, order)
+        return np.triu(g) + np.triu(g, 1).T
+
+
+def lag_grams(base: DataFrame, order: list[str], n: int, width: int) -> LagGrams:
+    """``LagGrams`` of the column ``x`` in ``order``.  What tasks hand on grows with their
+    number and ``width`` alone; 2 (``width`` + 1) values of the series are collected."""
+    mean = base.agg(F.avg("x")).first()[0]
+    rows = with_halo(base.withColumn("x", F.col("x") - F.lit(mean)), order, width + 1).select("_gs_b", "pos", "halo", "x")
+    rows = materialize(rows, "lagged")
+    dealt = rows.repartition("_gs_b").sortWithinPartitions("_gs_b", "pos")
+    sums = dealt.mapInArrow(_lag_sums(width), "lag long, dd double, xd double").groupBy("lag").agg(
+        F.sum("dd").alias("dd"), F.sum("xd").alias("xd")).orderBy("lag").collect()
+    own = rows.filter("NOT halo")
+    st = own.agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")).first()
+    ends = own.filter((F.col("pos") <= width) | (F.col("pos") >= n - 1 - width)).select("pos", "x").collect()
+    by = {r["pos"]: r["x"] for r in ends}
+    return LagGrams(n, st["s"], st["q"], [r["dd"] for r in sums], [r["xd"] for r in sums],
+                    [by[k] for k in range(min(width + 1, n))], [by[k] for k in range(max(0, n - 1 - width), n)])
+
+
+def _nested_residuals(g: np.ndarray) -> np.ndarray:
+    """Residual sums of squares of regressing the last column on the first k, for every
+    k: one triangular factor of the whole matrix holds them all."""
+    k = len(g) - 1
+    scale = np.sqrt(np.diag(g))
+    if not scale.all():
+        raise np.linalg.LinAlgError("a column without variation")
+    low = np.linalg.cholesky(g[:k, :k] / np.outer(scale[:k], scale[:k]))
+    part = np.linalg.solve(low, g[:k, k] / scale[:k])
+    return g[k, k] - np.cumsum(part * part)
+
+
+def adf_test(df: DataFrame, ts: str, tie: str, value: str, max_lag: int | None = None, search: bool = True) -> DataFrame:
+    """Augmented Dickey-Fuller with a constant and the lag chosen by AIC up to
+    ``max_lag`` (by default K = 12 (n/100)^(1/4), as the reference's library does), or
+    exactly ``max_lag`` lags without ``search``.
+
+    Rows lie in range buckets in (ts, tie) order, each with the K + 1 rows before it.
+    Per lag two sums of products are added up over all rows; these and the ends of the
+    series give the cross products of every regression (``LagGrams``), and one triangular
+    factor gives the residuals of all nested ones.  Fewer than four rows give no
+    result, a series without variation or with too few rows for its lags NULLs."""
     spark = df.sparkSession
     schema = ("column string, adf_statistic double, p_value double, used_lag int, nobs long, "
               "crit_1 double, crit_5 double, crit_10 double, is_stationary boolean")
@@ -329,52 +407,25 @@ def adf_test(df: DataFrame, ts: str, tie: str, value: str, max_lag: int | None =
         return spark.createDataFrame([], schema)
     K = int(math.ceil(12.0 * (n / 100.0) ** 0.25)) if max_lag is None else max_lag
     K = max(0, min(n // 2 - 2, K))
-    rows = with_halo(base, ["_ts", "_tie"], K + 1).select("_gs_b", "pos", "halo", "x")
-    k = K + 3
-    sums = rows.groupBy("_gs_b").applyInPandas(_bucket_gram(K, 4_000_000), "at long, g double").groupBy("at").agg(F.sum("g").alias("g"))
-    flat = np.zeros(k * k + 1)
-    for r in sums.collect():
-        flat[r["at"]] = r["g"]
-    G, n_full = flat[:-1].reshape(k, k), int(flat[-1])
-    first = [r["x"] for r in rows.filter(~F.col("halo") & (F.col("pos") <= K)).orderBy("pos").select("x").collect()]
-    steps = np.diff(first)
-    # Row t (from 1) has t - 1 earlier differences.
-    edge = [{"lvl": first[t - 1], "d": steps[t - 1], "lags": steps[:t - 1][::-1]} for t in range(1, len(first))]
-
-    def ols(Gm, cols, nobs):
-        xx = Gm[np.ix_(cols, cols)]
-        xy = Gm[cols, k - 1]
-        beta = np.linalg.solve(xx, xy)
-        ssr = float(Gm[k - 1, k - 1] - beta @ xy)
-        return beta, max(ssr, 1e-300), xx
-
-    # AIC search on the common sample (rows with all K lags)
-    best, best_aic = 0, float("inf")
-    for lag in range(0, K + 1):
-        cols = [0, 1] + list(range(2, 2 + lag))
-        try:
-            _, ssr, _ = ols(G, cols, n_full)
-        except np.linalg.LinAlgError:
-            continue
-        aic = n_full * (math.log(2 * math.pi) + math.log(ssr / n_full) + 1) + 2 * len(cols)
-        if aic < best_aic - 1e-12:
-            best, best_aic = lag, aic
-    # final fit with the chosen lag on its own (longer) sample: add the edge rows that have it
-    Gp = G.copy()
-    nobs = n_full
-    for r in edge:
-        lv = list(r["lags"])
-        if len(lv) >= best:
-            z = np.zeros(k)
-            z[0], z[1], z[k - 1] = 1.0, r["lvl"], r["d"]
-            z[2:2 + best] = lv[:best]
-            Gp += np.outer(z, z)
-            nobs += 1
-    cols = [0, 1] + list(range(2, 2 + best))
-    beta, ssr, xx = ols(Gp, cols, nobs)
-    s2 = ssr / (nobs - len(cols))
-    se = math.sqrt(s2 * np.linalg.inv(xx)[1, 1])
-    stat = float(beta[1] / se)
+    none = spark.createDataFrame([(value, None, None, None, n, None, None, None, None)], schema)
+    grams = lag_grams(base, ["_ts", "_tie"], n, K)
+    try:
+        best = K
+        if search:
+            ssr = np.maximum(_nested_residuals(grams.gram(K))[1:], 1e-300)
+            rows = n - 1 - K
+            aic = rows * (math.log(2 * math.pi) + np.log(ssr / rows) + 1) + 2 * (np.arange(K + 1) + 2)
+            best = int(np.argmin(aic))
+        g = grams.gram(best)
+        k = best + 2
+        beta = np.linalg.solve(g[:k, :k], g[:k, k])
+        nobs = n - 1 - best
+        s2 = max(float(g[k, k] - beta @ g[:k, k]), 1e-300) / (nobs - k)
+        stat = float(beta[1] / math.sqrt(s2 * np.linalg.inv(g[:k, :k])[1, 1]))
+    except (np.linalg.LinAlgError, ZeroDivisionError, ValueError):
+        return none
+    if not math.isfinite(stat):
+        return none
     pval = _mackinnon_p(stat)
     crit = {key: sum(cc / nobs ** i for i, cc in enumerate(v)) for key, v in ADF_CRIT.items()}
     return spark.createDataFrame([(value, stat, pval, best, nobs, crit["1%"], crit["5%"], crit["10%"], pval < 0.05)],

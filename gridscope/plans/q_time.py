@@ -160,6 +160,24 @@ def adf_no_lags(spark, sf):
     return r.select("column", F.round("adf_statistic", 4).alias("adf_statistic"), "used_lag", "nobs")
 
 
+@query("adf_two_lags", """
+WITH o AS (SELECT value AS x, lag(value) OVER w AS l, value - lag(value) OVER w AS d, row_number() OVER w AS r
+           FROM events WHERE ts IS NOT NULL AND value IS NOT NULL WINDOW w AS (ORDER BY ts, event_id)),
+z AS (SELECT d AS y, l AS a, lag(d, 1) OVER (ORDER BY r) AS b, lag(d, 2) OVER (ORDER BY r) AS c FROM o),
+f AS (SELECT y, a, b, c FROM z WHERE c IS NOT NULL),
+-- The other regressors are taken out of y and of the level by Gram-Schmidt steps (each with a constant).
+s1 AS (SELECT regr_slope(a, c) AS ac, regr_slope(b, c) AS bc, regr_slope(y, c) AS yc FROM f),
+g AS (SELECT a - ac * c AS a, b - bc * c AS b, y - yc * c AS y FROM f, s1),
+s2 AS (SELECT regr_slope(a, b) AS ab, regr_slope(y, b) AS yb FROM g),
+h AS (SELECT a - ab * b AS a, y - yb * b AS y FROM g, s2),
+t AS (SELECT regr_slope(y, a) AS beta, regr_syy(y, a) - regr_slope(y, a) * regr_sxy(y, a) AS ssr, regr_sxx(y, a) AS sxx, count(*) AS n FROM h)
+SELECT 'value' AS column, round(beta / sqrt(ssr / (n - 4) / sxx), 4) AS adf_statistic, 2::INTEGER AS used_lag, n AS nobs FROM t""")
+def adf_two_lags(spark, sf):
+    """G9 with two lagged differences: the t statistic of the level."""
+    r = G.adf_test(t(spark, sf, "events"), "ts", "event_id", "value", max_lag=2, search=False)
+    return r.select("column", F.round("adf_statistic", 4).alias("adf_statistic"), "used_lag", "nobs")
+
+
 @query("sort_by_time", "SELECT event_id, event_type FROM events")
 def sort_by_time(spark, sf):
     """All events in time order."""

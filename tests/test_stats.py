@@ -145,6 +145,31 @@ def test_adf_matches_direct_regression(spark):
     assert 0 <= r["p_value"] <= 1 and r["crit_1"] < r["crit_5"] < r["crit_10"]
 
 
+@pytest.mark.parametrize("buckets", [None, 25])
+def test_lag_grams_match_the_design_matrix(spark, monkeypatch, buckets):
+    """Cross products of every lag order, also where halos reach over several buckets."""
+    from gridscope.operators import order, timeseries as G
+    monkeypatch.setattr(order, "BUCKETS", buckets)
+    rng = np.random.default_rng(4)
+    n, width = 120, 9
+    x = np.cumsum(rng.normal(size=n)) + 40
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "t long, x double").repartition(5)
+    got = G.lag_grams(df, ["t"], n, width)
+    x = x - x.mean()
+    d = np.diff(x)
+    for p in (0, 1, 4, width):
+        z = np.array([[1.0, x[t - 1], *[d[t - 1 - j] for j in range(1, p + 1)], d[t - 1]] for t in range(p + 1, n)])
+        assert np.allclose(got.gram(p), z.T @ z, rtol=1e-9, atol=1e-9)
+
+
+def test_adf_of_short_and_constant_series(spark):
+    from gridscope.operators import timeseries as G
+    rows = lambda xs: spark.createDataFrame([(i, i, float(v)) for i, v in enumerate(xs)], "ts long, id long, v double")
+    assert G.adf_test(rows([1, 2, 3]), "ts", "id", "v").count() == 0
+    r = G.adf_test(rows([5] * 40), "ts", "id", "v").first()
+    assert r["adf_statistic"] is None and r["nobs"] == 40
+
+
 def test_similar_columns_groups_twins(spark):
     rng = np.random.default_rng(3)
     a, b, c = rng.normal(size=(3, 300))
