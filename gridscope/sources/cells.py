@@ -1,31 +1,33 @@
 """Spreadsheet files as a long cell table.
 
-Uploaded sheets are small, numerous and differently shaped, and their meaning
-depends on row position, which a DataFrame does not keep.  Each file is parsed
-inside one task (``binaryFile`` + ``mapInPandas``; stdlib ``csv`` / ``zipfile``
-+ XML) into rows ``(file, sheet, pos, col, header, value)``.  Every later step
+Uploaded sheets are numerous and differently shaped, and their meaning
+depends on row position, which a DataFrame does not keep.  Files become rows
+``(file, sheet, pos, col, header, value)``: delimited ones of any size by Spark's text
+scan in splits (``split``), workbooks by one task each (stdlib ``zipfile`` + XML).  Every later step
 is a group-by or window partitioned by (file, sheet), so thousands of sheets of
 any shape go through one job.
 """
 
 from __future__ import annotations
 
-import csv
 import io
 import os
 import re
 import zipfile
+from functools import reduce
 from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridscope.session import materialize
+from gridscope.sources.split import SEPARATORS, records  # noqa: F401 - SEPARATORS is part of this module's interface
+
 CELL_SCHEMA = "file string, sheet string, sheet_index int, pos int, col int, header string, value string"
 
-# The order in which encodings and separators are tried
+# The order in which encodings are tried
 ENCODINGS = ["utf-8", "latin-1", "cp1252", "iso-8859-1"]
-SEPARATORS = [",", ";", "\t", "|"]
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -53,37 +55,6 @@ def pandas_headers(raw: list[str]) -> list[str]:
     return out
 
 
-def decode_text(data: bytes) -> tuple[str, str]:
-    """First encoding of the fixed list that decodes the bytes (BOM removed)."""
-    for enc in ENCODINGS:
-        try:
-            text = data.decode(enc)
-            return (text[1:] if text.startswith("﻿") else text), enc
-        except UnicodeDecodeError:
-            continue
-    return data.decode("latin-1"), "latin-1"
-
-
-def sniff_separator(text: str) -> str:
-    """First separator of the fixed list that splits the header into more
-    than one column while at least one data row exists; else ','."""
-    lines = text.splitlines()
-    if len(lines) >= 2:
-        head = lines[0]
-        for sep in SEPARATORS:
-            row = next(csv.reader([head], delimiter=sep), [])
-            if len(row) > 1:
-                return sep
-    return ","
-
-
-def csv_rows(data: bytes, sep: str | None = None) -> list[list[str]]:
-    """Rows of a delimited file; wholly blank lines are skipped (as pandas does)."""
-    text, _ = decode_text(data)
-    sep = sep or sniff_separator(text)
-    return [r for r in csv.reader(io.StringIO(text), delimiter=sep) if r != []]
-
-
 def _col_index(ref: str) -> int:
     letters = re.match(r"[A-Z]+", ref).group(0)
     n = 0
@@ -149,41 +120,50 @@ def rows_to_cells(file: str, sheet: str, sheet_index: int, rows: list[list]) ->
     return out
 
 
-def _parse_files(it):
+def _parse_workbooks(it):
     cols = ["file", "sheet", "sheet_index", "pos", "col", "header", "value"]
     for pdf in it:
         recs = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            name = os.path.basename(path)
-            ext = name.rsplit(".", 1)[-1].lower() if "." in name else ""
-            data = bytes(content)
-            if ext == "xlsx" or data[:2] == b"PK":
-                for si, (sheet, rows) in enumerate(xlsx_sheets(data)):
-                    recs.extend(rows_to_cells(name, sheet, si, rows))
-            else:
-                recs.extend(rows_to_cells(name, name, 0, csv_rows(data)))
+            for si, (sheet, rows) in enumerate(xlsx_sheets(bytes(content))):
+                recs.extend(rows_to_cells(os.path.basename(path), sheet, si, rows))
         yield pd.DataFrame(recs, columns=cols).astype({"sheet_index": "int32", "pos": "int32", "col": "int32"})
 
 
-# A spreadsheet is parsed whole inside one task; larger delimited files belong
-# to Spark's splittable CSV reader (readers.read_csv + scores.sheet_scores).
-MAX_SHEET_BYTES = 256 * 1024 * 1024
+def _name_columns(it):
+    """One row per file: the header's fields, filled up to the file's widest row, as names."""
+    for pdf in it:
+        names = [pandas_headers([*raw, *[""] * (width - len(raw))]) for raw, width in zip(pdf["raw"], pdf["width"], strict=True)]
+        yield pd.DataFrame({"path": pdf["path"], "names": names})
+
+
+def _glob(extension: str) -> str:
+    return "*." + "".join(f"[{x.lower()}{x.upper()}]" for x in extension)
+
+
+def delimited_cells(spark: SparkSession, path: str, extension: str = "csv") -> DataFrame:
+    """Cells of delimited files of any size: rows come from Spark's text scan with their
+    places (``split.records``), and a file's header, one row, names the columns."""
+    rows = materialize(records(spark, path, _glob(extension)), "records")
+    about = rows.groupBy("path").agg(F.max(F.size("fields")).alias("width"), F.min_by("fields", "rec").alias("raw"))
+    heads = materialize(about.select("path", "width", "raw").mapInPandas(_name_columns, "path string, names array<string>"), "heads")
+    body = rows.filter("rec > 0").join(heads, "path")
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    cells = body.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file"), (F.col("rec") - 1).cast("int").alias("pos"), "fields", F.posexplode("names").alias("col", "header"))
+    value = F.get("fields", F.col("col"))
+    return cells.select("file", F.col("file").alias("sheet"), F.lit(0).alias("sheet_index"), "pos", "col", "header",
+                        F.when(value != "", value).alias("value"))
 
 
-def read_cells(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("csv", "xlsx"),
-               max_bytes: int = MAX_SHEET_BYTES) -> DataFrame:
+def read_cells(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("csv", "xlsx")) -> DataFrame:
     """Cell table of every allowed file under ``path`` (a file, folder or glob).
-    One file is parsed by one task; files are independent.  File sizes are
-    checked first from the listing (no bytes read): a file above ``max_bytes``
-    is refused instead of being loaded into one task."""
-    files = spark.read.format("binaryFile").load(path)
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    files = files.filter(ext.isin(list(extensions)))
-    big = files.filter(F.col("length") > max_bytes).select("path").limit(1).collect()
-    if big:
-        raise ValueError(f"{big[0]['path']} exceeds {max_bytes} bytes: read it with readers.read_csv "
-                         "(splittable) and score it with scores.sheet_scores")
-    return files.select("path", "content").mapInPandas(_parse_files, CELL_SCHEMA)
+    Delimited files are read in splits, whatever their size; a workbook, which is
+    a compressed archive, is parsed by one task."""
+    out = [delimited_cells(spark, path, x) for x in extensions if x != "xlsx"]
+    if "xlsx" in extensions:
+        books = spark.read.format("binaryFile").option("pathGlobFilter", _glob("xlsx")).load(path)
+        out.append(books.select("path", "content").mapInPandas(_parse_workbooks, CELL_SCHEMA))
+    return reduce(DataFrame.unionByName, out)
 
 
 def choose_sheet(cells: DataFrame, by_bytes: bool = False) -> DataFrame:

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscope.sources.cells import ENCODINGS, SEPARATORS, decode_text, sniff_separator
+from gridscope.sources.cells import ENCODINGS
+from gridscope.sources.split import SEPARATORS, first_lines, json_items, read_json_lines
 
 # File extensions and the format each one means
 EXTENSIONS = {
@@ -42,19 +43,20 @@ def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", encodin
     return df
 
 
-def sniff(spark: SparkSession, path: str, head_bytes: int = 65536) -> DataFrame:
+def sniff(spark: SparkSession, path: str) -> DataFrame:
     """A2 decisions per file: ``(file, encoding, sep)``.  UTF-8 when every line of
     the whole file is valid, else the first of the fixed list that takes any
-    byte; the separator comes from the header line."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok"))
-    valid = lines.groupBy("file").agg(F.bool_and("ok").alias("ok"))
-    heads = spark.read.format("binaryFile").load(path).select(
-        F.col("_metadata.file_path").alias("file"), F.substring("content", 1, head_bytes).alias("head"))
-    header = F.regexp_extract(F.decode("head", "iso-8859-1"), r"^([^\r\n]*)", 1)
+    byte; the separator comes from the header line, however long.  One text scan in
+    splits; no file is loaded whole."""
+    reader = spark.read.option("lineSep", "\n").text(path)
+    lines = reader.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                          F.monotonically_increasing_id().alias("id"), "value")
+    files = first_lines(lines)
+    header = F.regexp_replace(F.decode(F.col("head").cast("binary"), "iso-8859-1"), "\r$", "")
     sep = F.coalesce(*[F.when(F.contains(header, F.lit(x)), F.lit(x)) for x in SEPARATORS], F.lit(SEPARATORS[0]))
     fallback = next(e for e in ENCODINGS if e != "utf-8")
-    return heads.join(valid, "file", "left").select(
-        "file", F.when(F.coalesce("ok", F.lit(True)), "utf-8").otherwise(fallback).alias("encoding"), sep.alias("sep"))
+    found = files.select(F.col("path").alias("file"), F.when(F.col("utf8"), "utf-8").otherwise(fallback).alias("encoding"), sep.alias("sep"))
+    return found
 
 
 def read_csv_sniffed(spark: SparkSession, path: str, separators_only: bool = False) -> DataFrame:
@@ -91,19 +93,9 @@ def read_whitespace_table(spark: SparkSession, path: str) -> DataFrame:
 def read_json_table(spark: SparkSession, path: str, binary: bool = False) -> DataFrame:
     """A4: a JSON list -> rows; an object with ``data`` or ``values`` -> rows
     of that list (the bytes variant ignores them); another object -> one
-    row; a scalar -> one row with column ``value``."""
-    df = spark.read.option("multiLine", True).json(path)
-    cols = set(df.columns)
-    if cols == {"_corrupt_record"} or not cols:
-        txt = spark.read.text(path, wholetext=True)
-        return txt.select(F.trim("value").alias("value"))
-    if not binary:
-        for key in ("data", "values"):
-            if key in cols and df.schema[key].dataType.simpleString().startswith("array<struct"):
-                return df.select(F.inline(key))
-            if key in cols and df.schema[key].dataType.simpleString().startswith("array"):
-                return df.select(F.explode(key).alias("value"))
-    return df
+    row; a scalar, or an element that is no object -> a row with column ``value``.
+    Files of any size are read in splits (``split.json_items``)."""
+    return read_json_lines(json_items(spark, path, () if binary else ("data", "values")))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -143,18 +135,29 @@ def detect_format(spark: SparkSession, path: str) -> DataFrame:
     (``PK`` -> excel, ``<?xml`` -> xml, ``{``/``[`` -> json, else csv).
     Files with a known extension are decided from the listing alone; only the
     others have their bytes read."""
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("uri"))
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     known = list(EXTENSIONS)
     mapping = F.create_map(*[x for k, v in EXTENSIONS.items() for x in (F.lit(k), F.lit(v))])
     by_ext = files.select("path", ext.alias("extension")).filter(F.col("extension").isin(known)).select(
         "path", "extension", mapping[F.col("extension")].alias("format"), F.lit("extension").alias("decided_by"))
-    head = F.ltrim(F.decode(F.substring("content", 1, 100), "UTF-8"))
-    magic = (F.when(F.substring("content", 1, 2) == F.lit(b"PK"), "excel")
+    others = [r["path"] for r in files.filter(~ext.isin(known)).select("path").collect()]  # of the listing
+    if not others:
+        return by_ext
+    lines = spark.read.option("lineSep", "\n").text(others).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"), "value")
+    place = F.struct("block", "id")
+    heads = lines.groupBy(F.col("path").alias("uri")).agg(F.min_by("value", place).alias("first"),
+                                      F.min_by("value", F.when(F.trim("value") != "", place)).alias("text"))
+    head = F.ltrim(F.coalesce("text", F.lit("")))
+    magic = (F.when(F.substring(F.col("first").cast("binary"), 1, 2) == F.lit(b"PK"), "excel")
              .when(head.startswith("<?xml"), "xml")
              .when(head.startswith("{") | head.startswith("["), "json").otherwise("csv"))
-    by_bytes = files.filter(~ext.isin(known)).select(
-        "path", ext.alias("extension"), magic.alias("format"), F.lit("content").alias("decided_by"))
+    listed = files.filter(~ext.isin(known)).select("path", "uri", ext.alias("extension"))
+    # An empty file has no line.
+    by_bytes = listed.join(heads.select("uri", magic.alias("_m")), "uri", "left").select(
+        "path", "extension", F.coalesce("_m", F.lit("csv")).alias("format"), F.lit("content").alias("decided_by"))
     return by_ext.unionByName(by_bytes)
 
 
