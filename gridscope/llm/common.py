@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run, rows: int = 1_024):
+    """A ``mapInArrow`` function that takes at most ``rows`` rows at a time and gives
+    its memory back to the system when the task ends; Spark keeps the worker."""
+    def wrapped(batches):
+        try:
+            yield from run(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null one as the empty string."""
     return F.coalesce(F.col(column), F.lit(""))

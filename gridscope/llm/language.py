@@ -2,13 +2,14 @@
 
 Spark counts character n-grams per language over every learning document (words
 are counted per task first, then their n-grams), derives the continuation counts
-of the lower orders and the discounts.  All n-grams stay in stored Spark tables; no
-task or driver holds the model.
+of the lower orders and the discounts.  Each order of the model is a stored table of
+shards, rows of sorted 64-bit hash arrays with a value per language beside each hash;
+all n-grams are kept, and no task or driver holds more than a shard.
 
 Documents are held as blocks of ``BLOCK_CHARS`` with the distinct n-grams of the
-highest order in each.  The distinct n-grams of all blocks are joined to the tables,
-lowest order first, and their probabilities go back to the blocks.  The language with the lowest cross-entropy per character wins.  A bounded sample of learning
-documents (``CALIBRATION_ROWS``) fixes the temperature of the score and, per
+highest order in each.  The distinct n-grams of all blocks go to the shards, lowest
+order first, are looked up by binary search, and their probabilities go back to the blocks.  The language with the lowest cross-entropy per character wins.  A bounded sample of learning
+documents of each language (``CALIBRATION_ROWS``) fixes the temperature of the score and, per
 language, the cross-entropy above which a text is marked ``rejected``.
 """
 
@@ -24,12 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscope.llm.common import documents, stored
+from gridscope.llm.common import documents, lean, stored
 
 ORDER = 4
 #: Characters of documents in a block.
-BLOCK_CHARS = 16_000_000
-CALIBRATION_ROWS = 2_000
+BLOCK_CHARS = 4_000_000
+#: N-grams of a shard of the model, about.
+SHARD_GRAMS = 200_000
+#: Rows a language, about, that fix the score and the rejection.
+CALIBRATION_ROWS = 500
 #: Distinct words that a task counts before it hands their n-grams on.
 WORDS_HELD = 200_000
 NO_LANGUAGE = "und"
@@ -73,7 +77,7 @@ def _count_grams(rows: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    return rows.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.select("lang", "text").mapInArrow(lean(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def tables(rows: DataFrame) -> tuple[list[str], list[DataFrame]]:
@@ -98,52 +102,6 @@ def tables(rows: DataFrame) -> tuple[list[str], list[DataFrame]]:
     return langs, orders
 
 
-def train(rows: DataFrame) -> dict | None:
-    """The whole model collected, for small tables: per order the sorted n-gram
-    hashes with discounted shares, and the sorted contexts with back-off weights.
-    ``None`` without any labelled letter."""
-    langs, orders = tables(rows)
-    at = {x: k for k, x in enumerate(langs)}
-    model = {"langs": langs, "orders": []}
-    for t in orders:
-        grams = t.select("lang", "gram", "v").toPandas()
-        backs = t.groupBy("lang", "ctx").agg(F.max("w").alias("v")).toPandas()
-        model["orders"].append((*_table(grams["gram"], grams["lang"].map(at), grams["v"], len(langs), 0.0),
-                                *_table(backs["ctx"], backs["lang"].map(at), backs["v"], len(langs), 1.0)))
-    return model if langs else None
-
-
-def _per_language(t: DataFrame, key: str, value: str, langs: list[str], missing: float) -> DataFrame:
-    """(key, value: a value per language)."""
-    found = F.map_from_entries(F.collect_list(F.struct("lang", value)))
-    return t.groupBy(key).agg(found.alias("_m")).select(key, F.transform(
-        F.array(*map(F.lit, langs)), lambda x: F.coalesce(F.element_at("_m", x), F.lit(missing))).alias(value))
-
-
-def probabilities(grams: DataFrame, langs: list[str], orders: list[DataFrame]) -> DataFrame:
-    """(gram, p: a probability per language) for distinct grams of the highest order."""
-    least = 1.0 / max(2, orders[0].select("gram").distinct().count())
-    weights = dict(orders[0].groupBy("lang").agg(F.max("w")).collect())
-    p = None
-    for order, t in enumerate(orders, 1):
-        at = grams.select(F.substring("gram", ORDER - order + 1, order).alias("gram")).distinct()
-        at = at.join(_per_language(t, "gram", "v", langs, 0.0), "gram", "left")
-        if p is None:
-            at = at.withColumn("w", F.array(*[F.lit(weights.get(x, 1.0)) for x in langs])).withColumn(
-                "p", F.array(*[F.lit(least)] * len(langs)))
-        else:
-            backs = t.groupBy("lang", "ctx").agg(F.max("w").alias("w"))
-            at = at.withColumn("ctx", F.substring("gram", 1, order - 1)).join(
-                _per_language(backs, "ctx", "w", langs, 1.0), "ctx", "left").withColumn("low", F.substring("gram", 2, order - 1)).join(
-                p.withColumnRenamed("gram", "low"), "low")
-        n = F.sequence(F.lit(0), F.lit(len(langs) - 1))
-        v, w = F.coalesce("v", F.array_repeat(F.lit(0.0), len(langs))), F.coalesce("w", F.array_repeat(F.lit(1.0), len(langs)))
-        all_of = F.struct(v.alias("v"), w.alias("w"), "p")
-        p = at.select("gram", F.flatten(F.transform(F.array(all_of), lambda a: F.transform(
-            n, lambda k: F.get(a["v"], k) + F.get(a["w"], k) * F.get(a["p"], k)))).alias("p"))
-    return p
-
-
 def _hash(chars: np.ndarray) -> np.ndarray:
     """64-bit hashes of rows of code points."""
     h = np.full(len(chars), 1469598103934665603, np.uint64)
@@ -157,18 +115,79 @@ def _codes(grams, width: int) -> np.ndarray:
     return np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").reshape(-1, width) if width else np.zeros((len(grams), 0), "<u4")
 
 
-def _table(grams, lang, values, n_langs: int, missing: float):
-    """Sorted distinct hashes and a row of values per hash."""
-    grams = list(grams)
-    keys, rows = np.unique(_hash(_codes(grams, len(grams[0]))), return_inverse=True)
-    table = np.full((len(keys) + 1, n_langs), missing)
-    table[rows, np.asarray(lang)] = np.asarray(values)
-    return keys, table
+def _sorted(hashes: np.ndarray, lang: np.ndarray, values: np.ndarray, width: int, missing: float) -> tuple[bytes, bytes]:
+    """Sorted distinct hashes, and beside each a value per language."""
+    keys, at = np.unique(hashes, return_inverse=True)
+    table = np.full((len(keys), width), missing)
+    table[at, lang] = values
+    return keys.astype("<u8").tobytes(), table.astype("<f8").tobytes()
 
 
-def _look(keys, table, hashes):
+def _found(keys: bytes, table: bytes, hashes: np.ndarray, width: int, missing: float) -> np.ndarray:
+    """The values of hashes by binary search, ``missing`` for unknown ones."""
+    keys, table = np.frombuffer(keys, "<u8"), np.frombuffer(table, "<f8").reshape(-1, width)
+    if not len(keys):
+        return np.full((len(hashes), width), missing)
     at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    return table[np.where(keys[at] == hashes, at, len(keys))]
+    return np.where((keys[at] == hashes)[:, None], table[at], missing)
+
+
+def _shard(order: int, n: int) -> Column:
+    """N-grams of one context share a shard; letters alone are all in one."""
+    return F.pmod(F.xxhash64(F.substring("gram", 1, order - 1)), F.lit(n)) if order > 1 else F.lit(0).cast("long")
+
+
+def shards(t: DataFrame, order: int, langs: list[str], most: int = SHARD_GRAMS) -> tuple[DataFrame, int]:
+    """One order of the model as rows of sorted hash arrays: n-grams with their shares,
+    contexts with their back-off weights, a value per language each; and their number."""
+    at, width = {x: k for k, x in enumerate(langs)}, len(langs)
+
+    def build(key, rows):
+        lang = np.array([at[x] for x in rows.column("lang").to_pylist()], np.int64)
+        grams = _hash(_codes(rows.column("gram").to_pylist(), order))
+        contexts = _hash(_codes(rows.column("ctx").to_pylist(), order - 1)) if order > 1 else np.full(len(grams), _hash(np.zeros((1, 0), "<u4"))[0])
+        parts = [*_sorted(grams, lang, rows.column("v").to_numpy(), width, 0.0), *_sorted(contexts, lang, rows.column("w").to_numpy(), width, 1.0)]
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), **{k: pa.array([x], pa.binary()) for k, x in zip(_ARRAYS, parts, strict=True)}})
+
+    n = -(-t.count() // most) if order > 1 else 1
+    rows = t.withColumn("shard", _shard(order, n))
+    schema = "shard long, " + ", ".join(f"{k} binary" for k in _ARRAYS)
+    return stored(rows.groupBy("shard").applyInArrow(build, schema), "model-shards"), n
+
+
+_ARRAYS = ("grams", "shares", "contexts", "weights")
+
+
+def _lookup(order: int, width: int):
+    """Shares and weights of the asked n-grams of one shard, by binary search."""
+    def look(key, asked, model):
+        chars = _codes(asked.column("gram").to_pylist(), order)
+        v, w = np.zeros((len(chars), width)), np.ones((len(chars), width))
+        for r in model.to_pylist():  # one row, or none
+            v = _found(r["grams"], r["shares"], _hash(chars), width, 0.0)
+            w = _found(r["contexts"], r["weights"], _hash(chars[:, :-1]), width, 1.0)
+        return pa.table({"gram": asked.column("gram"), "v": pa.array(list(v), pa.list_(pa.float64())), "w": pa.array(list(w), pa.list_(pa.float64()))})
+
+    return look
+
+
+def probabilities(grams: DataFrame, langs: list[str], orders: list[DataFrame]) -> DataFrame:
+    """(gram, p: a probability per language) for distinct grams of the highest order:
+    the n-grams of each order meet the shard of their context, where shares and
+    weights are looked up by binary search, then the order below."""
+    width = len(langs)
+    least = 1.0 / max(2, orders[0].select("gram").distinct().count())
+    p = None
+    for order, t in enumerate(orders, 1):
+        table, n = shards(t, order, langs)
+        asked = grams.select(F.substring("gram", ORDER - order + 1, order).alias("gram")).distinct().withColumn("shard", _shard(order, n))
+        at = asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(_lookup(order, width), "gram string, v array<double>, w array<double>")
+        if p is None:
+            at = at.withColumn("p", F.array_repeat(F.lit(least), width))
+        else:
+            at = at.withColumn("low", F.substring("gram", 2, order - 1)).join(p.withColumnRenamed("gram", "low"), "low")
+        p = at.select("gram", F.zip_with("v", F.zip_with("w", "p", lambda w, x: w * x), lambda v, x: v + x).alias("p"))
+    return p
 
 
 def _word_grams(words: list[str]):
@@ -185,16 +204,6 @@ def _word_grams(words: list[str]):
     return grams[one], back, n
 
 
-def word_costs(words: list[str], model: dict) -> np.ndarray:
-    """-log2 of each word's probability in each language, ends included."""
-    grams, back, n = _word_grams(words)
-    p = np.full((len(grams), len(model["langs"])), 1.0 / max(2, len(model["orders"][0][0])))
-    for order, (keys, shares, contexts, weights) in enumerate(model["orders"], 1):
-        g = grams[:, ORDER - order:]
-        p = _look(keys, shares, _hash(g)) + _look(contexts, weights, _hash(g[:, :-1])) * p
-    return _summed(p, back, n)
-
-
 def _summed(p: np.ndarray, back: np.ndarray, n: np.ndarray) -> np.ndarray:
     costs = -np.log2(np.maximum(p, 1e-12))[back]
     return np.add.reduceat(costs, np.cumsum(n) - n, axis=0)
@@ -206,7 +215,7 @@ def _numbered(texts: list[str | None], known: dict[str, int]) -> tuple[list[np.n
     numbers, ends, chars = [], [], []
     for t in texts:
         words = _LETTERS.findall((t or "").lower())
-        numbers.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+        numbers.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
         ends.append(len(words))
         chars.append(sum(map(len, words)) + len(words))
     return numbers, ends, chars
@@ -222,15 +231,6 @@ def _means(each: np.ndarray, numbers: np.ndarray, ends: np.ndarray, chars: np.nd
     return out
 
 
-def entropies(texts: list[str | None], model: dict) -> np.ndarray:
-    """Bits per character (word ends count) per text and language; NaN without letters."""
-    known: dict[str, int] = {}
-    numbers, ends, chars = _numbered(texts, known)
-    if not known:
-        return np.full((len(texts), len(model["langs"])), np.nan)
-    return _means(word_costs(list(known), model), np.concatenate(numbers), np.asarray(ends), np.asarray(chars))
-
-
 def _blocks(rows: DataFrame, block_chars: int) -> DataFrame:
     """Blocks of ``rows`` (``text`` last): the other columns as arrays, the distinct
     grams, and compressed how texts are made of words and words of grams."""
@@ -245,9 +245,9 @@ def _blocks(rows: DataFrame, block_chars: int) -> DataFrame:
             joined = grams.astype("<u4").tobytes().decode("utf-32-le")
             # Numbers as steps, which stay small; a first one counts from 0.
             each = [np.unique(x, return_counts=True) for x in parts[0]]
-            steps = np.concatenate([np.diff(x, prepend=0) for x, _ in each])
-            data = np.concatenate([[len(n), len(back), len(steps), len(steps)], n, back, steps, *(f for _, f in each),
-                                   [len(x) for x, _ in each], parts[2]])
+            steps = np.concatenate([np.diff(x, prepend=np.int32(0)) for x, _ in each])
+            data = np.concatenate([np.asarray(x, np.int32) for x in (
+                [len(n), len(back), len(steps), len(steps)], n, back, steps, *(f for _, f in each), [len(x) for x, _ in each], parts[2])])
             return pa.RecordBatch.from_arrays([
                 pa.array([block]), *(pa.ListArray.from_arrays([0, sum(map(len, h))], pa.concat_arrays(h)) for h in held),
                 pa.array([[joined[k:k + ORDER] for k in range(0, len(joined), ORDER)]], pa.list_(pa.string())),
@@ -275,7 +275,7 @@ def _blocks(rows: DataFrame, block_chars: int) -> DataFrame:
             yield closed()
 
     fields = ", ".join(f"`{c}` array<{x}>" for c, x in kept)
-    return rows.mapInArrow(run, f"block long, {fields}, grams array<string>, data binary")
+    return rows.mapInArrow(lean(run), f"block long, {fields}, grams array<string>, data binary")
 
 
 def scored(rows: DataFrame, langs: list[str], orders: list[DataFrame], block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -294,7 +294,7 @@ def scored(rows: DataFrame, langs: list[str], orders: list[DataFrame], block_cha
         for b in batches:
             for i in range(b.num_rows):
                 raw = np.frombuffer(zstandard.decompress(b.column("data")[i].as_py()), np.uint8)
-                data = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+                data = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
                 n, back, steps, freqs, rest = np.split(data[4:], np.cumsum(data[:4]))
                 columns = [b.column(c)[i].values for c in names]
                 h = np.full((len(rest) // 2, width), np.nan)
@@ -309,7 +309,7 @@ def scored(rows: DataFrame, langs: list[str], orders: list[DataFrame], block_cha
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(
                     [None if np.isnan(x[0]) else list(x) for x in h], pa.list_(pa.float64()))], names=[*names, "h"])
 
-    return both.mapInArrow(run, ", ".join(f"`{c}` {x}" for c, x in kept) + ", h array<double>")
+    return both.mapInArrow(lean(run, 1), ", ".join(f"`{c}` {x}" for c, x in kept) + ", h array<double>")
 
 
 def _posterior(h: np.ndarray, tau: float) -> np.ndarray:
@@ -318,12 +318,15 @@ def _posterior(h: np.ndarray, tau: float) -> np.ndarray:
 
 
 def calibrate(rows: DataFrame, model: dict, most: int = CALIBRATION_ROWS) -> None:
-    """Fix ``tau`` and the rejection thresholds on a reproducible sample of
-    about ``most`` scored learning rows (doc_id, lang, h)."""
-    n = rows.count()
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, most / max(n, 1))) + 1))
-    model |= {"tau": 20.0, "reject": [float("inf")] * len(model["langs"])}
-    got = rows.select("lang", "h").limit(4 * most).toPandas()
+    """Fix ``tau`` and the rejection thresholds on a reproducible sample of about
+    ``most`` scored learning rows a language (doc_id, lang, h).  A language with fewer
+    than five of them rejects by the sample of all."""
+    langs = model["langs"]
+    share = {r["lang"]: int(1_000_000 * min(1.0, most / r["n"])) + 1 for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)]) if share else F.create_map(F.lit(""), F.lit(0))
+    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < drawn[F.col("lang")])
+    model |= {"tau": 20.0, "reject": [float("inf")] * len(langs)}
+    got = rows.select("lang", "h").limit(4 * most * max(1, len(langs))).toPandas()
     got = got[got["h"].map(lambda h: h is not None)]
     if not len(got):
         return
@@ -331,10 +334,10 @@ def calibrate(rows: DataFrame, model: dict, most: int = CALIBRATION_ROWS) -> Non
     true = got["lang"].map({x: k for k, x in enumerate(model["langs"])}).to_numpy()
     losses = {t: -np.log(np.maximum(_posterior(h, t)[np.arange(len(h)), true], 1e-9)).mean() for t in (1, 2, 4, 8, 12, 16, 24, 32, 48)}
     model["tau"] = float(min(losses, key=losses.get))
-    for k in range(len(model["langs"])):
-        own = h[true == k, k]
-        if len(own) >= 5:
-            model["reject"][k] = float(np.quantile(own, 0.995) + 0.5)
+    every = h[np.arange(len(h)), true]
+    for k in range(len(langs)):
+        own = every[true == k]
+        model["reject"][k] = float(np.quantile(own if len(own) >= 5 else every, 0.995) + 0.5)
 
 
 def _predicted(rows: DataFrame, model: dict) -> DataFrame:

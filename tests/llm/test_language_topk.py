@@ -1,4 +1,8 @@
+import functools
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,6 +11,8 @@ from pyspark.sql import types as T
 
 from gridscope.llm import language, topk
 
+LETTERS = re.compile(r"[^\W\d_]+")
+
 
 def test_language_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
@@ -34,39 +40,107 @@ def test_language_nothing_to_learn(docs_of):
     assert language.identify(docs_of([]), F.lit(True)).count() == 0
 
 
-def test_kneser_ney_sums_to_one(docs_of):
-    model = language.train(docs_of([(1, "abab abba baab", "x"), (2, "cab bac", "x")]).select("lang", "text"))
-    total = sum(2.0 ** -language.word_costs([w], model)[0, 0] for w in ["a", "b", "c"])
-    assert 0 < total < 1
-    # All continuations of one context share at most probability 1.
-    keys, shares, contexts, weights = model["orders"][0]
-    assert shares[:-1, 0].sum() + weights[0, 0] == pytest.approx(1.0)
-
-
-def test_no_gram_is_left_out(docs_of):
+def kneser_ney(rows, order=4):
+    """Interpolated Kneser-Ney from its definition, with dictionaries: a function of
+    (word, language) that gives -log2 of the word's probability."""
+    langs = sorted({lang for lang, _ in rows if lang is not None and LETTERS.search(_ or "")})
+    counts = {x: [None] * (order + 1) for x in langs}
+    for x in langs:
+        top = Counter()
+        for lang, text in rows:
+            if lang == x:
+                for w in LETTERS.findall((text or "").lower()):
+                    w = "\x02" * (order - 1) + w + "\x03"
+                    top.update(w[i:i + order] for i in range(len(w) - order + 1))
+        counts[x][order] = top
+        for n in range(order - 1, 0, -1):
+            counts[x][n] = Counter(g[1:] for g in counts[x][n + 1])
+    letters = {g for x in langs for g in counts[x][1]}
+
+    def discount(c):
+        one, two = (sum(v == k for v in c.values()) for k in (1, 2))
+        return min(0.9, max(0.1, one / (one + 2 * two))) if one else 0.5
+
+    facts = {}
+    for x in langs:
+        for n in range(1, order + 1):
+            total, kinds = Counter(), Counter()
+            for g, v in counts[x][n].items():
+                total[g[:-1]] += v
+                kinds[g[:-1]] += 1
+            facts[x, n] = discount(counts[x][n]), total, kinds
+
+    def p(g, x):
+        if not g:
+            return 1.0 / max(2, len(letters))
+        d, total, kinds = facts[x, len(g)]
+        ctx = g[:-1]
+        if not total[ctx]:
+            return p(g[1:], x)
+        seen = counts[x][len(g)][g]
+        return (max(seen - d, 0) if seen else 0) / total[ctx] + d * kinds[ctx] / total[ctx] * p(g[1:], x)
+
+    def cost(word, x):
+        w = "\x02" * (order - 1) + word + "\x03"
+        return -sum(math.log2(max(p(w[i:i + order], x), 1e-12)) for i in range(len(w) - order + 1))
+
+    return langs, cost
+
+
+def test_probabilities_of_a_context_sum_to_one(docs_of):
+    _, cost = kneser_ney([("x", "abab abba baab"), ("x", "cab bac")])
+    langs, orders = language.tables(docs_of([(1, "abab abba baab", "x"), (2, "cab bac", "x")]).select("lang", "text"))
+    grams = docs_of([(1, "", "")]).sparkSession.createDataFrame([("aba" + c,) for c in "abc\x03"] + [("\x02\x02\x02" + c,) for c in "abc\x03"], "gram string")
+    got = {r.gram: r.p[0] for r in language.probabilities(grams, langs, orders).collect()}
+    for ctx in ("aba", "\x02\x02\x02"):
+        assert sum(p for g, p in got.items() if g.startswith(ctx)) == pytest.approx(1.0, abs=1e-9)
+    assert cost("ab", "x") > 0
+
+
+def test_no_gram_is_left_out(docs_of, monkeypatch):
     r = np.random.default_rng(3)
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
     many = [" ".join("".join(w) for w in letters[r.integers(0, 26, (60_000, 6))]) for _ in range(8)]
     rare = "quick brown foxes jump over lazy dogs"
     docs = docs_of([(k, t, "hot") for k, t in enumerate(many)] + [(90, rare, "rare")])
-    model = language.train(docs.select("lang", "text"))
-    grams = {("   ".replace(" ", "\x02") + w + "\x03")[i:i + 4] for t in [*many, rare] for w in set(t.split()) for i in range(len(w) + 1)}
+    langs, orders = language.tables(docs.select("lang", "text"))
+    grams = {("\x02\x02\x02" + w + "\x03")[i:i + 4] for t in [*many, rare] for w in set(t.split()) for i in range(len(w) + 1)}
     assert len(grams) > 400_000
-    assert len(model["orders"][3][0]) == len(grams)
-
-
-@pytest.mark.parametrize("block_chars", [1, 3_000, 16_000_000])
-def test_joined_scores_equal_the_whole_model(docs_of, sample, block_chars):
-    rows = [(r.doc_id, r.text, r.lang) for r in sample.collect()] + [(900, None, None), (901, "", None), (902, "12", "xx"), (903, "日本語 \U0001d400é", None)]
+    table, n = language.shards(orders[3], 4, langs)
+    sizes = [len(x.grams) // 8 for x in table.select("grams").collect()]
+    assert n > 1 and len(sizes) == n and sum(sizes) == len(grams)
+    keys = np.concatenate([np.frombuffer(x.grams, "<u8") for x in table.select("grams").collect()])
+    assert len(np.unique(keys)) == len(grams)
+
+
+@pytest.mark.parametrize("block_chars, most", [(1, 200_000), (3_000, 50), (4_000_000, 700)])
+def test_scores_equal_the_definition(docs_of, sample, monkeypatch, block_chars, most):
+    """Against dictionaries, for every size of block and shard."""
+    monkeypatch.setattr(language.shards, "__defaults__", (most,))
+    rows = [(r.doc_id, r.text, r.lang) for r in sample.limit(60).collect()] + [
+        (900, None, None), (901, "", None), (902, "12", "xx"), (903, "日本語 \U0001d400é", None), (904, "日本 ж", "ja")]
     docs = docs_of(rows)
-    learnt = docs.filter("lang IS NOT NULL AND doc_id % 2 = 0").select("lang", "text")
-    model, (langs, orders) = language.train(learnt), language.tables(learnt)
-    assert model["langs"] == langs
-    want = dict(zip([x[0] for x in rows], language.entropies([x[1] for x in rows], model), strict=True))
+    langs, orders = language.tables(docs.filter("lang IS NOT NULL AND doc_id % 2 = 0").select("lang", "text"))
+    known, cost = kneser_ney([(r[2], r[1]) for r in rows if r[2] is not None and r[0] % 2 == 0])
+    assert known == langs
+    each = functools.cache(cost)
     got = language.scored(docs.select("doc_id", "text"), langs, orders, block_chars).collect()
-    assert sorted(x.doc_id for x in got) == sorted(want)
+    assert sorted(x.doc_id for x in got) == sorted(x[0] for x in rows)
+    texts = {x[0]: LETTERS.findall((x[1] or "").lower()) for x in rows}
     for x in got:
-        assert np.isnan(want[x.doc_id]).all() if x.h is None else np.allclose(x.h, want[x.doc_id], rtol=1e-12)
+        words = texts[x.doc_id]
+        if not words:
+            assert x.h is None
+            continue
+        size = sum(map(len, words)) + len(words)
+        assert np.allclose(x.h, [sum(each(w, lang) for w in words) / size for lang in langs], rtol=1e-9)
+
+
+def test_rare_languages_reject_too(docs_of):
+    rows = [(k, f"common words of text {k} here", "en") for k in range(300)] + [(900 + k, "жук лук сук", "ru") for k in range(3)]
+    rows += [(1000, "щщъ ыыъэ ююя", None)]
+    got = {r.doc_id: r for r in language.identify(docs_of(rows), F.col("doc_id") < 1000).collect()}
+    assert got[901].lang_pred == "ru" and not got[901].rejected and got[1000].rejected
 
 
 SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType())])
