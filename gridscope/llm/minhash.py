@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscope.llm.common import documents, stored
+from gridscope.llm.common import documents, lean, stored
 
 REGISTERS = 256
 MANTISSA = 4
@@ -40,6 +40,8 @@ BAND = 6
 ERRORS = 5
 #: Members of a bucket whose registers, and whose full sets, are compared at once.
 BLOCK, SET_BLOCK = 512, 128
+#: Words whose hashes a task remembers.
+WORDS_HELD = 100_000
 #: The lowest similarity that sketches are made for.
 LOWEST = 0.75
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -51,7 +53,7 @@ class _WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
-        if len(self) > 500_000:
+        if len(self) > WORDS_HELD:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -143,7 +145,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                                              names=["doc_id", "x", "cls", "n", "sketches"])
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, x long, cls binary, n long, sketches array<struct<width:int,regs:binary>>"
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("x"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("x"), "text").mapInArrow(lean(run), schema)
 
 
 def _bands(sketches: DataFrame) -> DataFrame:
@@ -163,7 +165,7 @@ def _bands(sketches: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key[row, band].view(np.int64)), pa.array(band.astype(np.int32)),
                                               b.column(0).take(at), b.column(1).take(at)], names=["band", "place", "node", "width"])
 
-    return sketches.select("node", "width", "regs").mapInArrow(run, "band long, place int, node long, width int")
+    return sketches.select("node", "width", "regs").mapInArrow(lean(run), "band long, place int, node long, width int")
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -177,7 +179,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFram
                 ra, rb = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, REGISTERS) for k in (2, 3))
                 yield b.select(["a", "b"]).filter(pa.array(possible(ra, rb, threshold)))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def linked(x: bytes, y: bytes, percent: int) -> bool:
@@ -199,7 +201,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [linked(x.as_py(), y.as_py(), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -276,7 +278,7 @@ def _open_members(mixed: DataFrame, sketches: DataFrame, threshold: float) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), one.field("band")[0].as_py(), np.int64)), pa.array(nodes)],
                                                  names=["band", "node"])
 
-    return both.mapInArrow(run, "band long, node long").distinct()
+    return both.mapInArrow(lean(run), "band long, node long").distinct()
 
 
 def _block_links(members: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
@@ -295,7 +297,7 @@ def _block_links(members: DataFrame, sketches: DataFrame, sets: DataFrame, thres
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())],
                                                  names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
@@ -315,9 +317,9 @@ def _sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
                 [shingle_hashes(t, words, known).astype("<u8").tobytes() for t in texts], pa.binary())], names=["node", "hashes"])
 
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").mapInArrow(
-        pressed, f"d {dict(docs.dtypes)['doc_id']}, h long, z binary")
+        lean(pressed), f"d {dict(docs.dtypes)['doc_id']}, h long, z binary")
     wanted = need.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("x") == F.col("h"))).select("node", "z")
-    return stored(wanted.mapInArrow(full, "node long, hashes binary"), "sets")
+    return stored(wanted.mapInArrow(lean(full), "node long, hashes binary"), "sets")
 
 
 def grouped(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridscope.llm import pretokens
-from gridscope.llm.common import documents, stored
+from gridscope.llm.common import documents, lean, stored
 
 TOKENIZER = "word_bpe_49k.json"
 SIZE = 2048
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, name: str = TOKENIZER, size: int = SIZE, open_windows:
         yield _batch(_rows(full, (part << 32) + n, -1, with_ids))
         yield _batch(_rows([rest], 0, part, with_ids))
 
-    pieces = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA), "pieces")
+    pieces = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), _SCHEMA), "pieces")
     ready = [pieces.filter("part < 0")]
     left = pieces.filter("part >= 0")
     most, level = left.agg(F.max("part")).first()[0], 1

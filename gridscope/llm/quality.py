@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from gridscope.llm.common import documents
+from gridscope.llm.common import documents, lean
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -129,7 +129,7 @@ def judged(docs: DataFrame, max_loss: float = MAX_LOSS, with_text: bool = True)
                 [b.column(i) for i in places] + [pa.array([r[n] for r in rows], t) for n, _, t in fields],
                 names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def clean(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
