@@ -31,11 +31,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscope.llm.common import documents, stored
+from gridscope.llm.common import documents, lean, stored
 
 LENGTH = 200
 #: Identifier lengths (bytes) of the rounds before the last, which uses LENGTH.
@@ -131,7 +132,7 @@ def _first_round(docs: DataFrame, q: int, length: int) -> DataFrame:
                 names=["rid", "doc_id", "tid", "n_bytes", "sha", "buckets", "loops"])
             rid += len(raws)
 
-    return docs.mapInArrow(run, f"rid long, doc_id {dict(docs.dtypes)['doc_id']}, tid binary, n_bytes long, sha binary, "
+    return docs.mapInArrow(lean(run), f"rid long, doc_id {dict(docs.dtypes)['doc_id']}, tid binary, n_bytes long, sha binary, "
                                 "buckets array<long>, loops array<long>")
 
 
@@ -144,7 +145,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.md5(r).digest() for r in raws], pa.binary()),
                                               pa.array([press.compress(r) for r in raws], pa.binary())], names=["doc_id", "tid", "z"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, tid binary, z binary")
+    return docs.mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, tid binary, z binary")
 
 
 _RUNS = "buckets array<long>, bodies array<long>, starts array<int>, sizes array<int>, loops array<boolean>"
@@ -164,7 +165,7 @@ def _with_bodies(texts: DataFrame, q: int, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *map(_lists, cols, types)],
                                              names=["rid", "copies", "z", "buckets", "bodies", "starts", "sizes", "loops"])
 
-    return texts.mapInArrow(run, f"rid long, copies long, z binary, {_RUNS}")
+    return texts.mapInArrow(lean(run), f"rid long, copies long, z binary, {_RUNS}")
 
 
 def _cut_bodies(rows: DataFrame, length: int) -> DataFrame:
@@ -180,11 +181,21 @@ def _cut_bodies(rows: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(wanted), rid.as_py(), np.int64)), *(wanted.field(k) for k in names),
                                                   pa.array(cuts, pa.binary())], names=["rid", *names, "raw"])
 
-    return rows.mapInArrow(run, "rid long, bucket long, start int, size int, single boolean, raw binary")
+    return rows.mapInArrow(lean(run), "rid long, bucket long, start int, size int, single boolean, raw binary")
 
 
-#: Bodies that a task refines at once.
-AT_ONCE = 2_000
+#: Bytes of bodies that a task refines at once (one body at least).
+AT_ONCE = 1_000_000
+
+
+def _portions(b: pa.RecordBatch, column: str, most: int):
+    """Slices of ``b`` with at most ``most`` bytes of a binary column, or one row."""
+    upto = np.cumsum(pc.binary_length(b.column(column)).to_numpy())
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield b.slice(at, end - at)
+        at = end
 
 
 def _refined(bodies: DataFrame, q: int, length: int) -> DataFrame:
@@ -195,7 +206,7 @@ def _refined(bodies: DataFrame, q: int, length: int) -> DataFrame:
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
 
     def run(batches):
-        for b in (big.slice(k, AT_ONCE) for big in batches for k in range(0, big.num_rows, AT_ONCE)):
+        for b in (part for big in batches for part in _portions(big, "raw", AT_ONCE)):
             # Many bodies at once; places whose string would leave its body are left out.
             raws = b.column("raw").to_pylist()
             raw = b"".join(raws)
@@ -225,7 +236,7 @@ def _refined(bodies: DataFrame, q: int, length: int) -> DataFrame:
                 (b.column("rid").to_numpy()[owner], start[owner], key, body, places[first] - offsets[owner] + start[owner],
                  size, single[owner], loop), types, strict=True)], names=names)
 
-    return bodies.mapInArrow(run, "rid long, parent int, bucket long, body long, start int, size int, single boolean, loop boolean")
+    return bodies.mapInArrow(lean(run, 4_096), "rid long, parent int, bucket long, body long, start int, size int, single boolean, loop boolean")
 
 
 def _kinds(one: DataFrame, copies, single, parent) -> DataFrame:
