@@ -157,6 +157,40 @@ def mann_whitney_u(spark, sf):
     return round_cols(r.drop("p_value", "significant"))
 
 
+# The inverse of the normal distribution function of a probability p in SQL: a rational
+# start and three Halley steps; the tail by series and continued fraction.
+_TAIL = ("(CASE WHEN {z} < 3 THEN 0.5 - exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {z} * list_reduce(list_prepend(1.0::DOUBLE, list_reverse(range(1, 60))), "
+         "lambda acc, k: 1.0 + {z} * {z} / (2 * k + 1) * acc) ELSE exp(-{z} * {z} / 2) / sqrt(2 * pi()) / "
+         "list_reduce(list_prepend({z}, list_reverse(range(1, 121))), lambda acc, k: {z} + k / acc) END)")
+
+
+def _halley(name, source, z):
+    off = f"(({_TAIL.format(z=z)} - low) / (exp(-{z} * {z} / 2) / sqrt(2 * pi())))"
+    return f"{name} AS (SELECT *, {z} + {off} / (1 - {z} * {off} / 2) AS {name}z FROM {source})"
+
+
+@query("shapiro_statistic", f"""
+WITH v AS (SELECT p_retailprice AS x, row_number() OVER (ORDER BY p_retailprice) AS i, count(*) OVER () AS n FROM part WHERE p_retailprice IS NOT NULL),
+q AS (SELECT x, i, n, least((i - 0.375) / (n + 0.25), 1 - (i - 0.375) / (n + 0.25)) AS low,
+             CASE WHEN (i - 0.375) / (n + 0.25) < 0.5 THEN -1 ELSE 1 END AS side FROM v),
+a0 AS (SELECT *, t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t) AS a0z
+       FROM (SELECT *, sqrt(-2 * ln(low)) AS t FROM q)),
+{_halley("a1", "a0", "a0z")}, {_halley("a2", "a1", "a1z")}, {_halley("a3", "a2", "a2z")},
+m AS (SELECT x, i, n, side * a3z AS m FROM a3),
+s AS (SELECT max(n) AS n, sum(m * m) AS mm, max(m) AS last, max(m) FILTER (WHERE i = n - 1) AS second, sum((x - mean) * (x - mean)) AS ss
+      FROM m, (SELECT avg(x) AS mean FROM m)),
+e AS (SELECT *, last / sqrt(mm) + 0.221157 * u - 0.147981 * u ** 2 - 2.071190 * u ** 3 + 4.434685 * u ** 4 - 2.706056 * u ** 5 AS an,
+             second / sqrt(mm) + 0.042981 * u - 0.293762 * u ** 2 - 1.752461 * u ** 3 + 5.682633 * u ** 4 - 3.582633 * u ** 5 AS an1
+      FROM (SELECT *, 1 / sqrt(n) AS u FROM s)),
+f AS (SELECT *, sqrt((mm - 2 * last ** 2 - 2 * second ** 2) / (1 - 2 * an ** 2 - 2 * an1 ** 2)) AS d FROM e),
+b AS (SELECT sum(x * CASE WHEN m.i = 1 THEN -an WHEN m.i = m.n THEN an WHEN m.i = 2 THEN -an1 WHEN m.i = m.n - 1 THEN an1 ELSE m / d END) AS b, any_value(f.n) AS n, any_value(ss) AS ss FROM m, f)
+SELECT 'p_retailprice' AS column, n, round(b * b / ss, 8) AS statistic FROM b""")
+def shapiro_statistic(spark, sf):
+    """H7: W of part's retail price."""
+    r = T.shapiro_wilk(t(spark, sf, "part"), "p_retailprice")
+    return r.select("column", "n", F.round("statistic", 8).alias("statistic"))
+
+
 @query("shapiro_wilk")
 def shapiro_wilk(spark, sf):
     """H7 on part's retail price when 8 <= n <= 5000 (rows-only)."""

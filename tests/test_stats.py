@@ -58,6 +58,33 @@ def test_shapiro_on_normal_sample(spark):
     assert r["statistic"] > 0.98 and r["p_value"] > 0.01
 
 
+def test_normal_scores_and_their_sums():
+    from statistics import NormalDist
+    nd = NormalDist()
+    p = np.concatenate([10.0 ** -np.arange(1, 13), np.linspace(0.001, 0.999, 400)])
+    assert np.allclose(T.normal_scores(p), [nd.inv_cdf(x) for x in p], rtol=1e-11, atol=1e-13)
+    n = 300_000
+    m = T.normal_scores((np.arange(1, n + 1) - 0.375) / (n + 0.25))
+    starts, counts = np.array([0, 0, 5, 20_000, 290_000, 100, 0]), np.array([n, 2, 1, 200_000, 10_000, 12_000, 1])
+    sums, squares = T.score_sums(starts, counts, n)
+    for s, k, a, b in zip(starts, counts, sums, squares, strict=True):
+        part = m[max(s, 2):min(s + k, n - 2)]
+        assert abs(a - part.sum()) < 1e-7 and b == pytest.approx((part ** 2).sum(), rel=1e-11, abs=1e-12)
+
+
+def test_shapiro_of_a_few_frequent_values(spark):
+    """A value with most of the rows costs one row, not one step a position."""
+    df = spark.range(400_000).select(F.when(F.col("id") < 300_000, 1.0).when(F.col("id") < 390_000, 2.0).otherwise(F.col("id") % 7).alias("x"))
+    r = T.shapiro_wilk(df, "x").first()
+    x = np.sort(np.array([v["x"] for v in df.collect()]))
+    n = len(x)
+    m = T.normal_scores((np.arange(1, n + 1) - 0.375) / (n + 0.25))
+    an, an1, d = T._swilk_ends(n, m[-1], m[-2], float(m @ m))
+    a = m / d
+    a[[0, 1, -2, -1]] = -an, -an1, an1, an
+    assert r["statistic"] == pytest.approx(float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()), abs=1e-9)
+
+
 def test_two_sample_tests(spark, events):
     t = T.t_test(events, "value", "event_type").first()
     assert 0 <= t["p_value"] <= 1
