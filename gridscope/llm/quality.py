@@ -15,6 +15,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridscope.llm.common import documents, lean
@@ -133,13 +134,13 @@ def judged(docs: DataFrame, max_loss: float = MAX_LOSS, with_text: bool = True)
 
 
 def clean(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
-    """The documents that pass, their failing lines removed; same columns."""
-    out = judged(docs, max_loss).filter("kept")
-    new = {"text": "clean_text"}
-    cols = []
-    for c in docs.columns:
-        cols.append(out["clean_text"].alias("text") if c in new else out[c])
-    return out.select(*cols)
+    """The documents that pass, their failing lines removed; same columns, those of
+    any other name unchanged."""
+    others = [c for c in docs.columns if c != "text"]
+    # The other columns travel in one struct, whatever their names.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(None)]).alias("_row"), "text")
+    out = judged(rows, max_loss).filter("kept")
+    return out.select(*[out["clean_text"].alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
