@@ -53,7 +53,7 @@ def test_clean_keeps_clean_and_rejects_clutter(docs_of, with_clashes):
     out = quality.clean(own)
     assert out.schema == own.schema
     for r in out.collect():
-        assert (r["kept"], r["n_words"], r["base_failed"], r["word_chars"], r["_row"], r["a.b"]) == (7, 7, "mine", 10 * r["doc_id"], "a", "b")
+        assert (r["kept"], r["n_words"], r["base_failed"], r["word_chars"], r["_row"], r["a.b"]) == (7, 7, "mine", 10 * r["doc_id"], 7, "b")
 
 
 def targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
