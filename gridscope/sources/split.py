@@ -22,10 +22,8 @@ from pyspark.sql import functions as F
 
 from gridscope.session import ensure_checkpoint_dir, materialize, remember
 
-# The order in which separators are tried, and the encoding of text that
-# isn't UTF-8.
+# The order in which separators are tried
 SEPARATORS = [",", ";", "\t", "|"]
-FALLBACK = "latin-1"
 
 _SPLIT = ["path", "block"]
 
