@@ -164,46 +164,37 @@ def _path_lengths(nodes: list, x: np.ndarray) -> np.ndarray:
 OCCURRENCES = 100_000
 
 
-def isolation_forest(df: DataFrame, cols: list[str], contamination: float = 0.1, n_trees: int = 100,
-                     sample_size: int = 256, seed: int = 42, min_rows: int = 10, k_examples: int = 5) -> DataFrame:
-    """per column, flag the ``contamination`` share of values with the
-    highest isolation score.
-
-    Training needs only ``n_trees`` samples of <= 256 values per column: a
-    bounded sample is drawn in Spark (by hashes with a seed, first 256 per
-    (column, tree) in hash order), trees are grown by ``applyInPandas`` per
-    (column, tree), collected (100 x 256 nodes at most) and broadcast; every
-    value is scored by ``mapInPandas``; the cut is the exact (1 - contamination)
-    quantile of the scores."""
-    spark = df.sparkSession
-    long = to_long(df, cols)
-    n = long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
-    sizes = {r["column"]: r["n"] for r in n.collect()}
-    if not sizes:
-        return spark.createDataFrame([], "column string, outlier_count long, outlier_percentage double, outlier_values array<double>")
-    keep = long.filter(F.col("column").isin(list(sizes)))
-    trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
-    # every tree draws an independent Bernoulli sample of ~3 x 256 values, then
-    # keeps 256.  Rows are first thinned to the union of the trees' samples
-    # (fraction p1), so the per-tree explode touches ~n_trees^2 x 768 rows
-    # whatever the column size.
+TREE_SCHEMA = "column string, tree int, n_sample long, nodes array<array<double>>"
+STEP_SCHEMA = "column string, step int, lower_bound double, score double"
+NO_OUTLIERS = "column string, outlier_count long, outlier_percentage double, outlier_values array<double>"
+
+
+def isolation_trees(counts: DataFrame, sizes: dict[str, int], n_trees: int = 100, sample_size: int = 256,
+                    seed: int = 42) -> DataFrame:
+    """(column, tree, n_sample, nodes): ``n_trees`` isolation trees per column of the
+    value counts (column, value, cnt), each grown on at most ``sample_size`` values.
+
+    Every tree draws an independent Bernoulli sample of about 3 x ``sample_size``
+    occurrences, then keeps the first ``sample_size`` in hash order.  Occurrences are
+    first thinned to the union of the trees' samples, so the explode per tree
+    touches about n_trees^2 x 768 rows whatever the column's size.  Draws depend on the
+    column, the value and its how-manieth occurrence only, so the same table gives the
+    same forest whatever its partitioning; frequent values are dealt out in stretches
+    of occurrences."""
+    from pyspark.sql import Window
     frac = {x: min(1.0, 3.0 * sample_size / max(1, sizes[x])) for x in sizes}
     pre = {x: min(1.0, n_trees * f) for x, f in frac.items()}
-    frac_expr = F.create_map(*[v for x, f in frac.items() for v in (F.lit(x), F.lit(f))])
-    pre_expr = F.create_map(*[v for x, f in pre.items() for v in (F.lit(x), F.lit(f))])
-    # Draws depend on the column, the value and its how-manieth occurrence only, so
-    # the same table gives the same forests whatever its partitioning.  Frequent
-    # values are dealt out in stretches of occurrences.
+    frac_expr, pre_expr = (F.create_map(*[v for x, f in m.items() for v in (F.lit(x), F.lit(f))]) for m in (frac, pre))
     share = lambda *k: F.pmod(F.xxhash64(*k, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    stretch = keep.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n")).select(
-        "column", "value", "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"), F.lit(OCCURRENCES))).alias("_from"))
+    stretch = counts.select("column", "value", "cnt", F.explode(
+        F.sequence(F.lit(1).cast("long"), F.col("cnt"), F.lit(OCCURRENCES))).alias("_from"))
     stretch = stretch.repartition("column", "value", "_from")
     each = stretch.select("column", "value", F.explode(F.sequence(
-        F.col("_from"), F.least(F.col("_n"), F.col("_from") + F.lit(OCCURRENCES - 1)))).alias("_k"))
+        F.col("_from"), F.least(F.col("cnt"), F.col("_from") + F.lit(OCCURRENCES - 1)))).alias("_k"))
     thinned = each.filter(share("column", "value", "_k") < pre_expr[F.col("column")])
+    trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
     cand = thinned.select("column", "value", "_k", trees).filter(
         share("column", "value", "_k", "tree") < frac_expr[F.col("column")] / pre_expr[F.col("column")])
-    from pyspark.sql import Window
     w = Window.partitionBy("column", "tree").orderBy(F.xxhash64("value", "_k", "tree", F.lit(seed + 1)), "value", "_k")
     samp = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample_size).drop("_r", "_k")
     max_depth = int(np.ceil(np.log2(max(sample_size, 2))))
@@ -215,36 +206,86 @@ def isolation_forest(df: DataFrame, cols: list[str], contamination: float = 0.1,
         return pd.DataFrame({"column": [col], "tree": [tree], "n_sample": [len(pdf)],
                              "nodes": [[list(map(float, nd)) for nd in nodes]]})
 
-    fitted = samp.groupBy("column", "tree").applyInPandas(
-        fit, "column string, tree int, n_sample long, nodes array<array<double>>").collect()
-    model = {}
-    for r in fitted:
-        model.setdefault(r["column"], []).append(([tuple(nd) for nd in r["nodes"]], r["n_sample"]))
-    bc = spark.sparkContext.broadcast(model)
+    return samp.groupBy("column", "tree").applyInPandas(fit, TREE_SCHEMA)
+
+
+def tree_scores(trees: pd.DataFrame, values: np.ndarray) -> np.ndarray:
+    """Isolation score of ``values`` by walking every tree of one column."""
+    trees = trees.sort_values("tree")
+    depth = np.mean([_path_lengths([tuple(nd) for nd in nodes], values) for nodes in trees["nodes"]], axis=0)
+    return 2.0 ** (-depth / _c_factor(float(np.mean(trees["n_sample"]))))
+
 
-    def score(it):
-        mdl = bc.value
+def isolation_steps(trees: DataFrame) -> DataFrame:
+    """(column, step, lower_bound, score): the forest of each column as the step
+    function it is in one dimension.  Its steps begin at the split values of all
+    trees (a value equal to a split goes right), step 0 lies below the smallest; the
+    trees are walked once per step, at most n_trees x (sample_size - 1) + 1 a column."""
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        splits = np.unique([nd[0] for nodes in pdf["nodes"] for nd in nodes if not np.isnan(nd[0])])
+        score = tree_scores(pdf, np.concatenate([[-np.inf], splits]))
+        return pd.DataFrame({"column": pdf["column"].iloc[0], "step": np.arange(len(score), dtype="int32"),
+                             "lower_bound": np.concatenate([[np.nan], splits]), "score": score})
+
+    out = trees.groupBy("column").applyInPandas(steps, STEP_SCHEMA)
+    return out.withColumn("lower_bound", F.nanvl("lower_bound", F.lit(None).cast("double")))
+
+
+def isolation_scores(counts: DataFrame, steps: DataFrame) -> DataFrame:
+    """(column, value, cnt, score): every distinct value by binary search among the
+    steps of its column, which are broadcast (their number is bounded, see
+    ``isolation_steps``)."""
+    found = steps.orderBy("column", "step").toPandas()
+    model = {col: (g["lower_bound"].to_numpy(dtype=float)[1:], g["score"].to_numpy(dtype=float))
+             for col, g in found.groupby("column")}
+    bc = counts.sparkSession.sparkContext.broadcast(model)
+
+    def look(it):
         for pdf in it:
-            if pdf.empty:
-                continue
-            outs = []
-            for col, g in pdf.groupby("column"):
-                forest = mdl[col]
-                v = g["value"].to_numpy(dtype=float)
-                depth = np.mean([_path_lengths(nodes, v) for nodes, _ in forest], axis=0)
-                cn = _c_factor(np.mean([m for _, m in forest]))
-                outs.append(pd.DataFrame({"column": col, "value": v, "score": 2.0 ** (-depth / cn)}))
-            yield pd.concat(outs)
+            score = np.empty(len(pdf))
+            for col, at in pdf.groupby("column").indices.items():
+                bounds, scores = bc.value[col]
+                score[at] = scores[np.searchsorted(bounds, pdf["value"].to_numpy(dtype=float)[at], side="right")]
+            yield pdf.assign(score=score)
+
+    return counts.mapInPandas(look, "column string, value double, cnt long, score double")
+
+
+def isolation_forest(df: DataFrame, cols: list[str], contamination: float = 0.1, n_trees: int = 100,
+                     sample_size: int = 256, seed: int = 42, min_rows: int = 10, k_examples: int = 5) -> DataFrame:
+    """per column, flag the ``contamination`` share of values with the
+    highest isolation score.
 
+    One shuffle over rows counts the distinct values, which are stored; the trees
+    are grown from them (``isolation_trees``), merged into one step table a column
+    (``isolation_steps``) and each distinct value is looked up there once.  As a
+    column has no more scores than steps, the exact (1 - contamination) quantile and
+    the counts come from one small (column, score) table."""
     from gridscope.session import materialize
-    # scored once (Python), written to the checkpoint folder and re-read by the
-    # quantile and the flagging passes
-    scored = materialize(keep.mapInPandas(score, "column string, value double, score double"), "iforest")
-    cut = quantiles(scored, "score", [1 - contamination], by=["column"]).select("column", F.col("q").alias("_cut"))
-    flagged = scored.join(F.broadcast(cut), "column").filter(F.col("score") > F.col("_cut")).withColumn(
-        "_dist", F.col("score"))
-    cnt = flagged.groupBy("column").agg(F.count(F.lit(1)).alias("outlier_count"))
-    out = n.join(cnt, "column", "left").fillna(0, ["outlier_count"])
+    from pyspark.sql import Window
+    spark = df.sparkSession
+    counts = materialize(to_long(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")), "ivalues")
+    n = counts.groupBy("column").agg(F.sum("cnt").alias("n")).filter(F.col("n") >= min_rows)
+    sizes = {r["column"]: r["n"] for r in n.collect()}
+    if not sizes:
+        return spark.createDataFrame([], NO_OUTLIERS)
+    counts = counts.filter(F.col("column").isin(list(sizes)))
+    trees = isolation_trees(counts, sizes, n_trees, sample_size, seed)
+    scored = materialize(isolation_scores(counts, isolation_steps(trees)), "iforest")
+    per = scored.groupBy("column", "score").agg(F.sum("cnt").alias("cnt"))
+    each = Window.partitionBy("column")
+    at = (F.col("n") - 1) * (1 - contamination)
+    run = per.select("column", "score", "cnt", F.sum("cnt").over(each.orderBy("score")).alias("cum"), F.sum("cnt").over(each).alias("n"))
+    ends = run.groupBy("column", "n").agg(
+        F.min(F.when(F.col("cum") > F.floor(at), F.col("score"))).alias("a"),
+        F.min(F.when(F.col("cum") > F.least(F.floor(at) + 1, F.col("n") - 1), F.col("score"))).alias("b"))
+    cut = ends.select("column", "n", (F.col("a") + (at - F.floor(at)) * (F.col("b") - F.col("a"))).alias("_cut"))
+    above = per.join(F.broadcast(cut.drop("n")), "column").filter(F.col("score") > F.col("_cut"))
+    out = cut.select("column", "n").join(
+        above.groupBy("column").agg(F.sum("cnt").alias("outlier_count")), "column", "left").fillna(0, ["outlier_count"])
+    flagged = scored.join(F.broadcast(cut.drop("n")), "column").filter(F.col("score") > F.col("_cut")).select(
+        "column", "value", F.col("score").alias("_dist"),
+        F.explode(F.array_repeat(F.lit(1), F.least("cnt", F.lit(k_examples)).cast("int"))))
     return _with_examples(out, flagged, k_examples).select(
         "column", "outlier_count", (F.col("outlier_count") / F.col("n") * 100).alias("outlier_percentage"),
         "outlier_values")

@@ -13,6 +13,7 @@ from gridscope.operators import models as H
 from gridscope.operators import outliers as O
 from gridscope.operators import relations as R
 from gridscope.operators import stattests as T
+from gridscope.operators.aggregates import to_long
 from paths import SF_MID
 
 
@@ -118,6 +119,46 @@ def test_isolation_forest_share(spark, events):
     assert 8.0 <= r["outlier_percentage"] <= 12.0
 
 
+def test_isolation_steps_equal_the_walk_and_duckdb(spark, events):
+    """The step table scores like the trees, and DuckDB finds the same outliers from
+    the stored steps."""
+    import duckdb
+    df = events.selectExpr("value", "CAST(floor(value / 7) AS DOUBLE) AS coarse", "CAST(NULL AS DOUBLE) AS void")
+    cols = ["value", "coarse", "void"]
+    counts = to_long(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    sizes = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.sum("cnt").alias("n")).collect()}
+    assert set(sizes) == {"value", "coarse"}
+    forest = O.isolation_trees(counts, sizes)
+    steps = O.isolation_steps(forest)
+    got = O.isolation_scores(counts, steps).toPandas()
+    trees = forest.toPandas()
+    for col, g in got.groupby("column"):
+        walked = O.tree_scores(trees[trees["column"] == col], g["value"].to_numpy())
+        assert np.array_equal(walked, g["score"].to_numpy())
+    con = duckdb.connect()
+    con.register("steps", steps.toPandas())
+    con.register("counted", got[["column", "value", "cnt"]])
+    want = {r[0]: r[1:] for r in con.sql("""
+        WITH s AS (SELECT "column" AS col, coalesce(lower_bound, '-infinity'::DOUBLE) AS lo, score FROM steps
+                   WHERE lower_bound IS NULL OR NOT isnan(lower_bound) OR step = 0),
+        st AS (SELECT col, CASE WHEN isnan(lo) THEN '-infinity'::DOUBLE ELSE lo END AS lo, score FROM s),
+        v AS (SELECT c."column" AS col, c.value, unnest(range(c.cnt)) AS k FROM counted c),
+        x AS (SELECT v.col, v.value, st.score FROM v ASOF JOIN st ON v.col = st.col AND v.value >= st.lo),
+        q AS (SELECT col, quantile_cont(score, 0.9) AS cut, count(*) AS n FROM x GROUP BY col)
+        SELECT x.col, count(*) FILTER (WHERE x.score > q.cut), any_value(q.n) FROM x JOIN q USING (col) GROUP BY x.col""").fetchall()}
+    for r in O.isolation_forest(df, cols).collect():
+        count, n = want[r["column"]]
+        assert r["outlier_count"] == count and r["outlier_percentage"] == pytest.approx(count / n * 100)
+        assert len(r["outlier_values"] or []) == min(5, count)
+
+
+def test_isolation_forest_edges(spark):
+    assert O.isolation_forest(spark.createDataFrame([], "x double"), ["x"]).count() == 0
+    same = spark.createDataFrame([(1.0,)] * 12, "x double")
+    r = O.isolation_forest(same, ["x"]).first()
+    assert (r["outlier_count"], r["outlier_percentage"], r["outlier_values"]) == (0, 0.0, None)
+
+
 def test_density_integrates_to_one(spark, events):
     d = sorted((r["x"], r["density"]) for r in K.density(events, "value").collect())
     xs, ys = np.array([x for x, _ in d]), np.array([y for _, y in d])
