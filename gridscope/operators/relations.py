@@ -208,50 +208,70 @@ def partial_correlations(df: DataFrame, cols: list[str], alpha: float = 0.05,
 REFUTING_ROWS = 20_000
 
 
-def _refuted(txt: DataFrame, cols: list[str]) -> set[tuple[str, str]]:
-    """Pairs a -> b with a counter-example among some rows (whichever they are):
-    those can't hold, and no pair that holds is ever among them."""
+def _refuted(txt: DataFrame, cols: list[str]) -> tuple[set[tuple[str, str]], set[str]]:
+    """Among some rows (whichever they are): pairs a -> b with a counter-example and
+    columns with a repeated value.  Those can't hold and can't be keys; nothing else
+    is concluded from them."""
     some = txt.limit(REFUTING_ROWS).toPandas()
-    out = set()
+    pairs, repeated = set(), set()
     for a in cols:
-        kinds = some[some[a].notna()].groupby(a).nunique()
-        out |= {(a, b) for b in cols if b != a and (kinds[b] > 1).any()}
-    return out
+        there = some[some[a].notna()]
+        kinds = there.groupby(a).nunique()
+        pairs |= {(a, b) for b in cols if b != a and (kinds[b] > 1).any()}
+        repeated |= {a} if there[a].duplicated().any() else set()
+    return pairs, repeated
+
+
+def _keys(txt: DataFrame, cols: list[str]) -> set[str]:
+    """The columns whose non-null values are all distinct: one shuffle of
+    (column, value) pairs, combined before it."""
+    if not cols:
+        return set()
+    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("k"), c(x).alias("a")) for x in cols])).alias("t")
+    per = txt.select(pairs).select("t.k", "t.a").filter("a IS NOT NULL").groupBy("k", "a").agg(F.count(F.lit(1)).alias("n"))
+    repeated = per.groupBy("k").agg(F.max("n").alias("most")).filter("most > 1").collect()
+    return set(cols) - {r["k"] for r in repeated}
 
 
 def functional_dependencies(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """ordered pairs a -> b where every non-null a value has exactly one
     distinct non-null b (a group whose b is all NULL fails).
 
-    Pairs refuted by a bounded number of rows are left out; all others are
-    verified exactly over all rows by one aggregate with map-side combining.
+    Pairs refuted by a bounded number of rows are left out; all others are verified
+    exactly over all rows.  Keys come first: their classes are single rows, so a key
+    determines b when b is nowhere null beside it, which one aggregate without a
+    shuffle of rows tells for all keys.  The other determinants have classes of
+    several rows and share one aggregate with map-side combining, in which a row
+    takes part once per determinant and carries that determinant's candidates.
     ``is_key`` flags a determinant whose values are all distinct (it determines
-    every column)."""
+    every column).  An all-null determinant or an empty table has no counter-example,
+    so the dependency holds with 0 groups."""
     cols = cols or df.columns
     spark = df.sparkSession
     txt = df.select(*[c(x).cast("string").alias(x) for x in cols])
-    never = _refuted(txt, cols)
-    cands = [(a, b) for a in cols for b in cols if a != b and (a, b) not in never]
-    rows = []
-    if cands:
-        # every candidate verified by the same two aggregates: rows carry one
-        # (candidate, a, b) triple per candidate whose determinant is present
-        trip = F.array(*[F.when(c(a).isNotNull(), F.struct(F.lit(i).alias("k"), c(a).alias("a"), c(b).alias("b")))
-                         for i, (a, b) in enumerate(cands)])
-        long = txt.select(F.explode(F.filter(trip, lambda s: s.isNotNull())).alias("t")).select("t.k", "t.a", "t.b")
-        per_a = long.groupBy("k", "a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
-        bad = F.col("lo").isNull() | (F.col("lo") != F.col("hi"))
-        res = per_a.groupBy("k").agg(F.count(F.lit(1)).alias("groups"), F.count_if(bad).alias("bad"))
-        found = {r["k"]: r for r in res.collect()}
-        for i, (a, b) in enumerate(cands):
-            r = found.get(i)
-            groups, bad = (r["groups"], r["bad"]) if r else (0, 0)
-            if bad == 0:
-                rows.append((a, b, "functional_dependency", "complete", int(groups)))
-    out = spark.createDataFrame(rows, "determinant string, dependent string, type string, strength string, groups long")
-    nn = txt.agg(*[F.count(c(x)).alias(x) for x in cols]).first().asDict()
-    keys = spark.createDataFrame([(x, nn[x]) for x in cols], "determinant string, _nn long")
-    return out.join(keys, "determinant").withColumn("is_key", F.col("groups") == F.col("_nn")).drop("_nn")
+    never, repeated = _refuted(txt, cols)
+    cands = {a: [b for b in cols if b != a and (a, b) not in never] for a in cols}
+    cands = {a: bs for a, bs in cands.items() if bs}
+    keys = _keys(txt, [a for a in cands if a not in repeated])
+    alone = [F.count_if(c(a).isNotNull() & c(b).isNull()).alias(f"bad_{cols.index(a)}_{cols.index(b)}") for a in keys for b in cands[a]]
+    one = txt.agg(*[F.count(c(x)).alias(f"nn_{i}") for i, x in enumerate(cols)], *alone).first().asDict()
+    found = {(a, b): (one[f"nn_{cols.index(a)}"], one[f"bad_{cols.index(a)}_{cols.index(b)}"]) for a in keys for b in cands[a]}
+    rest = [a for a in cands if a not in keys]
+    if rest:
+        width = max(len(cands[a]) for a in rest)
+        slots = lambda a: [c(b) for b in cands[a]] + [F.lit(None).cast("string")] * (width - len(cands[a]))
+        rows = F.filter(F.array(*[F.when(c(a).isNotNull(), F.struct(
+            F.lit(i).alias("k"), c(a).alias("a"), *[b.alias(f"b{j}") for j, b in enumerate(slots(a))])) for i, a in enumerate(rest)]),
+            lambda r: r.isNotNull())
+        each = txt.select(F.explode(rows).alias("t")).select("t.*")
+        per_a = each.groupBy("k", "a").agg(*[f(f"b{j}").alias(f"{n}{j}") for j in range(width) for n, f in (("lo", F.min), ("hi", F.max))])
+        bad = [F.count_if(F.col(f"lo{j}").isNull() | (F.col(f"lo{j}") != F.col(f"hi{j}"))).alias(f"bad{j}") for j in range(width)]
+        res = {r["k"]: r for r in per_a.groupBy("k").agg(F.count(F.lit(1)).alias("groups"), *bad).collect()}
+        for i, a in enumerate(rest):
+            found |= {(a, b): (res[i]["groups"], res[i][f"bad{j}"]) if i in res else (0, 0) for j, b in enumerate(cands[a])}
+    held = [(a, b, "functional_dependency", "complete", int(found[a, b][0]), found[a, b][0] == one[f"nn_{cols.index(a)}"])
+            for a in cands for b in cands[a] if not found[a, b][1]]
+    return spark.createDataFrame(held, "determinant string, dependent string, type string, strength string, groups long, is_key boolean")
 
 
 def scatter_fit(df: DataFrame, x: str, y: str, min_abs_r: float = 0.3) -> DataFrame:

@@ -86,6 +86,15 @@ def partial_three(spark, sf):
     return round_cols(p.select("var1", "var2", "correlation"))
 
 
+def _dependency_sql(rows: str, cols: list[str]) -> str:
+    """Every ordered pair of ``cols`` checked over the rows of the SELECT ``rows``."""
+    return f"WITH nr AS ({rows})\nSELECT * FROM (" + "\nUNION ALL\n".join(
+        f"SELECT '{a}' AS determinant, '{b}' AS dependent, 'functional_dependency' AS type, 'complete' AS strength, "
+        f"count(*) AS groups, count(*) = (SELECT count({a}) FROM nr) AS is_key "
+        f"FROM (SELECT {a}, count(DISTINCT {b}) AS nb FROM nr WHERE {a} IS NOT NULL GROUP BY 1) HAVING count_if(nb <> 1) = 0"
+        for a in cols for b in cols if a != b) + ")"
+
+
 NR_COLS = ["n_nationkey", "n_name", "n_regionkey", "r_name"]
 
 
@@ -95,17 +104,33 @@ def _nation_region(spark, sf):
     return n.join(r, n.n_regionkey == r.r_regionkey).select(*NR_COLS)
 
 
-@query("functional_deps", "WITH nr AS (SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region "
-       "ON n_regionkey = r_regionkey)\nSELECT * FROM (" + "\nUNION ALL\n".join(
-    f"SELECT '{a}' AS determinant, '{b}' AS dependent, 'functional_dependency' AS type, 'complete' AS strength, "
-    f"count(*) AS groups, count(*) = (SELECT count({a}) FROM nr) AS is_key "
-    f"FROM (SELECT {a}, count(DISTINCT {b}) AS nb FROM nr WHERE {a} IS NOT NULL GROUP BY 1) HAVING count_if(nb <> 1) = 0"
-    for a in NR_COLS for b in NR_COLS if a != b) + ")")
+@query("functional_deps", _dependency_sql(
+    "SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", NR_COLS))
 def functional_deps(spark, sf):
     """F6 over nation joined with region."""
     return R.functional_dependencies(_nation_region(spark, sf), NR_COLS)
 
 
+SALES_COLS = ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "c_name", "c_nationkey", "c_mktsegment", "l_linenumber"]
+
+
+@query("functional_deps_sales", _dependency_sql(
+    f"SELECT {', '.join(SALES_COLS)} FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey",
+    SALES_COLS))
+def functional_deps_sales(spark, sf):
+    """F6 over all line items with their orders and customers."""
+    li, o, cu = t(spark, sf, "lineitem"), t(spark, sf, "orders"), t(spark, sf, "customer")
+    sales = li.join(o, li.l_orderkey == o.o_orderkey).join(cu, o.o_custkey == cu.c_custkey).select(*SALES_COLS)
+    return R.functional_dependencies(sales, SALES_COLS)
+
+
+@query("functional_deps_orders", _dependency_sql("SELECT * FROM orders", [
+    "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]))
+def functional_deps_orders(spark, sf):
+    """F6 over all orders: a key and what it determines."""
+    return R.functional_dependencies(t(spark, sf, "orders"))
+
+
 @query("scatter_fit", """
 SELECT 'l_quantity' AS x, 'l_extendedprice' AS y, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n,
   round(corr(l_quantity, l_extendedprice), 6) AS correlation, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,

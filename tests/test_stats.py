@@ -119,6 +119,28 @@ def test_isolation_forest_share(spark, events):
     assert 8.0 <= r["outlier_percentage"] <= 12.0
 
 
+def test_functional_dependencies_brute_force(spark):
+    """Keys, classes of several rows, nulls on both sides and an all-null column."""
+    rng = np.random.default_rng(5)
+    rows = [(i, int(i // 2), "g%d" % (i // 4), None if i % 8 < 4 else "h", int(rng.integers(0, 3)), None if i == 7 else i * 3, None)
+            for i in range(48)]
+    cols = ["k", "pair", "four", "half", "any", "gap", "void"]
+    df = spark.createDataFrame(rows, "k int, pair int, four string, half string, any int, gap int, void string")
+    got = {(r["determinant"], r["dependent"]): (r["groups"], r["is_key"]) for r in R.functional_dependencies(df).collect()}
+    want = {}
+    for i, a in enumerate(cols):
+        classes = {}
+        for r in rows:
+            if r[i] is not None:
+                classes.setdefault(r[i], []).append(r)
+        for j, b in enumerate(cols):
+            if i != j and all(len({r[j] for r in g} - {None}) == 1 for g in classes.values()):
+                want[a, b] = (len(classes), len(classes) == sum(len(g) for g in classes.values()))
+    assert got == want and ("pair", "four") in want and ("k", "gap") not in want and ("gap", "k") in want
+    assert R.functional_dependencies(df.select("k")).count() == 0
+    assert {r["groups"] for r in R.functional_dependencies(df.limit(0)).collect()} == {0}
+
+
 def test_isolation_steps_equal_the_walk_and_duckdb(spark, events):
     """The step table scores like the trees, and DuckDB finds the same outliers from
     the stored steps."""
