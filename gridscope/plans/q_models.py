@@ -23,6 +23,66 @@ def pca_variance(spark, sf):
     return round_cols(H.pca(t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 
 
+PART = ["p_size", "p_retailprice"]
+
+
+@query("kmeans_nearest", """
+SELECT p_size, p_retailprice, count(*) AS n, TRUE AS nearest FROM part
+WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL GROUP BY ALL""")
+def kmeans_nearest(spark, sf):
+    """H1, H2: every row's label is its nearest centre, on scores computed anew."""
+    part = t(spark, sf, "part").dropna(subset=PART)
+    labelled, centres, _, _, _, _ = H.kmeans(part, PART)
+    st = part.agg(*[f(x).alias(f"{n}_{x}") for x in PART for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    both = labelled.crossJoin(F.broadcast(st)).crossJoin(F.broadcast(centres.withColumnRenamed("cluster", "other")))
+    d = sum((F.pow((F.col(x) - F.col(f"m_{x}")) / F.col(f"s_{x}") - F.col("center")[i], F.lit(2)) for i, x in enumerate(PART)), F.lit(0.0))
+    each = both.groupBy(*PART, "cluster").agg(F.min(d).alias("least"), F.min(F.when(F.col("cluster") == F.col("other"), d)).alias("own"),
+                                              F.count_if(F.col("cluster") == F.col("other")).alias("n"))
+    return each.groupBy(*PART).agg(F.sum("n").alias("n"), F.bool_and(F.col("own") <= F.col("least") + 1e-9).alias("nearest"))
+
+
+@query("cluster_totals", "\nUNION ALL\n".join(
+    f"SELECT '{x}' AS column, count(*) AS n, round(avg({x}), 6) AS mean, round(avg({x}::DOUBLE * {x}), 3) AS mean_square, "
+    f"min({x})::DOUBLE AS lowest, max({x})::DOUBLE AS highest, 100.0::DOUBLE AS percentage FROM part" for x in PART))
+def cluster_totals(spark, sf):
+    """The clusters' sizes, means, deviations and ends put together give
+    those of all rows."""
+    _, _, summary, _, _, _ = H.kmeans(t(spark, sf, "part"), PART)
+    n = F.sum("size")
+    squares = (F.col("size") - 1) * F.coalesce(F.col("std"), F.lit(0.0)) ** 2 + F.col("size") * F.col("mean") ** 2
+    return summary.groupBy("column").agg(
+        n.alias("n"), F.round(F.sum(F.col("size") * F.col("mean")) / n, 6).alias("mean"), F.round(F.sum(squares) / n, 3).alias("mean_square"),
+        F.min("min").alias("lowest"), F.max("max").alias("highest"), F.round(F.sum("percentage"), 6).alias("percentage"))
+
+
+PCA_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("pca_invariants", "WITH m AS (" + "\nUNION ALL\n".join(
+    f"SELECT {i} AS i, {j} AS j, corr({a}, {b}) AS r FROM lineitem" for i, a in enumerate(PCA_COLS) for j, b in enumerate(PCA_COLS)) + """),
+p2 AS (SELECT x.i, y.j, sum(x.r * y.r) AS r FROM m x JOIN m y ON x.j = y.i GROUP BY ALL),
+p3 AS (SELECT x.i, y.j, sum(x.r * y.r) AS r FROM p2 x JOIN m y ON x.j = y.i GROUP BY ALL),
+p4 AS (SELECT x.i, y.j, sum(x.r * y.r) AS r FROM p3 x JOIN m y ON x.j = y.i GROUP BY ALL)
+SELECT 1 AS power, round(sum(r), 8) AS trace, TRUE AS eigenvectors FROM m WHERE i = j
+UNION ALL SELECT 2, round(sum(r), 8), TRUE FROM p2 WHERE i = j
+UNION ALL SELECT 3, round(sum(r), 8), TRUE FROM p3 WHERE i = j
+UNION ALL SELECT 4, round(sum(r), 8), TRUE FROM p4 WHERE i = j""")
+def pca_invariants(spark, sf):
+    """H4: the power sums of the four eigenvalues, which fix them all, are the traces
+    of the powers of the correlation matrix; the component vectors are eigenvectors
+    of the pairwise correlations."""
+    li = t(spark, sf, "lineitem")
+    k = len(PCA_COLS)
+    parts = H.pca(li, PCA_COLS, n_vectors=k)
+    eigen = F.col("explained_variance_ratio") * k
+    r = li.agg(F.array(*[F.array(*[F.corr(a, b) for b in PCA_COLS]) for a in PCA_COLS]).alias("r"))
+    image = F.transform("r", lambda row: F.aggregate(F.zip_with(row, "loadings", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
+    off = F.aggregate(F.zip_with(image, F.col("loadings"), lambda a, v: F.abs(a - eigen * v)), F.lit(0.0), lambda a, x: F.greatest(a, x))
+    both = parts.crossJoin(F.broadcast(r)).select(eigen.alias("e"), (off < 1e-8).alias("ok"))
+    return both.select("ok", F.posexplode(F.array(*[F.pow("e", F.lit(p)) for p in range(1, k + 1)])).alias("p", "v")).groupBy(
+        (F.col("p") + 1).alias("power")).agg(F.round(F.sum("v"), 8).alias("trace"), F.bool_and("ok").alias("eigenvectors"))
+
+
 @query("simple_regression", """
 SELECT 'l_extendedprice' AS target, round(regr_slope(l_extendedprice, l_quantity), 6) AS coefficient,
   round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r_squared,

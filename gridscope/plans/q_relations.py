@@ -131,6 +131,19 @@ def functional_deps_orders(spark, sf):
     return R.functional_dependencies(t(spark, sf, "orders"))
 
 
+TWIN_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
+
+
+@query("similar_twins", "\nUNION ALL\n".join(
+    f"SELECT ['{x}', '{x}_twin']::VARCHAR AS columns, 2 AS size FROM lineitem HAVING count(*) > 1" for x in TWIN_COLS))
+def similar_twins(spark, sf):
+    """four measures of all line items and a rescaled twin of each: with as many
+    clusters as measures, each cluster is a column and its twin."""
+    li = t(spark, sf, "lineitem").select(*TWIN_COLS, *[(F.col(x) * 3.0 + 1.0).alias(f"{x}_twin") for x in TWIN_COLS])
+    groups = R.similar_columns(li, [x + y for x in TWIN_COLS for y in ("", "_twin")])
+    return groups.select(F.concat(F.lit("["), F.array_join(F.array_sort("columns"), ", "), F.lit("]")).alias("columns"), "size")
+
+
 @query("scatter_fit", """
 SELECT 'l_quantity' AS x, 'l_extendedprice' AS y, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n,
   round(corr(l_quantity, l_extendedprice), 6) AS correlation, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,
