@@ -279,14 +279,26 @@ def points(df: DataFrame, axes: dict[str, str], keep: dict[str, str] | None = No
     return out.dropna(subset=list(axes))
 
 
-def scatter(df: DataFrame, x: str, y: str, color: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """K3: all points and the fit over them (F8)."""
-    return points(df, {"x": x, "y": y}, {"color": color} if color else None), scatter_fit(df, x, y)
+def _marks(color: str | None, size: str | None) -> dict[str, str]:
+    """The columns that colour and size the points, where given."""
+    return {name: col for name, col in (("color", color), ("size", size)) if col}
 
 
-def scatter3d(df: DataFrame, x: str, y: str, z: str, color: str | None = None) -> DataFrame:
+def scatter(df: DataFrame, x: str, y: str, color: str | None = None, size: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """K3: all points (with colour and size columns) and the fit over them (F8)."""
+    return points(df, {"x": x, "y": y}, _marks(color, size)), scatter_fit(df, x, y)
+
+
+def scatter3d(df: DataFrame, x: str, y: str, z: str, color: str | None = None, size: str | None = None) -> DataFrame:
     """All points in three dimensions."""
-    return points(df, {"x": x, "y": y, "z": z}, {"color": color} if color else None)
+    return points(df, {"x": x, "y": y, "z": z}, _marks(color, size))
+
+
+def scatter_with_fit(df: DataFrame, *columns: str) -> DataFrame:
+    """K3 as one dataset: every point (x, y and, when given, colour and size) with the
+    correlation and the line of the one-row fit."""
+    pts, fit = scatter(df, *columns[:4])
+    return pts.crossJoin(F.broadcast(fit.select("correlation", "slope", "intercept", "show_line")))
 
 
 def animated_scatter(df: DataFrame, x: str, y: str, frame: str) -> DataFrame:
@@ -315,7 +327,7 @@ def chart_data(df: DataFrame, chart_type: str, columns: list[str], key: str | No
     if t in ("correlation_matrix", "correlation_heatmap"):
         return correlation_heatmap(df, columns)[0]
     if t in ("scatter_plot", "scatter"):
-        return scatter_fit(df, columns[0], columns[1])
+        return scatter_with_fit(df, *columns)
     if t in ("bar_chart", "bar"):
         return bar(df, columns[0])
     if t in ("pie_chart", "pie"):
@@ -331,7 +343,7 @@ def chart_data(df: DataFrame, chart_type: str, columns: list[str], key: str | No
     if t in ("scatter_points",):
         return points(df, {"x": columns[0], "y": columns[1]})
     if t in ("scatter_3d", "scatter3d"):
-        return scatter3d(df, *columns[:3])
+        return scatter3d(df, *columns[:5])
     if t in ("animated_scatter",):
         return animated_scatter(df, *columns[:3])
     if t in ("parallel_coordinates",):

@@ -152,11 +152,19 @@ def comprehensive_statistics(df: DataFrame, numeric: list[str], categorical: lis
     return out
 
 
+def _time_column(df: DataFrame, types: DataFrame) -> str | None:
+    """The first column of semantic type date that holds times, else the first column
+    of a time type, else none."""
+    times = [x for x, kind in df.dtypes if kind in ("date", "timestamp", "timestamp_ntz")]
+    dates = {r["column"] for r in types.filter(F.col("type") == "date").select("column").collect()}
+    return next((x for x in times if x in dates), next(iter(times), None))
+
+
 def smart_analysis(df: DataFrame, statistics: bool = True) -> dict[str, DataFrame]:
     """Clean -> semantic types -> relationships -> chart recommendations
     -> ranked insights, and (unless ``statistics`` is off) the tables of
     ``comprehensive_statistics`` over the numeric and categorical columns under
-    ``statistics:<name>``."""
+    ``statistics:<name>``, with trends and series over the first date column."""
     spark = df.sparkSession
     cleaned, log = B.clean_table(df)
     cleaned = materialize(cleaned, "cleaned")  # later steps re-read it many times
@@ -184,7 +192,11 @@ def smart_analysis(df: DataFrame, statistics: bool = True) -> dict[str, DataFram
     more = {}
     if statistics and nums:
         texts = [r["column"] for r in types.filter(F.col("type") == "categorical").collect()]
-        more = {f"statistics:{k}": v for k, v in comprehensive_statistics(cleaned, nums, texts).items()}
+        time_col = _time_column(cleaned, types)
+        # rows of one time are put in the order of their contents
+        tie = "_contents" if time_col else None
+        data = cleaned.withColumn(tie, F.xxhash64(*[F.col(f"`{x}`") for x in cols])) if tie else cleaned
+        more = {f"statistics:{k}": v for k, v in comprehensive_statistics(data, nums, texts, time_col, tie).items()}
     return {
         **more,
         "cleaned": cleaned, "cleaning_log": log, "types": types,
@@ -248,6 +260,7 @@ def export_document(smart: dict[str, DataFrame], statistics: dict[str, DataFrame
     }
     if smart.get("correlations") is not None:
         groups["correlations"] = smart["correlations"]
-    if statistics and "describe" in statistics:
-        groups["statistics"] = statistics["describe"]
+    for name, data in (statistics or {}).items():
+        if data is not None and name != "cluster_labels":  # that one has a row per data row
+            groups["statistics" if name == "describe" else f"statistics_{name}"] = data
     return export_analysis(groups)

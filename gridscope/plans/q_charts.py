@@ -197,6 +197,19 @@ def scatter_3d(spark, sf):
     return round_cols(K.scatter3d(t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_discount"))
 
 
+@query("scatter_plot", """
+SELECT l_returnflag AS color, l_linenumber AS size, CAST(l_quantity AS DOUBLE) AS x, round(CAST(l_extendedprice AS DOUBLE), 6) AS y,
+  round((SELECT corr(l_quantity, l_extendedprice) FROM lineitem), 6) AS correlation,
+  round((SELECT regr_slope(l_extendedprice, l_quantity) FROM lineitem), 6) AS slope,
+  round((SELECT regr_intercept(l_extendedprice, l_quantity) FROM lineitem), 4) AS intercept,
+  (SELECT abs(corr(l_quantity, l_extendedprice)) > 0.3 FROM lineitem) AS show_line
+FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL""")
+def scatter_plot(spark, sf):
+    """K3 as recommended: all points with colour, size and the fit."""
+    data = K.chart_data(t(spark, sf, "lineitem"), "scatter_plot", ["l_quantity", "l_extendedprice", "l_returnflag", "l_linenumber"])
+    return round_cols(data, {"y": 6, "correlation": 6, "slope": 6, "intercept": 4})
+
+
 @query("engagement_matrix", """
 WITH m AS (SELECT c.c_mktsegment AS Escola, o_orderpriority || ' - ' || o_orderstatus AS area_metrica,
                   avg(o_totalprice) AS media FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2)

@@ -60,14 +60,28 @@ def start(agg: DataFrame, checkpoint: str, sink: str = "memory", name: str = "en
 
 
 def watch_sheets(spark, folder: str, schema: str, entity: str, score_cols: list[str], checkpoint: str,
-                 name: str = "sheet_means", trigger_once: bool = False):
+                 name: str = "sheet_means", trigger_once: bool = False, path: str | None = None):
     """Score sheets (same layout) as they land in ``folder``: each new CSV
     file is a sheet named by its file name; the running entity means are
-    kept in the streaming state.  Returns the started query."""
+    kept in the streaming state.  Returns the started query.
+
+    With ``path`` each batch appends the means it has changed as Parquet under
+    ``batch=<id>`` (a batch that runs again replaces its own files) and
+    ``latest_means`` reads the present ones; without it all means are kept in
+    the driver's memory table ``name``, for tries on small folders."""
     files = (spark.readStream.option("header", True).schema(schema).csv(folder)
              .withColumn("_sheet", F.col("_metadata.file_name")))
-    scores = stream_row_scores(clean_rows(files), entity, "_sheet", score_cols)
-    w = running_entity_means(scores).writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+    means = running_entity_means(stream_row_scores(clean_rows(files), entity, "_sheet", score_cols))
+    w = means.writeStream.outputMode("update" if path else "complete").option("checkpointLocation", checkpoint)
     if trigger_once:
         w = w.trigger(availableNow=True)
+    if path:
+        return w.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")).start()
     return w.format("memory").queryName(name).start()
+
+
+def latest_means(spark, path: str) -> DataFrame:
+    """The present mean of every sheet and entity from the batches in ``path``."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    last = rows.groupBy(SHEET, ENTITY).agg(F.max_by(F.struct(MEAN, USED), "batch").alias("m"))
+    return last.select(SHEET, ENTITY, "m.*")

@@ -6,7 +6,7 @@ from paths import SF_SMALL
 
 
 def test_smart_analysis(spark):
-    r = P.smart_analysis(table(spark, SF_SMALL, "orders"))
+    r = P.smart_analysis(table(spark, SF_SMALL, "orders"), statistics=False)
     assert {"cleaned", "cleaning_log", "types", "dependencies", "anomalies", "chart_recommendations",
             "insights"} <= set(r)
     types = {x["column"]: x["type"] for x in r["types"].collect()}
@@ -16,6 +16,22 @@ def test_smart_analysis(spark):
     assert r["insights"].count() >= 1
 
 
+def test_smart_analysis_finds_the_time_column(spark, monkeypatch):
+    """The statistics step gets the order date and a tie-breaker from the rows' contents."""
+    given = {}
+
+    def record(data, nums, texts, time_col, tie):
+        given.update(columns=data.columns, nums=nums, time_col=time_col, tie=tie)
+        return {}
+
+    monkeypatch.setattr(P, "comprehensive_statistics", record)
+    P.smart_analysis(table(spark, SF_SMALL, "orders"))
+    assert given["time_col"] == "o_orderdate" and given["tie"] in given["columns"]
+    assert given["tie"] not in given["nums"] and "o_totalprice" in given["nums"]
+    types = spark.createDataFrame([("x", "numeric")], "column string, type string")
+    assert P._time_column(spark.createDataFrame([(1,)], "x int"), types) is None
+
+
 def test_auto_structure(spark):
     r = P.auto_structure(table(spark, SF_SMALL, "lineitem"), preview_order=["l_orderkey", "l_linenumber"])
     assert r["columns"].count() == 11 and r["preview"].count() == 10
@@ -35,9 +51,10 @@ def test_comprehensive_statistics(spark):
 
 def test_export_document(spark):
     import json
-    r = P.smart_analysis(table(spark, SF_SMALL, "customer"))
+    r = P.smart_analysis(table(spark, SF_SMALL, "customer"), statistics=False)
     stats = {"describe": __import__("gridscope.operators.aggregates", fromlist=["describe"]).describe(
-        r["cleaned"], ["c_acctbal"])}
+        r["cleaned"], ["c_acctbal"]), "normality": spark.range(1), "cluster_labels": r["cleaned"]}
     doc = json.loads(P.export_document(r, stats).first()["document"])
     assert {"data_info", "cleaning_log", "column_types", "insights", "chart_recommendations", "statistics"} <= set(doc)
     assert doc["data_info"][0]["rows"] == 150
+    assert "statistics_normality" in doc and "statistics_cluster_labels" not in doc

@@ -65,6 +65,20 @@ def test_watch_sheets(spark, tmpdir_fresh):
     assert got == {("a.csv", "X"): 8.0, ("a.csv", "Y"): 5.0, ("b.csv", "X"): 2.0}
 
 
+def test_watch_sheets_to_files(spark, tmpdir_fresh):
+    """Batches on disk give the present means, also after a restart."""
+    folder, path = os.path.join(tmpdir_fresh, "landing"), os.path.join(tmpdir_fresh, "means")
+    os.makedirs(folder)
+    for name, text in (("a.csv", "X,7,9\nY,5,\n"), ("b.csv", "X,1,3\nX,5,7\n")):
+        with open(os.path.join(folder, name), "w") as f:
+            f.write("nome,nota1,nota2\n" + text)
+        q = ST.watch_sheets(spark, folder, "nome string, nota1 string, nota2 string", "nome", ["nota1", "nota2"],
+                            os.path.join(tmpdir_fresh, "ck"), trigger_once=True, path=path)
+        q.awaitTermination()
+    got = {(r["Planilha"], r["Escola"]): (r["Media"], r["Valores_Utilizados"]) for r in ST.latest_means(spark, path).collect()}
+    assert got == {("a.csv", "X"): (8.0, 1), ("a.csv", "Y"): (5.0, 1), ("b.csv", "X"): (4.0, 2)}
+
+
 def test_many_analyses_are_one_append(spark, tmpdir_fresh):
     from gridscope.operators.history import HistoryStore
     store = HistoryStore(spark, tmpdir_fresh)
