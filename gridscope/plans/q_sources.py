@@ -28,8 +28,8 @@ def detect_format(spark, sf):
     paths = ",".join(_FORMAT_TABLES)
     found = A.detect_format(spark, f"{sf}/{{{paths}}}.parquet").withColumn("file", F.element_at(F.split("path", "/"), -1))
     read = None
-    for n in _FORMAT_TABLES:
-        rows = A.read_parquet(spark, f"{sf}/{n}.parquet").agg(F.lit(f"{n}.parquet").alias("file"), F.count(F.lit(1)).alias("rows"))
+    for r in found.select("file", "path", "format").orderBy("file").collect():  # one row a file
+        rows = A.read_detected(spark, r["path"], r["format"]).agg(F.lit(r["file"]).alias("file"), F.count(F.lit(1)).alias("rows"))
         read = rows if read is None else read.unionByName(rows)
     return found.join(F.broadcast(read), "file").select("file", "extension", "format", "decided_by", "rows")
 

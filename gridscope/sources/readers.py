@@ -161,6 +161,15 @@ def detect_format(spark: SparkSession, path: str) -> DataFrame:
     return by_ext.unionByName(by_bytes)
 
 
+def read_detected(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """One file (or folder) by the format that ``detect_format`` has found for it;
+    workbooks and other formats without a table reader are an error."""
+    readers = {"parquet": read_parquet, "json": read_json_table, "csv": read_csv_sniffed, "feather": read_feather}
+    if fmt not in readers:
+        raise ValueError(f"no table reader for format {fmt}: {path}")
+    return readers[fmt](spark, path)
+
+
 def read_sheets(spark: SparkSession, path: str, allowed: tuple[str, ...] = ("xlsx", "xls", "csv")) -> DataFrame:
     """Every allowed file as a typed-as-text table in one DataFrame with
     the file name as ``Planilha`` (``unionByName`` over different shapes is

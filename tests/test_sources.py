@@ -149,3 +149,17 @@ def test_encoding_is_judged_on_all_bytes_and_per_file(spark, tmpdir_fresh):
     assert got == {"a.csv": ("utf-8", ";"), "b.csv": ("latin-1", ",")}
     df = A.read_csv_sniffed(spark, folder)
     assert df.count() == 20002 and df.filter("name = 'café'").count() == 1 and df.filter("name LIKE '%aé'").count() == 1
+
+
+def test_read_detected(spark, tmp_path):
+    """Each file is read by the format found in its name or its bytes."""
+    (tmp_path / "a.json").write_text('[{"x": 1}, {"x": 2}]')
+    (tmp_path / "b.csv").write_text("x;y\n1;2\n3;4\n5;6\n")
+    (tmp_path / "plain").write_text('[{"x": 1}]')
+    spark.range(4).write.parquet(str(tmp_path / "d.parquet"))
+    got = {r["path"].rsplit("/", 1)[1]: A.read_detected(spark, r["path"], r["format"]).count()
+           for name in ("a.json", "b.csv", "plain") for r in A.detect_format(spark, str(tmp_path / name)).collect()}
+    assert got == {"a.json": 2, "b.csv": 3, "plain": 1}
+    assert A.read_detected(spark, str(tmp_path / "d.parquet"), "parquet").count() == 4
+    with pytest.raises(ValueError):
+        A.read_detected(spark, str(tmp_path / "b.csv"), "excel")
