@@ -4,16 +4,20 @@ Native: DataFrame functions only.
 
 Base kinds (email, ip, card, phone) are found by pattern and checked; quoted long
 tokens are further seeds of kind ``secret``.  Every seed and every other
-identifier-like string (8 or more characters, 4 or more digits) is an instance;
-the words before it, and the words around it, are its lexical patterns.  Spark
-scores the pattern-instance graph in rounds: a pattern's score is the share of
-its instances' scores (with ``PRIOR`` doubtful instances added), an instance's score
-is one minus the product of its patterns' doubts, and seeds stay at 1.
-Instances that reach ``ACCEPT`` become spans of kind ``found``.
-
-The graph holds (pattern, instance, count) rows; texts are read once and never
-shuffled.  Patterns with a large share of the rows are summed before the shuffle
-and joined against one row each.
+identifier-like string (8 or more characters, 4 or more digits, also in groups
+between blanks or colons) is an instance; the words before it, and the words around
+it, are its lexical patterns.  The pattern-instance graph is scored in rounds, and
+each round induces its patterns anew, from the seeds and the instances accepted so
+far: a pattern needs ``MIN_SEEDS`` different ones.  Its score is the share of its
+instances' scores in all words that stand in its slot anywhere in the corpus, ordinary
+words included (with ``PRIOR`` doubtful ones added); an instance's score is one minus
+the product of its patterns' doubts, and seeds stay at 1.  Instances that reach
+``ACCEPT`` become spans of kind ``found``; rounds end when scores change no more.
+
+The graph holds (pattern, instance, count) rows; texts are read twice (matches, slots)
+and never shuffled.  Words in slots are counted before the shuffle, for patterns only
+that enough instances share.  Patterns with a large share of the rows are summed before
+the shuffle and joined against one row each.
 """
 
 from __future__ import annotations
@@ -21,12 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscope.llm.common import documents, stored, text_of
+from gridscope.llm.common import BROADCAST_ROWS, documents, stored, text_of
 
-ROUNDS = 3
+ROUNDS = 6
 PRIOR = 1.0
 MIN_SEEDS = 3
 ACCEPT = 0.8
+#: Characters on each side that a pattern looks at: part of what a pattern is.
 CONTEXT = 60
 
 # Possessive loops and look-behinds only avoid needless retries; matches are those
@@ -36,7 +41,8 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _SECRET = r"(?<=[\"'])[A-Za-z0-9_+/=-]{24,}+(?=[\"'])"
-_TOKEN = r"(?<![A-Za-z0-9_/+.@-])[A-Za-z_/+.-]*+[0-9][A-Za-z0-9_/+.-]*+"
+_GROUPS = r"(?:[0-9A-Fa-f]{2,4}+(?::[0-9A-Fa-f]{2,4}+){2,}+|[0-9]{2,6}+(?:\x20[0-9]{2,6}+)+)(?![A-Za-z0-9_/+.@:-])"
+_TOKEN = rf"(?<![A-Za-z0-9_/+.@:-])(?:{_GROUPS}|[A-Za-z_/+.-]*+[0-9][A-Za-z0-9_/+.-]*+)"
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "found")
 _SPANS = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
@@ -45,19 +51,27 @@ _SPANS = "array<struct<start:int,end:int,hit:string,before:string,after:string>>
 def spans_of(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit, before, after>>: non-overlapping matches with
     places in code points and the text around them."""
-    gaps = F.split(text, pattern, -1)
-    rows = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
-                        F.slice(gaps, 2, F.size(gaps)).alias("next"))
+    # Both arrays are worked out once: everything else reads the lambda's struct.
+    both = F.array(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")))
+
+    def zipped(g):
+        n = F.size(g["gaps"])
+        return F.arrays_zip(g["gaps"].alias("gap"), g["hits"].alias("hit"), F.slice(g["gaps"], 2, n).alias("next"),
+                            F.slice(g["hits"], 2, n).alias("hit2"), F.slice(g["gaps"], 3, n).alias("next2"))
+
     none = F.array().cast(_SPANS)
 
     def step(acc, r):
         start = acc["at"] + F.length(r["gap"])
         end = start + F.length(F.coalesce(r["hit"], F.lit("")))
-        one = F.struct(start.alias("start"), end.alias("end"), r["hit"].alias("hit"),
-                       F.right(r["gap"], F.lit(CONTEXT)).alias("before"), F.left(r["next"], F.lit(CONTEXT)).alias("after"))
-        return F.struct(end.alias("at"), F.when(r["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+        before = F.right(F.concat(acc["tail"], r["gap"]), F.lit(CONTEXT))
+        after = F.left(F.concat_ws("", r["next"], r["hit2"], r["next2"]), F.lit(CONTEXT))
+        one = F.struct(start.alias("start"), end.alias("end"), r["hit"].alias("hit"), before.alias("before"), after.alias("after"))
+        return F.struct(end.alias("at"), F.right(F.concat_ws("", before, r["hit"]), F.lit(CONTEXT)).alias("tail"),
+                        F.when(r["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
 
-    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
+    return F.flatten(F.transform(both, lambda g: F.aggregate(zipped(g), begin, step, lambda a: a["out"])))
 
 
 def _digits(hit: Column) -> Column:
@@ -108,15 +122,36 @@ def _others(text: Column) -> Column:
     return F.when(text.rlike("[0-9]"), keep).otherwise(F.array().cast(_SPANS))
 
 
+def _plain(c: Column) -> Column:
+    """Lower case, numbers as 0, one blank between words."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]+", "0"), r"\s+", " ")
+
+
+def _named(left: Column, near: Column, right: Column) -> Column:
+    """The two patterns of a place: two words before it; one word on each side."""
+    return F.array(F.concat(F.lit("L "), F.right(F.ltrim(left), F.lit(CONTEXT))),
+                   F.concat(F.lit("B "), F.right(F.ltrim(near), F.lit(CONTEXT)), F.lit(" _ "), F.left(F.rtrim(right), F.lit(CONTEXT))))
+
+
 def _patterns(s: Column) -> Column:
-    """Lexical patterns of an occurrence: two words before it; one word on each side."""
-    plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]+", "0")
-    before, after = plain(s["before"]), plain(s["after"])
-    two = F.regexp_extract(before, r"(\S+\s+\S*)$", 1)
-    wide = F.regexp_extract(before, r"(\S+\s*\S*)$", 1)
-    right = F.regexp_extract(after, r"^(\S*\s*\S+)", 1)
-    return F.array(F.concat(F.lit("L "), F.when(F.length(two) > 0, two).otherwise(wide)),
-                   F.concat(F.lit("B "), F.regexp_extract(before, r"(\S*\s*)$", 1), F.lit(" _ "), right))
+    """Lexical patterns of an occurrence; what touches it belongs to the context."""
+    before, after = _plain(s["before"]), _plain(s["after"])
+    return _named(F.regexp_extract(before, r"((?:\S+ ){0,2}\S*)$", 1), F.regexp_extract(before, r"((?:\S+ )?\S*)$", 1),
+                  F.regexp_extract(after, r"^(\S*(?: \S+)?)", 1))
+
+
+def slots(docs: DataFrame) -> DataFrame:
+    """(pattern): both patterns of every word of every text, one row each."""
+    w = docs.select(F.filter(F.split(_plain(text_of()), " ", -1), lambda x: x != "").alias("w"))
+    none = F.array(F.lit(""))
+    w = w.select(F.inline(F.arrays_zip(
+        F.concat(none, none, "w").alias("a"), F.concat(none, "w").alias("b"), F.col("w").alias("c"),
+        F.concat(F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), none).alias("d")))).filter("c IS NOT NULL")
+    core = r"^(.*[^a-z0-9_/+.@-])?([a-z0-9_/+.@-]*[a-z0-9])([^a-z0-9]*)$"
+    lead, trail = F.regexp_extract("c", core, 1), F.regexp_extract("c", core, 3)
+    w = w.select(F.concat("a", F.lit(" "), "b", F.lit(" "), lead).alias("left"), F.concat("b", F.lit(" "), lead).alias("near"),
+                 F.concat(trail, F.lit(" "), "d").alias("right"))
+    return w.select(F.explode(_named(F.col("left"), F.col("near"), F.col("right"))).alias("pattern"))
 
 
 def spotted(docs: DataFrame) -> DataFrame:
@@ -130,24 +165,49 @@ def spotted(docs: DataFrame) -> DataFrame:
     return t.withColumn("other", apart)
 
 
-def discovered(found: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
-    """(hit, score) of the accepted identifiers outside the seeds."""
+def graph(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(pattern, hit, n, seed, words): how often each instance stands in each slot that
+    at least ``MIN_SEEDS`` different ones share, and all words that stand there."""
     seeds = F.concat(*[F.col(k) for k in (*BASE, "secret")])
     occ = found.select(F.explode(F.concat(
         F.transform(seeds, lambda s: F.struct(s["hit"].alias("hit"), _patterns(s).alias("p"), F.lit(True).alias("seed"))),
         F.transform("other", lambda s: F.struct(s["hit"].alias("hit"), _patterns(s).alias("p"), F.lit(False).alias("seed"))))).alias("o"))
-    edges = occ.select("o.hit", "o.seed", F.explode("o.p").alias("pattern")).groupBy("pattern", "hit").agg(
-        F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
-    # Patterns that enough different seeds have induced.
-    induced = edges.groupBy("pattern").agg(F.count_if("seed").alias("k")).filter(F.col("k") >= MIN_SEEDS).drop("k")
-    edges = stored(edges.join(induced, "pattern"), "pattern-graph")
-    scores = edges.groupBy("hit").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    edges = stored(occ.select("o.hit", "o.seed", F.explode("o.p").alias("pattern")).groupBy("pattern", "hit").agg(
+        F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "pattern-places")
+    shared = stored(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("in_graph")).filter(
+        F.col("k") >= MIN_SEEDS).drop("k"), "patterns")
+    # Few patterns go to the words, many meet words counted by pattern.
+    n = F.count(F.lit(1)).alias("words")
+    if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        words = slots(docs).join(F.broadcast(shared.select("pattern")), "pattern", "left_semi").groupBy("pattern").agg(n)
+    else:
+        words = slots(docs).groupBy("pattern").agg(n).join(shared.select("pattern"), "pattern", "left_semi")
+    shared = shared.join(words, "pattern", "left").select(
+        "pattern", F.greatest("in_graph", F.coalesce("words", F.lit(0))).alias("words"))
+    return stored(edges.join(shared, "pattern"), "pattern-graph")
+
+
+def scored(edges: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
+    """(hit, seed, score) after ``rounds`` rounds, or when they change no more."""
+    scores = edges.groupBy("hit").agg(F.max("seed").alias("seed")).withColumn("score", F.col("seed").cast("double"))
+    last = None
     for _ in range(rounds):
-        p = edges.join(scores, "hit").groupBy("pattern").agg(
-            (F.sum("score") / (F.count(F.lit(1)) + PRIOR)).alias("c"))
-        doubt = F.sum(F.log(F.greatest(1.0 - F.col("c"), F.lit(1e-9))))
-        fresh = edges.join(p, "pattern").groupBy("hit").agg(F.max("seed").alias("seed"), (1.0 - F.exp(doubt)).alias("s"))
-        scores = stored(fresh.select("hit", F.when(F.col("seed"), 1.0).otherwise(F.col("s")).alias("score"), "seed"), "pattern-scores")
+        known = edges.drop("seed").join(scores, "hit")
+        p = known.groupBy("pattern", "words").agg(F.count_if(F.col("score") >= accept).alias("k"), F.sum(F.col("n") * F.col("score")).alias("s")).filter(
+            F.col("k") >= MIN_SEEDS).select("pattern", (F.col("s") / (F.col("words") + PRIOR)).alias("c"))
+        doubt = F.sum(F.log(F.greatest(1.0 - F.coalesce("c", F.lit(0.0)), F.lit(1e-9))))
+        fresh = edges.join(p, "pattern", "left").groupBy("hit").agg(F.max("seed").alias("seed"), (1.0 - F.exp(doubt)).alias("s"))
+        scores = stored(fresh.select("hit", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("s")).alias("score")), "pattern-scores")
+        now = scores.agg(F.count_if(F.col("score") >= accept), F.round(F.sum("score"), 3)).first()
+        if now == last:
+            break
+        last = now
+    return scores
+
+
+def discovered(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
+    """(hit, score) of the accepted identifiers outside the seeds."""
+    scores = scored(graph(found, docs), rounds, accept)
     return scores.filter(~F.col("seed") & (F.col("score") >= accept)).select("hit", "score")
 
 
@@ -157,7 +217,7 @@ def private_data(docs: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT)
     Null and empty texts have empty arrays.  Repeated rows give equal results.
     An empty table gives an empty one; other columns are not read."""
     found = stored(spotted(docs), "private-spots")
-    good = discovered(found, rounds, accept)
+    good = discovered(found, docs, rounds, accept)
     more = (found.select("_d", "_x", F.explode("other").alias("o")).withColumn("hit", F.col("o.hit"))
             .join(good, "hit").groupBy("_d", "_x")
             .agg(F.array_sort(F.collect_set(F.struct("o.start", "o.end", "o.hit"))).alias("found")))
