@@ -16,7 +16,7 @@ the product of its patterns' doubts, and seeds stay at 1.  Instances that reach
 
 The graph holds (pattern, instance, count) rows; texts are read twice (matches, slots)
 and never shuffled.  Words in slots are counted before the shuffle, for patterns only
-that enough instances share.  Patterns with a large share of the rows are summed before
+that seeds can reach through enough shared instances.  Patterns with a large share of the rows are summed before
 the shuffle and joined against one row each.
 """
 
@@ -165,17 +165,30 @@ def spotted(docs: DataFrame) -> DataFrame:
     return t.withColumn("other", apart)
 
 
-def graph(found: DataFrame, docs: DataFrame) -> DataFrame:
+def _reachable(edges: DataFrame, rounds: int) -> DataFrame:
+    """(pattern): those that ``rounds`` rounds induce if every instance they meet is
+    accepted; no other pattern ever gets a score."""
+    known, last = edges.filter("seed").select("hit").distinct(), None
+    for _ in range(rounds):
+        patterns = stored(edges.join(known, "hit").groupBy("pattern").count().filter(
+            F.col("count") >= MIN_SEEDS).select("pattern"), "patterns-reached")
+        if (now := patterns.count()) == last:
+            break
+        last = now
+        known = edges.join(patterns, "pattern").select("hit").unionByName(edges.filter("seed").select("hit")).distinct()
+    return patterns
+
+
+def graph(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, hit, n, seed, words): how often each instance stands in each slot that
-    at least ``MIN_SEEDS`` different ones share, and all words that stand there."""
+    a round can induce, and how many words stand there in all."""
     seeds = F.concat(*[F.col(k) for k in (*BASE, "secret")])
     occ = found.select(F.explode(F.concat(
         F.transform(seeds, lambda s: F.struct(s["hit"].alias("hit"), _patterns(s).alias("p"), F.lit(True).alias("seed"))),
         F.transform("other", lambda s: F.struct(s["hit"].alias("hit"), _patterns(s).alias("p"), F.lit(False).alias("seed"))))).alias("o"))
     edges = stored(occ.select("o.hit", "o.seed", F.explode("o.p").alias("pattern")).groupBy("pattern", "hit").agg(
         F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "pattern-places")
-    shared = stored(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("in_graph")).filter(
-        F.col("k") >= MIN_SEEDS).drop("k"), "patterns")
+    shared = stored(edges.join(_reachable(edges, rounds), "pattern").groupBy("pattern").agg(F.sum("n").alias("in_graph")), "patterns")
     # Few patterns go to the words, many meet words counted by pattern.
     n = F.count(F.lit(1)).alias("words")
     if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -207,7 +220,7 @@ def scored(edges: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> Da
 
 def discovered(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
     """(hit, score) of the accepted identifiers outside the seeds."""
-    scores = scored(graph(found, docs), rounds, accept)
+    scores = scored(graph(found, docs, rounds), rounds, accept)
     return scores.filter(~F.col("seed") & (F.col("score") >= accept)).select("hit", "score")
 
 
