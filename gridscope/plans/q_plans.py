@@ -139,9 +139,9 @@ def hier_records(spark, sf):
     """Detect the hierarchical sheets, read their header rows, find
     the first data row and the entity column, and unpivot every metric cell."""
     from gridscope.session import materialize
-    cells = materialize(hierarchical_cells(spark, sf), "cells")  # read by five sub-plans
-    kind = L.is_hierarchical(cells).filter("hierarchical").select("file", "sheet")
-    rec = L.unpivot_scores(cells.join(kind, ["file", "sheet"], "left_semi"))
+    cells = materialize(hierarchical_cells(spark, sf), "cells")  # read by several sub-plans
+    hierarchical, _ = L.split_by_kind(cells)
+    rec = L.unpivot_scores(hierarchical)
     return round_cols(rec.select("file", "Escola", "Area", "Periodo", "Metrica", "Valor"), 2)
 
 
