@@ -126,9 +126,10 @@ def engagement_matrix(records: DataFrame, min_shape: int = 2) -> DataFrame:
         "shown", (F.col("n_rows") >= min_shape) & (F.col("n_cols") >= min_shape))
 
 
-def score_report(scores: DataFrame) -> DataFrame:
+def score_report(scores: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
     """The report's data as one table (A22): per entity and sheet the rank,
-    medal, mean, values used; the sheet's n / mean / std / range; overall mean."""
-    ranked = rank_in_sheet(scores)
+    medal, mean, values used; the sheet's n / mean / std / range; overall mean.
+    ``ranked`` is their ranking, if it is there already."""
+    ranked = rank_in_sheet(scores) if ranked is None else ranked
     spread = sheet_spread(scores)
     return ranked.join(spread, SHEET, "left")

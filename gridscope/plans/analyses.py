@@ -42,20 +42,23 @@ def score_sheets(cells: DataFrame, first_sheet_only: bool = True) -> dict[str, D
     """Cell table of many sheets -> per-entity scores, the entity x sheet
     matrix, the engagement matrix of hierarchical sheets, per-sheet stats,
     rankings and the report table.  Like the upload route, a workbook
-    contributes its first sheet (``first_sheet_only``).  The cell table feeds
-    several branches, so it is written once under the checkpoint folder."""
+    contributes its first sheet (``first_sheet_only``).  The cell table and the
+    scores feed several branches, so each is written once under the checkpoint
+    folder, and the report takes the ranking as it is."""
     if first_sheet_only:
         cells = cells.filter(F.col("sheet_index") == 0)
     cells = materialize(cells, "cells")
     scores, records = L.score_sheets(cells)
+    scores = materialize(scores, "scores")
+    ranking = S.rank_in_sheet(scores)
     return {
         "scores": scores,
         "records": records,
         "comparison_matrix": S.comparison_matrix(scores),
         "engagement_matrix": S.engagement_matrix(records),
         "sheet_stats": S.sheet_stats(scores),
-        "ranking": S.rank_in_sheet(scores),
-        "report": S.score_report(scores),
+        "ranking": ranking,
+        "report": S.score_report(scores, ranking),
         "messages": L.sheet_messages(cells, scores),
     }
 
