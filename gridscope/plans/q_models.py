@@ -38,7 +38,8 @@ def kmeans_nearest(spark, sf):
     d = sum((F.pow((F.col(x) - F.col(f"m_{x}")) / F.col(f"s_{x}") - F.col("center")[i], F.lit(2)) for i, x in enumerate(PART)), F.lit(0.0))
     each = both.groupBy(*PART, "cluster").agg(F.min(d).alias("least"), F.min(F.when(F.col("cluster") == F.col("other"), d)).alias("own"),
                                               F.count_if(F.col("cluster") == F.col("other")).alias("n"))
-    return each.groupBy(*PART).agg(F.sum("n").alias("n"), F.bool_and(F.col("own") <= F.col("least") + 1e-9).alias("nearest"))
+    typed = [F.col(x).cast(part.schema[x].dataType).alias(x) for x in PART]  # k-means has them as doubles
+    return each.groupBy(*typed).agg(F.sum("n").alias("n"), F.bool_and(F.col("own") <= F.col("least") + 1e-9).alias("nearest"))
 
 
 @query("cluster_totals", "\nUNION ALL\n".join(
